@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 20_000
-SPLIT_POINTS = 128
+MAX_SPLIT_POINTS = 1000
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -76,8 +76,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     return placed.groupBy("column", "prob").agg(value.alias("value"))
 
 
-def split_points(values: DataFrame, order: Sequence[str], n: int = SPLIT_POINTS) -> list:
-    """At most ``n`` rows of a table picked by hash, in sort order."""
+def split_points(values: DataFrame, order: Sequence[str]) -> list:
+    """Rows picked by hash, in sort order: one per shuffle partition, at most 1000."""
+    partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(partitions, MAX_SPLIT_POINTS)
     picked = values.select(*order).orderBy(F.xxhash64(*order)).limit(n).collect()
     return sorted((tuple(r) for r in picked), key=lambda t: tuple((x is not None, x) for x in t))
 
@@ -114,7 +116,7 @@ def running_total(values: DataFrame, order: Sequence[str], weight: str | None, n
     bucketed = values.withColumn("_b", bucket_of([F.col(c) for c in order], split_points(values, order), types))
     w = F.col(weight) if weight else F.lit(1)
     sizes = bucketed.groupBy("_b").agg(F.sum(w).alias("_w"))
-    # At most SPLIT_POINTS + 1 entries, so collecting and broadcasting them is bounded.
+    # At most MAX_SPLIT_POINTS + 1 entries, so collecting and broadcasting them is bounded.
     listed = sizes.agg(F.collect_list(F.struct("_b", "_w")).alias("_sizes"))
     before = F.transform(
         "_sizes",

@@ -12,6 +12,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 DIGITS = 6
+# Added before rounding, so that exact decimal ties do not depend on the order of a sum.
+NUDGE = 2e-8
 
 
 def query(name: str, sql: str | None = None):
@@ -38,7 +40,7 @@ def shown(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            c = F.round(c.cast("double") + NUDGE, digits)
         elif isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
             c = c.cast("bigint")
         elif not isinstance(f.dataType, T.StringType):
@@ -49,7 +51,7 @@ def shown(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 def r(expr: str, digits: int = DIGITS) -> str:
     """SQL of a rounded double without a negative zero."""
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE) + {NUDGE}, {digits}) + 0.0)"
 
 
 def n(expr: str) -> str:
