@@ -1,6 +1,6 @@
 """Queries over the given tables, each with the SQL that states its result."""
 
-from workload import forecasting, preparation, profiling  # noqa: F401
+from workload import forecasting, pipelines, preparation, profiling  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
