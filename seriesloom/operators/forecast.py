@@ -202,6 +202,9 @@ def exponential_smoothing(
     return _ahead(best, spec, horizon, st["l"] + pull * st["t"] + wave, name)
 
 
+SIMPLE = ("naive", "mean", "drift", "seasonal_naive")
+
+
 def forecasters(season_length: int) -> dict[str, Forecaster]:
     """The univariate forecasters by model name."""
     return {
@@ -218,13 +221,36 @@ def forecasters(season_length: int) -> dict[str, Forecaster]:
     }
 
 
+def baseline_forecasts(df: DataFrame, spec: PanelSpec, horizon: int, season_length: int, models: Sequence[str]) -> DataFrame:
+    """The requested :data:`SIMPLE` models from one aggregation per key."""
+    y, d = spec.target_col, spec.date_col
+    seasonal = "seasonal_naive" in models
+    aggs = [_last(spec), F.max_by(y, d).alias("_end"), F.min_by(y, d).alias("_start"), F.count("*").alias("_n"), F.avg(y).alias("_mean")]
+    rows = df
+    if seasonal:
+        rows = df.withColumn("_b", F.row_number().over(spec.in_reverse()))
+        tail = F.when(F.col("_b") <= season_length, F.struct((-F.col("_b")).alias("o"), F.col(y).alias("y")))
+        aggs.append(F.array_sort(F.collect_list(tail)).alias("_season"))
+    stats = rows.groupBy(*spec.key_cols).agg(*aggs)
+    h = F.col("horizon")
+    slope = F.coalesce(F.try_divide(F.col("_end") - F.col("_start"), F.col("_n") - 1), F.lit(0.0))
+    value = {"naive": F.col("_end"), "mean": F.col("_mean"), "drift": F.col("_end") + slope * h}
+    if seasonal:
+        slot = F.pmod(h - 1, F.lit(season_length)).cast("int")
+        value["seasonal_naive"] = F.when(F.size("_season") == season_length, F.col("_season")[slot]["y"])
+    made = F.array(*[F.struct(F.lit(m).alias("model"), value[m].cast("double").alias("yhat")) for m in models])
+    return explode_horizon(stats, spec, "_last", horizon).select(*spec.key_cols, d, "horizon", F.inline(made))
+
+
 def forecast_all(df: DataFrame, spec: PanelSpec, horizon: int, season_length: int, models: Sequence[str]) -> DataFrame:
-    """Union of several forecasters in one long table."""
+    """Several forecasters in one long table; the simple ones share a single pass."""
     table = forecasters(season_length)
-    out = None
-    for m in models:
-        part = table[m](df, spec, horizon)
-        out = part if out is None else out.unionByName(part)
+    simple = [m for m in models if m in SIMPLE]
+    parts = [baseline_forecasts(df, spec, horizon, season_length, simple)] if simple else []
+    parts += [table[m](df, spec, horizon) for m in models if m not in SIMPLE]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -236,10 +262,14 @@ def best_model_per_key(scored: DataFrame, spec: PanelSpec, metric: str = "MAE")
 
 def refit_best(df: DataFrame, best: DataFrame, spec: PanelSpec, horizon: int, season_length: int, models: Sequence[str]) -> DataFrame:
     """Each key is forecast from all its data by its own best model."""
-    out = None
-    table = forecasters(season_length)
-    for m in models:
-        mine = join_on_keys(df, best.filter(F.col("model") == m).select(*spec.key_cols), spec.key_cols, "left_semi")
-        part = table[m](mine, spec, horizon)
-        out = part if out is None else out.unionByName(part)
-    return out
+    routed = join_on_keys(df, best.select(*spec.key_cols, F.col("model").alias("_use")), spec.key_cols, "inner")
+    simple = [m for m in models if m in SIMPLE]
+    chosen = join_on_keys(
+        baseline_forecasts(routed.filter(F.col("_use").isin(simple)), spec, horizon, season_length, simple),
+        best.select(*spec.key_cols, "model"), [*spec.key_cols, "model"], "left_semi",
+    ) if simple else None
+    for m, make in forecasters(season_length).items():
+        if m in models and m not in SIMPLE:
+            part = make(routed.filter(F.col("_use") == m).drop("_use"), spec, horizon)
+            chosen = part if chosen is None else chosen.unionByName(part)
+    return chosen

@@ -207,7 +207,7 @@ class DirectMultiHorizonForecaster:
         if valid is not None:
             parts = parts.unionByName(valid.withColumn("_part", F.lit(1)))
         rows = self.builder.transform(parts).withColumns({f"_y{h}": lead_target(spec, h) for h in self.horizons})
-        # A training row whose target date lies in the validation part is left out.
+        # The part of the target date decides: training rows never aim into the validation part.
         rows = rows.withColumns({f"_p{h}": F.lead("_part", h).over(spec.in_order()) for h in self.horizons})
         rows = rows.filter(F.col(spec.target_col).isNotNull()).persist()
         try:
@@ -215,7 +215,7 @@ class DirectMultiHorizonForecaster:
                 label = f"_y{h}"
                 cols = [*self._row_columns(), label]
                 tr = rows.filter((F.col("_part") == 0) & (F.col(f"_p{h}") == 0)).select(*cols)
-                va = rows.filter(F.col("_part") == 1).select(*cols) if valid is not None else None
+                va = rows.filter(F.col(f"_p{h}") == 1).select(*cols) if valid is not None else None
                 return PanelRegressor(self.builder, self.params, self._inputs()).fit(tr, label, va)
 
             with ThreadPoolExecutor(self.parallelism) as pool:

@@ -5,41 +5,44 @@ Every smoother here has the form ``s_t = a_t * s_(t-1) + b_t`` with
 ``s_t = exp(L_t) * sum(b_i * exp(-L_i))``: two running sums, linear in the
 series length, inside generated code. The exponents are taken relative to
 blocks of bounded decay so that they cannot overflow; what lies more than one
-block back has decayed below ``exp(-BLOCK)``, far under double precision.
+whole block back has decayed below ``exp(-BLOCK)``, which is zero in doubles.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.spec import PanelSpec
 
-BLOCK = 300.0
+# Log-decay spanned by one block; exponents stay within +-BLOCK / 2.
+BLOCK = 1200.0
 
 
-def solve_recurrence(df: DataFrame, keys: Sequence[str], order: str | Column, decay: Column, gain: Column, name: str) -> DataFrame:
-    """Adds ``name`` with ``s = decay * s_previous + gain`` from ``s = 0`` before the first row."""
+def solve_recurrence(df: DataFrame, keys: Sequence[str], order: str, log_decay: Column, gains: Mapping[str, Column]) -> DataFrame:
+    """Adds one column per gain: ``s = decay * s_previous + gain`` from ``s = 0``.
+
+    ``log_decay`` is the running sum of the logarithms of the decays, at the row.
+    """
     by = Window.partitionBy(*keys).orderBy(order)
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d, g, lg, blk = "_decay", "_gain", "_log", "_block"
-    out = df.withColumn(d, decay).withColumn(g, gain)
-    out = out.withColumn(lg, F.sum(F.ln(d)).over(so_far))
-    out = out.withColumn(blk, F.floor(-F.col(lg) / BLOCK))
-    lift = F.exp(-(F.col(lg) + F.col(blk) * BLOCK))
-    in_block = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The block is a function of the row's own history, so rows of one block are adjacent
-    # and one ordering per key serves both windows: the running sum restarts where it changes.
-    out = out.withColumn("_local", F.sum(F.col(g) * lift).over(in_block) / lift)
-    prior = F.lag("_local").over(by)
-    out = out.withColumn("_close", F.when(F.lag(blk).over(by) != F.col(blk), F.struct(prior.alias("v"), F.lag(lg).over(by).alias("l"))))
-    carried = F.last("_close", ignorenulls=True).over(so_far)
-    out = out.withColumn("_carry", carried)
-    carry = F.coalesce(F.col("_carry")["v"] * F.exp(F.col(lg) - F.col("_carry")["l"]), F.lit(0.0))
-    return out.withColumn(name, F.col("_local") + carry).drop(d, g, lg, blk, "_local", "_close", "_carry")
+    log, block = F.col("_log"), F.col("_block")
+    out = df.withColumns({"_log": log_decay, **{f"_g_{n}": g for n, g in gains.items()}})
+    out = out.withColumn("_block", F.floor(-log / BLOCK))
+    lift = F.exp(-(log + block * BLOCK) - BLOCK / 2)
+    # A block covers adjacent rows of a key: the running sums restart where it changes.
+    in_block = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.withColumns({f"_s_{n}": F.sum(F.col(f"_g_{n}") * lift).over(in_block) / lift for n in gains})
+    closing = F.struct(F.lag("_log").over(by).alias("log"), *[F.lag(f"_s_{n}").over(by).alias(n) for n in gains])
+    out = out.withColumn("_close", F.when(F.lag("_block").over(by) != block, closing))
+    out = out.withColumn("_carry", F.last("_close", ignorenulls=True).over(so_far))
+    aged = F.exp(log - F.col("_carry")["log"])
+    solved = {n: F.col(f"_s_{n}") + F.coalesce(F.col("_carry")[n] * aged, F.lit(0.0)) for n in gains}
+    helpers = [f"_{x}_{n}" for n in gains for x in ("g", "s")]
+    return out.withColumns(solved).drop("_log", "_block", "_close", "_carry", *helpers)
 
 
 def ewm_mean(df: DataFrame, spec: PanelSpec, value: Column, alpha: float, name: str, adjust: bool = False) -> DataFrame:
@@ -52,21 +55,25 @@ def ewm_mean(df: DataFrame, spec: PanelSpec, value: Column, alpha: float, name:
     by = Window.partitionBy(*keys).orderBy(order)
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     keep = 1.0 - alpha
-    base = df.withColumn("_v", value.cast("double"))
-    seen = F.count("_v").over(so_far)
+    known = F.col("_v").isNotNull()
+    base = df.withColumn("_v", value.cast("double")).withColumns({"_row": F.row_number().over(by), "_seen": F.count("_v").over(so_far)})
     if adjust:
-        for out, gain in (("_num", F.coalesce("_v", F.lit(0.0))), ("_den", F.when(F.col("_v").isNotNull(), 1.0).otherwise(0.0))):
-            base = solve_recurrence(base, keys, order, F.lit(keep), gain, out)
-        return base.withColumn(name, F.when(seen > 0, F.col("_num") / F.col("_den"))).drop("_v", "_num", "_den")
+        gains = {"_num": F.coalesce("_v", F.lit(0.0)), "_den": F.when(known, 1.0).otherwise(0.0)}
+        solved = solve_recurrence(base, keys, order, F.col("_row") * math.log(keep), gains)
+        return solved.withColumn(name, F.when(F.col("_seen") > 0, F.col("_num") / F.col("_den"))).drop("_v", "_row", "_seen", "_num", "_den")
     # Rows since the previous value decide how much weight it has left.
-    base = base.withColumn("_row", F.row_number().over(by))
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    base = base.withColumn("_age", F.col("_row") - F.last(F.when(F.col("_v").isNotNull(), F.col("_row")), ignorenulls=True).over(before))
+    base = base.withColumn("_age", F.col("_row") - F.last(F.when(known, F.col("_row")), ignorenulls=True).over(before))
     old = F.pow(F.lit(keep), F.col("_age"))
-    decay = F.when(F.col("_v").isNull() | F.col("_age").isNull(), 1.0).otherwise(old / (old + alpha))
-    gain = F.when(F.col("_v").isNull(), 0.0).when(F.col("_age").isNull(), F.col("_v")).otherwise(F.col("_v") * alpha / (old + alpha))
-    base = solve_recurrence(base, keys, order, decay, gain, name)
-    return base.withColumn(name, F.when(seen > 0, F.col(name))).drop("_v", "_row", "_age")
+    first = F.col("_age").isNull()
+    base = base.withColumns(
+        {
+            "_ln": F.when(~known | first, 0.0).otherwise(F.ln(old / (old + alpha))),
+            "_gain": F.when(~known, 0.0).when(first, F.col("_v")).otherwise(F.col("_v") * alpha / (old + alpha)),
+        }
+    )
+    solved = solve_recurrence(base, keys, order, F.sum("_ln").over(so_far), {"_mean": F.col("_gain")})
+    return solved.withColumn(name, F.when(F.col("_seen") > 0, F.col("_mean"))).drop("_v", "_row", "_seen", "_age", "_ln", "_gain", "_mean")
 
 
 def alpha_of_halflife(halflife: float) -> float:

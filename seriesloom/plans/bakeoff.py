@@ -15,6 +15,7 @@ from seriesloom.operators.features import FeatureBuilder
 from seriesloom.operators.grid import future_dates
 from seriesloom.operators.learners import DirectMultiHorizonForecaster, QuantileForecaster, RecursiveForecaster, quantile_name
 from seriesloom.operators.splits import date_span, holdout_horizon_split
+from seriesloom.session import reliable_checkpoint
 from seriesloom.spec import PanelSpec
 
 
@@ -42,6 +43,8 @@ def run_bakeoff(panel: DataFrame, spec: PanelSpec, builder: FeatureBuilder, hori
     quant = QuantileForecaster(builder, (0.1, 0.5, 0.9), params).fit(fit, valid).predict(test, known)
     big = select.keep_keys(known, select.top_keys(known, spec, additive_keys), spec)
     additive = AdditiveModel(spec).predict(big, future_dates(big, spec, horizon))
+    # Forecasts are one row per key and step; written out, they are made once for all tables below.
+    rec, direct, quant, additive = (reliable_checkpoint(t) for t in (rec, direct, quant, additive))
     naive = FC.seasonal_naive_forecast(known, spec, horizon, season_length)
 
     cols = [*spec.key_cols, spec.date_col, "model", "yhat"]

@@ -21,7 +21,7 @@ from seriesloom.operators.grid import extend_to_last_date
 from seriesloom.operators.impute import join_on_keys, next_value, previous_value
 from seriesloom.operators.recurrence import ewm_mean, long_ema
 from seriesloom.operators.select import composite_key, not_below, strongest
-from seriesloom.operators.transforms import remove_group_mean, z_score_per_key
+from seriesloom.operators.transforms import remove_group_mean
 from seriesloom.operators.windows import add_time_range_features
 from seriesloom.spec import PanelSpec
 
@@ -75,11 +75,15 @@ def row_features(df: DataFrame) -> DataFrame:
 
 
 def family_features(df: DataFrame) -> DataFrame:
-    """Same-day statistics of the product family and of the product across warehouses."""
-    family = ["date", "warehouse", "common_name"]
-    f = df.groupBy(*family).agg(F.countDistinct("unique_id").alias("CN_total_products"), F.avg("max_discount").alias("CN_discount_avg"))
-    n = df.groupBy("date", "name").agg(F.countDistinct("unique_id").alias("name_num_warehouses"))
-    return join_on_keys(join_on_keys(df, f, family), n, ["date", "name"])
+    """Per date, warehouse and family: products on sale and their mean discount."""
+    return df.groupBy("date", "warehouse", "common_name").agg(
+        F.countDistinct("unique_id").alias("CN_total_products"), F.avg("max_discount").alias("CN_discount_avg")
+    )
+
+
+def name_features(df: DataFrame) -> DataFrame:
+    """Per date and product name: warehouses that sell it."""
+    return df.groupBy("date", "name").agg(F.countDistinct("unique_id").alias("name_num_warehouses"))
 
 
 def warehouse_index(df: DataFrame) -> DataFrame:
@@ -94,12 +98,15 @@ def warehouse_index(df: DataFrame) -> DataFrame:
     return smooth.drop("med_total_orders")
 
 
-def combined_features(df: DataFrame) -> DataFrame:
-    """Features over training and test rows together; none of them reads the target."""
+def product_features(df: DataFrame) -> DataFrame:
+    """Days on sale in the last four weeks and the price relative to the product's usual price.
+
+    Both are windows over one partitioning by product (one row per product and day).
+    """
     out = add_time_range_features(df, ["unique_id"], "date", {"num_sales_days_28D": ("date", "count", -28, -1)})
-    out = z_score_per_key(out, PRODUCT, "sell_price_main", "_scaled")
-    out = remove_group_mean(out, ["date", "warehouse"], "_scaled", "price_detrended").drop("_scaled")
-    return join_on_keys(out, warehouse_index(df), ["date", "warehouse"])
+    w, price = PRODUCT.per_key(), F.col("sell_price_main")
+    spread = F.stddev_samp(price).over(w)
+    return out.withColumn("_scaled", F.when(spread == 0, 0.0).otherwise((price - F.avg(price).over(w)) / spread))
 
 
 def target_features(df: DataFrame, alpha: float = 0.005, last: Column | None = None) -> DataFrame:
@@ -109,27 +116,41 @@ def target_features(df: DataFrame, alpha: float = 0.005, last: Column | None = N
     ends one day back, so a row never sees its own sales.
     """
     slim = df.select("unique_id", "date", "warehouse", "common_name", "sales")
-    grid = extend_to_last_date(slim, PRODUCT, last)
-    spec = PanelSpec("date", "sales", ("unique_id",))
-    ident = {c: F.first(c, ignorenulls=True).over(Window.partitionBy("unique_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) for c in ("warehouse", "common_name")}
-    grid = grid.withColumns(ident)
-    grid = long_ema(grid, spec, "sales", alpha, "last_sales_ema005", lag=1, null_as=0.0)
+    grid = extend_to_last_date(slim, PRODUCT, last, add_indicator=True)
+    so_far = PRODUCT.in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grid = grid.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in ("warehouse", "common_name")})
+    grid = long_ema(grid, PRODUCT, "sales", alpha, "last_sales_ema005", lag=1, null_as=0.0)
+    # One aggregation per family and day gives the daily sum and the parts of the
+    # family moments, so the long grid is reduced once.
     group = ["common_name", "warehouse"]
-    sums = grid.groupBy(*group, "date").agg(F.sum("last_sales_ema005").alias("CN_sales_sum"))
-    stats = grid.groupBy(*group).agg(F.avg("sales").alias("_mu"), F.stddev_samp("sales").alias("_sd"))
-    out = join_on_keys(join_on_keys(grid, sums, [*group, "date"]), stats, group)
+    y = F.col("sales")
+    daily = grid.groupBy(*group, "date").agg(
+        F.sum("last_sales_ema005").alias("CN_sales_sum"), F.count(y).alias("_n"), F.sum(y).alias("_s"), F.sum(y * y).alias("_ss")
+    )
+    w = Window.partitionBy(*group)
+    n, total, squares = (F.sum(c).over(w) for c in ("_n", "_s", "_ss"))
+    daily = daily.withColumns({"_mu": F.try_divide(total, n), "_sd": F.sqrt(F.try_divide(squares - F.try_divide(total * total, n), n - 1))})
+    own = grid.filter(y.isNotNull() | ~F.col("_was_imputed")).drop("_was_imputed")
+    out = join_on_keys(own, daily.drop("_n", "_s", "_ss"), [*group, "date"])
     z = F.try_divide(F.col("last_sales_ema005") - F.col("_mu"), F.col("_sd"))
     return out.withColumn("last_sales_zs", z).select("unique_id", "date", "last_sales_ema005", "CN_sales_sum", "last_sales_zs")
 
 
 def feature_table(train: DataFrame, inventory: DataFrame, calendar: DataFrame, test: DataFrame | None = None, first_date: str | None = None) -> DataFrame:
-    """All features of the training rows (target present) and the test rows."""
+    """All features of the training rows (target present) and the test rows.
+
+    Every group statistic reads the few columns it needs from the joined rows,
+    before the wide feature columns exist. None but the last group reads the target.
+    """
     rows = train.filter(F.col("sales").isNotNull())
     if test is not None:
         rows = rows.unionByName(test, allowMissingColumns=True)
-    joined = rows.join(inventory, "unique_id").join(holiday_proximity(calendar), ["date", "warehouse"])
-    enriched = combined_features(family_features(row_features(joined)))
-    out = join_on_keys(enriched, target_features(enriched), ["unique_id", "date"])
+    base = row_features(rows.join(inventory, "unique_id").join(holiday_proximity(calendar), ["date", "warehouse"]))
+    out = remove_group_mean(product_features(base), ["date", "warehouse"], "_scaled", "price_detrended").drop("_scaled")
+    out = join_on_keys(out, family_features(base), ["date", "warehouse", "common_name"])
+    out = join_on_keys(out, name_features(base), ["date", "name"])
+    out = join_on_keys(out, warehouse_index(rows), ["date", "warehouse"])
+    out = join_on_keys(out, target_features(base), ["unique_id", "date"])
     return out if first_date is None else out.filter(F.col("date") >= F.lit(first_date).cast("date"))
 
 

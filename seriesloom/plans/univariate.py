@@ -12,6 +12,7 @@ from seriesloom.operators import forecast as FC
 from seriesloom.operators import scoring
 from seriesloom.operators.impute import join_on_keys
 from seriesloom.operators.splits import train_test_split_ts
+from seriesloom.session import reliable_checkpoint
 from seriesloom.spec import PanelSpec
 
 
@@ -29,5 +30,6 @@ def run_workflow(df: DataFrame, spec: PanelSpec, horizon: int, season_length: in
     made = FC.forecast_all(train, spec, horizon, season_length, models)
     scored = join_on_keys(scoring.align(test, made, spec), scoring.naive_scale(train, spec, season_length), spec.key_cols)
     table = scoring.forecast_metrics(scored.filter(F.col("model").isNotNull()), spec.target_col, "yhat", [*spec.key_cols, "model"], "scale")
-    best = FC.best_model_per_key(table, spec)
+    # One row per key; written out so that the refit does not repeat the comparison.
+    best = reliable_checkpoint(FC.best_model_per_key(table, spec))
     return UnivariateResult(table, best, FC.refit_best(df, best, spec, ahead or horizon, season_length, models))

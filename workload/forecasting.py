@@ -8,6 +8,7 @@ from seriesloom.functions import metrics as M
 from seriesloom.operators import forecast as FC
 from seriesloom.operators import scoring, splits, tsstats
 from seriesloom.operators.impute import join_on_keys
+from seriesloom.session import reliable_checkpoint
 from workload import panels as P
 from workload.registry import n, query, r, s, shown
 
@@ -282,7 +283,7 @@ def best_model_refit(spark, folder):
     train, test = _train_test(spark, folder)
     fc = FC.forecast_all(train, P.WEEKLY, HORIZON, SEASON, BASELINES)
     scored = scoring.metric_report(scoring.align(test, fc, P.WEEKLY).filter("model IS NOT NULL"), "y", "yhat", ["k", "model"])
-    best = FC.best_model_per_key(scored, P.WEEKLY)
+    best = reliable_checkpoint(FC.best_model_per_key(scored, P.WEEKLY))
     full = P.supplier_week_full(spark, folder)
     return shown(FC.refit_best(full, best, P.WEEKLY, 8, SEASON, BASELINES))
 

@@ -12,6 +12,7 @@ from seriesloom.operators.features import FeatureBuilder
 from seriesloom.operators.forecast import floor_zero
 from seriesloom.operators.grid import future_dates
 from seriesloom.plans import bakeoff, cleaning, retail, subset, univariate
+from seriesloom.session import reliable_checkpoint
 from seriesloom.spec import PanelSpec
 from workload import panels as P
 from workload.registry import n, query, r, s, shown, table
@@ -19,7 +20,7 @@ from workload.registry import n, query, r, s, shown, table
 SUP = P.with_grid(P.SUPPLIER_WEEK)
 HL4 = 1.0 - math.exp(-math.log(2.0) / 4.0)
 BUILDER = FeatureBuilder(P.WEEKLY, lags=(1, 2, 4, 13), rolling_windows=(4, 13), rolling_stats=("mean", "std"), ewm_halflives=(4.0,))
-TREE = {"objective": "regression", "max_iter": 8, "max_depth": 4, "learning_rate": 0.2, "max_bins": 32}
+TREE = {"objective": "regression", "max_iter": 5, "max_depth": 3, "learning_rate": 0.2, "max_bins": 32}
 LINEAR = {"objective": "tweedie", "variance_power": 1.2}
 
 
@@ -47,7 +48,7 @@ def feature_table(spark, folder):
  b AS (SELECT *, last_value(y IGNORE NULLS) OVER p AS y0, first_value(y IGNORE NULLS) OVER f AS y1,
   max(CASE WHEN y IS NOT NULL THEN a END) OVER p AS a0, min(CASE WHEN y IS NOT NULL THEN a END) OVER f AS a1 FROM x
   WINDOW p AS (PARTITION BY k, t ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY k, t ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
- z AS (SELECT k, t, d, inserted, coalesce(y, y0 + (y1 - y0) * (a - a0) / CAST(nullif(a1 - a0, 0) AS DOUBLE), y0, y1) AS y FROM b)
+ z AS MATERIALIZED (SELECT k, t, d, inserted, coalesce(y, y0 + (y1 - y0) * (a - a0) / CAST(nullif(a1 - a0, 0) AS DOUBLE), y0, y1) AS y FROM b)
 SELECT k, t, {s("d")} AS d, {n("inserted")} AS "_was_imputed",
  {r("least(greatest(y, quantile_cont(y, 0.01) OVER (PARTITION BY k, t)), quantile_cont(y, 0.99) OVER (PARTITION BY k, t))")} AS y FROM z""",
 )
@@ -95,9 +96,9 @@ _STAR = f"""WITH rows_ AS (SELECT replace(p_name, ' ', '_') AS name, r_name AS w
  o AS (SELECT date, warehouse, CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS total_orders FROM rows_ GROUP BY 1, 2),
  sales AS (SELECT name || '@' || warehouse AS unique_id, name, split_part(name, '_', 1) AS common_name, date, warehouse, sum(l_quantity) AS sales, round(sum(l_extendedprice), 2) / sum(l_quantity) AS price,
   greatest(max(l_discount - 0.02), 0) AS d0, greatest(max(l_tax - 0.03), 0) AS d1 FROM rows_ GROUP BY 1, 2, 3, 4, 5),
- star AS (SELECT s.*, greatest(d0, d1) AS max_discount, ln(price) AS lp, total_orders FROM sales s JOIN o USING (date, warehouse)),
+ star AS MATERIALIZED (SELECT s.*, greatest(d0, d1) AS max_discount, ln(price) AS lp, total_orders FROM sales s JOIN o USING (date, warehouse)),
  cal AS (SELECT DISTINCT date, warehouse, strftime(date, '%m-%d') IN ('12-24', '12-25', '12-26', '01-01', '05-01') AS hol FROM rows_),
- prox AS (SELECT *, date - max(CASE WHEN hol THEN date END) OVER (PARTITION BY warehouse ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since,
+ prox AS MATERIALIZED (SELECT *, date - max(CASE WHEN hol THEN date END) OVER (PARTITION BY warehouse ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since,
   min(CASE WHEN hol THEN date END) OVER (PARTITION BY warehouse ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - date AS until FROM cal)"""
 
 
@@ -114,19 +115,19 @@ def holiday_proximity(spark, folder):
 @query(
     "retail_features",
     f"""{_STAR},
- fam AS (SELECT date, warehouse, common_name, count(DISTINCT unique_id) AS cn, avg(max_discount) AS ca FROM star GROUP BY 1, 2, 3),
- nm AS (SELECT date, name, count(DISTINCT unique_id) AS nw FROM star GROUP BY 1, 2),
+ fam AS MATERIALIZED (SELECT date, warehouse, common_name, count(DISTINCT unique_id) AS cn, avg(max_discount) AS ca FROM star GROUP BY 1, 2, 3),
+ nm AS MATERIALIZED (SELECT date, name, count(DISTINCT unique_id) AS nw FROM star GROUP BY 1, 2),
  z AS (SELECT *, CASE WHEN stddev_samp(lp) OVER u = 0 THEN 0 ELSE (lp - avg(lp) OVER u) / stddev_samp(lp) OVER u END AS zs,
    count(*) OVER (PARTITION BY unique_id ORDER BY date RANGE BETWEEN INTERVAL 28 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS n28 FROM star WINDOW u AS (PARTITION BY unique_id)),
  w0 AS (SELECT date, warehouse, quantile_cont(total_orders, 0.5) AS m FROM star GROUP BY 1, 2),
  w1 AS (SELECT *, avg(m) OVER (PARTITION BY warehouse ORDER BY date RANGE BETWEEN INTERVAL 13 DAY PRECEDING AND CURRENT ROW) AS m14, row_number() OVER (PARTITION BY warehouse ORDER BY date) AS i FROM w0),
- w2 AS (SELECT date, warehouse, m14, sum(m * pow(1 - 1.0 / 56, -i)) OVER v / sum(pow(1 - 1.0 / 56, -i)) OVER v AS ew FROM w1 WINDOW v AS (PARTITION BY warehouse ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ w2 AS MATERIALIZED (SELECT date, warehouse, m14, sum(m * pow(1 - 1.0 / 56, -i)) OVER v / sum(pow(1 - 1.0 / 56, -i)) OVER v AS ew FROM w1 WINDOW v AS (PARTITION BY warehouse ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
  g AS (SELECT unique_id, common_name, warehouse, CAST(unnest(generate_series(lo, (SELECT max(date) FROM star), INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT unique_id, common_name, warehouse, min(date) AS lo FROM star GROUP BY 1, 2, 3)),
- gs AS (SELECT g.*, star.sales, row_number() OVER (PARTITION BY g.unique_id ORDER BY g.date) AS i FROM g LEFT JOIN star ON star.unique_id = g.unique_id AND star.date = g.date),
- em AS (SELECT *, coalesce(sum(sales * pow(0.995, -i)) OVER v / sum(CASE WHEN sales IS NOT NULL THEN pow(0.995, -i) END) OVER v, 0) AS ema FROM gs
+ gs AS MATERIALIZED (SELECT g.*, star.sales, row_number() OVER (PARTITION BY g.unique_id ORDER BY g.date) AS i FROM g LEFT JOIN star ON star.unique_id = g.unique_id AND star.date = g.date),
+ em AS MATERIALIZED (SELECT *, coalesce(sum(sales * pow(0.995, -i)) OVER v / sum(CASE WHEN sales IS NOT NULL THEN pow(0.995, -i) END) OVER v, 0) AS ema FROM gs
    WINDOW v AS (PARTITION BY unique_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- cs AS (SELECT common_name, warehouse, date, sum(ema) AS cn_sum FROM em GROUP BY 1, 2, 3),
- st AS (SELECT common_name, warehouse, avg(sales) AS mu, stddev_samp(sales) AS sd FROM em GROUP BY 1, 2)
+ cs AS MATERIALIZED (SELECT common_name, warehouse, date, sum(ema) AS cn_sum FROM em GROUP BY 1, 2, 3),
+ st AS MATERIALIZED (SELECT common_name, warehouse, avg(sales) AS mu, stddev_samp(sales) AS sd FROM em GROUP BY 1, 2)
 SELECT z.unique_id, {s("z.date")} AS date, z.common_name || '_' || z.warehouse AS "CN_WH", {r("z.max_discount")} AS max_discount, fam.cn AS "CN_total_products", {r("fam.ca")} AS "CN_discount_avg",
  nm.nw AS name_num_warehouses, z.n28 AS "num_sales_days_28D", {r("zs - avg(zs) OVER (PARTITION BY z.date, z.warehouse)", 5)} AS price_detrended, {r("w2.m14", 5)} AS mean_orders_14d, {r("w2.ew", 5)} AS ewmean_orders_56,
  {r("em.ema", 5)} AS last_sales_ema005, {r("cs.cn_sum", 5)} AS "CN_sales_sum", {r("(em.ema - mu) / sd", 5)} AS last_sales_zs, {n("coalesce(until = 1, false)")} AS day_before_holiday
@@ -137,7 +138,8 @@ FROM z JOIN fam ON fam.date = z.date AND fam.warehouse = z.warehouse AND fam.com
 )
 def retail_features(spark, folder):
     sales, inventory, calendar = _star(spark, folder)
-    out = retail.feature_table(sales, inventory, calendar)
+    # The feature plan reads the sales several times; a user would have them as a stored table.
+    out = retail.feature_table(reliable_checkpoint(sales), reliable_checkpoint(inventory), reliable_checkpoint(calendar))
     exact = ["unique_id", "date", "CN_WH", "CN_total_products", "name_num_warehouses", "num_sales_days_28D", "day_before_holiday"]
     six = ["max_discount", "CN_discount_avg"]
     five = ["price_detrended", "mean_orders_14d", "ewmean_orders_56", "last_sales_ema005", "CN_sales_sum", "last_sales_zs"]
@@ -292,8 +294,13 @@ def sampled_panel(spark, folder):
     return subset.sample_panel(P.part_week(spark, folder), P.WEEKLY, 500, ["k", "d", "y"], "2000-06-30")
 
 
+def _stored_panel(spark, folder):
+    """Model fits pass over the panel many times, so it is written out once."""
+    return reliable_checkpoint(P.supplier_week_full(spark, folder))
+
+
 def _split(spark, folder):
-    return splits.holdout_horizon_split(P.supplier_week_full(spark, folder), P.WEEKLY, 8, 13)
+    return splits.holdout_horizon_split(_stored_panel(spark, folder), P.WEEKLY, 8, 13)
 
 
 @query("recursive_forecast")
@@ -345,7 +352,7 @@ def quantile_forecast(spark, folder):
 
 @query("out_of_fold_predictions")
 def out_of_fold_predictions(spark, folder):
-    rows = BUILDER.transform(P.supplier_week_full(spark, folder))
+    rows = BUILDER.transform(_stored_panel(spark, folder))
     oof, _ = learners.cross_validated_predictions(rows, BUILDER, "y", ["k", "d"], 3, TREE)
     return oof
 
@@ -368,7 +375,7 @@ def additive_components(spark, folder):
 
 @query("grid_search_scores")
 def grid_search_scores(spark, folder):
-    panel = P.supplier_week_full(spark, folder)
+    panel = _stored_panel(spark, folder)
     folds = splits.expanding_day_folds(panel, PanelSpec("d", "y", ("k",), frequency="D"), 2, 91)
     grid = {"max_depth": [2, 4], "learning_rate": [0.1, 0.3]}
     return tuning.grid_search(panel, BUILDER, folds, {**TREE, "max_iter": 4}, grid)
@@ -376,7 +383,7 @@ def grid_search_scores(spark, folder):
 
 @query("random_search_history")
 def random_search_history(spark, folder):
-    panel = P.supplier_week_full(spark, folder)
+    panel = _stored_panel(spark, folder)
     folds = splits.expanding_day_folds(panel, PanelSpec("d", "y", ("k",), frequency="D"), 2, 91)
     space = {"variance_power": {"type": "float", "low": 1.1, "high": 1.8}, "l2": {"type": "log_float", "low": 1e-3, "high": 1.0}}
     trials = tuning.sample_space(spark, space, 3)
@@ -410,5 +417,5 @@ def linear_attributions(spark, folder):
 
 @query("bake_off_ranking")
 def bake_off_ranking(spark, folder):
-    panel = P.supplier_week_full(spark, folder)
+    panel = _stored_panel(spark, folder)
     return bakeoff.run_bakeoff(panel, P.WEEKLY, BUILDER, 2, 52, {**TREE, "max_iter": 4}).ranking
