@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 20_000
+SKETCH_ACCURACY = 10_000
 MAX_SPLIT_POINTS = 1000
 
 
@@ -36,31 +36,21 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     if not brackets:
         return df.sparkSession.createDataFrame([], "column string, prob double, value double")
 
-    facts = []
+    value = {c: F.col(c).cast("double") for c in cols}
+    sizes, hits = [], []
     for c, p, lo, hi in brackets:
-        v = F.col(c).cast("double")
-        low = F.lit(lo).cast("double")
-        inside = v.between(low, F.lit(hi).cast("double"))
-        facts.append(
-            F.when(
-                v.isNotNull(),
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.lit(p).alias("prob"),
-                    F.when(inside, v).alias("v"),
-                    (v < low).alias("below"),
-                ),
-            )
-        )
-    long = df.select(F.explode(F.array_compact(F.array(*facts))).alias("r")).select("r.*")
-    counts = long.groupBy("column", "prob", "v", "below").agg(F.count("*").alias("n"))
-    sized = Window.partitionBy("column", "prob")
-    running = sized.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        v, low = value[c], F.lit(lo).cast("double")
+        ident = (F.lit(c).alias("column"), F.lit(p).alias("prob"))
+        sizes.append(F.struct(*ident, F.count(v).alias("total"), F.count(F.when(v < low, 1)).alias("under")))
+        hits.append(F.when(v.between(low, F.lit(hi).cast("double")), F.struct(*ident, v.alias("v"))))
+    # One row of counts per quantile; rows outside all brackets leave no trace beyond them.
+    totals = df.agg(F.array(*sizes).alias("_s")).select(F.inline("_s"))
+    inside = df.select(F.explode(F.array_compact(F.array(*hits))).alias("r")).select("r.*")
+    counts = inside.groupBy("column", "prob", "v").agg(F.count("*").alias("n"))
+    running = Window.partitionBy("column", "prob").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        counts.withColumn("total", F.sum("n").over(sized))
-        .withColumn("under", F.sum(F.when(F.col("below"), F.col("n")).otherwise(0)).over(sized))
-        .withColumn("upto", F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).over(running))
-        .filter(F.col("v").isNotNull())
+        counts.withColumn("upto", F.sum("n").over(running))
+        .join(F.broadcast(totals), ["column", "prob"])
         .withColumn("last", F.col("under") + F.col("upto") - 1)
         .withColumn("first", F.col("last") - F.col("n") + 1)
     )
@@ -70,10 +60,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     at_next = F.max(F.when((F.col("first") <= k + 1) & (k + 1 <= F.col("last")), F.col("v")))
     part = F.max(h - k)
     missed = at_k.isNull() | ((part > 0) & at_next.isNull())
-    value = F.when(missed, F.raise_error("quantile bracket missed").cast("double")).otherwise(
+    exact = F.when(missed, F.raise_error("quantile bracket missed").cast("double")).otherwise(
         at_k + F.when(part > 0, part * (at_next - at_k)).otherwise(F.lit(0.0))
     )
-    return placed.groupBy("column", "prob").agg(value.alias("value"))
+    return placed.groupBy("column", "prob").agg(exact.alias("value"))
 
 
 def split_points(values: DataFrame, order: Sequence[str]) -> list:

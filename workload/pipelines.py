@@ -121,20 +121,12 @@ def holiday_proximity(spark, folder):
    count(*) OVER (PARTITION BY unique_id ORDER BY date RANGE BETWEEN INTERVAL 28 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS n28 FROM star WINDOW u AS (PARTITION BY unique_id)),
  w0 AS (SELECT date, warehouse, quantile_cont(total_orders, 0.5) AS m FROM star GROUP BY 1, 2),
  w1 AS (SELECT *, avg(m) OVER (PARTITION BY warehouse ORDER BY date RANGE BETWEEN INTERVAL 13 DAY PRECEDING AND CURRENT ROW) AS m14, row_number() OVER (PARTITION BY warehouse ORDER BY date) AS i FROM w0),
- w2 AS MATERIALIZED (SELECT date, warehouse, m14, sum(m * pow(1 - 1.0 / 56, -i)) OVER v / sum(pow(1 - 1.0 / 56, -i)) OVER v AS ew FROM w1 WINDOW v AS (PARTITION BY warehouse ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
- g AS (SELECT unique_id, common_name, warehouse, CAST(unnest(generate_series(lo, (SELECT max(date) FROM star), INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT unique_id, common_name, warehouse, min(date) AS lo FROM star GROUP BY 1, 2, 3)),
- gs AS MATERIALIZED (SELECT g.*, star.sales, row_number() OVER (PARTITION BY g.unique_id ORDER BY g.date) AS i FROM g LEFT JOIN star ON star.unique_id = g.unique_id AND star.date = g.date),
- em AS MATERIALIZED (SELECT *, coalesce(sum(sales * pow(0.995, -i)) OVER v / sum(CASE WHEN sales IS NOT NULL THEN pow(0.995, -i) END) OVER v, 0) AS ema FROM gs
-   WINDOW v AS (PARTITION BY unique_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- cs AS MATERIALIZED (SELECT common_name, warehouse, date, sum(ema) AS cn_sum FROM em GROUP BY 1, 2, 3),
- st AS MATERIALIZED (SELECT common_name, warehouse, avg(sales) AS mu, stddev_samp(sales) AS sd FROM em GROUP BY 1, 2)
+ w2 AS MATERIALIZED (SELECT date, warehouse, m14, sum(m * pow(1 - 1.0 / 56, -i)) OVER v / sum(pow(1 - 1.0 / 56, -i)) OVER v AS ew FROM w1 WINDOW v AS (PARTITION BY warehouse ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT z.unique_id, {s("z.date")} AS date, z.common_name || '_' || z.warehouse AS "CN_WH", {r("z.max_discount")} AS max_discount, fam.cn AS "CN_total_products", {r("fam.ca")} AS "CN_discount_avg",
  nm.nw AS name_num_warehouses, z.n28 AS "num_sales_days_28D", {r("zs - avg(zs) OVER (PARTITION BY z.date, z.warehouse)", 5)} AS price_detrended, {r("w2.m14", 5)} AS mean_orders_14d, {r("w2.ew", 5)} AS ewmean_orders_56,
- {r("em.ema", 5)} AS last_sales_ema005, {r("cs.cn_sum", 5)} AS "CN_sales_sum", {r("(em.ema - mu) / sd", 5)} AS last_sales_zs, {n("coalesce(until = 1, false)")} AS day_before_holiday
+ {n("coalesce(until = 1, false)")} AS day_before_holiday
 FROM z JOIN fam ON fam.date = z.date AND fam.warehouse = z.warehouse AND fam.common_name = z.common_name JOIN nm ON nm.date = z.date AND nm.name = z.name
- JOIN w2 ON w2.date = z.date AND w2.warehouse = z.warehouse JOIN em ON em.unique_id = z.unique_id AND em.date = z.date
- JOIN cs ON cs.common_name = z.common_name AND cs.warehouse = z.warehouse AND cs.date = z.date JOIN st ON st.common_name = z.common_name AND st.warehouse = z.warehouse
- JOIN prox ON prox.date = z.date AND prox.warehouse = z.warehouse""",
+ JOIN w2 ON w2.date = z.date AND w2.warehouse = z.warehouse JOIN prox ON prox.date = z.date AND prox.warehouse = z.warehouse""",
 )
 def retail_features(spark, folder):
     sales, inventory, calendar = _star(spark, folder)
@@ -142,11 +134,29 @@ def retail_features(spark, folder):
     out = retail.feature_table(reliable_checkpoint(sales), reliable_checkpoint(inventory), reliable_checkpoint(calendar))
     exact = ["unique_id", "date", "CN_WH", "CN_total_products", "name_num_warehouses", "num_sales_days_28D", "day_before_holiday"]
     six = ["max_discount", "CN_discount_avg"]
-    five = ["price_detrended", "mean_orders_14d", "ewmean_orders_56", "last_sales_ema005", "CN_sales_sum", "last_sales_zs"]
+    five = ["price_detrended", "mean_orders_14d", "ewmean_orders_56"]
     left = shown(out.select(*exact, *six, *[F.round(F.col(c) + 2e-8, 5).alias(c) for c in five]))
     return left
 
 
+@query(
+    "retail_target_features",
+    f"""{_STAR},
+ g AS (SELECT unique_id, common_name, warehouse, CAST(unnest(generate_series(lo, (SELECT max(date) FROM star), INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT unique_id, common_name, warehouse, min(date) AS lo FROM star GROUP BY 1, 2, 3)),
+ gs AS MATERIALIZED (SELECT g.*, star.sales, row_number() OVER (PARTITION BY g.unique_id ORDER BY g.date) AS i FROM g LEFT JOIN star ON star.unique_id = g.unique_id AND star.date = g.date),
+ em AS MATERIALIZED (SELECT *, coalesce(sum(sales * pow(0.995, -i)) OVER v / sum(CASE WHEN sales IS NOT NULL THEN pow(0.995, -i) END) OVER v, 0) AS ema FROM gs
+   WINDOW v AS (PARTITION BY unique_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ cs AS MATERIALIZED (SELECT common_name, warehouse, date, sum(ema) AS cn_sum FROM em GROUP BY 1, 2, 3),
+ st AS MATERIALIZED (SELECT common_name, warehouse, avg(sales) AS mu, stddev_samp(sales) AS sd FROM em GROUP BY 1, 2)
+SELECT em.unique_id, {s("em.date")} AS date, {r("em.ema", 5)} AS last_sales_ema005, {r("cs.cn_sum", 5)} AS "CN_sales_sum", {r("(em.ema - mu) / sd", 5)} AS last_sales_zs
+FROM em JOIN cs USING (common_name, warehouse, date) JOIN st USING (common_name, warehouse) WHERE em.sales IS NOT NULL""",
+)
+def retail_target_features(spark, folder):
+    sales, inventory, calendar = _star(spark, folder)
+    base = retail.row_features(reliable_checkpoint(sales).join(reliable_checkpoint(inventory), "unique_id"))
+    return shown(retail.target_features(base), 5)
+
+
 @query(
     "weighted_error",
     f"""WITH w AS (SELECT p_brand AS k, avg(p_retailprice) AS weight FROM part GROUP BY 1), panel AS ({P.BRAND_DAY}),
