@@ -21,15 +21,14 @@ def variation(y: Column) -> Column:
 
 
 def adjusted_skewness(y: Column) -> Column:
-    """Sample skewness G1 from the population moment ratio."""
+    """Sample skewness G1 from the population moment ratio; 0 for constant values."""
     n = F.count(y).cast("double")
-    return F.when((n > 2) & (F.var_pop(y) > 0), F.skewness(y) * F.sqrt(n * (n - 1)) / (n - 2))
+    ratio = F.skewness(y) * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.when(n > 2, F.when(F.var_pop(y) > 0, ratio).otherwise(0.0))
 
 
 def adjusted_kurtosis(y: Column) -> Column:
-    """Sample excess kurtosis G2 from the population moment ratio."""
+    """Sample excess kurtosis G2 from the population moment ratio; 0 for constant values."""
     n = F.count(y).cast("double")
-    return F.when(
-        (n > 3) & (F.var_pop(y) > 0),
-        (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(y) + 6),
-    )
+    ratio = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(y) + 6)
+    return F.when(n > 3, F.when(F.var_pop(y) > 0, ratio).otherwise(0.0))

@@ -65,12 +65,10 @@ def classify_all_series(
 
 
 def classification_summary(classes: DataFrame, column: str = "sb_class") -> DataFrame:
-    """Series and share per class. The window runs over at most one row per class."""
+    """Series and share per class. The window runs over one row per class."""
     counts = classes.groupBy(column).agg(F.count("*").alias("n_series"))
-    total = classes.agg(F.count("*").alias("_total"))
-    return counts.join(F.broadcast(total)).select(
-        column, "n_series", (F.col("n_series") * 100.0 / F.col("_total")).alias("pct")
-    )
+    total = F.sum("n_series").over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn("pct", F.col("n_series") * 100.0 / total)
 
 
 def classify_demand(df: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -51,10 +51,9 @@ def _spread(df: DataFrame, spec: PanelSpec, last: Column | None = None) -> DataF
     f = spec.freq
     rows = df.filter(F.col(spec.date_col).isNotNull()).withColumn("_at", f.strict_index(spec.date_col))
     final = F.col("_at") if last is None else F.greatest(F.col("_at"), f.index(last))
-    following = F.lead("_at").over(spec.in_order())
-    rows = rows.withColumn(
-        "_until", F.when(following.isNull(), final).otherwise(F.greatest(F.col("_at"), following - 1))
-    )
+    rows = rows.withColumn("_next", F.lead("_at").over(spec.in_order()))
+    until = F.when(F.col("_next").isNull(), final).otherwise(F.greatest(F.col("_at"), F.col("_next") - 1))
+    rows = rows.withColumn("_until", until)
     wide = rows.select("*", F.posexplode(F.sequence("_at", "_until")).alias("_step", "_period"))
     kept = {c for c in (*spec.key_cols, spec.date_col)}
     columns = [

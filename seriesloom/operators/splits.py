@@ -11,10 +11,11 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.statistics import percent
+from seriesloom.operators.impute import join_on_keys
 from seriesloom.spec import PanelSpec
 
 Day = dt.date | dt.datetime
@@ -113,13 +114,12 @@ def fractional_split(df: DataFrame, spec: PanelSpec, train: float = 0.7, val: fl
 
 
 def summarize_split(frame: DataFrame, spec: PanelSpec) -> DataFrame:
-    total = frame.agg(F.count("*").alias("_total"))
+    """Rows, share and dates per part. The window runs over one row per part."""
     parts = frame.groupBy("split").agg(
         F.count("*").alias("n_rows"), F.min(spec.date_col).alias("start"), F.max(spec.date_col).alias("end")
     )
-    return parts.join(F.broadcast(total)).select(
-        "split", "n_rows", percent(F.col("n_rows"), F.col("_total")).alias("pct"), "start", "end"
-    )
+    total = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))
+    return parts.select("split", "n_rows", percent(F.col("n_rows"), total).alias("pct"), "start", "end")
 
 
 def leakage_report(frame: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -276,17 +276,6 @@ def time_fold(spec: PanelSpec, start: Day, end: Day, k: int) -> Column:
     return F.least(F.floor(F.datediff(spec.date_col, F.lit(start)) * k / days), F.lit(k - 1))
 
 
-def walk_forward_origins(df: DataFrame, spec: PanelSpec, n_test: int, step: int = 1, horizon: int = 1) -> DataFrame:
-    """Forecast origins of each key: ``origin`` date and ``n_history`` rows up to it.
-
-    Origins start ``n_test`` rows before the end and leave room for ``horizon``.
-    """
-    placed = df.withColumn("_i", F.row_number().over(spec.in_order())).withColumn("_n", F.count("*").over(spec.per_key()))
-    first = F.col("_n") - n_test
-    chosen = placed.filter((F.col("_i") >= first) & (F.col("_i") > 0) & (F.col("_i") + horizon <= F.col("_n")) & (F.pmod(F.col("_i") - first, F.lit(step)) == 0))
-    return chosen.select(*spec.key_cols, F.col(spec.date_col).alias("origin"), F.col("_i").alias("n_history"))
-
-
 def walk_forward_validation(df: DataFrame, spec: PanelSpec, state: dict[str, Column], forecast: Column, n_test: int, step: int = 1, horizon: int = 1) -> DataFrame:
     """Rolling-origin validation of a forecaster given as running state.
 
@@ -302,8 +291,6 @@ def walk_forward_validation(df: DataFrame, spec: PanelSpec, state: dict[str, Col
     ahead = origins.select(*spec.key_cols, F.col(spec.date_col).alias("_origin"), "_i", *state, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon"))
     made = ahead.select(*spec.key_cols, (F.col("_i") + F.col("horizon")).alias("_i"), F.col("_i").alias("_from"), "horizon", forecast.alias("_f"))
     latest = made.filter(F.col("_f").isNotNull()).groupBy(*spec.key_cols, "_i").agg(F.max_by("_f", "_from").alias("predicted"))
-    from seriesloom.operators.impute import join_on_keys
-
     actual = placed.select(*spec.key_cols, spec.date_col, "_i", F.col(spec.target_col).alias("actual"))
     return join_on_keys(actual, latest, [*spec.key_cols, "_i"], "inner").drop("_i")
 

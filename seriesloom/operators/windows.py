@@ -19,13 +19,14 @@ from seriesloom.spec import PanelSpec
 def _skew_over(y: Column, w: WindowSpec) -> Column:
     n = F.count(y).over(w).cast("double")
     g = F.skewness(y).over(w) * F.sqrt(n * (n - 1)) / (n - 2)
-    return F.when((n > 2) & (F.var_pop(y).over(w) > 0), g)
+    return F.when(n > 2, F.when(F.var_pop(y).over(w) > 0, g).otherwise(0.0))
 
 
 def _kurt_over(y: Column, w: WindowSpec) -> Column:
     n = F.count(y).over(w).cast("double")
     g = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(y).over(w) + 6)
-    return F.when((n > 3) & (F.var_pop(y).over(w) > 0), g)
+    # A constant window counts as the flattest shape.
+    return F.when(n > 3, F.when(F.var_pop(y).over(w) > 0, g).otherwise(-3.0))
 
 
 ROLLING: dict[str, Callable[[Column, WindowSpec], Column]] = {
@@ -99,6 +100,8 @@ def by_blocks(
     blocked = PanelSpec(
         spec.date_col, spec.target_col, (*spec.key_cols, "_block"), spec.static_cols, spec.dynamic_cols, spec.frequency
     )
+    # Without this exchange a table already partitioned by its keys would keep each key in one task.
+    spread = spread.repartition(*spec.key_cols, "_block")
     return build(spread, blocked).filter(F.col("_helper") == 0).drop("_helper", "_block")
 
 

@@ -129,7 +129,7 @@ def load_timeseries(
         df = fill_time_gaps(df, spec, add_indicator=False)
     methods = {"ffill": "ffill", "bfill": "bfill", "interpolate": "time"}
     if fill_method is not None:
-        df = impute_missing(df, spec, value_col, methods[fill_method])
+        df = impute_missing(df, spec, value_col, methods[fill_method], fill_leading=False)
     return df
 
 

@@ -228,7 +228,7 @@ def lag_and_rolling_features(spark, folder):
     "rolling_shape_features",
     f"""{SUP}, c AS (SELECT *, count(y) OVER w AS n, skewness(y) OVER w AS sk, kurtosis(y) OVER w AS ku, var_pop(y) OVER w AS v
  FROM filled WINDOW w AS (PARTITION BY k ORDER BY d ROWS BETWEEN 27 PRECEDING AND 2 PRECEDING))
-SELECT k, {s("d")} AS d, {r("CASE WHEN n >= 10 AND v > 0 THEN sk END", 5)} AS y_roll_skew_26, {r("CASE WHEN n >= 10 AND v > 0 THEN ku END", 5)} AS y_roll_kurt_26 FROM c""",
+SELECT k, {s("d")} AS d, {r("CASE WHEN n >= 10 THEN CASE WHEN v > 0 THEN sk ELSE 0 END END", 5)} AS y_roll_skew_26, {r("CASE WHEN n >= 10 THEN CASE WHEN v > 0 THEN ku ELSE -3 END END", 5)} AS y_roll_kurt_26 FROM c""",
 )
 def rolling_shape_features(spark, folder):
     df = windows.add_rolling_features(P.supplier_week_full(spark, folder), P.WEEKLY, windows=(26,), stats=("skew", "kurt"), shift=2, min_periods=10)
