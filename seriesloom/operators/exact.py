@@ -127,3 +127,25 @@ def average_rank(values: DataFrame, value: str, weight: str, name: str) -> DataF
     """Average rank (ties share the middle) of distinct values with their counts."""
     ranked = running_total(values, [value], weight, "_upto")
     return ranked.withColumn(name, F.col("_upto") - (F.col(weight) - 1) / 2.0).drop("_upto")
+
+
+def grouped_quantiles(df: DataFrame, group: str, col: str, probs: Sequence[float]) -> DataFrame:
+    """Linear-interpolation quantiles per group: ``(group, prob, value)``.
+
+    Positions come from one running total over (group, value) counts, so a group
+    that holds most of the rows is spread over the buckets.
+    """
+    counts = df.filter(F.col(col).isNotNull()).groupBy(group, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running_total(counts, [group, "_v"], "_n", "_upto")
+    ends = placed.groupBy(group).agg(F.min(F.col("_upto") - F.col("_n")).alias("_from"), F.sum("_n").alias("_total"))
+    ends = ends.withColumnRenamed(group, "_group")
+    rows = placed.join(ends, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_last", F.col("_upto") - F.col("_from") - 1)
+    rows = rows.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
+    h = (F.col("_total") - 1) * F.col("prob")
+    k = F.floor(h)
+    first = F.col("_last") - F.col("_n") + 1
+    at = lambda pos: F.max(F.when((first <= pos) & (pos <= F.col("_last")), F.col("_v")))
+    near = rows.filter((first <= k + 1) & (k <= F.col("_last")))
+    part = F.max(h - k)
+    value = at(k) + F.when(part > 0, part * (at(k + 1) - at(k))).otherwise(0.0)
+    return near.groupBy(group, "prob").agg(value.alias("value"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.calendar import add_calendar_features
 from seriesloom.operators.encode import label_encode
 from seriesloom.operators.recurrence import add_ewm_features, ewm_name
-from seriesloom.operators.windows import rolling_columns
+from seriesloom.operators.windows import by_blocks, rolling_columns
 from seriesloom.spec import PanelSpec
 
 CALENDAR = ("year", "quarter", "month", "week", "day", "day_of_week", "day_of_year", "is_weekend", "is_month_start", "is_month_end", "is_quarter_end")
@@ -25,6 +25,9 @@ class FeatureBuilder:
     The feature list follows from the settings alone, so it is the same for
     every table. All ordered features use one partitioning by the keys.
     ``rolling_min_lag=0`` lets features see the row's own value (direct models).
+    ``block`` spreads a very long series over several tasks: lag and rolling
+    features are then built per key and block of that many periods (the panel
+    must be a completed grid).
     """
 
     spec: PanelSpec
@@ -36,6 +39,7 @@ class FeatureBuilder:
     cyclical_calendar: bool = True
     encode_keys: bool = False
     exogenous: Sequence[str] = ()
+    block: int | None = None
 
     @property
     def calendar_names(self) -> list[str]:
@@ -61,13 +65,15 @@ class FeatureBuilder:
         windows = [self.rolling_min_lag + w for w in self.rolling_windows]
         return max([*self.lags, *windows, 1])
 
+    def _ordered(self, df: DataFrame, spec: PanelSpec) -> DataFrame:
+        y, w = spec.target_col, spec.in_order()
+        lagged: dict[str, Column] = {f"{y}_lag_{k}": F.lag(y, k).over(w) for k in self.lags}
+        return df.withColumns(lagged | rolling_columns(spec, y, self.rolling_windows, self.rolling_stats, self.rolling_min_lag))
+
     def transform(self, df: DataFrame) -> DataFrame:
         spec, y = self.spec, self.spec.target_col
         out = add_calendar_features(df, spec.date_col, self.cyclical_calendar)
-        w = spec.in_order()
-        ordered: dict[str, Column] = {f"{y}_lag_{k}": F.lag(y, k).over(w) for k in self.lags}
-        ordered |= rolling_columns(spec, y, self.rolling_windows, self.rolling_stats, self.rolling_min_lag)
-        out = out.withColumns(ordered)
+        out = by_blocks(out, spec, self.reach, self.block, self._ordered) if self.block else self._ordered(out, spec)
         if self.ewm_halflives:
             out = add_ewm_features(out, spec, y, self.ewm_halflives, self.rolling_min_lag)
         if self.encode_keys:

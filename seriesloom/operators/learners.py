@@ -234,7 +234,8 @@ class DirectMultiHorizonForecaster:
         spec = self.builder.spec
         day = F.lit(anchor).cast("timestamp_ntz" if spec.freq.hourly else "date")
         rows = self.builder.transform(history.filter(F.col(spec.date_col) <= day)).filter(F.col(spec.date_col) == day)
-        rows = rows.select(spec.date_col, *self._row_columns()).persist()
+        # One row per key, read by every model.
+        rows = reliable_checkpoint(rows.select(spec.date_col, *self._row_columns()))
         out = None
         for h, model in self.models.items():
             part = model.predict(rows).select(*spec.key_cols, spec.freq.shift(spec.date_col, h).alias(spec.date_col), F.lit(h).alias("horizon"), "yhat")

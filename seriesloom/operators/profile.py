@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from seriesloom.functions.statistics import adjusted_kurtosis, adjusted_skewness, count_where, percent, variation
 from seriesloom.operators.demand import adi, cv2
-from seriesloom.operators.exact import average_rank, bucket_of, exact_quantiles, running_total, split_points
+from seriesloom.operators.exact import average_rank, bucket_of, exact_quantiles, grouped_quantiles, running_total, split_points
 from seriesloom.operators.impute import join_on_keys
 from seriesloom.spec import PanelSpec
 
@@ -206,20 +206,15 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def describe_by_group(df: DataFrame, group: str, col: str) -> DataFrame:
-    """Count, moments and exact quartiles of one column per group of a key report.
-
-    Quartiles run over distinct values with their counts.
-    """
+    """Count, moments and exact quartiles of one column per group of a report."""
     v = F.col(col)
     moments = df.groupBy(group).agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
     )
-    counts = df.filter(v.isNotNull()).groupBy(group, col).agg(F.count("*").alias("n"))
-    q = counts.groupBy(group).agg(F.percentile(col, [0.25, 0.5, 0.75], F.col("n")).alias("q"))
-    return join_on_keys(moments, q, [group]).select(
-        group, "count", "mean", "std", "min",
-        F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "max",
-    )
+    names = {0.25: "p25", 0.5: "median", 0.75: "p75"}
+    q = grouped_quantiles(df, group, col, list(names))
+    wide = q.groupBy(group).agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in names.items()])
+    return join_on_keys(moments, wide, [group]).select(group, "count", "mean", "std", "min", "p25", "median", "p75", "max")
 
 
 def resample(df: DataFrame, spec: PanelSpec, unit: str, how: str = "sum") -> DataFrame:
