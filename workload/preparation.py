@@ -105,7 +105,7 @@ def static_fill(spark, folder):
  f AS (SELECT *, coalesce(y, avg(y) OVER (PARTITION BY k)) AS mean, coalesce(y, quantile_cont(y, 0.5) OVER (PARTITION BY k)) AS median,
   last_value(y IGNORE NULLS) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ffill,
   first_value(y IGNORE NULLS) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM m),
- l AS (SELECT *, ffill + (nxt - ffill) * (i - 99) / 31.0 AS linear FROM f),
+ l AS (SELECT *, coalesce(ffill + (nxt - ffill) * (i - 99) / 31.0, ffill) AS linear FROM f),
  u AS (SELECT 'mean' AS method, truth - mean AS e FROM l WHERE hid UNION ALL SELECT 'median', truth - median FROM l WHERE hid
   UNION ALL SELECT 'ffill', truth - ffill FROM l WHERE hid UNION ALL SELECT 'linear', truth - linear FROM l WHERE hid)
 SELECT method, count(*) AS n, {r("avg(abs(e))")} AS mae, {r("sqrt(avg(e * e))")} AS rmse FROM u GROUP BY 1""",
