@@ -95,7 +95,7 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], models: Mapping[str, str]) -
 def probabilistic_report(scored: DataFrame, actual: str, quantiles: Mapping[float, str], by: Sequence[str] = ()) -> DataFrame:
     """Pinball loss per quantile, their mean, and coverage and width of the outer interval."""
     y = F.col(actual)
-    cols = {f"pinball_{q:.2f}": M.pinball_loss(y, F.col(c), q) for q, c in quantiles.items()}
+    cols = {f"pinball_{q:.2f}".replace(".", "_"): M.pinball_loss(y, F.col(c), q) for q, c in quantiles.items()}
     lo, hi = F.col(quantiles[min(quantiles)]), F.col(quantiles[max(quantiles)])
     mean = sum(M.pinball_loss(y, F.col(c), q) for q, c in quantiles.items()) / len(quantiles)
     return scored.groupBy(*by).agg(

@@ -459,3 +459,27 @@ def stl_decomposition(spark, folder):
     return tsstats.stl_decompose(P.brand_month_full(spark, folder), P.MONTHLY, 12)
 
 
+
+
+@query(
+    "interval_report",
+    f"""{_BASE}, j AS (SELECT fc.model, t.y, fc.yhat AS f FROM test t JOIN fc ON fc.k = t.k AND fc.d = t.d),
+ p AS (SELECT model, avg(greatest(0.1 * (y - f * 0.5), -0.9 * (y - f * 0.5))) AS a, avg(greatest(0.5 * (y - f), -0.5 * (y - f))) AS b,
+  avg(greatest(0.9 * (y - f * 1.5), -0.1 * (y - f * 1.5))) AS c, avg(CAST(y BETWEEN f * 0.5 AND f * 1.5 AS INTEGER)) AS cov, avg(f * 1.5 - f * 0.5) AS w FROM j GROUP BY model)
+SELECT model, {r("a")} AS pinball_0_10, {r("b")} AS pinball_0_50, {r("c")} AS pinball_0_90, {r("(a + b + c) / 3")} AS mean_pinball, {r("cov")} AS coverage, {r("w")} AS mean_width FROM p""",
+)
+def interval_report(spark, folder):
+    train, test = _train_test(spark, folder)
+    fc = FC.forecast_all(train, P.WEEKLY, HORIZON, SEASON, BASELINES)
+    scored = scoring.align(test, fc, P.WEEKLY).filter("model IS NOT NULL").withColumns({"lo": F.col("yhat") * 0.5, "hi": F.col("yhat") * 1.5})
+    return shown(scoring.probabilistic_report(scored, "y", {0.1: "lo", 0.5: "yhat", 0.9: "hi"}, ["model"]))
+
+
+@query(
+    "melted_columns",
+    f"""SELECT o_orderkey, 'price' AS model, {r("o_totalprice")} AS yhat FROM orders
+UNION ALL SELECT o_orderkey, 'customer', {r("o_custkey")} FROM orders""",
+)
+def melted_columns(spark, folder):
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    return shown(scoring.wide_to_long(orders, ["o_orderkey"], {"price": "o_totalprice", "customer": "o_custkey"}))
