@@ -110,3 +110,38 @@ def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)], out=sums[1:])
     raw = (sums[ends] - sums[starts]) * down[starts]
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
+
+
+def words_of(body: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes outside ``blank``, and the first word of each text (with one more entry at the end)."""
+    solid = np.concatenate([[False], ~blank, [False]])
+    inner = solid[1:-1]
+    begin, stop = inner & ~solid[:-2], inner & ~solid[2:]
+    cuts = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(body))]
+    begin[cuts] |= inner[cuts]
+    stop[cuts - 1] |= inner[cuts - 1]
+    begins = np.flatnonzero(begin)
+    return begins, np.flatnonzero(stop) + 1, np.searchsorted(begins, offsets)
+
+
+def connected(edges: DataFrame, label: str) -> DataFrame:
+    """(node, root): the smallest node that each node of ``edges`` (u, v) reaches, by alternating large and small stars.
+
+    Every round is two joins on nodes with pre-aggregated minima; hot nodes are split by the skew handling of the join.
+    Rounds grow with the logarithm of the longest chain. Each round is stored, so a lost executor costs one round at most.
+    """
+    small, large = F.least("u", "v"), F.greatest("u", "v")
+    now = stored(edges.where("u <> v").select(large.alias("u"), small.alias("v")).distinct(), f"{label}-edges")
+    state = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        spread = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = spread.groupBy("u").agg(F.min("v").alias("m"))
+        near = spread.join(least, "u")
+        now = stored(near.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{label}-stars")
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("s"), F.count_distinct("u").alias("d")).first()
+        if (seen["n"], seen["s"]) == state and seen["n"] == seen["d"]:
+            break
+        state = (seen["n"], seen["s"])
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
