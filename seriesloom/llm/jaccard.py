@@ -379,3 +379,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = full.join(least, "root").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, unchanged, that stand for their group: the smallest id of each component.
+
+    Rows that repeat an id and its text stay once; so do rows without an id that share a text. Rows with one id and
+    different texts all stay if the id is the smallest of their components.
+    """
+    found = stored(similar_documents(docs), "components")
+    dropped = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("drop_id")).distinct()
+    few = dropped.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("drop_id")), "left_anti")
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id"))
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, F.col("doc_id").cast("long").eqNullSafe(F.col("twice_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, F.col("doc_id").cast("long").eqNullSafe(F.col("twice_id")), "left_anti").unionByName(again)
