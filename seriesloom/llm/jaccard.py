@@ -10,7 +10,8 @@ compared exactly.
 Index entries are packed by hash range, so a common segment of many sets costs 12 bytes a set. Buckets of up to
 ``SMALL_BUCKET`` sets give their pairs; larger ones a star around their smallest member. Each set is first compared with
 the partner it meets most often. Components then leave only pairs between different components: first of the stored
-candidates, then all remaining pairs of large buckets. So copies cost one comparison each, and no link is lost.
+candidates, then all remaining pairs of large buckets. So copies cost one comparison each, and no link is
+lost. Before texts are read again, sizes and sketches (shingles counted by hash range) rule out pairs that cannot link.
 
 Hashes have 64 bits: sets are equal if two independent 64-bit sums agree, and shingles if their hashes do.
 Null or empty texts and texts without words have no shingles and link with nothing; fewer than five words are one
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import connected, id_and_text, mix, span_hashes, stored, text_chunks, words_of
 
 WORDS = 5
+#: Hash ranges of a sketch.
+BINS = 128
 SMALL_BUCKET = 16
 #: Index entries that a task keeps before it hands them on, and their layout.
 ENTRIES_AT_ONCE = 2_000_000
@@ -87,6 +90,22 @@ def set_keys(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[0], keys[1]
 
 
+def set_sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Number of shingles in each of ``BINS`` hash ranges, at most 255: a row of bytes for each set.
+
+    The ranges of two sets differ by no more than the sets do, so a larger difference rules a pair out.
+    """
+    n = len(bounds) - 1
+    place = np.repeat(np.arange(n, dtype=np.int64) * BINS, np.diff(bounds)) + (mix(shingles ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(57)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
+def _near(n_a, n_b, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sizes and sketches leave a similarity of 0.8 possible."""
+    apart = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    return (9 * apart <= n_a + n_b) & (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b))
+
+
 @dataclass(frozen=True)
 class Allocation:
     """How sets of one class are indexed: number of segments, of entries kept, and whether neighbours are indexed."""
@@ -164,15 +183,17 @@ def index_entries(shingles: np.ndarray, bounds: np.ndarray, keys: np.ndarray) ->
 
 
 def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, key, key2) of every row."""
+    """(doc_id, n_shingles, key, key2, sketch) of every row."""
 
     def run(batches):
         for ids, body, offsets in text_chunks(batches):
             shingles, bounds = shingle_sets(body, offsets, words)
             key, key2 = set_keys(shingles, bounds)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(key), pa.array(key2)], ["doc_id", "n_shingles", "key", "key2"])
+            ends = (np.arange(len(key) + 1) * BINS).astype(np.int32)
+            sketch = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(set_sketches(shingles, bounds).tobytes())])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(key), pa.array(key2), sketch], ["doc_id", "n_shingles", "key", "key2", "sketch"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long, sketch binary")
 
 
 def packed_index(docs: DataFrame, parts: int, text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -293,30 +314,54 @@ def pairs_of(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("met"))
 
 
-def crossing_pairs(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v) of large groups whose members lie in different components, in blocks of one member against the rest."""
+def crossing_pairs(groups: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
+    """(u, v) of large groups whose members lie in different components and whose sizes and sketches are near.
+
+    A task holds the sketches of one group and compares one member at a time with the rest.
+    """
     large = groups.where(F.size("members") > SMALL_BUCKET).select(F.xxhash64("members").alias("bucket"), "members").dropDuplicates(["bucket"])
     placed = large.select("bucket", F.explode("members").alias("node")).join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    lists = placed.join(mixed, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("root", "node")).alias("m")).select(F.transform("m", lambda x: x["node"]).alias("nodes"), F.transform("m", lambda x: x["root"]).alias("roots"))
+    full = placed.join(mixed, "bucket").join(reps.select(F.col("key").alias("node"), "n", "sketch"), "node")
+    lists = full.groupBy("bucket").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("m")).select(*[F.col(f"m.{c}").alias(c) for c in ("node", "root", "n", "sketch")])
 
     def run(batches):
         for batch in batches:
-            for nodes, tops in zip(batch.column(0), batch.column(1), strict=True):
-                node, top = nodes.values.to_numpy(), tops.values.to_numpy()
+            for members in zip(*(batch.column(k) for k in range(4)), strict=True):
+                node, top, n = (members[k].values.to_numpy() for k in range(3))
+                sketch = np.frombuffer(b"".join(members[3].values.to_pylist()), np.uint8).reshape(len(node), BINS)
+                us, vs = [], []
                 for i in range(len(node) - 1):
-                    other = node[i + 1 :][top[i + 1 :] != top[i]]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], ["u", "v"])
+                    at = i + 1 + np.flatnonzero(top[i + 1 :] != top[i])
+                    at = at[_near(n[i], n[at], sketch[i], sketch[at])]
+                    us.append(np.minimum(node[at], node[i]))
+                    vs.append(np.maximum(node[at], node[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*us, np.zeros(0, np.int64)])), pa.array(np.concatenate([*vs, np.zeros(0, np.int64)]))], ["u", "v"])
 
     return lists.mapInArrow(run, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text_col: str, id_col: str, words: int, label: str) -> DataFrame:
+def near_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (u, v) that sizes and sketches do not rule out."""
+
+    def side(name, end):
+        return reps.select(F.col("key").alias(name), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (4, 5))
+            yield batch.filter(pa.array(_near(batch.column(2).to_numpy(), batch.column(3).to_numpy(), a, b))).select(["u", "v"])
+
+    both = pairs.join(side("v", "b"), "v").join(side("u", "a"), "u").select("u", "v", "na", "nb", "sa", "sb")
+    return both.mapInArrow(run, "u long, v long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str, id_col: str, words: int, label: str) -> DataFrame:
     """The pairs (u, v) whose sets have a Jaccard similarity of 0.8 or more, from the whole texts."""
+    pairs = stored(near_pairs(pairs, reps), f"{label}-near")
     nodes = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
     # One row stands for all copies of a set.
-    chosen = stored(sets.where("n_shingles > 0").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("doc_id")).join(nodes, "key", "left_semi"), f"{label}-nodes")
+    chosen = stored(reps.select("key", "doc_id").join(nodes, "key", "left_semi"), f"{label}-nodes")
     few = chosen.count() <= BROADCAST_ROWS
     texts = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62))))
     texts = texts.join(F.broadcast(chosen.select("doc_id").distinct()) if few else chosen.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -353,11 +398,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     parts = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = stored(set_table(docs, id_col, text_col, words), "sets")
+    reps = sets.where("n_shingles > 0").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("doc_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    reps = stored(reps, "set-reps")
     index = packed_index(docs, parts, text_col, words).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
     groups = stored(buckets(index), "buckets")
     pairs = stored(pairs_of(groups), "pairs")
     best = pairs.groupBy("v").agg(F.min_by("u", F.struct(-F.col("met"), "u")).alias("u")).select("u", "v")
-    edges = stored(verified(best, docs, sets, text_col, id_col, words, "first"), "links")
+    edges = stored(verified(best, docs, reps, text_col, id_col, words, "first"), "links")
     roots = stored(connected(edges, "first"), "roots")
 
     def apart(candidates: DataFrame) -> DataFrame:
@@ -365,11 +412,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return candidates.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
     tried = best
-    for name, candidates in (("second", lambda: pairs.select("u", "v")), ("third", lambda: crossing_pairs(groups, roots))):
+    for name, candidates in (("second", lambda: pairs.select("u", "v")), ("third", lambda: crossing_pairs(groups, roots, reps))):
         rest = stored(apart(candidates()).join(tried, ["u", "v"], "left_anti"), f"{name}-pairs")
         if rest.isEmpty():
             continue
-        found = stored(verified(rest, docs, sets, text_col, id_col, words, name), f"{name}-links")
+        found = stored(verified(rest, docs, reps, text_col, id_col, words, name), f"{name}-links")
         tried = tried.unionByName(rest)
         if not found.isEmpty():
             edges = edges.unionByName(found)
