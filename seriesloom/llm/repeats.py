@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.common import CHUNK_BYTES, _tables, flat, mix, pieces, stored
+from seriesloom.llm.common import _tables, flat, mix, pieces, stored
 
 LENGTH = 400
 FIRST_DEPTH = 32
+#: Bytes of text that a task indexes at a time; some fifteen arrays of 8 bytes a position are alive then.
+TEXT_BYTES = 1 << 19
 #: Rows up to which a small side is broadcast; beyond, the planner shuffles both sides.
 BROADCAST_ROWS = 200_000
-ANCHORS_AT_ONCE = 500_000
+ANCHORS_AT_ONCE = 200_000
 SEEN_AT_ONCE = 200_000
 ANCHOR = np.dtype([("bucket", "<u8"), ("around", "<u8"), ("key", "<i8"), ("low", "<u4"), ("high", "<u4"), ("many", "u1")])
 WINDOW = np.dtype([("bucket", "<u8"), ("key", "<i8"), ("at", "<u4")])
@@ -165,7 +167,7 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
         for batch in batches:
             body, offsets = flat(batch.column(1))
             keys = batch.column(0).to_numpy()
-            for a, b in pieces(offsets, CHUNK_BYTES):
+            for a, b in pieces(offsets, TEXT_BYTES):
                 if len(seen) > SEEN_AT_ONCE:
                     seen = set()
                 new = [i for i in range(a, b) if keys[i] not in seen and not seen.add(keys[i])]
@@ -214,9 +216,11 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
 
     def by_key(batches):
         rows, _ = _unpacked(batches, ANCHOR)
-        rows = np.unique(rows[np.argsort(rows["key"], kind="stable")])
+        if not len(rows):
+            return
+        rows = np.unique(rows)
         rows = rows[np.lexsort((rows["low"], rows["key"]))]
-        head = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])) if len(rows) else np.zeros(0, np.int64)
+        head = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
         ends = (np.append(head, len(rows)) * ANCHOR.itemsize).astype(np.int32)
         packed = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
         yield pa.RecordBatch.from_arrays([pa.array(rows["key"][head]), packed], ["key", "rows"])
@@ -228,7 +232,7 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
     def leaves(batches):
         for batch in batches:
             body, offsets = flat(batch.column(1))
-            for a, b in pieces(offsets, CHUNK_BYTES):
+            for a, b in pieces(offsets, TEXT_BYTES):
                 _, _, full = bucket_ids(body[offsets[a] : offsets[b]], length)
                 out, whose = [], []
                 for i in range(a, b):
@@ -264,9 +268,11 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
 
     def covered(batches):
         rows, _ = _unpacked(batches, RUN)
+        if not len(rows):
+            return
         keys, out = [], []
         rows = rows[np.lexsort((rows["low"], rows["key"]))]
-        head = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])) if len(rows) else np.zeros(0, np.int64)
+        head = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
         for a, b in zip(head.tolist(), np.append(head[1:], len(rows)).tolist(), strict=True):
             start, end = rows["low"][a:b].astype(np.int64), np.maximum.accumulate(rows["high"][a:b].astype(np.int64) + length)
             cut = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
