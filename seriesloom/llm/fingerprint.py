@@ -28,8 +28,9 @@ SIGNS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], list[bytes]]:
     """(bits, signature, signature of twice the block size) of every text."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    body = np.frombuffer((b"\0" * CONTEXT).join(texts), np.uint8)
-    starts = np.concatenate([[0], np.cumsum(sizes + CONTEXT)[:-1]])
+    # Zeros before every text, the first one as well: a hash never sees another text.
+    body = np.frombuffer((b"\0" * CONTEXT).join([b"", *texts]), np.uint8)
+    starts = np.concatenate([[0], np.cumsum(sizes + CONTEXT)[:-1]]) + CONTEXT
     ends = starts + sizes
     rolling = np.zeros(len(body), np.uint64)
     for k in range(CONTEXT):
@@ -51,11 +52,9 @@ def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], list[byte
     out = []
     for extra in (0, 1):
         mask = (np.uint64(1) << np.minimum(bits + extra, 63).astype(np.uint64)) - np.uint64(1)
-        gaps = np.full(len(texts), CONTEXT)
-        gaps[-1:] = 0
-        marks = np.flatnonzero(mixed & np.repeat(mask, sizes + gaps) == 0) if len(body) else np.zeros(0, np.int64)
+        marks = np.flatnonzero(mixed & np.repeat(mask, sizes + CONTEXT) == 0)
         owner = np.searchsorted(starts, marks, "right") - 1
-        inside = marks < ends[owner] if len(marks) else np.zeros(0, bool)
+        inside = (owner >= 0) & (marks < ends[owner])
         marks, owner = marks[inside] + 1, owner[inside]
         # The rest of a text after its last boundary is a piece of its own.
         full = np.flatnonzero(sizes > 0)

@@ -34,11 +34,13 @@ LENGTH = 400
 FIRST_DEPTH = 32
 #: Bytes of text that a task indexes at a time; some fifteen arrays of 8 bytes a position are alive then.
 TEXT_BYTES = 1 << 19
+#: Windows of one anchor that go to one task: the places of a shared anchor are dealt out by their distance from it.
+DEALT_TOGETHER = 8
 #: Rows up to which a small side is broadcast; beyond, the planner shuffles both sides.
 BROADCAST_ROWS = 200_000
 ANCHORS_AT_ONCE = 200_000
 SEEN_AT_ONCE = 200_000
-ANCHOR = np.dtype([("bucket", "<u8"), ("around", "<u8"), ("key", "<i8"), ("low", "<u4"), ("high", "<u4"), ("many", "u1")])
+ANCHOR = np.dtype([("bucket", "<u8"), ("around", "<u8"), ("key", "<i8"), ("low", "<u4"), ("high", "<u4"), ("anchor", "<u4"), ("many", "u1")])
 WINDOW = np.dtype([("bucket", "<u8"), ("key", "<i8"), ("at", "<u4")])
 RUN = np.dtype([("key", "<i8"), ("low", "<u4"), ("high", "<u4")])
 _LATER = np.uint64(0x9E3779B97F4A7C15)
@@ -75,7 +77,7 @@ def refined(ids: np.ndarray, later: int) -> np.ndarray:
 
 
 def anchors(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(bucket, surroundings, text number, first and last window) of every anchor; windows are offsets in their text."""
+    """(bucket, surroundings, text number, first and last window, place) of every anchor, as offsets in its text."""
     half_ids, half, full_ids = bucket_ids(body, length)
     n = len(body)
     span = length - half + 1
@@ -97,7 +99,7 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     lo, hi = at[head], at[tail]
     around = mix(full_ids[lo] * _LATER + full_ids[hi] + (hi - lo).astype(np.uint64) * np.uint64(3))
     base = offsets[:-1][text[head]]
-    return half_ids[anchor[head]], around, text[head], lo - base, hi - base
+    return half_ids[anchor[head]], around, text[head], lo - base, hi - base, anchor[head] - base
 
 
 def _merged(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,9 +177,9 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
                     continue
                 sizes = offsets[np.array(new) + 1] - offsets[new]
                 own = body[offsets[a] : offsets[b]] if len(new) == b - a else np.concatenate([body[offsets[i] : offsets[i + 1]] for i in new])
-                bucket, around, text, low, high = anchors(own, np.concatenate([[0], np.cumsum(sizes)]), length)
+                bucket, around, text, low, high, place = anchors(own, np.concatenate([[0], np.cumsum(sizes)]), length)
                 rows = np.zeros(len(bucket), ANCHOR)
-                rows["bucket"], rows["around"], rows["key"], rows["low"], rows["high"] = bucket, around, keys[new][text], low, high
+                rows["bucket"], rows["around"], rows["key"], rows["low"], rows["high"], rows["anchor"] = bucket, around, keys[new][text], low, high, place
                 held.append(rows)
                 if sum(map(len, held)) >= ANCHORS_AT_ONCE:
                     yield from sent(held)
@@ -242,7 +244,8 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
                     windows = np.zeros(len(at), WINDOW)
                     windows["bucket"], windows["key"], windows["at"] = full[at + offsets[i] - offsets[a]], rows["key"][0], at
                     out.append(windows)
-                    whose.append(np.repeat(_part_of(rows["bucket"], parts), n))
+                    ahead = (np.repeat(rows["anchor"].astype(np.int64), n) - at) // DEALT_TOGETHER
+                    whose.append(_part_of(mix(np.repeat(rows["bucket"], n) + ahead.astype(np.uint64) * _LATER), parts))
                 yield _packed(np.concatenate(whose), np.concatenate(out), "windows")
 
     def refined_windows(batches):
