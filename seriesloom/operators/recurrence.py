@@ -60,7 +60,9 @@ def ewm_mean(df: DataFrame, spec: PanelSpec, value: Column, alpha: float, name:
     if adjust:
         gains = {"_num": F.coalesce("_v", F.lit(0.0)), "_den": F.when(known, 1.0).otherwise(0.0)}
         solved = solve_recurrence(base, keys, order, F.col("_row") * math.log(keep), gains)
-        return solved.withColumn(name, F.when(F.col("_seen") > 0, F.col("_num") / F.col("_den"))).drop("_v", "_row", "_seen", "_num", "_den")
+        # Null rows age both sums alike: they carry the last mean, also where the sums have decayed to zero.
+        mean = F.last(F.when(known, F.col("_num") / F.col("_den")), ignorenulls=True).over(so_far)
+        return solved.withColumn(name, mean).drop("_v", "_row", "_seen", "_num", "_den")
     # Rows since the previous value decide how much weight it has left.
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumn("_age", F.col("_row") - F.last(F.when(known, F.col("_row")), ignorenulls=True).over(before))
@@ -68,7 +70,7 @@ def ewm_mean(df: DataFrame, spec: PanelSpec, value: Column, alpha: float, name:
     first = F.col("_age").isNull()
     base = base.withColumns(
         {
-            "_ln": F.when(~known | first, 0.0).otherwise(F.ln(old / (old + alpha))),
+            "_ln": F.when(~known | first, 0.0).otherwise(F.col("_age") * math.log(keep) - F.ln(old + alpha)),
             "_gain": F.when(~known, 0.0).when(first, F.col("_v")).otherwise(F.col("_v") * alpha / (old + alpha)),
         }
     )

@@ -27,11 +27,12 @@ class BakeOff:
     ranking: DataFrame
 
 
-def run_bakeoff(panel: DataFrame, spec: PanelSpec, builder: FeatureBuilder, horizon: int, season_length: int, params: Mapping, additive_keys: int = 20) -> BakeOff:
+def run_bakeoff(panel: DataFrame, spec: PanelSpec, builder: FeatureBuilder, horizon: int, season_length: int, params: Mapping, additive_keys: int | None = None) -> BakeOff:
     """Recursive, direct, quantile, additive and seasonal-naive forecasts of the last periods.
 
-    The additive model runs for the keys with the largest volume only; its row
-    in the table says how many values it scored.
+    All models forecast the same keys, so their scores compare. ``additive_keys``
+    keeps the additive model to the keys with the largest volume; its row in the
+    table then says how many values it scored.
     """
     split = holdout_horizon_split(panel, spec, horizon, horizon)
     fit, valid, test = split.train, split.val, split.test
@@ -41,7 +42,7 @@ def run_bakeoff(panel: DataFrame, spec: PanelSpec, builder: FeatureBuilder, hori
     anchor = date_span(known, spec)[1]
     direct = DirectMultiHorizonForecaster(builder, range(1, horizon + 1), params).fit(fit, valid).predict(known, anchor)
     quant = QuantileForecaster(builder, (0.1, 0.5, 0.9), params).fit(fit, valid).predict(test, known)
-    big = select.keep_keys(known, select.top_keys(known, spec, additive_keys), spec)
+    big = known if additive_keys is None else select.keep_keys(known, select.top_keys(known, spec, additive_keys), spec)
     additive = AdditiveModel(spec).predict(big, future_dates(big, spec, horizon))
     # Forecasts are one row per key and step; written out, they are made once for all tables below.
     rec, direct, quant, additive = (reliable_checkpoint(t) for t in (rec, direct, quant, additive))

@@ -125,13 +125,18 @@ def target_features(df: DataFrame, alpha: float = 0.005, last: Column | None = N
     group = ["common_name", "warehouse"]
     y = F.col("sales")
     daily = grid.groupBy(*group, "date").agg(
-        F.sum("last_sales_ema005").alias("CN_sales_sum"), F.count(y).alias("_n"), F.sum(y).alias("_s"), F.sum(y * y).alias("_ss")
+        F.sum("last_sales_ema005").alias("CN_sales_sum"), F.count(y).alias("_n"), F.avg(y).alias("_m"), F.var_pop(y).alias("_v"),
+        F.min(y).alias("_lo"), F.max(y).alias("_hi"),
     )
     w = Window.partitionBy(*group)
-    n, total, squares = (F.sum(c).over(w) for c in ("_n", "_s", "_ss"))
-    daily = daily.withColumns({"_mu": F.try_divide(total, n), "_sd": F.sqrt(F.try_divide(squares - F.try_divide(total * total, n), n - 1))})
+    n = F.sum("_n").over(w)
+    daily = daily.withColumn("_mu", F.try_divide(F.sum(F.col("_n") * F.col("_m")).over(w), n))
+    # Squares around the family mean: stable, and exactly zero where all values are equal.
+    around = F.sum(F.col("_n") * (F.col("_v") + F.pow(F.col("_m") - F.col("_mu"), F.lit(2)))).over(w)
+    flat = F.min("_lo").over(w) == F.max("_hi").over(w)
+    daily = daily.withColumn("_sd", F.when(flat & (n > 1), 0.0).otherwise(F.sqrt(F.try_divide(around, n - 1))))
     own = grid.filter(y.isNotNull() | ~F.col("_was_imputed")).drop("_was_imputed")
-    out = join_on_keys(own, daily.drop("_n", "_s", "_ss"), [*group, "date"])
+    out = join_on_keys(own, daily.drop("_n", "_m", "_v", "_lo", "_hi"), [*group, "date"])
     z = F.try_divide(F.col("last_sales_ema005") - F.col("_mu"), F.col("_sd"))
     return out.withColumn("last_sales_zs", z).select("unique_id", "date", "last_sales_ema005", "CN_sales_sum", "last_sales_zs")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,8 +30,8 @@ def build_session(app: str = "seriesloom", master: str | None = None, **conf: st
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where that setting is unset and the
-    session itself is local (tests); on a cluster the missing setting is an error.
+    Where that setting is unset in a local session (tests), a folder beside the
+    tables of the warehouse is used; on a cluster the missing setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -42,6 +40,6 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -124,7 +124,8 @@ class Frequency:
         """Consecutive period number of ``date`` (bigint)."""
         d = F.col(date) if isinstance(date, str) else date
         if self.hourly:
-            return F.floor(F.unix_seconds(d.cast("timestamp")) / 3600).cast("bigint")
+            # Clock time as it stands: a session zone with clock changes must not move it.
+            return F.unix_date(d.cast("date")).cast("bigint") * 24 + F.hour(d)
         days = F.unix_date(d.cast("date")).cast("bigint")
         if self.base == "D":
             return days
@@ -141,7 +142,7 @@ class Frequency:
         """Date of a period number; inverse of :meth:`index`."""
         i = F.col(index) if isinstance(index, str) else index
         if self.hourly:
-            return F.timestamp_seconds(i * 3600).cast("timestamp_ntz")
+            return F.date_from_unix_date(F.floor(i / 24).cast("int")).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.pmod(i, F.lit(24)).cast("int"))
         if self.base == "D":
             return F.date_from_unix_date(i.cast("int"))
         if self.base == "W":
