@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.common import id_and_text, pieces, span_hashes, text_chunks
 
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 TEXT_BYTES = 1 << 20
 #: Pieces that one recursive query contracts.
 PIECES_AT_ONCE = 40_000
@@ -201,12 +201,17 @@ class Coder:
             self.n_ids = np.concatenate([self.n_ids, [len(x) for x in ids]])
             self.decoded += self.decode(ids)
             self.lengths = np.concatenate([self.lengths, [len(x) for x in self.decoded[begin:]]])
-            self.written += ["".join(f"{i} " for i in x.tolist()).encode() for x in ids]
             self.known = np.insert(self.known, at[new], distinct[new])
             self.slots = np.insert(self.slots, at[new], np.arange(begin, begin + len(new)))
             at = np.searchsorted(self.known, distinct)
         return self.slots[at][inverse]
 
+    def write_out(self) -> list[bytes]:
+        """Decimal ids of every remembered piece, each with a blank after it; made when first asked for."""
+        for k in range(len(self.written), len(self.n_ids)):
+            self.written.append("".join(f"{i} " for i in self.ids[self.first_id[k] : self.first_id[k] + self.n_ids[k]].tolist()).encode())
+        return self.written
+
     def ids_of(self, slots: np.ndarray) -> np.ndarray:
         """Token ids of the given pieces, one after the other."""
         n = self.n_ids[slots]
@@ -337,10 +342,10 @@ def encoded_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches):
         for ids, _, _, c, slots, bounds in coded_chunks(batches, path):
             place, total = slots.tolist(), np.concatenate([[0], np.cumsum(c.n_ids[slots])])[bounds]
-            coded, back = [], []
+            coded, back, written = [], [], c.write_out()
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = place[a:b]
-                coded.append(hashlib.sha256(b"".join(map(c.written.__getitem__, own))[:-1]).hexdigest())
+                coded.append(hashlib.sha256(b"".join(map(written.__getitem__, own))[:-1]).hexdigest())
                 back.append(hashlib.sha256(b"".join(map(c.decoded.__getitem__, own))).hexdigest())
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(total).astype(np.int64)), pa.array(coded), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -67,6 +67,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) ->
         body, offsets = flat(batch.column(1))
         for a, b in pieces(offsets, limit):
             yield batch.column(0).slice(a, b - a), body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+    # Workers live on: what this task no longer needs goes back to the machine.
+    pa.default_memory_pool().release_unused()
 
 
 _ODD = 0x9E3779B97F4A7C15
