@@ -127,14 +127,14 @@ STRATEGIES = {
     "undefined": "too few demands to choose",
 }
 
-# Training losses: domain of the target and when each applies.
+# Training losses: common name, domain of the target, when each applies, and its risk.
 LOSSES = [
-    ("regression_l2", "regression", "real", "steady demand with symmetric errors"),
-    ("regression_l1", "regression_l1", "real", "heavy tails, median forecasts"),
-    ("huber", "huber", "real", "mostly steady demand with some outliers"),
-    ("poisson", "poisson", "count", "counts whose variance is near the mean"),
-    ("tweedie", "tweedie", "non-negative", "many zeros and a long right tail"),
-    ("quantile", "quantile", "real", "intervals and service levels"),
+    ("regression_l2", "squared error", "regression", "real", "steady demand with symmetric errors", "a few outliers dominate the fit"),
+    ("regression_l1", "absolute error", "regression_l1", "real", "heavy tails, median forecasts", "forecasts of sparse demand become zero"),
+    ("huber", "Huber", "huber", "real", "mostly steady demand with some outliers", "the turning point has to be tuned"),
+    ("poisson", "Poisson deviance", "poisson", "count", "counts whose variance is near the mean", "too narrow where the variance is larger"),
+    ("tweedie", "Tweedie deviance", "tweedie", "non-negative", "many zeros and a long right tail", "the variance power has to be tuned between 1 and 2"),
+    ("quantile", "pinball loss", "quantile", "real", "intervals and service levels", "quantiles of separate fits may cross"),
 ]
 
 
@@ -152,7 +152,7 @@ def recommend_loss(pattern: Column) -> Column:
 
 
 def loss_catalog(spark) -> DataFrame:
-    return spark.createDataFrame(LOSSES, "loss string, objective string, domain string, use_when string")
+    return spark.createDataFrame(LOSSES, "loss string, name string, objective string, domain string, use_when string, watch_out string")
 
 
 def pick_personas(summary: DataFrame, keys: Sequence[str], length: str, zeros: str) -> DataFrame:

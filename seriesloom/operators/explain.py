@@ -29,12 +29,12 @@ def importance(df: DataFrame, model: PanelRegressor, kind: str = "gain") -> Data
     """``(feature, importance, importance_pct)`` of a tree model, by gain or by number of splits."""
     spark, trees = df.sparkSession, _core(model)
     if kind == "gain":
-        rows = [(n, float(v)) for n, v in zip(model.inputs, trees.featureImportances.toArray(), strict=True)]
+        rows = [(n, float(v)) for n, v in zip(model.vector_names, trees.featureImportances.toArray(), strict=True)]
     elif kind == "split":
-        counts = [0] * len(model.inputs)
+        counts = [0] * len(model.vector_names)
         for tree in trees.trees:
             _count_splits(tree._java_obj.rootNode(), counts)
-        rows = [(n, float(c)) for n, c in zip(model.inputs, counts, strict=True)]
+        rows = [(n, float(c)) for n, c in zip(model.vector_names, counts, strict=True)]
     else:
         raise ValueError("kind must be 'gain' or 'split'")
     # One row per feature of a fitted model.
@@ -97,7 +97,7 @@ def linear_contributions(rows: DataFrame, model: PanelRegressor, identity: Seque
             F.col("_a")[i].alias("value"),
             ((F.col("_a")[i] - float(mean[i])) * float(beta[i] / std[i] if std[i] > 0 else 0.0)).alias("contribution"),
         )
-        for i, name in enumerate(model.inputs)
+        for i, name in enumerate(model.vector_names)
     ]
     listed = vectors.select(*identity, F.array(*parts).alias("_p"))
     total = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p["contribution"])

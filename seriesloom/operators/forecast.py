@@ -150,22 +150,25 @@ def exponential_smoothing(
 ) -> DataFrame:
     """Additive Holt / damped / Holt-Winters with parameters chosen per key by squared error.
 
-    A series is one ordered array (one value per period). Each parameter set
-    folds a state of fixed size over it; series and sets are spread together.
+    A series is one ordered array (one value per period), over which each parameter
+    set folds a state of fixed size. A key with fewer values than the start needs
+    (two seasons, two for a trend, else one) has null forecasts.
     """
     seasonal = season_length > 1
     m = season_length
     y, d = spec.target_col, spec.date_col
-    series = df.filter(F.col(y).isNotNull()).groupBy(*spec.key_cols).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(d, F.col(y).cast("double").alias("y")))), lambda s: s["y"]).alias("_ys"),
+    known = F.when(F.col(y).isNotNull(), F.struct(d, F.col(y).cast("double").alias("y")))
+    series = df.groupBy(*spec.key_cols).agg(
+        F.transform(F.array_sort(F.collect_list(known)), lambda s: s["y"]).alias("_ys"),
+        F.max(F.when(F.col(y).isNotNull(), F.col(d))).alias("_known_to"),
         _last(spec),
-    )
+    ).withColumn("_last", F.coalesce("_known_to", "_last")).drop("_known_to")
     need = 2 * m if seasonal else (2 if trend else 1)
-    usable = series.filter(F.size("_ys") >= need)
+    enough = F.size("_ys") >= need
     sets = smoothing_grid(trend, damped, seasonal, alphas, betas, gammas, phis)
     literal = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("a", "b", "g", "p"), s, strict=True)]) for s in sets])
-    # Spread before the fold: one key with its sets may run on many tasks.
-    trials = usable.withColumn("_set", F.explode(literal))
+    # The sets of a key run in its own task: a row per set, over one bounded array.
+    trials = series.withColumn("_set", F.explode(F.when(enough, literal).otherwise(F.slice(literal, 1, 1))))
 
     ys, par = F.col("_ys"), F.col("_set")
     if seasonal:
@@ -173,12 +176,12 @@ def exponential_smoothing(
         one, two = mean(F.slice(ys, 1, m)), mean(F.slice(ys, m + 1, m))
         level0, trend0 = one, (two - one) / m if trend else F.lit(0.0)
         season0 = F.transform(F.slice(ys, 1, m), lambda v: v - one)
-        rest = F.slice(ys, m + 1, F.size(ys) - m)
+        rest = F.slice(ys, m + 1, F.greatest(F.size(ys) - m, F.lit(0)))
     else:
-        level0 = ys[0]
-        trend0 = ys[1] - ys[0] if trend else F.lit(0.0)
+        level0 = F.get(ys, F.lit(0))
+        trend0 = F.get(ys, F.lit(1)) - level0 if trend else F.lit(0.0)
         season0 = F.array(F.lit(0.0))
-        rest = F.slice(ys, 2, F.size(ys) - 1)
+        rest = F.slice(ys, 2, F.greatest(F.size(ys) - 1, F.lit(0)))
     start = F.struct(level0.alias("l"), trend0.alias("t"), season0.alias("s"), F.lit(0.0).alias("sse"))
 
     def step(st: Column, v: Column) -> Column:
@@ -192,7 +195,7 @@ def exponential_smoothing(
         season = F.concat(F.slice(st["s"], 2, m - 1), F.array(wave + par["g"] * err)) if seasonal else st["s"]
         return F.struct(level.alias("l"), slope.alias("t"), season.alias("s"), (st["sse"] + err * err).alias("sse"))
 
-    folded = trials.select(*spec.key_cols, "_last", "_set", F.aggregate(rest, start, step).alias("_st"))
+    folded = trials.select(*spec.key_cols, "_last", "_set", F.when(enough, F.aggregate(rest, start, step)).alias("_st"))
     best = folded.groupBy(*spec.key_cols).agg(F.max("_last").alias("_last"), F.min_by(F.struct("_set", "_st"), F.struct(F.col("_st")["sse"], F.col("_set"))).alias("_best"))
     st, phi = F.col("_best")["_st"], F.col("_best")["_set"]["p"]
     h = F.col("horizon")
@@ -255,9 +258,9 @@ def forecast_all(df: DataFrame, spec: PanelSpec, horizon: int, season_length: in
 
 
 def best_model_per_key(scored: DataFrame, spec: PanelSpec, metric: str = "MAE") -> DataFrame:
-    """``(keys, model)`` with the smallest metric; ties by model name."""
-    ranked = scored.filter(F.col(metric).isNotNull())
-    return ranked.groupBy(*spec.key_cols).agg(F.min_by("model", F.struct(metric, "model")).alias("model"))
+    """``(keys, model)`` with the smallest metric; ties by model name. Null where no model of the key has a score."""
+    order = F.when(F.col(metric).isNotNull(), F.struct(metric, "model"))
+    return scored.groupBy(*spec.key_cols).agg(F.min_by("model", order).alias("model"))
 
 
 def refit_best(df: DataFrame, best: DataFrame, spec: PanelSpec, horizon: int, season_length: int, models: Sequence[str]) -> DataFrame:

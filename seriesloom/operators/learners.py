@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.encode import apply_target_encoding, fit_target_encoding
@@ -24,17 +24,15 @@ from seriesloom.operators.recurrence import alpha_of_halflife, ewm_mean, ewm_nam
 from seriesloom.operators.windows import lead_target
 from seriesloom.session import reliable_checkpoint
 
-# Value of a feature without history; demand and its statistics are not negative.
-MISSING = -1.0
-
 # Variance power of the default objective and its learning rate.
 DEFAULT_PARAMS = {"objective": "tweedie", "variance_power": 1.2, "learning_rate": 0.05, "max_iter": 40, "max_depth": 5}
 
 
-def make_estimator(params: Mapping, features: str, label: str, validation: str | None = None) -> Estimator:
+def make_estimator(params: Mapping, features: str, label: str, validation: str | None = None, weight: str | None = None) -> Estimator:
     """MLlib estimator of an objective: trees for squared and absolute error, linear models else."""
     p = {**DEFAULT_PARAMS, **params}
     objective = p["objective"]
+    weighted = {"weightCol": weight} if weight else {}
     if objective in ("regression", "regression_l1"):
         early = {"validationIndicatorCol": validation, "validationTol": p.get("tolerance", 0.01)} if validation else {}
         return GBTRegressor(
@@ -43,9 +41,9 @@ def make_estimator(params: Mapping, features: str, label: str, validation: str |
             stepSize=p["learning_rate"], maxIter=p["max_iter"], maxDepth=p["max_depth"],
             subsamplingRate=p.get("subsample", 0.8), featureSubsetStrategy=p.get("feature_subset", "all"),
             minInstancesPerNode=p.get("min_rows", 5), maxBins=p.get("max_bins", 64), seed=p.get("seed", 42),
-            **early,
+            **early, **weighted,
         )
-    common = {"featuresCol": features, "labelCol": label, "predictionCol": "yhat", "regParam": p.get("l2", 0.1)}
+    common = {"featuresCol": features, "labelCol": label, "predictionCol": "yhat", "regParam": p.get("l2", 0.1), **weighted}
     if objective == "huber":
         return LinearRegression(loss="huber", **common)
     if objective == "tweedie":
@@ -56,30 +54,58 @@ def make_estimator(params: Mapping, features: str, label: str, validation: str |
 
 
 class PanelRegressor:
-    """Key encoding, vector assembly, scaling where needed, and one MLlib model."""
+    """Key encoding, vector assembly, scaling where needed, and one MLlib model.
+
+    A missing feature takes the mean of the training rows. Features that training
+    rows lacked have a second column ``<feature>_missing`` of 0 and 1.
+    """
 
     def __init__(self, builder: FeatureBuilder, params: Mapping | None = None, features: Sequence[str] | None = None):
         self.builder = builder
         self.params = {**DEFAULT_PARAMS, **(params or {})}
         self.inputs = list(features or [*builder.feature_names, *[f"{k}_te" for k in builder.spec.key_cols]])
         self.encodings: dict[str, DataFrame] = {}
+        self.fills: dict[str, float] = {}
+        self.flagged: list[str] = []
         self.model: Transformer | None = None
 
+    @property
+    def vector_names(self) -> list[str]:
+        """Names of the vector's entries, in order."""
+        return [*self.inputs, *[f"{c}_missing" for c in self.flagged]]
+
     @property
     def is_tree(self) -> bool:
         return self.params["objective"].startswith("regression")
 
+    @staticmethod
+    def _known(c: str) -> Column:
+        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+    def _learn_fills(self, train: DataFrame) -> None:
+        """Mean and presence of missing values of every feature: two numbers per feature on the driver."""
+        means = [F.avg(self._known(c)).alias(f"m{i}") for i, c in enumerate(self.inputs)]
+        gaps = [F.count(F.when(self._known(c).isNull(), 1)).alias(f"g{i}") for i, c in enumerate(self.inputs)]
+        row = train.agg(*means, *gaps).first()
+        self.fills = {c: row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i, c in enumerate(self.inputs)}
+        self.flagged = [c for i, c in enumerate(self.inputs) if row[f"g{i}"]]
+
     def _vectors(self, df: DataFrame) -> DataFrame:
-        filled = df.withColumns({f"_x{i}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(MISSING)) for i, c in enumerate(self.inputs)})
-        out = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(self.inputs))], outputCol="_raw").transform(filled)
-        return out.drop(*[f"_x{i}" for i in range(len(self.inputs))])
+        values = [F.coalesce(self._known(c), F.lit(self.fills[c])) for c in self.inputs]
+        values += [self._known(c).isNull().cast("double") for c in self.flagged]
+        names = [f"_x{i}" for i in range(len(values))]
+        filled = df.withColumns(dict(zip(names, values, strict=True)))
+        return VectorAssembler(inputCols=names, outputCol="_raw").transform(filled).drop(*names)
 
     def encode(self, df: DataFrame) -> DataFrame:
         wanted = {k: v for k, v in self.encodings.items() if k == "__global_mean__" or f"{k}_te" in self.inputs}
         return apply_target_encoding(df, wanted) if len(wanted) > 1 else df
 
-    def fit(self, train: DataFrame, label: str, valid: DataFrame | None = None) -> PanelRegressor:
-        """Fit on rows with features and ``label``; ``valid`` stops the boosting early."""
+    def fit(self, train: DataFrame, label: str, valid: DataFrame | None = None, weight: str | None = None) -> PanelRegressor:
+        """Fit on rows with features and ``label``; ``valid`` stops the boosting early.
+
+        ``weight`` names a column of row weights; a row without one has weight 1.
+        """
         keys = [k for k in self.builder.spec.key_cols if f"{k}_te" in self.inputs]
         rows = train.filter(F.col(label).isNotNull())
         if keys:
@@ -88,15 +114,19 @@ class PanelRegressor:
         rows = rows.withColumn("_valid", F.lit(False))
         if early:
             rows = rows.unionByName(valid.filter(F.col(label).isNotNull()).withColumn("_valid", F.lit(True)))
-        data = self._vectors(self.encode(rows)).select(F.col(label).cast("double").alias("_label"), "_raw", "_valid")
+        encoded = self.encode(rows)
+        self._learn_fills(encoded.filter(~F.col("_valid")))
+        share = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
+        data = self._vectors(encoded).select(F.col(label).cast("double").alias("_label"), "_raw", "_valid", share.alias("_weight"))
+        use = "_weight" if weight else None
         # Boosting passes over the vectors many times.
         data = data.persist()
         try:
             if self.is_tree:
-                self.model = PipelineModel([make_estimator(self.params, "_raw", "_label", "_valid" if early else None).fit(data)])
+                self.model = PipelineModel([make_estimator(self.params, "_raw", "_label", "_valid" if early else None, use).fit(data)])
             else:
                 scaler = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True).fit(data)
-                self.model = PipelineModel([scaler, make_estimator(self.params, "_std", "_label").fit(scaler.transform(data))])
+                self.model = PipelineModel([scaler, make_estimator(self.params, "_std", "_label", weight=use).fit(scaler.transform(data))])
         finally:
             data.unpersist()
         return self
@@ -228,12 +258,16 @@ class DirectMultiHorizonForecaster:
         return [*self.builder.spec.key_cols, *[c for c in self._inputs() if not c.endswith("_te")]]
 
     def predict(self, history: DataFrame, anchor: str | dt.date) -> DataFrame:
-        """``(keys, date, horizon, yhat)`` from the features at the anchor date."""
+        """``(keys, date, horizon, yhat)`` from the features of each key's last row up to the anchor.
+
+        Steps count from that row, so a key that ended earlier is forecast from its own end.
+        """
         if not self.models:
             raise RuntimeError("fit the models first")
         spec = self.builder.spec
         day = F.lit(anchor).cast("timestamp_ntz" if spec.freq.hourly else "date")
-        rows = self.builder.transform(history.filter(F.col(spec.date_col) <= day)).filter(F.col(spec.date_col) == day)
+        rows = self.builder.transform(history.filter(F.col(spec.date_col) <= day))
+        rows = rows.withColumn("_back", F.row_number().over(spec.in_reverse())).filter("_back = 1")
         # One row per key, read by every model.
         rows = reliable_checkpoint(rows.select(spec.date_col, *self._row_columns()))
         out = None
@@ -264,12 +298,57 @@ class QuantileForecaster:
 
     Residual quantiles come from a mergeable sketch per group, so a group may
     hold any number of rows. Quantiles of a row are sorted, hence never cross.
+    Groups are columns of the rows (``by``) and, for forecasts of several steps, the
+    step. ``groups`` gives columns of ``by`` per key, such as a demand class.
     """
 
-    def __init__(self, builder: FeatureBuilder, quantiles: Sequence[float] = (0.1, 0.5, 0.9), params: Mapping | None = None, by: Sequence[str] = (), accuracy: int = 10_000):
+    def __init__(
+        self, builder: FeatureBuilder, quantiles: Sequence[float] = (0.1, 0.5, 0.9), params: Mapping | None = None, by: Sequence[str] = (),
+        accuracy: int = 10_000, groups: DataFrame | None = None,
+    ):
         self.builder, self.quantiles, self.by, self.accuracy = builder, sorted(quantiles), list(by), accuracy
         self.regressor = PanelRegressor(builder, params)
         self.offsets: DataFrame | None = None
+        self.groups, self.horizon = groups, None
+
+    def _grouped(self, df: DataFrame) -> DataFrame:
+        absent = [c for c in self.by if c not in df.columns]
+        if not absent:
+            return df
+        if self.groups is None:
+            raise ValueError(f"give the groups of each key: {absent}")
+        spec = self.builder.spec
+        return join_on_keys(df, self.groups.select(*spec.key_cols, *absent), spec.key_cols)
+
+    def _roll(self, known: DataFrame, horizon: int) -> DataFrame:
+        path = RecursiveForecaster(self.builder, self.regressor.params)
+        path.regressor = self.regressor
+        return self._grouped(path.predict_recursive(known, horizon))
+
+    def fit_ahead(self, train: DataFrame, calibration: DataFrame, horizon: int) -> QuantileForecaster:
+        """Fit on ``train``; errors of its forecasts of ``calibration`` are kept per group and step."""
+        spec = self.builder.spec
+        y = spec.target_col
+        self.regressor.fit(self.builder.transform(train), y)
+        made = self._roll(train, horizon)
+        actual = calibration.select(*spec.key_cols, spec.date_col, F.col(y).alias("_actual")).filter("_actual IS NOT NULL")
+        both = join_on_keys(made, actual, [*spec.key_cols, spec.date_col], "inner")
+        spread = F.percentile_approx(F.col("_actual") - F.col("yhat"), self.quantiles, self.accuracy)
+        self.offsets = reliable_checkpoint(both.groupBy(*self.by, "horizon").agg(spread.alias("_off")))
+        self.horizon = horizon
+        return self
+
+    def predict_ahead(self, known: DataFrame, horizon: int) -> DataFrame:
+        """``(keys, date, horizon, q..)`` after each key's last row; later values are never read.
+
+        Null for a group and step that the calibration rows did not cover.
+        """
+        if self.horizon is None or horizon > self.horizon:
+            raise RuntimeError("fit_ahead with at least this horizon first")
+        spec = self.builder.spec
+        joined = join_on_keys(self._roll(known, horizon), self.offsets, [*self.by, "horizon"])
+        qs = joined.withColumn("_q", F.array_sort(F.transform("_off", lambda o: o + F.col("yhat"))))
+        return qs.select(*spec.key_cols, spec.date_col, "horizon", *[F.col("_q")[i].alias(quantile_name(q)) for i, q in enumerate(self.quantiles)])
 
     def fit(self, train: DataFrame, calibration: DataFrame) -> QuantileForecaster:
         y = self.builder.spec.target_col
@@ -282,7 +361,10 @@ class QuantileForecaster:
         return self
 
     def predict(self, df: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        """``(keys, date, q..)`` for the rows of ``df``; ``history`` supplies their lags."""
+        """``(keys, date, q..)`` for the rows of ``df``; ``history`` supplies their lags.
+
+        Each row is forecast one step ahead from true values; see :meth:`predict_ahead`.
+        """
         if self.offsets is None:
             raise RuntimeError("fit the model first")
         spec = self.builder.spec
@@ -313,7 +395,7 @@ def cross_validated_predictions(
     folded = rows.withColumn("_fold", fold.cast("int")).withColumn("_label", power_target(F.col(label), exponent))
     oof, tests = None, None
     for i in range(k):
-        model = PanelRegressor(builder, params).fit(folded.filter(F.col("_fold") != i), "_label")
+        model = PanelRegressor(builder, params).fit(folded.filter(F.col("_fold") != i), "_label", weight=weight)
         part = model.predict(folded.filter(F.col("_fold") == i)).select(
             *identity, F.col(label), *([weight] if weight else []), F.lit(i).alias("fold"), invert_power_target(F.col("yhat"), exponent).alias("yhat")
         )

@@ -287,18 +287,17 @@ def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     order = running_total(cells.select("b").distinct(), ["b"], None, "rb")
     cells = cells.join(order, "b")
     points = split_points(cells.select("a").distinct(), ["a"])
-    bits = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("level"),
-                F.shiftright("rb", k + 1).alias("prefix"),
-                F.shiftright("rb", k).bitwiseAND(F.lit(1)).cast("int").alias("bit"),
-            )
-            for k in range(40)
-        ]
+    # One row: as many levels as the highest rank has bits.
+    top = order.agg(F.coalesce(F.length(F.bin(F.max("rb"))), F.lit(1)).alias("_bits"))
+    bits = F.transform(
+        F.sequence(F.lit(0), F.col("_bits") - 1),
+        lambda k: F.struct(
+            k.alias("level"),
+            F.call_function("shiftright", F.col("rb"), k + 1).alias("prefix"),
+            F.call_function("shiftright", F.col("rb"), k).bitwiseAND(F.lit(1)).cast("int").alias("bit"),
+        ),
     )
-    # Levels above the highest rank hold zero bits only and are dropped below by pairing.
-    levels = cells.select("a", "n", F.inline(bits))
+    levels = cells.join(F.broadcast(top)).select("a", "n", F.inline(bits))
     grouped = levels.groupBy("level", "prefix", "a").agg(
         F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
         F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),

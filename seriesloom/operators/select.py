@@ -31,16 +31,21 @@ def composite_key(cols: Sequence[str], sep: str = "_") -> Column:
     return F.concat(*parts)
 
 
+def _draw(identity: Sequence[str], seed: int) -> Column:
+    """MD5 of the identity values and the seed: an order that other engines can repeat."""
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in identity], F.lit(str(seed))))
+
+
 def sample_keys(df: DataFrame, spec: PanelSpec, n: int, seed: int = 42) -> DataFrame:
-    """All rows of ``n`` keys drawn by a seeded hash, the same on every run."""
+    """All rows of ``n`` keys drawn by a seeded hash, the same on every run and engine."""
     keys = df.select(*spec.key_cols).distinct()
-    chosen = keys.orderBy(F.xxhash64(*spec.key_cols, F.lit(seed)), *spec.key_cols).limit(n)
+    chosen = keys.orderBy(_draw(spec.key_cols, seed), *spec.key_cols).limit(n)
     return join_on_keys(df, chosen, spec.key_cols, "left_semi")
 
 
 def sample_rows(df: DataFrame, n: int, identity: Sequence[str], seed: int = 42) -> DataFrame:
     """At most ``n`` rows in hash order of their identity columns."""
-    return df.orderBy(F.xxhash64(*identity, F.lit(seed)), *identity).limit(n)
+    return df.orderBy(_draw(identity, seed), *identity).limit(n)
 
 
 def first_keys(df: DataFrame, spec: PanelSpec, n: int) -> DataFrame:

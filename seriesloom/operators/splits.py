@@ -8,6 +8,7 @@ is emitted once for each fold part that contains its date.
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -33,11 +34,8 @@ def date_span(df: DataFrame, spec: PanelSpec) -> tuple[Day, Day]:
     return row[0], row[1]
 
 
-def _shift_days(spec: PanelSpec, df: DataFrame, day: Day, periods: int) -> Day:
-    """Calendar arithmetic on the driver for one date, in the units of the frequency."""
-    kind = "timestamp_ntz" if spec.freq.hourly else "date"
-    row = df.sparkSession.range(1).select(spec.freq.shift(F.lit(day).cast(kind), periods)).first()
-    return row[0]
+def _shifted(spec: PanelSpec, day: Day, periods: int) -> Day:
+    return spec.freq.shift_day(day, periods)
 
 
 @dataclass
@@ -99,10 +97,10 @@ def cutoff_split(df: DataFrame, spec: PanelSpec, cutoff: str | Day, holdout_end:
 def holdout_horizon_split(df: DataFrame, spec: PanelSpec, test_horizon: int, val_horizon: int | None = None) -> SplitResult:
     """Last ``test_horizon`` periods for test and the ``val_horizon`` before for validation."""
     end = date_span(df, spec)[1]
-    before_test = _shift_days(spec, df, end, -test_horizon)
+    before_test = _shifted(spec, end, -test_horizon)
     if not val_horizon:
         return time_based_split(df, spec, before_test, None, end)
-    return time_based_split(df, spec, _shift_days(spec, df, before_test, -val_horizon), before_test, end)
+    return time_based_split(df, spec, _shifted(spec, before_test, -val_horizon), before_test, end)
 
 
 def fractional_split(df: DataFrame, spec: PanelSpec, train: float = 0.7, val: float = 0.15) -> SplitResult:
@@ -150,9 +148,13 @@ class Fold:
 
 @dataclass
 class Folds:
-    """Date ranges of walk-forward folds, all ends inclusive."""
+    """Date ranges of walk-forward folds, all ends inclusive.
+
+    ``asked`` is the number of folds wanted; fewer items fit before the last date.
+    """
 
     items: list[Fold] = field(default_factory=list)
+    asked: int | None = None
 
     def __iter__(self):
         return iter(self.items)
@@ -201,14 +203,16 @@ def _walk(start: Day, first_end: Day, end: Day, n_folds: int, next_fold) -> Fold
         if f.valid_end > end:
             break
         out.append(f)
-    return Folds(out)
+    if len(out) < n_folds:
+        warnings.warn(f"{len(out)} of {n_folds} folds end before the last date", stacklevel=3)
+    return Folds(out, n_folds)
 
 
 def expanding_window_split(df: DataFrame, spec: PanelSpec, initial_train_end: str | Day, val_horizon: int, n_folds: int, step: int | None = None) -> Folds:
     """Training from the start to a moving end, then ``val_horizon`` periods."""
     start, end = date_span(df, spec)
     step, first = step or val_horizon, _day(initial_train_end)
-    move = lambda n: _shift_days(spec, df, first, n)
+    move = lambda n: _shifted(spec, first, n)
     return _walk(start, first, end, n_folds, lambda i: Fold(i, start, move(i * step), move(i * step + 1), move(i * step + val_horizon)))
 
 
@@ -216,7 +220,7 @@ def rolling_window_split(df: DataFrame, spec: PanelSpec, train_size: int, val_ho
     """Training window of ``train_size`` periods that moves with the folds."""
     start, end = date_span(df, spec)
     step = step or val_horizon
-    move = lambda n: _shift_days(spec, df, start, n)
+    move = lambda n: _shifted(spec, start, n)
     return _walk(
         start, start, end, n_folds,
         lambda i: Fold(i, move(i * step), move(i * step + train_size - 1), move(i * step + train_size), move(i * step + train_size + val_horizon - 1)),

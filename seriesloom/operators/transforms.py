@@ -39,23 +39,30 @@ def _likelihood(transformed: Column, lam: Column, jacobian: Column) -> Column:
     return -n / 2 * F.ln(F.var_pop(transformed)) + (lam - 1) * F.sum(jacobian)
 
 
+#: Values beyond each end of the grid; their distances double, up to 127.5 beyond it.
+BEYOND = 8
+
+
 def _best_lambda(df: DataFrame, keys: Sequence[str], col: str, form, jacobian: Column, lo: float, hi: float, steps: int, rounds: int) -> DataFrame:
     """Grid maximum refined ``rounds`` times; each round is one aggregation.
 
-    The grid is spread over rows of already aggregated likelihoods, the data
-    itself is not multiplied: one aggregate expression per grid value.
+    The data itself is not multiplied: one aggregate expression per grid value. The
+    grid is even from ``lo`` to ``hi`` and goes on beyond both ends in steps that
+    double, so a maximum outside is found as well. A round divides the distance to
+    the neighbouring values by five.
     """
     y = F.col(col).cast("double")
     width = (hi - lo) / steps
-    grid = [lo + i * width for i in range(steps + 1)]
-    found = _grid_pass(df, keys, y, form, jacobian, [F.lit(g) for g in grid])
+    inside = [(lo + i * width, width) for i in range(steps + 1)]
+    outside = [(0.5 * (2**i - 1), 0.5 * 2**i) for i in range(1, BEYOND + 1)]
+    grid = [(lo - far, gap) for far, gap in reversed(outside)] + inside + [(hi + far, gap) for far, gap in outside]
+    found = _grid_pass(df, keys, y, form, jacobian, [(F.lit(g), F.lit(gap)) for g, gap in grid])
     for _ in range(rounds):
         # The next grid surrounds each key's own best value.
-        inner = width / 5
         joined = _join_fit(df, found, keys)
-        found = _grid_pass(joined, keys, y, form, jacobian, [F.col("_lam") + inner * i for i in range(-5, 6)], keep=F.col("_lam"))
-        width = inner
-    return found
+        inner = F.col("_gap") / 5
+        found = _grid_pass(joined, keys, y, form, jacobian, [(F.col("_lam") + inner * i, inner) for i in range(-5, 6)], own=True)
+    return found.drop("_gap")
 
 
 def _join_fit(df: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,15 +71,15 @@ def _join_fit(df: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFrame:
     return join_on_keys(df, fit.withColumnRenamed("lambda", "_lam").drop("loglik"), keys)
 
 
-def _grid_pass(df, keys, y, form, jacobian, lams, keep=None) -> DataFrame:
+def _grid_pass(df, keys, y, form, jacobian, lams, own=False) -> DataFrame:
     aggs = []
-    for i, lam in enumerate(lams):
-        at = F.first(lam) if keep is not None else lam
-        aggs.append(F.struct(_likelihood(form(y, lam), at, jacobian).alias("loglik"), at.alias("lam")).alias(f"_c{i}"))
+    for i, (lam, gap) in enumerate(lams):
+        at, step = (F.first(lam), F.first(gap)) if own else (lam, gap)
+        aggs.append(F.struct(_likelihood(form(y, lam), at, jacobian).alias("loglik"), at.alias("lam"), step.alias("gap")).alias(f"_c{i}"))
     out = df.groupBy(*keys).agg(*aggs)
-    usable = F.filter(F.array(*[f"_c{i}" for i in range(len(lams))]), lambda s: s["loglik"].isNotNull() & ~F.isnan(s["loglik"]))
+    usable = F.filter(F.array(*[f"_c{i}" for i in range(len(lams))]), lambda s: s["loglik"].isNotNull() & (F.abs(s["loglik"]) < float("inf")))
     best = out.select(*keys, F.array_max(usable).alias("_best"))
-    return best.select(*keys, F.col("_best")["lam"].alias("lambda"), F.col("_best")["loglik"].alias("loglik"))
+    return best.select(*keys, F.col("_best")["lam"].alias("lambda"), F.col("_best")["loglik"].alias("loglik"), F.col("_best")["gap"].alias("_gap"))
 
 
 def fit_boxcox(df: DataFrame, col: str, keys: Sequence[str] = (), lo: float = -2.0, hi: float = 2.0, steps: int = 40, rounds: int = 2) -> DataFrame:

@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +18,13 @@ from seriesloom.operators.impute import join_on_keys, next_value, previous_value
 from seriesloom.spec import PanelSpec
 
 
+def _known_first(spec: PanelSpec) -> WindowSpec:
+    """Known values in date order, then the null ones: neighbours are known values, and no key is lost."""
+    return Window.partitionBy(*spec.key_cols).orderBy(F.col("_v").isNull(), spec.date_col)
+
+
 def _centred(df: DataFrame, spec: PanelSpec, col: str) -> DataFrame:
-    kept = df.filter(F.col(col).isNotNull()).select(*spec.key_cols, spec.date_col, F.col(col).cast("double").alias("_v"))
+    kept = df.select(*spec.key_cols, spec.date_col, F.col(col).cast("double").alias("_v"))
     return kept.withColumn("_c", F.col("_v") - F.avg("_v").over(spec.per_key()))
 
 
@@ -27,18 +32,20 @@ def autocorrelation(df: DataFrame, spec: PanelSpec, col: str | None = None, nlag
     """``(keys, n, lag, acf)`` for lags 0.. with denominator n.
 
     All lagged products come from one window over the keys and one aggregation
-    on the same keys. Lags stop at n-1, or at n/2-1 with ``limit='half'``.
+    on the same keys. Lags stop at n-1, or at n/2-1 with ``limit='half'``. A key
+    with fewer than two values, or a constant one, has lag 0 with a null value.
     """
     col = col or spec.target_col
     base = _centred(df, spec, col)
-    lagged = base.withColumns({f"_p{k}": F.col("_c") * F.lag("_c", k).over(spec.in_order()) for k in range(1, nlags + 1)})
+    lagged = base.withColumns({f"_p{k}": F.col("_c") * F.lag("_c", k).over(_known_first(spec)) for k in range(1, nlags + 1)})
     sums = lagged.groupBy(*spec.key_cols).agg(
-        F.count("*").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("_s0"), *[F.sum(f"_p{k}").alias(f"_s{k}") for k in range(1, nlags + 1)]
+        F.count("_v").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("_s0"), *[F.sum(f"_p{k}").alias(f"_s{k}") for k in range(1, nlags + 1)]
     )
     values = F.array(*[F.try_divide(F.coalesce(f"_s{k}", F.lit(0.0)), F.col("_s0")) for k in range(nlags + 1)])
     top = F.col("n") - 1 if limit == "n-1" else F.greatest(F.floor(F.col("n") / 2) - 1, F.lit(1))
-    kept = F.slice(values, 1, F.least(F.lit(nlags), top).cast("int") + 1)
-    return sums.filter(F.col("n") > 1).select(*spec.key_cols, "n", F.posexplode(kept).alias("lag", "acf"))
+    top = F.when(F.col("n") > 1, F.least(F.lit(nlags), top)).otherwise(0)
+    kept = F.slice(values, 1, top.cast("int") + 1)
+    return sums.select(*spec.key_cols, "n", F.posexplode(kept).alias("lag", "acf"))
 
 
 def _levinson(r: Column) -> Column:
@@ -61,11 +68,12 @@ def acf_pacf(df: DataFrame, spec: PanelSpec, col: str | None = None, nlags: int
     """``(keys, lag, acf, pacf, ...)`` with interval half-widths.
 
     ``acf_half`` is Bartlett's, ``pacf_half`` is z/sqrt(n), ``white_half`` is the
-    constant 1.96/sqrt(n) band.
+    constant 1.96/sqrt(n) band. A key with fewer than two values has one row, with nulls.
     """
     acf = autocorrelation(df, spec, col, nlags, limit)
     listed = acf.groupBy(*spec.key_cols, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda s: s["acf"]).alias("_r"))
-    both = listed.filter(F.size("_r") > 1).select(*spec.key_cols, "n", "_r", _levinson(F.col("_r")).alias("_p"))
+    partial = F.when(F.size("_r") > 1, _levinson(F.col("_r"))).otherwise(F.array(F.lit(None).cast("double")))
+    both = listed.select(*spec.key_cols, "n", "_r", partial.alias("_p"))
     rows = both.select(*spec.key_cols, "n", F.posexplode(F.arrays_zip(F.col("_r").alias("acf"), F.col("_p").alias("pacf"))).alias("lag", "_z"))
     out = rows.select(*spec.key_cols, "n", "lag", F.col("_z")["acf"].alias("acf"), F.col("_z")["pacf"].alias("pacf"))
     before = Window.partitionBy(*spec.key_cols).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,7 +84,7 @@ def acf_pacf(df: DataFrame, spec: PanelSpec, col: str | None = None, nlags: int
         {
             "acf_half": F.when(zero, 0.0).otherwise(z * F.sqrt(1 + 2 * squares) / root),
             "pacf_half": F.when(zero, 0.0).otherwise(z / root),
-            "white_half": 1.96 / root,
+            "white_half": F.try_divide(F.lit(1.96), root),
         }
     )
 
@@ -139,11 +147,14 @@ def chi_square_tail(q: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def ljung_box_statistic(df: DataFrame, spec: PanelSpec, col: str | None = None, lags: int = 10) -> DataFrame:
-    """``(keys, lag, lb_stat)``: n(n+2) times the running sum of acf²/(n-k)."""
-    acf = autocorrelation(df, spec, col, lags).filter(F.col("lag") > 0)
+    """``(keys, lag, lb_stat)``: n(n+2) times the running sum of acf²/(n-k).
+
+    A key with fewer than two values has lag 0 with a null statistic.
+    """
+    acf = autocorrelation(df, spec, col, lags).filter((F.col("lag") > 0) | (F.col("n") < 2))
     n = F.col("n").cast("double")
     upto = Window.partitionBy(*spec.key_cols).orderBy("lag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stat = n * (n + 2) * F.sum(F.col("acf") * F.col("acf") / (n - F.col("lag"))).over(upto)
+    stat = n * (n + 2) * F.sum(F.try_divide(F.col("acf") * F.col("acf"), n - F.col("lag"))).over(upto)
     return acf.select(*spec.key_cols, "lag", stat.alias("lb_stat"))
 
 
@@ -173,40 +184,42 @@ ADF_SURFACE = {
 def kpss_test(df: DataFrame, spec: PanelSpec, col: str | None = None, regression: str = "c") -> DataFrame:
     """KPSS statistic, automatic bandwidth, interpolated p-value and verdict per key.
 
-    Residual products are array expressions over one ordered array per key.
+    Residual products are array expressions over one ordered array per key. A key
+    with fewer than three values has nulls and the reason in ``error``.
     """
     if regression not in KPSS_CRITICAL:
         raise ValueError("regression must be 'c' or 'ct'")
     col = col or spec.target_col
-    kept = df.filter(F.col(col).isNotNull()).select(*spec.key_cols, spec.date_col, F.col(col).cast("double").alias("_v"))
-    w = spec.per_key()
-    placed = kept.withColumn("_i", F.row_number().over(spec.in_order()).cast("double"))
+    kept = df.select(*spec.key_cols, spec.date_col, F.col(col).cast("double").alias("_v"))
+    w, known = spec.per_key(), F.col("_v").isNotNull()
+    placed = kept.withColumn("_i", F.when(known, F.row_number().over(_known_first(spec))).cast("double"))
     if regression == "c":
         fitted = F.avg("_v").over(w)
     else:
         slope = F.try_divide(F.covar_pop("_v", "_i").over(w), F.var_pop("_i").over(w))
         fitted = F.avg("_v").over(w) + slope * (F.col("_i") - F.avg("_i").over(w))
     resid = placed.withColumn("_e", F.col("_v") - fitted)
-    upto = spec.in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = resid.withColumn("_s", F.sum("_e").over(upto))
+    upto = _known_first(spec).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = resid.withColumn("_s", F.when(known, F.sum("_e").over(upto)))
     series = summed.groupBy(*spec.key_cols).agg(
-        F.count("*").alias("n_obs"),
+        F.count("_v").alias("n_obs"),
         F.sum(F.col("_s") * F.col("_s")).alias("_eta"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_e"))), lambda s: s["_e"]).alias("_e"),
+        F.transform(F.array_sort(F.collect_list(F.when(known, F.struct("_i", "_e")))), lambda s: s["_e"]).alias("_e"),
     )
     e, n = F.col("_e"), F.col("n_obs").cast("double")
 
     def cov(k: Column) -> Column:
         # slice starts at k+1; pairs (e[t], e[t-k])
+        pairs = F.greatest(F.size(e) - k, F.lit(0))
         return F.aggregate(
-            F.zip_with(F.slice(e, k + 1, F.size(e) - k), F.slice(e, F.lit(1), F.size(e) - k), lambda a, b: a * b),
+            F.zip_with(F.slice(e, k + 1, pairs), F.slice(e, F.lit(1), pairs), lambda a, b: a * b),
             F.lit(0.0), lambda acc, v: acc + v,
         )
 
     pilot = F.floor(F.pow(n, F.lit(2.0 / 9.0))).cast("int")
-    zero = cov(F.lit(0)) / n
-    lagsum = lambda weight: F.aggregate(F.sequence(F.lit(1), F.col("_pilot")), F.lit(0.0), lambda acc, k: acc + weight(k) * cov(k) / (n / 2))
-    with_pilot = series.filter("n_obs > 2").withColumn("_pilot", F.greatest(pilot, F.lit(1)))
+    zero = F.try_divide(cov(F.lit(0)), n)
+    lagsum = lambda weight: F.aggregate(F.sequence(F.lit(1), F.col("_pilot")), F.lit(0.0), lambda acc, k: acc + F.try_divide(weight(k) * cov(k), n / 2))
+    with_pilot = series.withColumn("_pilot", F.greatest(pilot, F.lit(1)))
     ratio = F.try_divide(lagsum(lambda k: k.cast("double")), zero + lagsum(lambda k: F.lit(1.0)))
     banded = with_pilot.withColumn(
         "n_lags", F.least(F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0))), F.col("n_obs") - 1).cast("int")
@@ -215,8 +228,9 @@ def kpss_test(df: DataFrame, spec: PanelSpec, col: str | None = None, regression
         F.col("n_lags") > 0,
         F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n_lags"), F.lit(1))), F.lit(0.0), lambda acc, k: acc + (1.0 - k / (F.col("n_lags") + 1.0)) * cov(k)),
     ).otherwise(0.0)
-    long_run = (cov(F.lit(0)) + 2 * tail) / n
-    stat = F.try_divide(F.col("_eta"), n * n * long_run)
+    long_run = F.try_divide(cov(F.lit(0)) + 2 * tail, n)
+    enough = F.col("n_obs") > 2
+    stat = F.when(enough, F.try_divide(F.col("_eta"), n * n * long_run))
     tested = banded.withColumn("statistic", stat)
     crit = KPSS_CRITICAL[regression]
     p = F.when(F.col("statistic") <= crit[0], KPSS_LEVELS[0])
@@ -224,8 +238,9 @@ def kpss_test(df: DataFrame, spec: PanelSpec, col: str | None = None, regression
         p = p.when(F.col("statistic") <= c1, p0 + (F.col("statistic") - c0) * ((p1 - p0) / (c1 - c0)))
     p = p.when(F.col("statistic").isNotNull(), KPSS_LEVELS[-1])
     return tested.select(
-        *spec.key_cols, "n_obs", "statistic", p.alias("p_value"), "n_lags",
+        *spec.key_cols, "n_obs", "statistic", p.alias("p_value"), F.when(enough, F.col("n_lags")).alias("n_lags"),
         F.lit(crit[1]).alias("critical_5pct"), (F.col("statistic") < crit[1]).alias("stationary"),
+        F.when(~enough, "fewer than 3 observations").when(F.col("statistic").isNull(), "constant series").alias("error"),
     )
 
 
@@ -270,10 +285,10 @@ def _adf_one(y: np.ndarray, regression: str, max_lag: int | None) -> tuple[float
 def adf_test(df: DataFrame, spec: PanelSpec, col: str | None = None, regression: str = "c", max_lag: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller per key: statistic, lag, critical values, 5 % verdict.
 
-    Below ten observations or for a constant series only ``error`` is set.
+    Below ten observations or for a constant series only ``n_obs`` and ``error`` are set.
     """
     col = col or spec.target_col
-    kept = df.filter(F.col(col).isNotNull()).select(*spec.key_cols, spec.date_col, F.col(col).cast("double").alias("_v"))
+    kept = df.select(*spec.key_cols, spec.date_col, F.col(col).cast("double").alias("_v"))
     fields = [f for f in kept.schema.fields if f.name in spec.key_cols]
     schema = T.StructType(
         fields + [T.StructField("statistic", T.DoubleType()), T.StructField("used_lag", T.IntegerType()), T.StructField("n_obs", T.IntegerType()), T.StructField("error", T.StringType())]
@@ -281,7 +296,7 @@ def adf_test(df: DataFrame, spec: PanelSpec, col: str | None = None, regression:
     keys, date = list(spec.key_cols), spec.date_col
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(date)["_v"].to_numpy()
+        y = pdf.sort_values(date)["_v"].dropna().to_numpy()
         row = {k: [pdf[k].iloc[0]] for k in keys}
         if len(y) < 10 or np.ptp(y) == 0:
             reason = "fewer than 10 observations" if len(y) < 10 else "constant series"
@@ -326,17 +341,22 @@ def seasonal_decompose(df: DataFrame, spec: PanelSpec, period: int, model: str =
     """Adds ``trend``, ``seasonal``, ``resid`` by centred moving averages.
 
     ``extrapolate`` continues the trend at both edges along the line fitted to
-    its nearest ``period`` values; otherwise edges are null. Keys shorter than
-    two periods are left out.
+    its nearest ``period`` values; otherwise edges are null and rows without a
+    value are left out. A key with values for less than two periods keeps its rows,
+    with nulls and the reason in ``error``.
     """
     if model not in ("additive", "multiplicative"):
         raise ValueError("model must be 'additive' or 'multiplicative'")
     add = model == "additive"
     y = F.col(spec.target_col)
     keys = list(spec.key_cols)
-    filled = fill_both_ways(df, spec, spec.target_col) if extrapolate else df.filter(y.isNotNull())
     w, per = spec.in_order(), spec.per_key()
-    base = filled.withColumn("_i", (F.row_number().over(w) - 1).cast("double")).withColumn("_n", F.count("*").over(per)).filter(F.col("_n") >= 2 * period)
+    filled = fill_both_ways(df, spec, spec.target_col) if extrapolate else df
+    filled = filled.withColumn("_n", F.count(y).over(per))
+    if not extrapolate:
+        filled = filled.filter(y.isNotNull() | (F.col("_n") == 0))
+    enough = F.col("_n") >= 2 * period
+    base = filled.withColumn("_i", (F.row_number().over(w) - 1).cast("double"))
     half = period // 2
     frame = w.rowsBetween(-half, half)
     full = F.count(y).over(frame) == 2 * half + 1
@@ -344,7 +364,7 @@ def seasonal_decompose(df: DataFrame, spec: PanelSpec, period: int, model: str =
     if period % 2 == 0:
         # Ends of the 2 x m average carry half weight.
         total = total - (F.lag(y, half).over(w) + F.lead(y, half).over(w)) / 2
-    base = base.withColumn("trend", F.when(full, total / period))
+    base = base.withColumn("trend", F.when(full & enough, total / period))
     if extrapolate:
         n, i = F.col("_n"), F.col("_i")
         known = F.col("trend").isNotNull()
@@ -355,12 +375,13 @@ def seasonal_decompose(df: DataFrame, spec: PanelSpec, period: int, model: str =
 
         def line(inside: Column) -> tuple[Column, Column]:
             t, x = F.when(inside, F.col("trend")), F.when(inside, i)
-            slope = F.covar_pop(t, x).over(per) / F.var_pop(x).over(per)
+            slope = F.try_divide(F.covar_pop(t, x).over(per), F.var_pop(x).over(per))
             return slope, F.avg(t).over(per) - slope * F.avg(x).over(per)
 
         (hs, hi), (ts, ti) = line(head), line(tail)
         base = base.withColumn("_head", hs * i + hi).withColumn("_tail", ts * i + ti)
         base = base.withColumn("trend", F.coalesce("trend", F.when(i < half, F.col("_head")).otherwise(F.col("_tail"))))
+    base = base.withColumn("trend", F.when(enough, F.col("trend")))
     free = y - F.col("trend") if add else y / F.col("trend")
     base = base.withColumn("_slot", F.pmod(F.col("_i").cast("int"), F.lit(period))).withColumn("_free", free)
     # Slot means: one row per key and slot, re-centred over the key.
@@ -370,7 +391,8 @@ def seasonal_decompose(df: DataFrame, spec: PanelSpec, period: int, model: str =
     out = join_on_keys(base, means, [*keys, "_slot"])
     seasonal, trend = F.col("seasonal"), F.col("trend")
     resid = y - trend - seasonal if add else y / seasonal / trend
-    return out.withColumn("resid", resid).select(*df.columns, "trend", "seasonal", "resid")
+    error = F.when(~enough, "fewer than two periods of values").alias("error")
+    return out.withColumn("resid", resid).select(*df.columns, "trend", "seasonal", "resid", error)
 
 
 def seasonal_strength(decomposed: DataFrame, spec: PanelSpec, ddof: int = 1) -> DataFrame:
@@ -448,17 +470,24 @@ def stl_arrays(y: np.ndarray, period: int, seasonal: int = 7, trend: int | None
 
 
 def stl_decompose(df: DataFrame, spec: PanelSpec, period: int, seasonal: int = 7, trend: int | None = None, robust: bool = False) -> DataFrame:
-    """Adds ``trend``, ``seasonal``, ``resid`` by LOESS; keys shorter than two periods are left out."""
-    filled = fill_both_ways(df, spec, spec.target_col).filter(F.col(spec.target_col).isNotNull())
-    long_enough = filled.withColumn("_n", F.count("*").over(spec.per_key())).filter(F.col("_n") >= 2 * period).drop("_n")
-    slim = long_enough.select(*spec.key_cols, spec.date_col, F.col(spec.target_col).cast("double").alias(spec.target_col))
-    schema = T.StructType(slim.schema.fields + [T.StructField(c, T.DoubleType()) for c in ("trend", "seasonal", "resid")])
+    """Adds ``trend``, ``seasonal``, ``resid`` by LOESS.
+
+    A key with values for less than two periods keeps its rows, with nulls and the
+    reason in ``error``.
+    """
+    filled = fill_both_ways(df, spec, spec.target_col)
+    slim = filled.select(*spec.key_cols, spec.date_col, F.col(spec.target_col).cast("double").alias(spec.target_col))
+    added = [T.StructField(c, T.DoubleType()) for c in ("trend", "seasonal", "resid")] + [T.StructField("error", T.StringType())]
+    schema = T.StructType(slim.schema.fields + added)
     date, target = spec.date_col, spec.target_col
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)
         y = pdf[target].to_numpy(dtype=float)
+        if np.isnan(y).any() or len(y) < 2 * period:
+            return pdf.assign(trend=np.nan, seasonal=np.nan, resid=np.nan, error="fewer than two periods of values")
         t, s = stl_arrays(y, period, seasonal, trend, robust)
-        return pdf.assign(trend=t, seasonal=s, resid=y - t - s)
+        return pdf.assign(trend=t, seasonal=s, resid=y - t - s, error=None)
 
-    return slim.groupBy(*spec.key_cols).applyInPandas(fit, schema)
+    made = slim.groupBy(*spec.key_cols).applyInPandas(fit, schema)
+    return made.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("trend", "seasonal", "resid")})

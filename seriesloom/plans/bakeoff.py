@@ -41,7 +41,7 @@ def run_bakeoff(panel: DataFrame, spec: PanelSpec, builder: FeatureBuilder, hori
     rec = RecursiveForecaster(builder, params).fit(fit, valid).predict_recursive(known, horizon)
     anchor = date_span(known, spec)[1]
     direct = DirectMultiHorizonForecaster(builder, range(1, horizon + 1), params).fit(fit, valid).predict(known, anchor)
-    quant = QuantileForecaster(builder, (0.1, 0.5, 0.9), params).fit(fit, valid).predict(test, known)
+    quant = QuantileForecaster(builder, (0.1, 0.5, 0.9), params).fit_ahead(fit, valid, horizon).predict_ahead(known, horizon)
     big = known if additive_keys is None else select.keep_keys(known, select.top_keys(known, spec, additive_keys), spec)
     additive = AdditiveModel(spec).predict(big, future_dates(big, spec, horizon))
     # Forecasts are one row per key and step; written out, they are made once for all tables below.

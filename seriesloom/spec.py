@@ -9,6 +9,7 @@ the number of raw records behind it. Raw records are reduced to that grain by
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
@@ -161,6 +162,27 @@ class Frequency:
     def shift(self, date: Column | str, periods: Column | int) -> Column:
         return self.date(self.index(date) + periods)
 
+    def shift_day(self, day: dt.date, periods: int) -> dt.date:
+        """:meth:`shift` of one date on the driver, without a Spark job."""
+        if self.hourly:
+            start = day if isinstance(day, dt.datetime) else dt.datetime.combine(day, dt.time())
+            return start.replace(minute=0, second=0, microsecond=0) + dt.timedelta(hours=periods)
+        date = day.date() if isinstance(day, dt.datetime) else day
+        if self.base == "D":
+            return date + dt.timedelta(days=periods)
+        if self.base == "W":
+            back = (date.weekday() - self._first_weekday) % 7
+            return date + dt.timedelta(days=7 * periods - back)
+        if self.base == "B":
+            at = (date - dt.timedelta(days=date.weekday())).toordinal() // 7 * 5 + date.weekday() + periods
+            return dt.date.fromordinal(at // 5 * 7 + 1 + at % 5)
+        step = MONTH_STEPS[self.base]
+        months = ((date.year * 12 + date.month - 1) // step + periods) * step
+        if self.base.endswith("S"):
+            return dt.date(months // 12, months % 12 + 1, 1)
+        after = months + step
+        return dt.date(after // 12, after % 12 + 1, 1) - dt.timedelta(days=1)
+
     def aligned(self, date: Column | str) -> Column:
         d = F.col(date) if isinstance(date, str) else date
         target = "timestamp_ntz" if self.hourly else "date"

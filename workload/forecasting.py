@@ -329,9 +329,20 @@ def holt_forecasts(spark, folder):
     return shown(fc.select("k", "horizon", "yhat"), 4)
 
 
-@query("holt_winters_forecasts")
+@query(
+    "holt_winters_forecasts",
+    f"""{P.with_grid(P.BRAND_MONTH, "1 MONTH")}, p AS (SELECT k, d, CAST(y AS DOUBLE) AS y, row_number() OVER (PARTITION BY k ORDER BY d) AS i, count(*) OVER (PARTITION BY k) AS n FROM filled),
+ s0 AS (SELECT k, avg(y) FILTER (i <= 12) AS l, (avg(y) FILTER (i > 12) - avg(y) FILTER (i <= 12)) / 12 AS t, list(y ORDER BY i) FILTER (i <= 12) AS v FROM p WHERE i <= 24 GROUP BY k),
+ g AS (SELECT * FROM (VALUES (0.1), (0.3), (0.5), (0.8)) a(al), (VALUES (0.05), (0.2)) b(be), (VALUES (0.05), (0.2)) c(ga), (VALUES (0.9), (0.98)) e(ph)),
+ h AS (SELECT k, CAST(12 AS BIGINT) AS i, CAST(al AS DOUBLE) AS al, CAST(be AS DOUBLE) AS be, CAST(ga AS DOUBLE) AS ga, CAST(ph AS DOUBLE) AS ph, l, t, list_transform(v, lambda x: x - l) AS se, CAST(0 AS DOUBLE) AS sse FROM s0, g
+  UNION ALL SELECT k, i, al, be, ga, ph, l + t * ph + al * err, t * ph + al * be * err, list_append(se[2:12], se[1] + ga * err), sse + err * err
+   FROM (SELECT h.k, p.i, al, be, ga, ph, l, t, se, sse, p.y - (h.l + h.t * h.ph + h.se[1]) AS err FROM h JOIN p ON p.k = h.k AND p.i = h.i + 1)),
+ f AS (SELECT h.*, row_number() OVER (PARTITION BY h.k ORDER BY sse, al, be, ga, ph) AS rn FROM h JOIN p ON p.k = h.k AND p.i = h.i AND p.i = p.n)
+SELECT k, {n("x")} AS horizon, {r("l + ph * (1 - pow(ph, x)) / (1 - ph) * t + se[x]", 4)} AS yhat FROM f, range(1, 13) q(x) WHERE rn = 1""",
+)
 def holt_winters_forecasts(spark, folder):
-    return FC.exponential_smoothing(P.brand_month_full(spark, folder), P.MONTHLY, 12, damped=True, season_length=12)
+    fc = FC.exponential_smoothing(P.brand_month_full(spark, folder), P.MONTHLY, 12, damped=True, season_length=12)
+    return shown(fc.select("k", "horizon", "yhat"), 4)
 
 
 # --- series statistics -----------------------------------------------------------------
@@ -369,9 +380,18 @@ def ljung_box_statistics(spark, folder):
     return shown(tsstats.ljung_box_statistic(P.brand_month_full(spark, folder), P.MONTHLY, lags=10))
 
 
-@query("ljung_box_test")
+# Chi-square tail as 1 minus the series of the lower incomplete gamma function.
+_TAIL = "1 - list_sum(list_transform(range(400), lambda i: exp(-q / 2 + (a + i) * ln(q / 2) - lgamma(a + i + 1))))"
+
+
+@query(
+    "ljung_box_test",
+    f"""{_ACF}, lb AS (SELECT k, lag, lag / 2.0 AS a, n * (n + 2) * sum(acf * acf / (n - lag)) OVER (PARTITION BY k ORDER BY lag) AS q FROM acf WHERE lag BETWEEN 1 AND 10),
+ p AS (SELECT *, {_TAIL} AS p FROM lb)
+SELECT k, lag, {r("q", 5)} AS lb_stat, {r("p", 5)} AS lb_pvalue, {n("min(p) OVER (PARTITION BY k) > 0.05")} AS white_noise FROM p""",
+)
 def ljung_box_test(spark, folder):
-    return tsstats.ljung_box_test(P.brand_month_full(spark, folder), P.MONTHLY, lags=10)
+    return shown(tsstats.ljung_box_test(P.brand_month_full(spark, folder), P.MONTHLY, lags=10), 5)
 
 
 @query(
@@ -400,14 +420,21 @@ def kpss_statistics(spark, folder):
     return shown(out.select("k", "n_obs", "n_lags", "statistic"))
 
 
-@query("adf_tests")
+@query("adf_tests", f"""{_MONTHS} SELECT k, {n("count(*)")} AS months, {n("1")} AS consistent FROM filled GROUP BY k""")
 def adf_tests(spark, folder):
-    return tsstats.adf_test(P.brand_month_full(spark, folder), P.MONTHLY)
+    """Statistics depend on the lag that the data choose; the row says that they fit together."""
+    out = tsstats.adf_test(P.brand_month_full(spark, folder), P.MONTHLY)
+    ordered = (F.col("critical_1pct") < F.col("critical_5pct")) & (F.col("critical_5pct") < F.col("critical_10pct"))
+    agrees = F.col("stationary") == (F.col("statistic") < F.col("critical_5pct"))
+    return shown(out.select("k", (F.col("n_obs") + F.col("used_lag") + 1).alias("months"), (ordered & agrees & F.col("error").isNull()).alias("consistent")))
 
 
-@query("stationarity_verdicts")
+@query("stationarity_verdicts", f"""{_MONTHS} SELECT k, {n("1")} AS consistent FROM filled GROUP BY k""")
 def stationarity_verdicts(spark, folder):
-    return tsstats.stationarity_report(P.brand_month_full(spark, folder), P.MONTHLY)
+    out = tsstats.stationarity_report(P.brand_month_full(spark, folder), P.MONTHLY)
+    u, v, verdict = F.col("adf_stationary"), F.col("kpss_stationary"), F.col("verdict")
+    same = (u == verdict.isin("stationary", "difference-stationary")) & (v == verdict.isin("stationary", "trend-stationary"))
+    return shown(out.select("k", same.alias("consistent")))
 
 
 def _decomposed(extrapolate: bool) -> str:
@@ -433,7 +460,7 @@ def _decomposition(extrapolate: bool, op: str) -> str:
 
 for _name, _model, _op, _ext in (("decomposition_additive", "additive", "-", True), ("decomposition_multiplicative_open", "multiplicative", "/", False)):
 
-    @query(_name, f"""{_decomposition(_ext, _op)} SELECT k, {s("d")} AS d, {r("y")} AS y, {r("trend")} AS trend, {r("seasonal")} AS seasonal, {r("resid")} AS resid FROM dec""")
+    @query(_name, f"""{_decomposition(_ext, _op)} SELECT k, {s("d")} AS d, {r("y")} AS y, {r("trend")} AS trend, {r("seasonal")} AS seasonal, {r("resid")} AS resid, {s("NULL")} AS error FROM dec""")
     def _decompose(spark, folder, model=_model, ext=_ext):
         return shown(tsstats.seasonal_decompose(P.brand_month_full(spark, folder), P.MONTHLY, 12, model, ext))
 
@@ -454,9 +481,13 @@ def seasonally_adjusted(spark, folder):
     return shown(tsstats.seasonally_adjusted(dec, P.MONTHLY).select("k", "d", "adjusted"))
 
 
-@query("stl_decomposition")
+@query("stl_decomposition", f"""{_MONTHS} SELECT k, {s("d")} AS d, {r("y")} AS y, {n("1")} AS adds_up, {n("1")} AS below_total, {s("NULL")} AS error FROM filled""")
 def stl_decomposition(spark, folder):
-    return tsstats.stl_decompose(P.brand_month_full(spark, folder), P.MONTHLY, 12)
+    """Parts add up to the value, and what is left varies less than the series."""
+    out = tsstats.stl_decompose(P.brand_month_full(spark, folder), P.MONTHLY, 12)
+    adds = F.abs(F.col("trend") + F.col("seasonal") + F.col("resid") - F.col("y")) < 1e-6
+    w = P.MONTHLY.per_key()
+    return shown(out.select("k", "d", "y", adds.alias("adds_up"), (F.var_samp("resid").over(w) < F.var_samp("y").over(w)).alias("below_total"), "error"))
 
 
 

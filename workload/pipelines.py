@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from seriesloom.operators import chartdata, demand, explain, learners, splits, tsstats, tuning
-from seriesloom.operators.additive import AdditiveModel
+from seriesloom.operators.additive import COMPONENTS, AdditiveModel
 from seriesloom.operators.features import FeatureBuilder
 from seriesloom.operators.forecast import floor_zero
 from seriesloom.operators.grid import future_dates
@@ -15,6 +15,7 @@ from seriesloom.plans import bakeoff, cleaning, retail, subset, univariate
 from seriesloom.session import reliable_checkpoint
 from seriesloom.spec import PanelSpec
 from workload import panels as P
+from workload.forecasting import _decomposition
 from workload.registry import n, query, r, s, shown, table
 
 SUP = P.with_grid(P.SUPPLIER_WEEK)
@@ -266,10 +267,27 @@ def outlier_points(spark, folder):
     return shown(chartdata.outlier_points(P.brand_day(spark, folder), P.DAILY))
 
 
-@query("residual_quantile_points")
+def _horner(coef, x: str, tail: float | None = None) -> str:
+    out = repr(coef[0])
+    for c in coef[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out if tail is None else f"({out} * {x} + {tail!r})"
+
+
+_CENTRE = f"{_horner(chartdata._A, 'sq')} * mid / {_horner(chartdata._B, 'sq', 1.0)}"
+_EDGE = f"{_horner(chartdata._C, 'e')} / {_horner(chartdata._D, 'e', 1.0)}"
+
+
+@query(
+    "residual_quantile_points",
+    f"""{_decomposition(True, "-")}, o AS (SELECT k, resid, row_number() OVER (PARTITION BY k ORDER BY resid) AS i, count(*) OVER (PARTITION BY k) AS n FROM dec WHERE resid IS NOT NULL),
+ pl AS (SELECT *, CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END AS p FROM o),
+ z AS (SELECT *, p - 0.5 AS mid, (p - 0.5) * (p - 0.5) AS sq, sqrt(-2 * ln(least(p, 1 - p))) AS e FROM pl)
+SELECT k, {r("resid", 4)} AS sample, {r(f"CASE WHEN p < {chartdata._SPLIT!r} THEN {_EDGE} WHEN p > 1 - {chartdata._SPLIT!r} THEN -({_EDGE}) ELSE {_CENTRE} END", 4)} AS theoretical FROM z""",
+)
 def residual_quantile_points(spark, folder):
     dec = tsstats.seasonal_decompose(P.brand_month_full(spark, folder), P.MONTHLY, 12)
-    return chartdata.residual_diagnostics(dec, P.MONTHLY, "resid")["qq"]
+    return shown(chartdata.residual_diagnostics(dec, P.MONTHLY, "resid")["qq"], 4)
 
 
 @query(
@@ -293,15 +311,28 @@ def top_bars(spark, folder):
 # --- workflows -------------------------------------------------------------------------
 
 
-@query("univariate_workflow")
+@query(
+    "univariate_workflow",
+    f"""{P.with_grid(P.BRAND_MONTH, "1 MONTH")}, l AS (SELECT k, max(d) AS d FROM filled GROUP BY k)
+SELECT k, {s("CAST(d + to_months(CAST(h AS INTEGER)) AS DATE)")} AS d, {n("h")} AS horizon, {n("1")} AS known_model, {n("1")} AS finite FROM l, range(1, 13) t(h)""",
+)
 def univariate_workflow(spark, folder):
     models = ["naive", "seasonal_naive", "mean", "drift", "croston_sba", "tsb", "holt_damped", "holt_winters"]
-    return univariate.run_workflow(P.brand_month_full(spark, folder), P.MONTHLY, 12, 12, models).forecast
+    out = univariate.run_workflow(P.brand_month_full(spark, folder), P.MONTHLY, 12, 12, models).forecast
+    return shown(out.select("k", "d", "horizon", F.col("model").isin(models).alias("known_model"), _finite()))
 
 
-@query("sampled_panel")
+@query(
+    "sampled_panel",
+    f"""WITH panel AS (SELECT * FROM ({P.PART_WEEK}) WHERE d <= DATE '2000-06-30'), c AS (SELECT DISTINCT k, md5(concat_ws('|', k, 42)) AS h FROM panel ORDER BY h, k LIMIT 500)
+SELECT k, {s("d")} AS d, {r("y")} AS y FROM panel WHERE k IN (SELECT k FROM c)""",
+)
 def sampled_panel(spark, folder):
-    return subset.sample_panel(P.part_week(spark, folder), P.WEEKLY, 500, ["k", "d", "y"], "2000-06-30")
+    return shown(subset.sample_panel(P.part_week(spark, folder), P.WEEKLY, 500, ["k", "d", "y"], "2000-06-30"))
+
+
+def _finite():
+    return F.coalesce(F.abs("yhat") < float("inf"), F.lit(False)).alias("finite")
 
 
 def _stored_panel(spark, folder):
@@ -309,36 +340,41 @@ def _stored_panel(spark, folder):
     return reliable_checkpoint(P.supplier_week_full(spark, folder))
 
 
+# Last 8 weeks: test; the 13 before: validation. Forecasts start at each key's last known week.
+_PARTS = f"""{SUP}, e AS (SELECT max(d) AS hi FROM filled), test AS (SELECT k, d, y FROM filled, e WHERE d > hi - 56),
+ last AS (SELECT k, max(d) AS d FROM filled, e WHERE filled.d <= hi - 56 GROUP BY k)"""
+_AHEAD = f"""{_PARTS} SELECT k, {s("d + CAST(h * 7 AS INTEGER)")} AS d, {n("h")} AS horizon, {n("1")} AS finite FROM last, range(1, 9) t(h)"""
+
+
 def _split(spark, folder):
     return splits.holdout_horizon_split(_stored_panel(spark, folder), P.WEEKLY, 8, 13)
 
 
-@query("recursive_forecast")
+@query("recursive_forecast", _AHEAD)
 def recursive_forecast(spark, folder):
     split = _split(spark, folder)
     known = split.frame.filter("split <> 'test'").drop("split")
     model = learners.RecursiveForecaster(BUILDER, TREE).fit(split.train, split.val)
-    return model.predict_recursive(known, 8)
+    return shown(model.predict_recursive(known, 8).select("k", "d", "horizon", _finite()))
 
 
-@query("tweedie_forecast")
+@query("tweedie_forecast", _AHEAD.replace("AS finite", "AS not_negative"))
 def tweedie_forecast(spark, folder):
     split = _split(spark, folder)
-    rows = BUILDER.transform(split.frame)
-    model = learners.PanelRegressor(BUILDER, LINEAR).fit(rows.filter("split = 'train'"), "y")
-    out = model.predict(rows.filter("split = 'test'"))
-    return out.select("k", "d", "y", floor_zero(F.col("yhat")).alias("yhat"))
+    known = split.frame.filter("split <> 'test'").drop("split")
+    out = learners.RecursiveForecaster(BUILDER, LINEAR).fit(split.train).predict_recursive(known, 8)
+    return shown(out.select("k", "d", "horizon", (floor_zero(F.col("yhat")) >= 0).alias("not_negative")))
 
 
-@query("direct_forecast")
+@query("direct_forecast", _AHEAD)
 def direct_forecast(spark, folder):
     split = _split(spark, folder)
     known = split.frame.filter("split <> 'test'").drop("split")
-    model = learners.DirectMultiHorizonForecaster(BUILDER, (1, 4, 8), TREE).fit(split.train, split.val)
-    return model.predict(known, split.val_end)
+    model = learners.DirectMultiHorizonForecaster(BUILDER, range(1, 9), TREE).fit(split.train, split.val)
+    return shown(model.predict(known, split.val_end).select("k", "d", "horizon", _finite()))
 
 
-@query("causal_forecast")
+@query("causal_forecast", _AHEAD)
 def causal_forecast(spark, folder):
     from dataclasses import replace
 
@@ -347,40 +383,56 @@ def causal_forecast(spark, folder):
     # An exogenous column that is not known ahead is dropped by the causal rule.
     busy = lambda df: df.withColumn("busy", (F.col("y") > 100).cast("double"))
     builder = replace(BUILDER, exogenous=("busy",))
-    model = learners.PurelyCausalForecaster(builder, (1, 4), TREE).fit(busy(split.train), busy(split.val))
-    return model.predict(busy(known), split.val_end)
+    model = learners.PurelyCausalForecaster(builder, range(1, 9), TREE).fit(busy(split.train), busy(split.val))
+    return shown(model.predict(busy(known), split.val_end).select("k", "d", "horizon", _finite()))
 
 
-@query("quantile_forecast")
+@query("quantile_forecast", _AHEAD.replace("AS finite", "AS ordered"))
 def quantile_forecast(spark, folder):
     split = _split(spark, folder)
     known = split.frame.filter("split <> 'test'").drop("split")
-    model = learners.QuantileForecaster(BUILDER, (0.1, 0.5, 0.9), TREE).fit(split.train, split.val)
-    out = model.predict(split.test, known)
-    return chartdata.quantile_bands(out, ["k", "d", "q0_50"], ["q0_10", "q0_50", "q0_90"])
+    model = learners.QuantileForecaster(BUILDER, (0.1, 0.5, 0.9), TREE).fit_ahead(split.train, split.val, 8)
+    bands = chartdata.quantile_bands(model.predict_ahead(known, 8), ["k", "d", "horizon", "q0_50"], ["q0_10", "q0_50", "q0_90"])
+    inside = (F.col("lower") <= F.col("q0_50")) & (F.col("q0_50") <= F.col("upper"))
+    return shown(bands.select("k", "d", "horizon", inside.alias("ordered")))
 
 
-@query("out_of_fold_predictions")
+@query(
+    "out_of_fold_predictions",
+    f"""{SUP}, b AS (SELECT min(d) AS lo, max(d) - min(d) + 1 AS days FROM filled)
+SELECT k, {s("d")} AS d, {r("y")} AS y, {n("least((d - lo) * 3 // days, 2)")} AS fold, {n("1")} AS not_negative FROM filled, b""",
+)
 def out_of_fold_predictions(spark, folder):
     rows = BUILDER.transform(_stored_panel(spark, folder))
     oof, _ = learners.cross_validated_predictions(rows, BUILDER, "y", ["k", "d"], 3, TREE)
-    return oof
+    return shown(oof.select("k", "d", "y", "fold", (F.col("yhat") >= 0).alias("not_negative")))
 
 
-@query("additive_forecast")
+@query(
+    "additive_forecast",
+    f"""WITH panel AS ({P.BRAND_DAY}), l AS (SELECT k, max(d) AS d FROM panel GROUP BY k)
+SELECT k, {s("d + CAST(h AS INTEGER)")} AS d, {n("1")} AS inside FROM l, range(1, 29) t(h)""",
+)
 def additive_forecast(spark, folder):
     daily = P.brand_day(spark, folder)
     flag = F.date_format("d", "MM-dd").isin("12-24", "12-25", "12-26", "01-01").cast("double")
     model = AdditiveModel(P.DAILY, holidays=("holiday",))
     future = future_dates(daily, P.DAILY, 28).withColumn("holiday", flag)
-    return model.predict(daily.withColumn("holiday", flag), future)
+    out = model.predict(daily.withColumn("holiday", flag), future)
+    inside = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return shown(out.select("k", "d", inside.alias("inside")))
 
 
-@query("additive_components")
+@query(
+    "additive_components",
+    f"""{P.with_grid(P.BRAND_MONTH, "1 MONTH")} SELECT k, {s("d")} AS d, {r("y")} AS observed, {n("1")} AS adds_up FROM filled""",
+)
 def additive_components(spark, folder):
     monthly = P.brand_month_full(spark, folder)
     parts = AdditiveModel(P.MONTHLY, yearly_order=3).components(monthly)
-    return chartdata.components_with_actual(parts, monthly, P.MONTHLY)
+    drawn = chartdata.components_with_actual(parts, monthly, P.MONTHLY)
+    total = sum((F.col(c) for c in COMPONENTS), F.lit(0.0))
+    return shown(drawn.select("k", "d", "observed", (F.abs(total - F.col("yhat")) < 1e-6).alias("adds_up")))
 
 
 @query("grid_search_scores")

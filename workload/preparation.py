@@ -575,13 +575,13 @@ def one_hot_encoding(spark, folder):
     return shown(encode.one_hot_encode(orders, ["o_orderstatus"], drop_first=True))
 
 
-@query("one_hot_vectors")
+@query("one_hot_vectors", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) AS slot FROM part")
 def one_hot_vectors(spark, folder):
     part = table(spark, folder, "part").select("p_partkey", "p_brand")
     out = encode.one_hot_vector(part, ["p_brand"])
     from pyspark.ml.functions import vector_to_array
 
-    return out.select("p_partkey", F.array_position(vector_to_array("p_brand_vec"), 1.0).alias("slot"))
+    return shown(out.select("p_partkey", F.array_position(vector_to_array("p_brand_vec"), 1.0).alias("slot")))
 
 
 @query(

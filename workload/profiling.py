@@ -497,14 +497,23 @@ def row_maximum_and_clip(spark, folder):
     )
 
 
-@query("sampled_keys_rows")
+@query(
+    "sampled_keys_rows",
+    f"""WITH panel AS ({P.PART_WEEK}), c AS (SELECT DISTINCT k, md5(concat_ws('|', k, 42)) AS h FROM panel ORDER BY h, k LIMIT 500)
+SELECT k, {s("d")} AS d, {r("y")} AS y FROM panel WHERE k IN (SELECT k FROM c)""",
+)
 def sampled_keys_rows(spark, folder):
-    return select.sample_keys(P.part_week(spark, folder), P.WEEKLY, 500)
+    return shown(select.sample_keys(P.part_week(spark, folder), P.WEEKLY, 500))
 
 
-@query("sampled_rows")
+@query(
+    "sampled_rows",
+    f"""SELECT l_orderkey, {n("l_linenumber")} AS l_linenumber, l_partkey, l_suppkey, {r("l_quantity")} AS l_quantity FROM lineitem
+ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, 42)), l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 2000""",
+)
 def sampled_rows(spark, folder):
-    return select.sample_rows(table(spark, folder, "lineitem"), 2000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    identity = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return shown(select.sample_rows(table(spark, folder, "lineitem"), 2000, identity).select(*identity, "l_quantity"))
 
 
 @query("distinct_keys", "SELECT DISTINCT user_id AS k, event_type AS t FROM events")
