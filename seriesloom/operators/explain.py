@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import metrics as M
 from seriesloom.operators.exact import running_total
 from seriesloom.operators.learners import PanelRegressor
+from seriesloom.session import reliable_checkpoint
 
 
 def _core(model: PanelRegressor):
@@ -49,30 +50,45 @@ def _count_splits(node, counts: list[int]) -> None:
     _count_splits(node.rightChild(), counts)
 
 
-def shuffled(df: DataFrame, columns: Sequence[str], identity: Sequence[str], seed: int) -> DataFrame:
-    """Permute columns across rows: rows in one hash order take values in another.
+#: Features scored by one pass over the paired rows.
+AT_ONCE = 4
 
-    Ranks are distributed running counts and the exchange is one equi-join.
+
+def beside_shuffled(df: DataFrame, columns: Sequence[str], identity: Sequence[str], seed: int) -> DataFrame:
+    """Adds ``_s0``, ``_s1``, ...: the columns of another row, rows in one hash order paired with rows in another.
+
+    Ranks are distributed running counts, taken once for all columns; the pairing is one equi-join.
     """
-    order = df.withColumn("_h", F.xxhash64(*identity, F.lit(seed)))
-    target = running_total(order, ["_h", *identity], None, "_rank").drop("_h", *columns)
-    base = df.select(*identity, *columns).withColumn("_h", F.xxhash64(*identity, F.lit(seed + 1)))
-    source = running_total(base, ["_h", *identity], None, "_rank").select("_rank", *columns)
-    return target.join(source, "_rank").drop("_rank")
+    slim = df.select(*identity, *[F.col(c).alias(f"_s{i}") for i, c in enumerate(columns)])
+    target = running_total(df.withColumn("_h", F.xxhash64(*identity, F.lit(seed))), ["_h", *identity], None, "_rank").drop("_h")
+    base = running_total(slim.withColumn("_h", F.xxhash64(*identity, F.lit(seed + 1))), ["_h", *identity], None, "_rank")
+    return target.join(base.select("_rank", *[f"_s{i}" for i in range(len(columns))]), "_rank").drop("_rank")
 
 
 def permutation_importance(
     rows: DataFrame, model: PanelRegressor, identity: Sequence[str], features: Sequence[str] | None = None,
     metric: Callable[[Column, Column], Column] = M.rmse, seed: int = 0,
 ) -> DataFrame:
-    """Rise of the error when one feature is shuffled: ``(feature, base, shuffled, increase)``."""
+    """Rise of the error when one feature is shuffled: ``(feature, base, shuffled, increase)``.
+
+    All features take their values from the same shuffled row. A pass scores ``AT_ONCE``
+    features, so that its generated code stays small.
+    """
     y = model.builder.spec.target_col
-    encoded = model.encode(rows.filter(F.col(y).isNotNull()))
-    base = model.predict(encoded, encoded=True).agg(metric(F.col(y), F.col("yhat")).alias("base"))
+    wanted = list(features or model.inputs)
+    encoded = model.encode(rows.filter(F.col(y).isNotNull())).select(*identity, *[c for c in dict.fromkeys([y, *model.inputs]) if c not in identity])
+    # Written out: the predictions below read it once, the ranks are not repeated.
+    paired = reliable_checkpoint(beside_shuffled(encoded, wanted, identity, seed))
+    base = model.predict(paired, encoded=True).agg(metric(F.col(y), F.col("yhat")).alias("base"))
     out = None
-    for f in features or model.inputs:
-        mixed = model.predict(shuffled(encoded, [f], identity, seed), encoded=True)
-        part = mixed.agg(metric(F.col(y), F.col("yhat")).alias("shuffled")).withColumn("feature", F.lit(f))
+    for start in range(0, len(wanted), AT_ONCE):
+        some = list(enumerate(wanted))[start : start + AT_ONCE]
+        scored = paired
+        for i, f in some:
+            swapped = scored.withColumns({"_own": F.col(f), f: F.col(f"_s{i}")})
+            scored = model.predict(swapped, encoded=True).withColumn(f, F.col("_own")).withColumnRenamed("yhat", f"_p{i}").drop("_own")
+        errors = scored.agg(*[metric(F.col(y), F.col(f"_p{i}")).alias(f"_p{i}") for i, _ in some])
+        part = errors.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_p{i}").alias("shuffled")) for i, f in some])))
         out = part if out is None else out.unionByName(part)
     both = out.join(F.broadcast(base))
     return both.select("feature", "base", "shuffled", (F.col("shuffled") - F.col("base")).alias("increase"))

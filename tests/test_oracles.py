@@ -7,11 +7,6 @@ from tests.check_oracles import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 Q, SQL = queries(), oracle_sql()
-# Model fits take minutes together; a check run at sf0.01 covers them.
-SLOW = {
-    "bake_off_ranking", "grid_search_scores", "random_search_history", "permutation_importance", "out_of_fold_predictions",
-    "direct_forecast", "causal_forecast", "gain_and_split_importance", "univariate_workflow",
-}
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +29,6 @@ def test_query_equals_sql(spark, con, name):
     assert problem in (None, "no rows"), problem
 
 
-@pytest.mark.parametrize("name", sorted(set(Q) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(Q) - set(SQL)))
 def test_query_without_sql_gives_rows(spark, name):
     assert Q[name](spark, FOLDER).count() > 0

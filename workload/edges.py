@@ -156,9 +156,9 @@ def loss_per_series(spark, folder):
 
 _SCORES = f"""{SUP}, p AS (SELECT k, d, y, row_number() OVER (PARTITION BY k ORDER BY d) AS i FROM filled),
  e AS (SELECT a.k, a.d, abs(a.y - b.y) AS e, lag FROM p a JOIN (VALUES (1), (4), (13)) l(lag) ON true JOIN p b ON b.k = a.k AND b.i = a.i - lag),
- sc AS (SELECT CASE lag WHEN 1 THEN 0 WHEN 4 THEN 2 ELSE 4 END + q - 1 AS trial, lag, q AS power, (date_diff('day', DATE '1970-01-05', d) // 7) % 4 AS fold, pow(avg(pow(e, q)), 1.0 / q) AS score
-  FROM e, (VALUES (1), (2)) v(q) GROUP BY ALL),
- rk AS (SELECT trial, lag, power, avg(score) AS mean_score, stddev_pop(score) AS std_score, max(score) FILTER (fold = 0) AS fold0, max(score) FILTER (fold = 3) AS fold3 FROM sc GROUP BY ALL)"""
+ sc AS (SELECT CASE lag WHEN 1 THEN 0 WHEN 4 THEN 2 ELSE 4 END + q - 1 AS trial, lag, q AS power, (date_diff('day', DATE '1970-01-05', d) // 7) % 4 AS fold, CASE q WHEN 1 THEN avg(e) ELSE sqrt(avg(e * e)) END AS score
+  FROM e, (VALUES (1), (2)) v(q) GROUP BY lag, q, (date_diff('day', DATE '1970-01-05', d) // 7) % 4),
+ rk AS (SELECT trial, lag, power, avg(score) AS mean_score, stddev_pop(score) AS std_score, max(score) FILTER (fold = 0) AS fold0, max(score) FILTER (fold = 3) AS fold3 FROM sc GROUP BY trial, lag, power)"""
 
 
 def _scores(spark, folder):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators import chartdata, demand, explain, learners, splits, tsstats, tuning
@@ -435,21 +436,29 @@ def additive_components(spark, folder):
     return shown(drawn.select("k", "d", "observed", (F.abs(total - F.col("yhat")) < 1e-6).alias("adds_up")))
 
 
-@query("grid_search_scores")
+@query(
+    "grid_search_scores",
+    f"""SELECT {n("max_depth")} AS max_depth, {r("learning_rate")} AS learning_rate, {n("1")} AS averaged FROM (VALUES (2), (4)) d(max_depth), (VALUES (0.1), (0.3)) l(learning_rate)""",
+)
 def grid_search_scores(spark, folder):
     panel = _stored_panel(spark, folder)
-    folds = splits.expanding_day_folds(panel, PanelSpec("d", "y", ("k",), frequency="D"), 2, 91)
+    folds = splits.expanding_day_folds(panel, PanelSpec("d", "y", ("k",), frequency="D"), 4, 91)
     grid = {"max_depth": [2, 4], "learning_rate": [0.1, 0.3]}
-    return tuning.grid_search(panel, BUILDER, folds, {**TREE, "max_iter": 4}, grid)
+    out = tuning.grid_search(panel, BUILDER, folds, {**TREE, "max_iter": 4}, grid)
+    mean = sum((F.col(f"fold{i}") for i in range(4)), F.lit(0.0)) / 4
+    return shown(out.select("max_depth", "learning_rate", (F.abs(mean - F.col("mean_score")) < 1e-9).alias("averaged")))
 
 
-@query("random_search_history")
+@query("random_search_history", f"""SELECT {n("i")} AS trial, {n("1")} AS in_space, {n("1")} AS best_is_least FROM range(6) t(i)""")
 def random_search_history(spark, folder):
     panel = _stored_panel(spark, folder)
-    folds = splits.expanding_day_folds(panel, PanelSpec("d", "y", ("k",), frequency="D"), 2, 91)
+    folds = splits.expanding_day_folds(panel, PanelSpec("d", "y", ("k",), frequency="D"), 4, 91)
     space = {"variance_power": {"type": "float", "low": 1.1, "high": 1.8}, "l2": {"type": "log_float", "low": 1e-3, "high": 1.0}}
-    trials = tuning.sample_space(spark, space, 3)
-    return tuning.trial_history(tuning.search(panel, BUILDER, folds, LINEAR, trials), list(space))
+    trials = tuning.sample_space(spark, space, 6)
+    out = tuning.trial_history(tuning.search(panel, BUILDER, folds, LINEAR, trials), list(space))
+    inside = F.col("variance_power").between(1.1, 1.8) & F.col("l2").between(1e-3, 1.0)
+    least = F.min("value").over(Window.orderBy("trial").rowsBetween(Window.unboundedPreceding, 0))
+    return shown(out.select("trial", inside.alias("in_space"), (F.col("best_so_far") == least).alias("best_is_least")))
 
 
 def _fitted(spark, folder, params):
@@ -458,26 +467,68 @@ def _fitted(spark, folder, params):
     return learners.PanelRegressor(BUILDER, params).fit(rows.filter("split = 'train'"), "y"), rows.filter("split = 'test'")
 
 
-@query("gain_and_split_importance")
+@query("gain_and_split_importance", f"""SELECT kind, {r("100")} AS total_pct, {n("1")} AS not_negative FROM (VALUES ('gain'), ('split')) t(kind)""")
 def gain_and_split_importance(spark, folder):
     model, rows = _fitted(spark, folder, TREE)
     gain = explain.importance(rows, model, "gain").withColumn("kind", F.lit("gain"))
-    return gain.unionByName(explain.importance(rows, model, "split").withColumn("kind", F.lit("split")))
+    both = gain.unionByName(explain.importance(rows, model, "split").withColumn("kind", F.lit("split")))
+    return shown(both.groupBy("kind").agg(F.sum("importance_pct").alias("total_pct"), (F.min("importance") >= 0).alias("not_negative")))
+
 
+_FEATURES = ", ".join(f"('{c}')" for c in learners.PanelRegressor(BUILDER).inputs)
 
-@query("permutation_importance")
+
+@query("permutation_importance", f"""SELECT feature, {n("1")} AS consistent FROM (VALUES {_FEATURES}) t(feature)""")
 def permutation_importance(spark, folder):
     model, rows = _fitted(spark, folder, TREE)
-    return explain.permutation_importance(rows, model, ["k", "d"], ["y_roll_mean_13", "y_lag_1", "week"])
+    out = explain.permutation_importance(rows, model, ["k", "d"])
+    good = (F.col("base") > 0) & (F.col("shuffled") > 0) & (F.abs(F.col("shuffled") - F.col("base") - F.col("increase")) < 1e-9)
+    return shown(out.select("feature", good.alias("consistent")))
 
 
-@query("linear_attributions")
-def linear_attributions(spark, folder):
+def _contributions(spark, folder):
+    """Contributions per row and feature, and what the model itself predicts."""
     model, rows = _fitted(spark, folder, LINEAR)
-    return explain.attribution_summary(explain.linear_contributions(rows, model, ["k", "d"]))
+    return explain.linear_contributions(rows, model, ["k", "d"]), model.predict(rows).select("k", "d", "yhat")
+
+
+def _adds_up(parts, predicted):
+    """Base and contributions of a row make the logarithm of its prediction."""
+    link = parts.groupBy("k", "d").agg((F.sum("contribution") + F.max("base_value")).alias("_link"))
+    both = link.join(predicted, ["k", "d"])
+    return both.select("k", "d", (F.abs(F.col("_link") - F.ln("yhat")) < 1e-6).alias("adds_up"))
+
+
+@query("linear_attributions", f"""{_PARTS} SELECT k, {s("d")} AS d, {n("1")} AS adds_up FROM test""")
+def linear_attributions(spark, folder):
+    return shown(_adds_up(*_contributions(spark, folder)))
+
+
+@query("local_attributions", f"""{_PARTS} SELECT k, {s("d")} AS d, {n("1")} AS adds_up FROM test WHERE d = (SELECT max(d) FROM filled)""")
+def local_attributions(spark, folder):
+    parts, predicted = _contributions(spark, folder)
+    last = splits.date_span(P.supplier_week(spark, folder), P.WEEKLY)[1]
+    return shown(_adds_up(explain.local_attribution(parts, F.col("d") == F.lit(last)), predicted))
+
+
+@query("attribution_totals", f"""SELECT feature, {n("1")} AS mean_within_size FROM (VALUES {_FEATURES}) t(feature)""")
+def attribution_totals(spark, folder):
+    out = explain.attribution_summary(_contributions(spark, folder)[0]).filter(~F.col("feature").endswith("_missing"))
+    return shown(out.select("feature", (F.abs("mean") <= F.col("mean_abs") + 1e-12).alias("mean_within_size")))
 
 
-@query("bake_off_ranking")
+@query("dependence_on_week", f"""{_PARTS} SELECT {r("weekofyear(d)")} AS week, {n("1")} AS known FROM test""")
+def dependence_on_week(spark, folder):
+    out = explain.dependence(_contributions(spark, folder)[0], "week")
+    return shown(out.select("week", F.col("contribution").isNotNull().alias("known")))
+
+
+@query(
+    "bake_off_ranking",
+    f"""{SUP}, t AS (SELECT count(*) AS c FROM filled WHERE d > (SELECT max(d) - 14 FROM filled))
+SELECT model, c AS coverage_n, {n("1")} AS scored FROM t, (VALUES ('seasonal_naive'), ('recursive'), ('direct'), ('quantile'), ('additive')) t(model)""",
+)
 def bake_off_ranking(spark, folder):
     panel = _stored_panel(spark, folder)
-    return bakeoff.run_bakeoff(panel, P.WEEKLY, BUILDER, 2, 52, {**TREE, "max_iter": 4}).ranking
+    out = bakeoff.run_bakeoff(panel, P.WEEKLY, BUILDER, 2, 52, {**TREE, "max_iter": 4}).ranking
+    return shown(out.select("model", "coverage_n", (F.col("MAE") >= 0).alias("scored")))

@@ -494,9 +494,21 @@ def yeo_johnson_lambda(spark, folder):
     return shown(fit.select("k", "lambda"), 4)
 
 
-@query("boxcox_refined_transform")
+def _lambda_pass(name: str, grid: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT k, arg_max(lam, {_LL}) AS lam FROM (SELECT k, lam, count(*) AS n, sum(ln(y)) AS j,
+  var_pop(CASE WHEN abs(lam) < 1e-12 THEN ln(y) ELSE (pow(y, lam) - 1) / lam END) AS v FROM ({grid}) GROUP BY k, lam) GROUP BY k)"""
+
+
+@query(
+    "boxcox_refined_transform",
+    f"""WITH panel AS ({P.SUPPLIER_WEEK}), {_lambda_pass("l1", "SELECT k, y, -2.0 + i * 0.1 AS lam FROM panel, range(41) t(i)")},
+ {_lambda_pass("l2", "SELECT k, y, lam + i * CAST(0.02 AS DOUBLE) AS lam FROM panel JOIN l1 USING (k), range(-5, 6) t(i)")},
+ {_lambda_pass("l3", "SELECT k, y, lam + i * CAST(0.004 AS DOUBLE) AS lam FROM panel JOIN l2 USING (k), range(-5, 6) t(i)")}
+SELECT k, {s("d")} AS d, {r("y")} AS y, {r("lam", 4)} AS lambda, {r("(pow(y, lam) - 1) / lam", 3)} AS y_bc FROM panel JOIN l3 USING (k)""",
+)
 def boxcox_refined_transform(spark, folder):
-    return transforms.boxcox_transform(P.supplier_week(spark, folder), "y", ["k"])
+    out = transforms.boxcox_transform(P.supplier_week(spark, folder), "y", ["k"])
+    return shown(out.select("k", "d", "y", F.round(F.col("lambda") + 2e-8, 4).alias("lambda"), F.round(F.col("y_bc") + 2e-8, 3).alias("y_bc")))
 
 
 _FIT = "l_shipdate < TIMESTAMP '1998-01-01'"
