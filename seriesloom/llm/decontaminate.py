@@ -8,7 +8,9 @@ of consistent diagonals cover ``COVERAGE`` of the item's tokens or ``RUN`` token
 
 Null ids are kept as a null id; null and empty texts match nothing. Rows with one id are judged apart if their texts
 differ and once if they are equal. Items of fewer than ``WINDOW`` tokens are matched as a whole, those of fewer than
-``SHORTEST`` never. Windows with fewer than half of their tokens as words are left out, unless an item has no others.
+``SHORTEST`` never. Typed windows with fewer than half of their tokens as words are left out, unless an item has no others. Every
+window with a placeholder is matched as it stands beside (lower-cased, values included), so that copies of items rich in
+numbers are covered as far as they are copied; with other values, such windows match nothing.
 Extra columns are not read.
 """
 
@@ -26,7 +28,12 @@ RUN = 25
 #: Rows of benchmark windows up to which they are broadcast (16 bytes a row and its hash table: under 100 MB).
 BROADCAST_ROWS = 1_000_000
 
-NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+#: Marks before tokens, in this order, and the first character after them.
+NAME, NUMBER, UNIT, AFTER = "\ue000", "\ue001", "\ue002", "\ue003"
+MARKS = NAME + NUMBER + UNIT
+#: Kinds of windows: with placeholders, and of the words and numbers as they stand.
+TYPED, PLAIN = 1, 0
+KINDS = (TYPED, PLAIN)
 UNITS = (
     "km|cm|mm|nm|m|kg|mg|g|lb|lbs|oz|l|ml|s|ms|h|min|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|v|mv|j|kj|pa|kpa|k|c|f|usd|eur|gbp|"
     "kilometers?|kilometres?|meters?|metres?|centimeters?|centimetres?|miles?|feet|foot|inch|inches|yards?|kilograms?|grams?|pounds?|ounces?|tons?|"
@@ -34,60 +41,81 @@ UNITS = (
 )
 
 
-def raw_tokens(text: Column) -> Column:
-    """Words and numbers as they stand, one for each token of ``template``."""
-    return F.regexp_extract_all(_without_marks(text), F.lit(r"\p{N}+(?:[.,]\p{N}+)*|\p{L}+"), F.lit(0))
+def marked_tokens(text: Column) -> Column:
+    """Lower-cased words and numbers; names, numbers and units follow a mark of their kind."""
+    plain = F.replace(F.translate(F.coalesce(text, F.lit("")), MARKS, " " * len(MARKS)), F.lit("\u0130"), F.lit("I"))
+    named = F.regexp_replace(plain, r"\p{Lu}(?<=[\p{Ll}\p{N},;:] .)\p{Ll}+(?!\p{L})", NAME + "$0")
+    measured = F.regexp_replace(named, rf"(\p{{N}}+(?:[.,]\p{{N}}+)*)(?: ?((?i:{UNITS}))(?!\p{{L}}))?", f" {NUMBER}$1 {UNIT}$2 ")
+    return F.regexp_extract_all(F.lower(measured), F.lit(rf"[{MARKS}]?(?:\p{{N}}+(?:[.,]\p{{N}}+)*|\p{{L}}+)"), F.lit(0))
 
 
-def template(text: Column) -> Column:
-    """Lower-cased words with placeholders for names, numbers and units."""
-    named = F.regexp_replace(_without_marks(text), r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}\p{Ll}+(?!\p{L})", NAME)
-    numbered = F.regexp_replace(named, r"\p{N}+(?:[.,]\p{N}+)*", f" {NUMBER} ")
-    measured = F.regexp_replace(numbered, rf"(?i)(?<={NUMBER} {{1,2}})(?:{UNITS})(?!\p{{L}})", UNIT)
-    return F.regexp_extract_all(F.lower(measured), F.lit(rf"[{NAME}{NUMBER}{UNIT}]|\p{{L}}+"), F.lit(0))
+def _without_mark(token: Column) -> Column:
+    return F.ltrim(token, F.lit(MARKS))
 
 
-def _without_marks(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "   ")
+def _placeholder(token: Column, kind: int) -> Column:
+    """Whether a marked token is a placeholder in windows of a kind."""
+    return F.lit(False) if kind == PLAIN else (token >= NAME) & (token < AFTER)
 
 
-def _hashes(tokens: Column, width: int) -> Column:
-    """Hash of every window of ``width`` tokens, in order; none for fewer tokens."""
-    at = F.sequence(F.lit(0), F.greatest(F.size(tokens) - width, F.lit(0)))
-    made = F.transform(at, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(width)]))
-    return F.when(F.size(tokens) >= width, made).otherwise(F.array().cast("array<bigint>"))
+def _token_hashes(tokens: Column) -> dict[int, Column]:
+    """Hashes of the marked tokens, for each kind of window."""
+    plain = F.transform(tokens, lambda t: F.xxhash64(_without_mark(t)))
+    name, number, unit = (F.xxhash64(F.lit(m)) for m in (NAME, NUMBER, UNIT))
+    typed = F.zip_with(tokens, plain, lambda t, h: F.when((t < NAME) | (t >= AFTER), h).when(t < NUMBER, name).when(t < UNIT, number).otherwise(unit))
+    return {PLAIN: plain, TYPED: typed}
 
 
-def _placeholder(token: Column) -> Column:
-    return token.isin(NAME, NUMBER, UNIT)
+def _windows(hashes: Column, width: int) -> Column:
+    """Hash of every window of ``width`` tokens, in order; none for fewer tokens. Halves are hashed first."""
+    if width == 1:
+        return hashes
+    half = width // 2
+    parts = _windows(hashes, half)
+    rest = parts if width == 2 * half else _windows(hashes, width - half)
+    n = F.greatest(F.size(hashes) - (width - 1), F.lit(0))
+    return F.zip_with(F.slice(parts, F.lit(1), n), F.slice(rest, F.lit(half + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def _literals(tokens: Column, n: Column, width: int) -> Column:
+def _with_hashes(df: DataFrame, tokens: str, width: int) -> DataFrame:
+    """Adds the window hashes of each kind as w0, w1 ...; null where a kind repeats the typed window."""
+    # One projection for each level: an expression that is used twice is not computed twice.
+    df = df.withColumns({f"h{k}": c for k, c in _token_hashes(F.col(tokens)).items()})
+    same = {k: F.col(f"h{k}") == F.col(f"h{TYPED}") for k in KINDS}
+    none = F.array().cast("array<bigint>")
+    df = df.withColumns({f"w{k}": _windows(F.col(f"h{k}"), width) if k == TYPED else F.when(same[k], none).otherwise(_windows(F.col(f"h{k}"), width)) for k in KINDS})
+    own = {f"w{k}": F.when(F.size(f"w{k}") > 0, F.zip_with(f"w{k}", f"w{TYPED}", lambda a, b: F.when(a != b, a))).otherwise(F.col(f"w{k}")) for k in KINDS if k != TYPED}
+    return df.withColumns(own).drop(*[f"h{k}" for k in KINDS])
+
+
+def _literals(tokens: Column, n: Column, width: int, kind: int) -> Column:
     """Number of tokens that are words in every window."""
-    return F.transform(F.sequence(F.lit(0), n - width), lambda i: F.size(F.filter(F.slice(tokens, i + 1, width), lambda t: ~_placeholder(t))))
+    return F.transform(F.sequence(F.lit(0), n - width), lambda i: F.size(F.filter(F.slice(tokens, i + 1, width), lambda t: ~_placeholder(t, kind))))
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
-    """(item_id, item_key, width, item_pos, hash, n_item, raw, slots) of all windows that count, and the widths among them."""
+def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(item_id, item_key, width, kind, item_pos, hash) of all windows that count, and the items with their tokens."""
     items = (
         benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("item_text"))
         .distinct()
-        .select("item_id", F.xxhash64("item_text").alias("item_key"), template(F.col("item_text")).alias("item_tokens"), raw_tokens(F.col("item_text")).alias("item_raw"))
+        .select("item_id", F.xxhash64("item_text").alias("item_key"), marked_tokens(F.col("item_text")).alias("item_tokens"))
         .withColumn("n_item", F.size("item_tokens"))
         .where(F.col("n_item") >= SHORTEST)
     )
     parts = []
     for width in range(SHORTEST, WINDOW + 1):
         own = items.where(F.col("n_item") == width) if width < WINDOW else items.where(F.col("n_item") >= WINDOW)
-        literal = _literals(F.col("item_tokens"), F.col("n_item"), width)
-        least = F.least(F.lit((width + 1) // 2), F.array_max("literals"))
-        parts.append(
-            own.withColumn("literals", literal)
-            .withColumn("least", least)
-            .select("item_id", "item_key", "n_item", "literals", "least", F.posexplode(_hashes(F.col("item_tokens"), width)).alias("item_pos", "hash"))
-            .where(F.get("literals", F.col("item_pos")) >= F.col("least"))
-            .select("item_id", "item_key", F.lit(width).alias("width"), "item_pos", "hash", "n_item")
-        )
+        hashed = _with_hashes(own, "item_tokens", width)
+        for kind in KINDS:
+            literal = _literals(F.col("item_tokens"), F.col("n_item"), width, kind)
+            half = F.lit((width + 1) // 2)
+            parts.append(
+                hashed.withColumn("literals", literal)
+                .withColumn("least", F.least(half, F.array_max("literals")) if kind == TYPED else half)
+                .select("item_id", "item_key", "literals", "least", F.posexplode(f"w{kind}").alias("item_pos", "hash"))
+                .where(F.col("hash").isNotNull() & (F.get("literals", F.col("item_pos")) >= F.col("least")))
+                .select("item_id", "item_key", F.lit(width).alias("width"), F.lit(kind).alias("kind"), "item_pos", "hash")
+            )
     windows = parts[0]
     for p in parts[1:]:
         windows = windows.unionByName(p)
@@ -104,38 +132,35 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     windows = stored(windows, "benchmark-windows")
     size = {r["width"]: r["n"] for r in windows.groupBy("width").agg(F.count("*").alias("n")).collect()}
     few = sum(size.values()) <= BROADCAST_ROWS
-    slim = windows.groupBy("width", "hash").agg(F.collect_list(F.struct("item_id", "item_key", "item_pos")).alias("places")) if few else windows.groupBy("width", "hash").agg(F.lit(1).alias("one"))
+    place = ["item_id", "item_key", "item_pos", "kind"]
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    coded = texts.select("doc_id", F.xxhash64("text").alias("doc_key"), template(F.col("text")).alias("tokens"))
+    coded = texts.select("doc_id", F.xxhash64("text").alias("doc_key"), marked_tokens(F.col("text")).alias("tokens"))
     found = None
     for width in sorted(size):
-        own = slim.where(F.col("width") == width).drop("width")
-        placed = coded.select("doc_id", "doc_key", F.posexplode(_hashes(F.col("tokens"), width)).alias("doc_pos", "hash"))
+        own = windows.where(F.col("width") == width).drop("width")
+        hashed = _with_hashes(coded, "tokens", width)
+        # The kinds follow each other, with as many windows each or none.
+        placed = hashed.select("doc_id", "doc_key", F.size(f"w{TYPED}").alias("n"), F.posexplode(F.concat(*[f"w{k}" for k in KINDS])).alias("at", "hash")).where("hash is not null").select("doc_id", "doc_key", (F.col("at") % F.col("n")).alias("doc_pos"), "hash")
         if few:
-            hits = placed.join(F.broadcast(own), "hash").select("doc_id", "doc_key", "doc_pos", F.explode("places").alias("p")).select("doc_id", "doc_key", "doc_pos", "p.item_id", "p.item_key", "p.item_pos")
+            slim = own.groupBy("hash").agg(F.collect_list(F.struct(*place)).alias("places"))
+            hits = placed.join(F.broadcast(slim), "hash").select("doc_id", "doc_key", "doc_pos", F.explode("places").alias("p")).select("doc_id", "doc_key", "doc_pos", *[f"p.{c}" for c in place])
         else:
-            hits = placed.join(windows.where(F.col("width") == width), "hash").select("doc_id", "doc_key", "doc_pos", "item_id", "item_key", "item_pos")
+            hits = placed.join(own, "hash").select("doc_id", "doc_key", "doc_pos", *place)
         hits = hits.withColumn("width", F.lit(width))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = coded.select("doc_id", "doc_key", F.lit(0).alias("doc_pos"), F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("item_key"), F.lit(0).alias("item_pos"), F.lit(0).alias("width")).where(F.lit(False))
+        found = coded.select("doc_id", "doc_key", F.lit(0).alias("doc_pos"), F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("item_key"), F.lit(0).alias("item_pos"), F.lit(0).alias("kind"), F.lit(0).alias("width")).where(F.lit(False))
     lines = stored(
-        found.groupBy("doc_id", "doc_key", "item_id", "item_key", (F.col("doc_pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(F.struct("item_pos", "width")).alias("at")),
+        found.groupBy("doc_id", "doc_key", "item_id", "item_key", (F.col("doc_pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(F.struct("item_pos", "width", "kind")).alias("at")),
         "benchmark-hits",
     )
     # Raw texts of hit documents only: their number follows the hits, and the join is left to the planner.
     hit = lines.select("doc_key").distinct()
-    shown = texts.withColumn("doc_key", F.xxhash64("text")).join(hit, "doc_key", "left_semi").groupBy("doc_key").agg(F.min("text").alias("text")).select("doc_key", raw_tokens(F.col("text")).alias("doc_raw"))
-    joined = lines.join(shown, "doc_key").join(items.select("item_id", "item_key", "item_tokens", "item_raw", "n_item"), (lines.item_id.eqNullSafe(items.item_id)) & (lines.item_key == items.item_key)).drop(items.item_id).drop(items.item_key)
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["item_pos"], a["item_pos"] + a["width"] - 1)))))
-    slots = F.transform(
-        F.filter("covered", lambda p: _placeholder(F.get("item_tokens", p))),
-        lambda p: F.struct(F.lower(F.get("item_raw", p)).alias("was"), F.lower(F.get("doc_raw", p + F.col("shift"))).alias("now")),
-    )
+    shown = texts.withColumn("doc_key", F.xxhash64("text")).join(hit, "doc_key", "left_semi").groupBy("doc_key").agg(F.min("text").alias("text"))
+    shown = shown.select("doc_key", F.transform(marked_tokens(F.col("text")), _without_mark).alias("doc_raw"))
+    own = items.withColumn("item_raw", F.transform("item_tokens", _without_mark))
     judged = (
-        joined.withColumn("covered", covered)
-        .withColumn("slots", slots)
-        .where(F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.transform("slots", lambda s: s["was"]))))
+        _judged(lines.join(shown, "doc_key").join(own, (lines.item_id.eqNullSafe(own.item_id)) & (lines.item_key == own.item_key)).drop(own.item_id).drop(own.item_key))
         .groupBy("doc_id", "doc_key", "item_id", "item_key")
         .agg(
             F.first("n_item").alias("n_item"),
@@ -152,6 +177,26 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     )
 
 
+def _positions(windows: Column) -> Column:
+    """The item positions that windows cover."""
+    return F.array_distinct(F.flatten(F.transform(windows, lambda a: F.sequence(a["item_pos"], a["item_pos"] + a["width"] - 1))))
+
+
+def _slots(positions: Column, kind: int) -> Column:
+    """Position and both values of the placeholders among positions."""
+    return F.transform(
+        F.filter(positions, lambda p: _placeholder(F.get("item_tokens", p), kind)),
+        lambda p: F.struct(p.alias("at"), F.get("item_raw", p).alias("was"), F.get("doc_raw", p + F.col("shift")).alias("now")),
+    )
+
+
+def _judged(lines: DataFrame) -> DataFrame:
+    """Adds the covered item positions and the slots of every consistent diagonal."""
+    df = lines.withColumn("slots", _slots(_positions(F.filter("at", lambda a: a["kind"] == TYPED)), TYPED))
+    pairs = F.array_distinct(F.transform("slots", lambda s: F.struct(s["was"], s["now"])))
+    return df.where(F.size(pairs) == F.size(F.array_distinct(F.transform("slots", lambda s: s["was"])))).withColumn("covered", _positions(F.col("at")))
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, that no benchmark item contaminates."""
     bad = stored(contaminations(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("doc_key").alias("bad_key")).distinct(), "contaminated")

@@ -183,6 +183,18 @@ def test_other_numbers_names_and_units_are_caught(spark):
     assert decontaminate.contaminations(docs, bench.where("false")).count() == 0
 
 
+def verdicts(spark, rows, items):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): (r.kind, r.n_covered) for r in decontaminate.contaminations(frame(spark, rows), bench).collect()}
+
+
+def test_copies_rich_in_numbers_are_caught(spark):
+    item = "Find the next number in the sequence: " + ", ".join(str(k) for k in range(2, 37, 2)) + "."
+    other = "Find the next number in the sequence: " + ", ".join(str(k) for k in range(3, 38, 2)) + "."
+    got = verdicts(spark, [(1, "So. " + item), (2, other), (3, "2, 4, 6, 8, 10, 12, 14, 16, 18, 20 and nothing else")], [(7, item)])
+    assert got == {(1, 7): ("exact", 25)}
+
+
 def test_contained_items_are_found(spark, documents):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
