@@ -3,8 +3,9 @@
 Texts become templates: names inside a sentence, numbers and units after numbers turn into typed placeholders, everything
 else is a lower-cased word. Windows of ``WINDOW`` tokens are hashed and joined with those of the benchmark. Windows of one
 document and item that lie on one diagonal (document position minus item position) are judged together: the values that
-fill the item's placeholders must map to one value each in the document. A document is contaminated by an item if windows
-of consistent diagonals cover ``COVERAGE`` of the item's tokens or ``RUN`` tokens.
+fill the item's placeholders should map to one value each in the document. Windows with a value that maps to two count
+only where they equal the item's word for word. A document is contaminated by an item if windows of diagonals without
+such a conflict cover ``COVERAGE`` of the item's tokens, or all windows that count cover ``RUN`` tokens.
 
 Null ids are kept as a null id; null and empty texts match nothing. Rows with one id are judged apart if their texts
 differ and once if they are equal. Items of fewer than ``WINDOW`` tokens are matched as a whole, those of fewer than
@@ -33,7 +34,8 @@ NAME, NUMBER, UNIT, AFTER = "\ue000", "\ue001", "\ue002", "\ue003"
 MARKS = NAME + NUMBER + UNIT
 #: Kinds of windows: with placeholders, and of the words and numbers as they stand.
 TYPED, PLAIN = 1, 0
-KINDS = (TYPED, PLAIN)
+TYPED_KINDS = (TYPED,)
+KINDS = (*TYPED_KINDS, PLAIN)
 UNITS = (
     "km|cm|mm|nm|m|kg|mg|g|lb|lbs|oz|l|ml|s|ms|h|min|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|v|mv|j|kj|pa|kpa|k|c|f|usd|eur|gbp|"
     "kilometers?|kilometres?|meters?|metres?|centimeters?|centimetres?|miles?|feet|foot|inch|inches|yards?|kilograms?|grams?|pounds?|ounces?|tons?|"
@@ -165,11 +167,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         .agg(
             F.first("n_item").alias("n_item"),
             F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n_covered"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("firm")))).alias("n_firm"),
             F.sum(F.size("slots")).alias("n_slots"),
             F.sum(F.size(F.filter("slots", lambda s: ~s["was"].eqNullSafe(s["now"])))).alias("n_changed"),
         )
     )
-    return judged.where((F.col("n_covered") >= COVERAGE * F.col("n_item")) | (F.col("n_covered") >= RUN)).select(
+    return judged.where((F.col("n_firm") >= COVERAGE * F.col("n_item")) | (F.col("n_covered") >= RUN)).select(
         "doc_id", "doc_key", "item_id",
         F.when(F.col("n_changed") > 0, "reparameterised").otherwise("exact").alias("kind"),
         F.col("n_item").cast("long").alias("n_item"), F.col("n_covered").cast("long").alias("n_covered"),
@@ -190,11 +193,40 @@ def _slots(positions: Column, kind: int) -> Column:
     )
 
 
+def _of_kind(kind: int) -> Column:
+    return F.filter("at", lambda a: a["kind"] == kind)
+
+
+def _conflicting(pairs: str) -> Column:
+    """Values that map to two."""
+    twice = F.filter(pairs, lambda x: F.exists(pairs, lambda y: (x["was"] == y["was"]) & ~x["now"].eqNullSafe(y["now"])))
+    return F.array_distinct(F.transform(twice, lambda x: x["was"]))
+
+
+def _kept(kind: int) -> Column:
+    """The windows without a conflicting value, and those that equal the item's."""
+
+    def stays(a):
+        equal = F.slice("item_raw", a["item_pos"] + 1, a["width"]) == F.slice("doc_raw", a["item_pos"] + F.col("shift") + 1, a["width"])
+        values = F.transform(_slots(F.sequence(a["item_pos"], a["item_pos"] + a["width"] - 1), kind), lambda s: s["was"])
+        return equal | ~F.arrays_overlap(values, F.col(f"clash{kind}"))
+
+    return F.when(F.size(f"clash{kind}") == 0, F.col(f"own{kind}")).otherwise(F.filter(f"own{kind}", stays))
+
+
 def _judged(lines: DataFrame) -> DataFrame:
-    """Adds the covered item positions and the slots of every consistent diagonal."""
-    df = lines.withColumn("slots", _slots(_positions(F.filter("at", lambda a: a["kind"] == TYPED)), TYPED))
-    pairs = F.array_distinct(F.transform("slots", lambda s: F.struct(s["was"], s["now"])))
-    return df.where(F.size(pairs) == F.size(F.array_distinct(F.transform("slots", lambda s: s["was"])))).withColumn("covered", _positions(F.col("at")))
+    """Adds the item positions that count on each diagonal (covered), those of windows without a conflict (firm), and the slots.
+
+    A value conflicts if it maps to two. Windows that hold a conflicting value count only where they equal the item's.
+    """
+    df = lines
+    for k in TYPED_KINDS:
+        pairs = F.transform(_slots(_positions(F.col(f"own{k}")), k), lambda s: F.struct(s["was"], s["now"]))
+        df = df.withColumn(f"own{k}", _of_kind(k)).withColumn(f"pairs{k}", F.array_distinct(pairs)).withColumn(f"clash{k}", _conflicting(f"pairs{k}")).withColumn(f"kept{k}", _kept(k))
+    none, plain = F.slice("at", 1, 0), _of_kind(PLAIN)
+    firm = F.concat(F.when(F.size(f"clash{TYPED}") == 0, plain).otherwise(none), *[F.when(F.size(f"clash{k}") == 0, F.col(f"own{k}")).otherwise(none) for k in TYPED_KINDS])
+    slots = F.array_distinct(F.concat(*[_slots(_positions(F.col(f"kept{k}")), k) for k in TYPED_KINDS]))
+    return df.withColumn("covered", _positions(F.concat(plain, *[F.col(f"kept{k}") for k in TYPED_KINDS]))).withColumn("firm", _positions(firm)).withColumn("slots", slots)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -195,6 +195,14 @@ def test_copies_rich_in_numbers_are_caught(spark):
     assert got == {(1, 7): ("exact", 25)}
 
 
+def test_one_changed_value_does_not_hide_a_long_copy(spark):
+    words = sentence(random.Random(4), 120).split()
+    item = " ".join(["so", *words[:40], "for Anna", *words[40:80], "with 12 km", *words[80:], "and Anna left"])
+    got = verdicts(spark, [(1, item.replace("and Anna", "and Paul")), (2, item.replace("12 km", "12 kilometers")), (3, item.replace("Anna", "Paul"))], [(7, item)])
+    assert {k: v[0] for k, v in got.items()} == {(1, 7): "exact", (2, 7): "reparameterised", (3, 7): "reparameterised"}
+    assert all(n >= 120 for _, n in got.values())
+
+
 def test_contained_items_are_found(spark, documents):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
