@@ -183,7 +183,7 @@ def index_entries(shingles: np.ndarray, bounds: np.ndarray, keys: np.ndarray) ->
 
 
 def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, key, key2, sketch) of every row."""
+    """(doc_id, text_key, n_shingles, key, key2, sketch) of every row; text_key is a hash of the text."""
 
     def run(batches):
         for ids, body, offsets in text_chunks(batches):
@@ -191,9 +191,10 @@ def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             key, key2 = set_keys(shingles, bounds)
             ends = (np.arange(len(key) + 1) * BINS).astype(np.int32)
             sketch = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(set_sketches(shingles, bounds).tobytes())])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(key), pa.array(key2), sketch], ["doc_id", "n_shingles", "key", "key2", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids.field(0), ids.field(1), pa.array(np.diff(bounds)), pa.array(key), pa.array(key2), sketch], ["doc_id", "text_key", "n_shingles", "key", "key2", "sketch"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long, sketch binary")
+    named = id_and_text(docs, id_col, text_col).select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("id"), "text")
+    return named.mapInArrow(run, "doc_id long, text_key long, n_shingles long, key long, key2 long, sketch binary")
 
 
 def packed_index(docs: DataFrame, parts: int, text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -395,6 +396,11 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str,
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest linked id, itself included."""
+    return keyed_components(docs, id_col, text_col, words).drop("text_key")
+
+
+def keyed_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``similar_documents`` with the hash of each row's text, text_key."""
     spark = docs.sparkSession
     parts = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = stored(set_table(docs, id_col, text_col, words), "sets")
@@ -424,22 +430,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = sets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     full = named.where("n_shingles > 0")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = full.join(least, "root").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = full.join(least, "root").select("doc_id", "text_key", "n_shingles", "component_id")
+    return linked.unionByName(sets.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, that stand for their group: the smallest id of each component.
 
-    Rows that repeat an id and its text stay once; so do rows without an id that share a text. Rows with one id and
-    different texts all stay if the id is the smallest of their components.
+    Rows are judged by id and text: of rows with one id and different texts, or without an id, those stay whose component
+    has no smaller id. Rows that repeat an id and its text stay once; so do rows without an id that share a text.
     """
-    found = stored(similar_documents(docs), "components")
-    dropped = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("drop_id")).distinct()
+    found = stored(keyed_components(docs), "components")
+    dropped = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("own_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("own_key"))
     few = dropped.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("drop_id")), "left_anti")
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id"))
+    kept = docs.join(F.broadcast(dropped) if few else dropped, same, "left_anti")
+    twice = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"))
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, F.col("doc_id").cast("long").eqNullSafe(F.col("twice_id")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, F.col("doc_id").cast("long").eqNullSafe(F.col("twice_id")), "left_anti").unionByName(again)
+    again = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same, "left_anti").unionByName(again)

@@ -164,6 +164,13 @@ def test_one_document_of_each_group_stays(spark):
     assert jaccard.one_of_each_group(frame(spark, [])).count() == 0
 
 
+def test_rows_are_dropped_by_id_and_text(spark):
+    a, b, c = (sentence(random.Random(k), 30) for k in (21, 22, 23))
+    rows = [(5, a), (5, b), (3, b), (None, b + " more"), (None, c), (None, "lonely words here")]
+    kept = sorted((str(r.doc_id), r.text) for r in jaccard.one_of_each_group(frame(spark, rows)).collect())
+    assert kept == sorted([("5", a), ("3", b), ("None", c), ("None", "lonely words here")])
+
+
 # --- decontamination --------------------------------------------------------------------------------------------------
 
 ITEM = "We know that Anna walked 12 km to the market and bought 3 apples for Anna today."
