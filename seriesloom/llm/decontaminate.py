@@ -1,7 +1,8 @@
 """Benchmark passages in documents, also with other numbers, names and units: DataFrame functions only.
 
 Texts become templates: names inside a sentence, numbers and units after numbers turn into typed placeholders, everything
-else is a lower-cased word. Windows of ``WINDOW`` tokens are hashed and joined with those of the benchmark. Windows of one
+else is a lower-cased word. In a second template capitalised words that open a sentence, line or quotation are names too.
+White space of any kind and length is one blank. Windows of ``WINDOW`` tokens are hashed and joined with those of the benchmark. Windows of one
 document and item that lie on one diagonal (document position minus item position) are judged together: the values that
 fill the item's placeholders should map to one value each in the document. Windows with a value that maps to two count
 only where they equal the item's word for word. A document is contaminated by an item if windows of diagonals without
@@ -30,11 +31,11 @@ RUN = 25
 BROADCAST_ROWS = 1_000_000
 
 #: Marks before tokens, in this order, and the first character after them.
-NAME, NUMBER, UNIT, AFTER = "\ue000", "\ue001", "\ue002", "\ue003"
-MARKS = NAME + NUMBER + UNIT
-#: Kinds of windows: with placeholders, and of the words and numbers as they stand.
-TYPED, PLAIN = 1, 0
-TYPED_KINDS = (TYPED,)
+NAME, NUMBER, UNIT, OPENING, AFTER = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+MARKS = NAME + NUMBER + UNIT + OPENING
+#: Kinds of windows: of the words and numbers as they stand, with placeholders, and with all capitalised words as names.
+PLAIN, TYPED, OPENED = 0, 1, 2
+TYPED_KINDS = (TYPED, OPENED)
 KINDS = (*TYPED_KINDS, PLAIN)
 UNITS = (
     "km|cm|mm|nm|m|kg|mg|g|lb|lbs|oz|l|ml|s|ms|h|min|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|v|mv|j|kj|pa|kpa|k|c|f|usd|eur|gbp|"
@@ -44,9 +45,10 @@ UNITS = (
 
 
 def marked_tokens(text: Column) -> Column:
-    """Lower-cased words and numbers; names, numbers and units follow a mark of their kind."""
-    plain = F.replace(F.translate(F.coalesce(text, F.lit("")), MARKS, " " * len(MARKS)), F.lit("\u0130"), F.lit("I"))
-    named = F.regexp_replace(plain, r"\p{Lu}(?<=[\p{Ll}\p{N},;:] .)\p{Ll}+(?!\p{L})", NAME + "$0")
+    """Lower-cased words and numbers; names, numbers, units and capitalised words that open something follow a mark of their kind."""
+    plain = F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\s\p{{Z}}{MARKS}]+", " "), F.lit("\u0130"), F.lit("I"))
+    opened = F.regexp_replace(plain, r"\p{Lu}(?<!\p{L}.)\p{Ll}+(?!\p{L})", OPENING + "$0")
+    named = F.regexp_replace(opened, rf"{OPENING}(?<=[\p{{Ll}}\p{{N}},;:] .)", NAME)
     measured = F.regexp_replace(named, rf"(\p{{N}}+(?:[.,]\p{{N}}+)*)(?: ?((?i:{UNITS}))(?!\p{{L}}))?", f" {NUMBER}$1 {UNIT}$2 ")
     return F.regexp_extract_all(F.lower(measured), F.lit(rf"[{MARKS}]?(?:\p{{N}}+(?:[.,]\p{{N}}+)*|\p{{L}}+)"), F.lit(0))
 
@@ -57,37 +59,43 @@ def _without_mark(token: Column) -> Column:
 
 def _placeholder(token: Column, kind: int) -> Column:
     """Whether a marked token is a placeholder in windows of a kind."""
-    return F.lit(False) if kind == PLAIN else (token >= NAME) & (token < AFTER)
+    return F.lit(False) if kind == PLAIN else (token >= NAME) & (token < (AFTER if kind == OPENED else OPENING))
 
 
 def _token_hashes(tokens: Column) -> dict[int, Column]:
     """Hashes of the marked tokens, for each kind of window."""
     plain = F.transform(tokens, lambda t: F.xxhash64(_without_mark(t)))
     name, number, unit = (F.xxhash64(F.lit(m)) for m in (NAME, NUMBER, UNIT))
-    typed = F.zip_with(tokens, plain, lambda t, h: F.when((t < NAME) | (t >= AFTER), h).when(t < NUMBER, name).when(t < UNIT, number).otherwise(unit))
-    return {PLAIN: plain, TYPED: typed}
+    typed = F.zip_with(tokens, plain, lambda t, h: F.when((t < NAME) | (t >= OPENING), h).when(t < NUMBER, name).when(t < UNIT, number).otherwise(unit))
+    opened = F.zip_with(tokens, typed, lambda t, h: F.when((t >= OPENING) & (t < AFTER), name).otherwise(h))
+    return {PLAIN: plain, TYPED: typed, OPENED: opened}
 
 
-def _windows(hashes: Column, width: int) -> Column:
-    """Hash of every window of ``width`` tokens, in order; none for fewer tokens. Halves are hashed first."""
-    if width == 1:
-        return hashes
-    half = width // 2
-    parts = _windows(hashes, half)
-    rest = parts if width == 2 * half else _windows(hashes, width - half)
-    n = F.greatest(F.size(hashes) - (width - 1), F.lit(0))
-    return F.zip_with(F.slice(parts, F.lit(1), n), F.slice(rest, F.lit(half + 1), n), lambda a, b: F.xxhash64(a, b))
+def _joined(a: str, b: str, offset: int) -> Column:
+    """Hash of each entry of ``a`` with the entry of ``b`` that lies ``offset`` ahead."""
+    n = F.greatest(F.size(b) - offset, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(offset + 1), n), lambda x, y: F.xxhash64(x, y))
 
 
 def _with_hashes(df: DataFrame, tokens: str, width: int) -> DataFrame:
-    """Adds the window hashes of each kind as w0, w1 ...; null where a kind repeats the typed window."""
+    """Adds the hashes of all windows of each kind as w0, w1 ...; null where a kind repeats the typed window, none if it always does."""
     # One projection for each level: an expression that is used twice is not computed twice.
     df = df.withColumns({f"h{k}": c for k, c in _token_hashes(F.col(tokens)).items()})
-    same = {k: F.col(f"h{k}") == F.col(f"h{TYPED}") for k in KINDS}
-    none = F.array().cast("array<bigint>")
-    df = df.withColumns({f"w{k}": _windows(F.col(f"h{k}"), width) if k == TYPED else F.when(same[k], none).otherwise(_windows(F.col(f"h{k}"), width)) for k in KINDS})
+    typed, none = F.col(f"h{TYPED}"), F.array().cast("array<bigint>")
+    df = df.withColumns({f"p{k}_1": typed if k == TYPED else F.when(F.col(f"h{k}") == typed, none).otherwise(F.col(f"h{k}")) for k in KINDS})
+    made = 1
+    while 2 * made <= width:
+        df = df.withColumns({f"p{k}_{2 * made}": _joined(f"p{k}_{made}", f"p{k}_{made}", made) for k in KINDS})
+        made *= 2
+    df = df.withColumns({f"w{k}": F.col(f"p{k}_{made}") for k in KINDS})
+    done, bit = made, made // 2
+    while bit:
+        if width & bit:
+            df = df.withColumns({f"w{k}": _joined(f"w{k}", f"p{k}_{bit}", done) for k in KINDS})
+            done += bit
+        bit //= 2
     own = {f"w{k}": F.when(F.size(f"w{k}") > 0, F.zip_with(f"w{k}", f"w{TYPED}", lambda a, b: F.when(a != b, a))).otherwise(F.col(f"w{k}")) for k in KINDS if k != TYPED}
-    return df.withColumns(own).drop(*[f"h{k}" for k in KINDS])
+    return df.withColumns(own).select(*[c for c in df.columns if c[0] not in "hpw" or not c[1:2].isdigit()], *[f"w{k}" for k in KINDS])
 
 
 def _literals(tokens: Column, n: Column, width: int, kind: int) -> Column:
@@ -104,8 +112,10 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
         .withColumn("n_item", F.size("item_tokens"))
         .where(F.col("n_item") >= SHORTEST)
     )
+    items = stored(items, "benchmark-items")
     parts = []
-    for width in range(SHORTEST, WINDOW + 1):
+    # An empty benchmark has the columns of any width.
+    for width in sorted(r[0] for r in items.select(F.least("n_item", F.lit(WINDOW))).distinct().collect()) or [WINDOW]:
         own = items.where(F.col("n_item") == width) if width < WINDOW else items.where(F.col("n_item") >= WINDOW)
         hashed = _with_hashes(own, "item_tokens", width)
         for kind in KINDS:

@@ -210,6 +210,18 @@ def test_one_changed_value_does_not_hide_a_long_copy(spark):
     assert all(n >= 120 for _, n in got.values())
 
 
+def test_names_that_open_sentences_line_breaks_and_case(spark):
+    pets = "Anna has 3 cats. Ben has 4 dogs. Carl has 5 birds. How many pets are there?"
+    named = "Yesterday Anna met Ben, Carl and Dora in Paris, then Emil, Fritz and Gerda went to Rome with Hans and Ida, said Jon."
+    rows = [
+        (1, "Emma has 7 cats. Noah has 9 dogs. Otto has 2 birds. How many pets are there?"), (2, "Emma has 7 cats. Noah sees nothing at all. Otto had birds. How many are there now?"),
+        (3, named.replace(" ", "\n")), (4, named.lower()), (5, named.replace(" ", "\u00a0 \r\n")),
+    ]
+    got = verdicts(spark, rows, [(7, pets), (8, named)])
+    assert {k: v[0] for k, v in got.items()} == {(1, 7): "reparameterised", (3, 8): "exact", (4, 8): "exact", (5, 8): "exact"}
+    assert got[1, 7][1] == 17 and got[4, 8][1] == 23
+
+
 def test_contained_items_are_found(spark, documents):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
