@@ -42,7 +42,7 @@ def spark_result(df):
 def sql_result(con, sql):
     rel = con.sql(sql)
     names, types = rel.columns, [str(t) for t in rel.types]
-    arrow = {"VARCHAR": "string", "BIGINT": "int64", "DOUBLE": "double", "INTEGER": "int32"}
+    arrow = {"VARCHAR": "string", "BIGINT": "int64", "DOUBLE": "double", "INTEGER": "int32", "BOOLEAN": "bool"}
     return names, rel.fetchall(), {c: arrow.get(t, t.strip('"')) for c, t in zip(names, types, strict=True)}
 
 
