@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from seriesloom.llm import bpe, chat, decontaminate, fingerprint, jaccard, licenses, quality, repeats, tokencount, urlfilter
+from seriesloom.llm import alignment, bpe, chat, decontaminate, fingerprint, jaccard, licenses, merkle, quality, repeats, simhash, tokencount, urlfilter
 from seriesloom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -145,11 +145,70 @@ def op10_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= quality.ACCEPTED, 1).otherwise(0).alias("predicted"), "n_lines", "n_bad_lines")
 
 
+def op11_simhash(spark, sf_dir):
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark, sf_dir):
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    checked = merkle.proofs(merkle.document_manifest(table(spark, sf_dir, "documents"), tampered))
+    return checked.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _sql_field(value):
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _sql_leaf(text):
+    return "sha256(" + " || ".join(_sql_field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: CRC-32 of the decimal doc_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)))"""
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, lang, {_sql_leaf("text")} AS leaf,
+        CASE WHEN {_CRC} % 3 = 0 THEN {_sql_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_sql_leaf("text")} END AS claim
+    FROM documents
+), p AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d
+), up(lang, level, pos, n, digest) AS (
+    SELECT lang, 0, pos, n, leaf FROM p
+    UNION ALL SELECT lang, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lang, level, n, pos // 8
+), sub AS (
+    SELECT lang, level AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), top(level, pos, n, digest) AS (
+    SELECT 0, pos, n, subroot FROM sub
+    UNION ALL SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, n, pos // 8
+), nodes AS (
+    SELECT s.pos AS tree, level, u.pos, u.n, digest FROM up u JOIN sub s ON u.lang IS NOT DISTINCT FROM s.lang UNION ALL SELECT -1, level, pos, n, digest FROM top
+), near AS (
+    SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+    FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY a.tree, a.level, a.pos
+), steps AS (
+    SELECT row_number() OVER () AS k, p.*, s.pos AS tree, height, subroot FROM p JOIN sub s ON p.lang IS NOT DISTINCT FROM s.lang
+), folded(k, done, proof, node) AS (
+    SELECT k, 0, '', claim FROM steps
+    UNION ALL SELECT f.k, done + 1, proof || l || r, sha256(l || node || r) FROM folded f JOIN steps s ON f.k = s.k
+    JOIN near ON near.tree = CASE WHEN done < height THEN s.tree ELSE -1 END AND near.level = CASE WHEN done < height THEN done ELSE done - height END
+        AND near.pos = CASE WHEN done < height THEN s.pos ELSE s.tree END // CAST(8 ** (CASE WHEN done < height THEN done ELSE done - height END) AS BIGINT)
+)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = (SELECT digest FROM top WHERE n = 1) AS verified
+FROM folded f JOIN steps s ON f.k = s.k QUALIFY row_number() OVER (PARTITION BY f.k ORDER BY done DESC) = 1
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_chat_formatting, op3_license_scan, op4_url_filter, op5_token_counts,
         op6_document_fingerprints, op7_byte_bpe, op8_suffix_dedup, op9_ngram_jaccard, op10_quality_classifier,
+        op11_simhash, op12_tokenizer_alignment, op13_merkle_manifest,
     )
 }
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op4_url_filter": OP4_SQL, "op8_suffix_dedup": OP8_SQL, "op9_ngram_jaccard": OP9_SQL}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op4_url_filter": OP4_SQL, "op8_suffix_dedup": OP8_SQL, "op9_ngram_jaccard": OP9_SQL, "op13_merkle_manifest": OP13_SQL}
