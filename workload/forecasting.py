@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import metrics as M
 from seriesloom.operators import forecast as FC
 from seriesloom.operators import scoring, splits, tsstats
+from seriesloom.operators import walkforward as WF
 from seriesloom.operators.impute import join_on_keys
 from seriesloom.session import reliable_checkpoint
 from workload import panels as P
@@ -138,6 +139,47 @@ def walk_forward_drift(spark, folder):
     return shown(out.select("k", "d", "actual", "predicted"))
 
 
+# Origins every 3 weeks from 26 weeks before the end on, 4 weeks ahead; the latest origin of a date counts.
+_WALK = f"""{SUP}, p AS (SELECT k, d, y, row_number() OVER (PARTITION BY k ORDER BY d) AS i, count(*) OVER (PARTITION BY k) AS n FROM filled)"""
+_WALKED = f""", f AS (SELECT st.k, st.i + h AS i, st.i AS src, {{forecast}} AS v FROM st, range(1, 5) t(h) WHERE st.i >= st.n - 26 AND st.i + 4 <= st.n AND (st.i - (st.n - 26)) % 3 = 0 AND st.n > 26),
+ g AS (SELECT k, i, arg_max(v, src) AS v, max(src) AS src FROM f WHERE v IS NOT NULL GROUP BY k, i)
+SELECT p.k, {s("p.d")} AS d, {r("p.y")} AS actual, {r("g.v")} AS predicted, {s("q.d")} AS origin, {n("p.i - g.src")} AS horizon
+FROM g JOIN p ON p.k = g.k AND p.i = g.i JOIN p q ON q.k = g.k AND q.i = g.src"""
+
+
+def _walked(spark, folder, forecaster):
+    return shown(WF.walk_forward(P.supplier_week_full(spark, folder), P.WEEKLY, forecaster, 26, 3, 4))
+
+
+@query("walk_forward_seasonal_naive", f"{_WALK}, st AS (SELECT * FROM p)" + _WALKED.format(forecast="(SELECT y FROM p z WHERE z.k = st.k AND z.i = st.i - 13 + h AND st.i >= 13)"))
+def walk_forward_seasonal_naive(spark, folder):
+    return _walked(spark, folder, WF.seasonal_naive(13))
+
+
+@query(
+    "walk_forward_croston",
+    f"""{_WALK}, st AS (
+ SELECT k, i, n, CAST(y > 0 AS INT) AS m, CASE WHEN y > 0 THEN CAST(y AS DOUBLE) END AS z, CASE WHEN y > 0 THEN CAST(1 AS DOUBLE) END AS q, CASE WHEN y > 0 THEN 0 ELSE 1 END AS gap, CASE WHEN y > 0 THEN CAST(y AS DOUBLE) END AS last FROM p WHERE i = 1
+ UNION ALL SELECT p.k, p.i, p.n, m + CAST(p.y > 0 AS INT), CASE WHEN p.y <= 0 THEN z WHEN m = 0 THEN p.y ELSE z + 0.2 * (p.y - z) END,
+  CASE WHEN p.y <= 0 THEN q WHEN m = 0 THEN gap + 1 ELSE q + 0.2 * (gap + 1 - q) END, CASE WHEN p.y > 0 THEN 0 ELSE gap + 1 END, CASE WHEN p.y > 0 THEN p.y ELSE last END
+  FROM st JOIN p ON p.k = st.k AND p.i = st.i + 1)"""
+    + _WALKED.format(forecast="CASE WHEN m = 0 THEN 0 WHEN m = 1 THEN last / st.i ELSE z / q * 0.9 END"),
+)
+def walk_forward_croston(spark, folder):
+    return _walked(spark, folder, WF.croston(0.2, "sba"))
+
+
+@query(
+    "walk_forward_holt",
+    f"""{_WALK}, st AS (
+ SELECT a.k, CAST(1 AS BIGINT) AS i, a.n, CAST(a.y AS DOUBLE) AS l, CAST(b.y - a.y AS DOUBLE) AS t FROM p a JOIN p b ON a.k = b.k AND a.i = 1 AND b.i = 2
+ UNION ALL SELECT p.k, p.i, p.n, l + 0.9 * t + 0.3 * (p.y - l - 0.9 * t), 0.9 * t + 0.3 * 0.1 * (p.y - l - 0.9 * t) FROM st JOIN p ON p.k = st.k AND p.i = st.i + 1)"""
+    + _WALKED.format(forecast="l + t * 0.9 * (1 - pow(0.9, h)) / (1 - 0.9)"),
+)
+def walk_forward_holt(spark, folder):
+    return _walked(spark, folder, WF.smoothing(0.3, 0.1, 0.9))
+
+
 # --- forecasters -----------------------------------------------------------------------
 
 _BASE = f"""{SPLIT}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC) AS b FROM train),
