@@ -1,131 +1,180 @@
 """Exact order statistics over whole tables without a single-task sort.
 
-A rank over a table has no natural partition key. Here a bounded number of
-split points (a sketch or a hash-ordered sample) cuts the value range into
-buckets. Ranks are local to a bucket plus the sizes of the buckets before it.
-The split points only decide how even the buckets are, never the result.
+Ranks over a table have no natural partition key. Here distinct values are dealt by range once and stored, so that every
+partition is a stretch of the order; a rank is local to its stretch plus the sizes of the stretches before it, of which
+there is one number per partition. Quantiles need no order of the table at all: rounds of counts narrow a bracket around
+each rank until what is left inside is small.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.operators.impute import join_on_keys
+from seriesloom.session import reliable_checkpoint
+
 SKETCH_ACCURACY = 10_000
-MAX_SPLIT_POINTS = 1000
+#: Values of one bracket that a single task may hold and sort, whatever the size of the table.
+FINAL_VALUES = 50_000
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Linear-interpolation quantiles of whole columns: ``(column, prob, value)``.
+# --- quantiles -------------------------------------------------------------------------
 
-    One sketch pass brackets every quantile between two data values, the second
-    pass counts what lies below a bracket and keeps only the values inside it,
-    already reduced to (value, count). The driver sees two numbers per quantile.
-    """
-    margin = 3.0 / SKETCH_ACCURACY
-    edges = [p for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    sketch = df.agg(*[F.percentile_approx(c, edges, SKETCH_ACCURACY).alias(f"e{i}") for i, c in enumerate(cols)]).first()
-    brackets = [
-        (c, p, sketch[i][2 * j], sketch[i][2 * j + 1])
-        for i, c in enumerate(cols)
-        if sketch[i] is not None
-        for j, p in enumerate(probs)
-    ]
-    if not brackets:
-        return df.sparkSession.createDataFrame([], "column string, prob double, value double")
-
-    value = {c: F.col(c).cast("double") for c in cols}
-    sizes, hits = [], []
-    for c, p, lo, hi in brackets:
-        v, low = value[c], F.lit(lo).cast("double")
-        ident = (F.lit(c).alias("column"), F.lit(p).alias("prob"))
-        sizes.append(F.struct(*ident, F.count(v).alias("total"), F.count(F.when(v < low, 1)).alias("under")))
-        hits.append(F.when(v.between(low, F.lit(hi).cast("double")), F.struct(*ident, v.alias("v"))))
-    # One row of counts per quantile; rows outside all brackets leave no trace beyond them.
-    totals = df.agg(F.array(*sizes).alias("_s")).select(F.inline("_s"))
-    inside = df.select(F.explode(F.array_compact(F.array(*hits))).alias("r")).select("r.*")
-    counts = inside.groupBy("column", "prob", "v").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("column", "prob").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        counts.withColumn("upto", F.sum("n").over(running))
-        .join(F.broadcast(totals), ["column", "prob"])
-        .withColumn("last", F.col("under") + F.col("upto") - 1)
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-    )
-    h = (F.col("total") - 1) * F.col("prob")
-    k = F.floor(h)
-    at_k = F.max(F.when((F.col("first") <= k) & (k <= F.col("last")), F.col("v")))
-    at_next = F.max(F.when((F.col("first") <= k + 1) & (k + 1 <= F.col("last")), F.col("v")))
-    part = F.max(h - k)
-    missed = at_k.isNull() | ((part > 0) & at_next.isNull())
-    exact = F.when(missed, F.raise_error("quantile bracket missed").cast("double")).otherwise(
-        at_k + F.when(part > 0, part * (at_next - at_k)).otherwise(F.lit(0.0))
-    )
-    return placed.groupBy("column", "prob").agg(exact.alias("value"))
 
+@dataclass(frozen=True)
+class Bracket:
+    """The value of rank ``rank`` (from 0) of a column lies strictly between ``lo`` and ``hi`` (None: no bound).
 
-def split_points(values: DataFrame, order: Sequence[str]) -> list:
-    """Rows picked by hash, in sort order: one per shuffle partition, at most 1000."""
-    partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = min(partitions, MAX_SPLIT_POINTS)
-    picked = values.select(*order).orderBy(F.xxhash64(*order)).limit(n).collect()
-    return sorted((tuple(r) for r in picked), key=lambda t: tuple((x is not None, x) for x in t))
+    ``below`` values are at or under ``lo``, ``inner`` inside. ``found`` is the value itself, once it is known.
+    """
+
+    column: str
+    rank: int
+    below: int
+    inner: int
+    lo: float | None = None
+    hi: float | None = None
+    found: float | None = None
+
+    def inside(self) -> Column:
+        v = F.col(self.column).cast("double")
+        out = v.isNotNull()
+        if self.lo is not None:
+            out = out & (v > F.lit(self.lo))
+        return out & (v < F.lit(self.hi)) if self.hi is not None else out
+
+    def probes(self) -> list[float]:
+        """Shares of the bracket between which the rank lies with certainty, but for the sketch's error."""
+        margin, at = 3.0 / SKETCH_ACCURACY, self.rank - self.below
+        return [max(0.0, at / self.inner - margin), min(1.0, (at + 1) / self.inner + margin)]
+
+    def narrowed(self, a: float, b: float, under: int, at_a: int, between: int, at_b: int) -> Bracket:
+        """After counting what lies under probe ``a``, at it, between, and at ``b``: whichever part holds the rank."""
+        at = self.rank - self.below
+        if at < under:
+            return replace(self, hi=a, inner=under)
+        if at < under + at_a:
+            return replace(self, found=a)
+        if at < under + at_a + between:
+            return replace(self, lo=a, hi=b, below=self.below + under + at_a, inner=between)
+        if at < under + at_a + between + at_b:
+            return replace(self, found=b)
+        less = under + at_a + between + at_b
+        return replace(self, lo=b, below=self.below + less, inner=self.inner - less)
+
+
+def _same(a: float, b: float) -> bool:
+    return a == b or (math.isnan(a) and math.isnan(b))
+
+
+def _counted(df: DataFrame, brackets: Sequence[Bracket], probes: Sequence[Sequence[float]]) -> list[Bracket]:
+    """One pass: four counts for each bracket."""
+    aggs = []
+    for i, (b, (lo, hi)) in enumerate(zip(brackets, probes, strict=True)):
+        v, low, high = F.col(b.column).cast("double"), F.lit(lo), F.lit(hi)
+        parts = [v < low, v == low, (v > low) & (v < high), (v == high) & F.lit(not _same(lo, hi))]
+        aggs += [F.count(F.when(b.inside() & p, 1)).alias(f"n{i}_{j}") for j, p in enumerate(parts)]
+    row = df.agg(*aggs).first()
+    return [b.narrowed(*p, *row[4 * i : 4 * i + 4]) for i, (b, p) in enumerate(zip(brackets, probes, strict=True))]
+
+
+def values_inside(df: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
+    """(i, value): the value of each bracket's rank, from the at most ``FINAL_VALUES`` values inside."""
+    hits = [F.when(b.inside(), F.struct(F.lit(i).alias("i"), F.col(b.column).cast("double").alias("v"))) for i, b in enumerate(brackets)]
+    at = F.array(*[F.lit(b.rank - b.below) for b in brackets])
+    inside = df.select(F.inline(F.array_compact(F.array(*hits))))
+    sorted_ = inside.groupBy("i").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    return sorted_.select("i", F.get("vs", F.get(at, F.col("i"))).alias("value"))
+
+
+def ranked_values(df: DataFrame, wanted: Sequence[tuple[str, Sequence[float]]]) -> dict[tuple[str, int], float]:
+    """Values at the ranks that linear interpolation of the given probabilities reads: ``{(column, rank): value}``.
+
+    Jobs: one sketch of all columns, one count for all brackets, one for the values left inside. Each further 1600-fold of
+    ``FINAL_VALUES`` in a column without ties adds a sketch and a count.
+    """
+    edges = {c: [p for q in probs for p in (max(q - 3.0 / SKETCH_ACCURACY, 0.0), min(q + 3.0 / SKETCH_ACCURACY, 1.0))] for c, probs in wanted}
+    first = df.agg(*[x for c, _ in wanted for x in (F.count(c), F.percentile_approx(F.col(c).cast("double"), edges[c], SKETCH_ACCURACY))]).first()
+    brackets, probes = [], []
+    for i, (c, probs) in enumerate(wanted):
+        total, sketch = first[2 * i], first[2 * i + 1]
+        seen: set[int] = set()
+        for j, q in enumerate(probs if total else ()):
+            k = math.floor((total - 1) * q)
+            for rank in {k, min(k + 1, total - 1)} - seen:
+                seen.add(rank)
+                brackets.append(Bracket(c, rank, 0, total))
+                probes.append(sketch[2 * j : 2 * j + 2])
+    while brackets:
+        done = [b for b in brackets if b.found is not None or b.inner <= FINAL_VALUES]
+        if len(done) == len(brackets):
+            break
+        if probes is None:
+            open_ = [b for b in brackets if b not in done]
+            sketches = df.agg(*[F.percentile_approx(F.when(b.inside(), F.col(b.column).cast("double")), b.probes(), SKETCH_ACCURACY) for b in open_]).first()
+            brackets = done + _counted(df, open_, list(sketches))
+        else:
+            brackets, probes = _counted(df, brackets, probes), None
+    rest = [b for b in brackets if b.found is None]
+    values = {(b.column, b.rank): b.found for b in brackets if b.found is not None}
+    if rest:
+        values |= {(rest[r["i"]].column, rest[r["i"]].rank): r["value"] for r in values_inside(df, rest).collect()}
+    return values | {(c, -1): first[2 * i] for i, (c, _) in enumerate(wanted)}
 
 
-def bucket_of(columns: Sequence[Column], points: Sequence[tuple], types: Sequence[str]) -> Column:
-    """Number of split points at or before the row (lexicographic, nulls first).
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Linear-interpolation quantiles of whole columns: ``(column, prob, value)``; a column without values has no row.
 
-    A balanced tree of comparisons, so it stays inside generated code.
+    Computed when called: the driver sees a few counts and two values per quantile.
     """
-    single = len(types) == 1
-    if single:
-        points = [p for p in points if p[0] is not None]
-    parts = [c.cast(t) for c, t in zip(columns, types, strict=True)]
-    row = parts[0] if single else F.struct(*parts)
+    values = ranked_values(df, [(c, probs) for c in cols])
+    rows = []
+    for c in cols:
+        total = values[c, -1]
+        for q in probs if total else ():
+            h = (total - 1) * q
+            k = math.floor(h)
+            low, high = values[c, k], values[c, min(k + 1, total - 1)]
+            rows.append((c, float(q), low + (h - k) * (high - low) if h > k else low))
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
+
+
+# --- ranks -----------------------------------------------------------------------------
 
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        values = [F.lit(x).cast(t) for x, t in zip(points[mid], types, strict=True)]
-        bound = values[0] if single else F.struct(*values)
-        return F.when(row < bound, search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    tree = search(0, len(points))
-    return F.when(row.isNull(), 0).otherwise(tree) if single else tree
+def in_ranges(values: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows, stored in stretches of their order, with the number of the stretch in ``_part``."""
+    return reliable_checkpoint(values.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
 
 
-def running_total(values: DataFrame, order: Sequence[str], weight: str | None, name: str) -> DataFrame:
-    """Adds ``name``: the weight (or count) of all rows up to and including this one.
+def running_total(values: DataFrame, order: Sequence[str], weight: str | None, name: str, group: Sequence[str] = (), keep_part: bool = False) -> DataFrame:
+    """Adds ``name``: the weight (or count) of all rows of the group up to and including this one.
 
-    Rows must be distinct in ``order``.
+    Rows must be distinct in ``group`` and ``order``. The rows are stored when this is called, in as many ranges as there
+    are shuffle partitions; ``keep_part`` leaves the number of the range in ``_part``.
     """
-    types = [values.schema[c].dataType.simpleString() for c in order]
-    bucketed = values.withColumn("_b", bucket_of([F.col(c) for c in order], split_points(values, order), types))
+    group = list(group)
+    parts = in_ranges(values, [*group, *order])
     w = F.col(weight) if weight else F.lit(1)
-    sizes = bucketed.groupBy("_b").agg(F.sum(w).alias("_w"))
-    # At most MAX_SPLIT_POINTS + 1 entries, so collecting and broadcasting them is bounded.
-    listed = sizes.agg(F.collect_list(F.struct("_b", "_w")).alias("_sizes"))
-    before = F.transform(
-        "_sizes",
-        lambda b: F.struct(
-            b["_b"].alias("_b"),
-            F.aggregate(
-                F.filter("_sizes", lambda s: s["_b"] < b["_b"]), F.lit(0).cast("bigint"), lambda a, s: a + s["_w"]
-            ).alias("_before"),
-        ),
-    )
-    offsets = listed.select(F.inline(before))
-    local = F.sum(w).over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    placed = bucketed.withColumn("_local", local).join(F.broadcast(offsets), "_b")
-    return placed.withColumn(name, F.col("_local") + F.col("_before")).drop("_b", "_local", "_before")
-
-
-def average_rank(values: DataFrame, value: str, weight: str, name: str) -> DataFrame:
+    sizes = parts.groupBy("_part", *group).agg(F.sum(w).alias("_w"))
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each range, and for each group inside one.
+    offsets = sizes.select("_part", *group, F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_before"))
+    local = F.sum(w).over(Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    counted = parts.withColumn("_local", local)
+    placed = join_on_keys(counted, offsets, ["_part", *group]) if group else counted.join(F.broadcast(offsets), "_part")
+    total = placed.withColumn(name, F.col("_local") + F.col("_before")).drop("_local", "_before")
+    return total if keep_part else total.drop("_part")
+
+
+def average_rank(values: DataFrame, value: str, weight: str, name: str, group: Sequence[str] = ()) -> DataFrame:
     """Average rank (ties share the middle) of distinct values with their counts."""
-    ranked = running_total(values, [value], weight, "_upto")
+    ranked = running_total(values, [value], weight, "_upto", group)
     return ranked.withColumn(name, F.col("_upto") - (F.col(weight) - 1) / 2.0).drop("_upto")
 
 
@@ -133,13 +182,12 @@ def grouped_quantiles(df: DataFrame, group: str, col: str, probs: Sequence[float
     """Linear-interpolation quantiles per group: ``(group, prob, value)``.
 
     Positions come from one running total over (group, value) counts, so a group
-    that holds most of the rows is spread over the buckets.
+    that holds most of the rows is spread over the ranges.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(group, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    placed = running_total(counts, [group, "_v"], "_n", "_upto")
-    ends = placed.groupBy(group).agg(F.min(F.col("_upto") - F.col("_n")).alias("_from"), F.sum("_n").alias("_total"))
-    ends = ends.withColumnRenamed(group, "_group")
-    rows = placed.join(ends, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_last", F.col("_upto") - F.col("_from") - 1)
+    placed = running_total(counts, ["_v"], "_n", "_upto", [group])
+    totals = placed.groupBy(group).agg(F.sum("_n").alias("_total"))
+    rows = join_on_keys(placed, totals, [group]).withColumn("_last", F.col("_upto") - 1)
     rows = rows.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
     h = (F.col("_total") - 1) * F.col("prob")
     k = F.floor(h)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from seriesloom.functions.statistics import adjusted_kurtosis, adjusted_skewness, count_where, percent, variation
 from seriesloom.operators.demand import adi, cv2
-from seriesloom.operators.exact import average_rank, bucket_of, exact_quantiles, grouped_quantiles, running_total, split_points
+from seriesloom.operators.exact import average_rank, exact_quantiles, grouped_quantiles, running_total
 from seriesloom.operators.impute import join_on_keys
 from seriesloom.spec import PanelSpec
 
@@ -240,55 +240,63 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, method:
         return row.select(F.inline("_c"))
     if method not in ("spearman", "kendall"):
         raise ValueError(f"unknown correlation: {method}")
-    one = _spearman if method == "spearman" else _kendall
-    out = None
-    for a, b in pairs:
-        part = one(df, a, b).select(F.lit(a).alias("x"), F.lit(b).alias("y"), "corr")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    return (
-        df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-        .dropna()
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n"))
-    )
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "x string, y string, corr double")
+    found = (_spearman if method == "spearman" else _kendall)(_contingency(df, pairs))
+    names = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs])
+    listed = df.sparkSession.range(1).select(F.posexplode(names).alias("pair", "_n")).select("pair", "_n.*")
+    return listed.join(found, "pair", "left").select("x", "y", "corr")
+
+
+def _contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(pair, a, b, n): distinct value pairs of all column pairs with their counts, in one pass; rows lacking either are left out."""
+    cells = []
+    for i, names in enumerate(pairs):
+        a, b = (F.col(c).cast("double") for c in names)
+        whole = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+        cells.append(F.when(whole, F.struct(F.lit(i).alias("pair"), a.alias("a"), b.alias("b"))))
+    return df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("pair", "a", "b").agg(F.count("*").alias("n"))
+
+
+def _margins(cells: DataFrame) -> DataFrame:
+    """(pair, side, v, m): the values of both sides of every pair with their counts."""
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("a", "b")])
+    return cells.select("pair", "n", F.inline(sides)).groupBy("pair", "side", "v").agg(F.sum("n").alias("m"))
+
 
+def _spearman(cells: DataFrame) -> DataFrame:
+    """Pearson correlation of average ranks per pair, on distinct value pairs with their counts.
 
-def _spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson correlation of average ranks, on distinct value pairs with their counts."""
-    cells = _contingency(df, a, b)
+    One rank index holds both sides of all pairs.
+    """
+    index = average_rank(_margins(cells), "v", "m", "rank", ["pair", "side"])
     for c in ("a", "b"):
-        margin = cells.groupBy(c).agg(F.sum("n").alias("m"))
-        cells = cells.join(average_rank(margin, c, "m", f"r{c}").select(c, f"r{c}"), c)
+        own = index.where(F.col("side") == c).select("pair", F.col("v").alias(c), F.col("rank").alias(f"r{c}"))
+        cells = cells.join(own, ["pair", c])
     n, x, y = F.sum("n"), F.sum(F.col("n") * F.col("ra")), F.sum(F.col("n") * F.col("rb"))
-    sums = cells.agg(
+    sums = cells.groupBy("pair").agg(
         n.alias("n"), x.alias("x"), y.alias("y"),
         F.sum(F.col("n") * F.col("ra") * F.col("ra")).alias("xx"),
         F.sum(F.col("n") * F.col("rb") * F.col("rb")).alias("yy"),
         F.sum(F.col("n") * F.col("ra") * F.col("rb")).alias("xy"),
     )
-    return sums.selectExpr(
-        "try_divide(n*xy - x*y, sqrt(n*xx - x*x) * sqrt(n*yy - y*y)) AS corr"
-    )
+    return sums.selectExpr("pair", "try_divide(n*xy - x*y, sqrt(n*xx - x*x) * sqrt(n*yy - y*y)) AS corr")
 
 
-def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Kendall tau-b from counts of concordant pairs, without forming pairs.
+def _kendall(cells: DataFrame) -> DataFrame:
+    """Kendall tau-b per pair from counts of concordant pairs of rows, without forming them.
 
     Two cells with different ``b`` differ first at one bit of the dense rank of
     ``b``. Per bit and shared higher bits, the pairs ordered by ``a`` are counted
-    with running sums: n log n work. Running sums use slices of ``a`` so that the
-    level where all cells share one group is not one task.
+    with running sums: n log n work. Running sums stay inside the rank index's
+    stretches of ``a``, so that the level where all cells share one group is not one task.
     """
-    cells = _contingency(df, a, b)
-    order = running_total(cells.select("b").distinct(), ["b"], None, "rb")
-    cells = cells.join(order, "b")
-    points = split_points(cells.select("a").distinct(), ["a"])
-    # One row: as many levels as the highest rank has bits.
-    top = order.agg(F.coalesce(F.length(F.bin(F.max("rb"))), F.lit(1)).alias("_bits"))
+    index = running_total(_margins(cells), ["v"], None, "dense", ["pair", "side"], keep_part=True)
+    sides = {c: index.where(F.col("side") == c) for c in ("a", "b")}
+    cells = cells.join(sides["b"].select("pair", F.col("v").alias("b"), F.col("dense").alias("rb")), ["pair", "b"])
+    cells = cells.join(sides["a"].select("pair", F.col("v").alias("a"), F.col("_part").alias("slice")), ["pair", "a"])
+    # A row for each pair: as many levels as its highest rank has bits.
+    top = sides["b"].groupBy("pair").agg(F.length(F.bin(F.max("dense"))).alias("_bits"))
     bits = F.transform(
         F.sequence(F.lit(0), F.col("_bits") - 1),
         lambda k: F.struct(
@@ -297,31 +305,28 @@ def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
             F.call_function("shiftright", F.col("rb"), k).bitwiseAND(F.lit(1)).cast("int").alias("bit"),
         ),
     )
-    levels = cells.join(F.broadcast(top)).select("a", "n", F.inline(bits))
-    grouped = levels.groupBy("level", "prefix", "a").agg(
+    levels = cells.join(F.broadcast(top), "pair").select("pair", "a", "slice", "n", F.inline(bits))
+    group = ["pair", "level", "prefix"]
+    grouped = levels.groupBy(*group, "slice", "a").agg(
         F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
         F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-    ).withColumn("slice", bucket_of([F.col("a")], points, ["double"]))
-    within = Window.partitionBy("level", "prefix", "slice").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    within = Window.partitionBy(*group, "slice").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
     local = grouped.withColumn("z0", F.coalesce(F.sum("zeros").over(within), F.lit(0))).withColumn(
         "o0", F.coalesce(F.sum("ones").over(within), F.lit(0))
     )
-    slices = local.groupBy("level", "prefix", "slice").agg(
+    slices = local.groupBy(*group, "slice").agg(
         F.sum("zeros").alias("z"), F.sum("ones").alias("o"),
         F.sum(F.col("ones") * F.col("z0")).alias("up"), F.sum(F.col("zeros") * F.col("o0")).alias("down"),
     )
-    across = Window.partitionBy("level", "prefix").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = slices.withColumn("zb", F.coalesce(F.sum("z").over(across), F.lit(0))).withColumn(
         "ob", F.coalesce(F.sum("o").over(across), F.lit(0))
     )
-    concord = carried.agg(
+    concord = carried.groupBy("pair").agg(
         F.sum(F.col("up") + F.col("o") * F.col("zb")).cast("double").alias("con"),
         F.sum(F.col("down") + F.col("z") * F.col("ob")).cast("double").alias("dis"),
     )
-    ties = lambda c: cells.groupBy(c).agg(F.sum("n").alias("m")).agg(
-        F.sum(F.col("m") * (F.col("m") - 1) / 2.0).alias(f"t{c}"), F.sum("m").cast("double").alias(f"n{c}")
-    )
-    # Each side is a single row.
-    return concord.join(ties("a")).join(ties("b")).selectExpr(
-        "try_divide(con - dis, sqrt(na*(na-1)/2 - ta) * sqrt(na*(na-1)/2 - tb)) AS corr"
-    )
+    tied = lambda c: F.sum(F.when(F.col("side") == c, F.col("m") * (F.col("m") - 1) / 2.0))
+    ties = index.groupBy("pair").agg(tied("a").alias("ta"), tied("b").alias("tb"), F.sum(F.when(F.col("side") == "a", F.col("m"))).cast("double").alias("na"))
+    return concord.join(ties, "pair").selectExpr("pair", "try_divide(con - dis, sqrt(na*(na-1)/2 - ta) * sqrt(na*(na-1)/2 - tb)) AS corr")

@@ -75,11 +75,12 @@ def tail_per_key(df: DataFrame, spec: PanelSpec, n: int) -> DataFrame:
 def evenly_spaced(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """About ``n`` rows at equal steps of the table order, both ends included.
 
-    Positions come from a distributed running count, so no task holds the table.
+    ``order`` tells rows apart. Positions come from a distributed running count over its columns alone; the rows
+    are then picked by a semi-join with the at most ``n`` values found.
     """
     from seriesloom.operators.exact import running_total
 
-    ranked = running_total(df, order, None, "_pos")
+    ranked = running_total(df.select(*order), order, None, "_pos")
     total = df.agg(F.count("*").alias("_n"))
     placed = ranked.join(F.broadcast(total)).withColumn("_pos", F.col("_pos") - 1)
     slots = F.least(F.lit(n), F.col("_n"))
@@ -88,7 +89,7 @@ def evenly_spaced(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     gaps = F.greatest(slots - 1, F.lit(1))
     slot = F.ceil(F.col("_pos") * gaps / span)
     hit = F.floor(slot * span / gaps) == F.col("_pos")
-    return placed.filter(hit & (slot <= gaps)).drop("_pos", "_n")
+    return join_on_keys(df, placed.filter(hit & (slot <= gaps)).select(*order), order, "left_semi")
 
 
 def columns_starting(df: DataFrame, prefixes: Sequence[str]) -> list[str]:

@@ -198,6 +198,65 @@ def test_exact_quantiles(spark, probs):
             assert got[c, p] == pytest.approx(np.quantile(v, p), abs=1e-12)
 
 
+@pytest.mark.parametrize("most", [5, 50, 10**6])
+def test_quantile_rounds_reach_the_value(spark, monkeypatch, most):
+    """Brackets narrow to a stated size on ties at both ends, extremes and all-distinct values, and no window is used."""
+    monkeypatch.setattr(exact, "FINAL_VALUES", most)
+    monkeypatch.setattr(exact, "SKETCH_ACCURACY", 100)
+    rng = np.random.default_rng(7)
+    columns = {
+        "ties": np.repeat([1.0, 2.0], 2000),
+        "wide": np.concatenate([10.0 ** rng.uniform(-300, 300, 3999), [-1e300]]),
+        "distinct": rng.permutation(4000) / 7,
+        "holes": np.where(rng.random(4000) < 0.5, np.nan, rng.integers(0, 40, 4000)),
+    }
+    rows = [tuple(None if np.isnan(x) else float(x) for x in r) for r in zip(*columns.values(), strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).withColumn("none", F.lit(None).cast("double"))
+    probs = [0.0, 0.001, 0.25, 0.4999, 0.5, 0.77, 0.9999, 1.0]
+    got = {(r["column"], r["prob"]): r["value"] for r in exact.exact_quantiles(df, [*columns, "none"], probs).collect()}
+    assert not any(c == "none" for c, _ in got)
+    for c, values in columns.items():
+        known = values[~np.isnan(values)]
+        for p in probs:
+            assert got[c, p] == pytest.approx(np.quantile(known, p), rel=1e-12)
+    for size in (1, 2, 3):
+        few = exact.exact_quantiles(df.where(F.col("ties") == 1).limit(size), ["ties"], probs)
+        assert {r["value"] for r in few.collect()} == {1.0}
+    brackets = [exact.Bracket("wide", 10, 0, 4000, 1.0, 1e9)]
+    assert "Window" not in exact.values_inside(df, brackets)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_totals_by_group_and_null(spark):
+    rng = np.random.default_rng(9)
+    pairs = {(int(g) if g else None, int(v)) for g, v in zip(rng.integers(0, 4, 300), rng.integers(0, 500, 300), strict=True)}
+    rows = [(g, v, int(rng.integers(1, 5))) for g, v in pairs]
+    df = spark.createDataFrame(rows, "g int, v int, w int")
+    got = {(r.g, r.v): r.upto for r in exact.running_total(df, ["v"], "w", "upto", ["g"]).collect()}
+    assert got == {(g, v): sum(w for h, u, w in rows if h == g and u <= v) for g, v, _ in rows}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    whole = {(r.g, r.v): r.pos for r in exact.running_total(df, ["g", "v"], None, "pos").collect()}
+    assert [whole[g, v] for g, v, _ in order] == list(range(1, len(rows) + 1))
+
+
+def test_rank_correlations_take_all_pairs_at_once(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.integers(0, 30, 500), "b": rng.normal(size=500), "c": rng.integers(0, 3, 500)}).astype(float)
+    pdf.loc[rng.random(500) < 0.2, "b"] = np.nan
+    pdf["constant"] = 1.0
+    pdf["none"] = np.nan
+    sdf = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), ", ".join(f"{c} double" for c in pdf))
+    for method in ("spearman", "kendall"):
+        for r in profile.correlation_matrix(sdf, list(pdf), method).collect():
+            both = pdf[[r.x, r.y]].dropna()
+            x, y = (both[c].rank().to_numpy() for c in (r.x, r.y))
+            if "none" in (r.x, r.y) or "constant" in (r.x, r.y):
+                assert r["corr"] is None
+                continue
+            sx, sy = (x, y) if method == "spearman" else (np.sign(x[:, None] - x).ravel(), np.sign(y[:, None] - y).ravel())
+            want = np.corrcoef(x, y)[0, 1] if method == "spearman" else (sx * sy).sum() / math.sqrt((sx**2).sum() * (sy**2).sum())
+            assert r["corr"] == pytest.approx(want)
+
+
 def test_rank_correlations_follow_pandas(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"a": rng.integers(0, 12, 400), "b": rng.integers(0, 9, 400)}).astype(float)
