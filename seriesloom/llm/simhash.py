@@ -206,7 +206,8 @@ def links(prints: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     keys = chain_keys(prints, plan)
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = keys.join(shared, "key").select("key", "print", parts.alias("parts"), F.pmod(F.xxhash64("print"), parts).cast("int").alias("own"))
+    # The planner does not see how many keys a fingerprint has, so it would take either side for a small one.
+    dealt = keys.join(shared.hint("merge"), "key").select("key", "print", parts.alias("parts"), F.pmod(F.xxhash64("print"), parts).cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     met = dealt.select("key", "print", "own", other).select("key", "print", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     groups = met.groupBy("key", "x", "y").agg(F.collect_list("print").alias("members")).where(F.size("members") > 1)
