@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.impute import join_on_keys, next_value, previous_value
+from seriesloom.operators.linear import at, diagonal, sweep, sweep_all, usable
 from seriesloom.spec import PanelSpec
 
 
@@ -244,74 +245,145 @@ def kpss_test(df: DataFrame, spec: PanelSpec, col: str | None = None, regression
     )
 
 
-def _adf_one(y: np.ndarray, regression: str, max_lag: int | None) -> tuple[float, int, int]:
-    """ADF t-statistic with the lag order of smallest AIC: (statistic, lag, observations)."""
-    n = len(y)
-    extra = {"n": 0, "c": 1, "ct": 2}[regression]
-    top = max_lag if max_lag is not None else int(math.ceil(12.0 * (n / 100.0) ** 0.25))
-    top = max(min(top, n // 2 - extra - 1), 0)
-    dy = np.diff(y)
+def _adf_sums(df: DataFrame, spec: PanelSpec, col: str, extra: int, max_lag: int | None) -> DataFrame:
+    """One row per key: length, largest lag, sums of lagged products and the first and last differences.
+
+    The products of two lagged differences depend on their distance but for the rows at both ends, so a sum for each
+    distance and the ends give the whole matrix.
+    """
+    keys, order = list(spec.key_cols), spec.in_order()
+    known = df.select(*keys, spec.date_col, F.col(col).cast("double").alias("_y")).filter(F.col("_y").isNotNull())
+    size = F.count("*").over(spec.per_key())
+    # Shifted to mean zero, which changes no statistic once there is a constant.
+    level = F.col("_y") - F.avg("_y").over(spec.per_key()) if extra else F.col("_y")
+    rows = known.withColumns({"_n": size, "_t": F.row_number().over(order) - 1, "_l": level, "_d": F.lead("_y").over(order) - F.col("_y")})
+    auto = F.ceil(12.0 * F.pow(F.col("_n") / 100.0, F.lit(0.25))).cast("int") if max_lag is None else F.lit(max_lag)
+    top = F.greatest(F.least(auto, (F.floor(F.col("_n") / 2) - extra - 1).cast("int")), F.lit(0))
+    rows = rows.withColumn("_top", top)
+    if max_lag is None:
+        longest = rows.agg(F.max("_top")).first()[0] or 0  # one number: how many lags the plan has
+    else:
+        longest = max_lag
+    rows = rows.withColumns({f"_d{k}": F.lag("_d", k).over(order) for k in range(1, longest + 1)}).withColumn("_d0", F.col("_d"))
+    used = (F.col("_t") >= F.col("_top")) & F.col("_d").isNotNull()
+    sums = lambda of: F.array(*[F.sum(F.when(used, of(F.col(f"_d{k}")))) for k in range(longest + 1)])
+    l, t, d = F.col("_l"), F.col("_t").cast("double"), F.col("_d")
+    one = lambda x: F.sum(F.when(used, x))
+    back = F.col("_n") - 2 - F.col("_t")
+    ends = lambda keep, value: F.transform(F.array_sort(F.collect_list(F.when(keep & d.isNotNull(), F.struct("_t", value.alias("v"))))), lambda s: s["v"])
+    return rows.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), F.max("_top").alias("_top"), (F.max("_y") - F.min("_y")).alias("_range"),
+        sums(lambda x: d * x).alias("_dd"), sums(lambda x: l * x).alias("_ld"), sums(lambda x: x).alias("_sd"), sums(lambda x: t * x).alias("_td"),
+        F.array(one(F.lit(1.0)), one(t), one(l)).alias("_s1"), F.array(one(t * t), one(t * l), one(l * l)).alias("_s2"),
+        ends(F.col("_t") < F.col("_top"), d).alias("_head"), ends(F.col("_t") < F.col("_top"), l).alias("_first"), ends(back < F.col("_top"), d).alias("_tail"),
+    )
+
 
-    def design(lag: int, start: int):
-        rows = np.arange(start, len(dy))
-        cols = [y[rows]] + [dy[rows - k] for k in range(1, lag + 1)]
+def _adf_matrix(extra: int) -> Column:
+    """Products of constant, trend, level, lagged differences and the difference itself (last), as a flat array."""
+    top, size = F.col("_top"), F.col("_m")
+
+    def differences(i: Column, j: Column) -> Column:
+        """Sum of d[t - i] * d[t - j] over the rows, i <= j, from the sum of its distance and both ends."""
+        gap = j - i
+        gained = F.when(i > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), F.lit(0.0), lambda a, s: a + F.get("_head", top - s) * F.get("_head", top - s - gap)
+            - F.get("_tail", top - s) * F.get("_tail", top - s - gap))).otherwise(0.0)
+        return F.get("_dd", gap) + gained
+
+    def entry(k: Column) -> Column:
+        q = k % size
+        p = ((k - q) / size).cast("int")
+        lag = lambda x: F.when(x == size - 1, 0).otherwise(x - extra)
+        lo, hi = F.least(p, q), F.greatest(p, q)
+        with_lag = F.when(lo == extra, F.get("_ld", lag(hi)))
+        small = F.when((lo == extra) & (hi == extra), F.get("_s2", F.lit(2)))
         if extra >= 1:
-            cols.append(np.ones(len(rows)))
+            with_lag = with_lag.when(lo == 0, F.get("_sd", lag(hi)))
+            small = small.when((lo == 0) & (hi == extra), F.get("_s1", F.lit(2))).when((lo == 0) & (hi == 0), F.get("_s1", F.lit(0)))
         if extra == 2:
-            cols.append(np.arange(1, len(rows) + 1, dtype=float))
-        return np.column_stack(cols), dy[rows]
-
-    best, best_aic = 0, math.inf
-    for lag in range(top + 1):
-        x, t = design(lag, top)
-        beta, *_ = np.linalg.lstsq(x, t, rcond=None)
-        rss = float(((t - x @ beta) ** 2).sum())
-        m = len(t)
-        if rss <= 0 or m <= x.shape[1]:
-            continue
-        aic = m * (math.log(2 * math.pi * rss / m) + 1) + 2 * x.shape[1]
-        if aic < best_aic:
-            best, best_aic = lag, aic
-    x, t = design(best, best)
-    beta, *_ = np.linalg.lstsq(x, t, rcond=None)
-    dof = len(t) - x.shape[1]
-    if dof <= 0:
-        return math.nan, best, len(t)
-    s2 = float(((t - x @ beta) ** 2).sum()) / dof
-    var = s2 * np.linalg.pinv(x.T @ x)[0, 0]
-    return (float(beta[0] / math.sqrt(var)) if var > 0 else math.nan), best, len(t)
+            with_lag = with_lag.when(lo == 1, F.get("_td", lag(hi)))
+            small = small.when((lo == 1) & (hi == extra), F.get("_s2", F.lit(1))).when((lo == 1) & (hi == 1), F.get("_s2", F.lit(0))).when((lo == 0) & (hi == 1), F.get("_s1", F.lit(1)))
+        a, b = F.least(lag(p), lag(q)), F.greatest(lag(p), lag(q))
+        return F.when(hi <= extra, small).when(lo <= extra, with_lag).otherwise(differences(a, b))
+
+    return F.transform(F.sequence(F.lit(0), size * size - 1), entry)
+
+
+def _adf_earlier(extra: int) -> Column:
+    """The matrix with the rows between the chosen and the largest lag added: the final fit uses all rows it can."""
+    size, best = F.col("_m"), F.col("_best")
+
+    def value(x: Column, t: Column) -> Column:
+        lag = F.when(x == size - 1, 0).otherwise(x - extra)
+        out = F.when(x == extra, F.get("_first", t))
+        if extra >= 1:
+            out = out.when(x == 0, 1.0)
+        if extra == 2:
+            out = out.when(x == 1, t.cast("double"))
+        # Lags beyond the chosen one are not read.
+        return out.when(lag > best, 0.0).otherwise(F.get("_head", t - lag))
+
+    def entry(v: Column, k: Column) -> Column:
+        q = k % size
+        p = ((k - q) / size).cast("int")
+        more = F.aggregate(F.sequence(best, F.greatest(F.col("_top") - 1, best)), F.lit(0.0), lambda a, t: a + value(p, t) * value(q, t))
+        return v + F.when(best < F.col("_top"), more).otherwise(0.0)
+
+    return F.transform("_g", entry)
 
 
 def adf_test(df: DataFrame, spec: PanelSpec, col: str | None = None, regression: str = "c", max_lag: int | None = None) -> DataFrame:
-    """Augmented Dickey-Fuller per key: statistic, lag, critical values, 5 % verdict.
+    """Augmented Dickey-Fuller per key: statistic, lag of smallest AIC, critical values, 5 % verdict.
 
-    Below ten observations or for a constant series only ``n_obs`` and ``error`` are set.
+    Sums of lagged products are aggregates; the fits of all lag orders follow from them by sweeping one lag after the other
+    into the regression, so every order is judged from one pass over the rows. Below ten observations or for a constant
+    series only ``n_obs`` and ``error`` are set.
     """
     col = col or spec.target_col
-    kept = df.select(*spec.key_cols, spec.date_col, F.col(col).cast("double").alias("_v"))
-    fields = [f for f in kept.schema.fields if f.name in spec.key_cols]
-    schema = T.StructType(
-        fields + [T.StructField("statistic", T.DoubleType()), T.StructField("used_lag", T.IntegerType()), T.StructField("n_obs", T.IntegerType()), T.StructField("error", T.StringType())]
+    extra = {"n": 0, "c": 1, "ct": 2}[regression]
+    sums = _adf_sums(df, spec, col, extra, max_lag)
+    enough = (F.col("_n") >= 10) & (F.col("_range") > 0)
+    size, last = F.col("_m"), F.col("_m") - 1
+    fit = sums.withColumn("_m", F.col("_top") + extra + 2).withColumn("_g", F.when(enough, _adf_matrix(extra)))
+    fit = fit.withColumn("_diag", diagonal(F.col("_g"), size))
+    base = F.sequence(F.lit(0), F.lit(extra))
+    rows = (F.col("_n") - 1 - F.col("_top")).cast("double")
+
+    def judged(acc: Column, k: Column) -> Column:
+        p = k + extra
+        pivot = at(acc["g"], size, p, p)
+        gain = F.when((k > 0) & usable(pivot, F.get("_diag", p)), at(acc["g"], size, last, p) * at(acc["g"], size, p, last) / pivot).otherwise(0.0)
+        # The swept half of the matrix changes sign, the products with the target do not.
+        rss = at(acc["g"], size, last, last) - gain
+        params = k + extra + 1
+        aic = rows * (F.log(2 * math.pi * rss / rows) + 1) + 2 * params
+        better = (rss > 1e-14 * F.get("_diag", last)) & (rows > params) & (aic < acc["aic"])
+        g = F.when(k > 0, sweep(acc["g"], size, p, F.col("_diag"))).otherwise(acc["g"])
+        return F.struct(g.alias("g"), F.when(better, k).otherwise(acc["best"]).alias("best"), F.when(better, aic).otherwise(acc["aic"]).alias("aic"))
+
+    start = F.struct(sweep_all(F.col("_g"), size, base, F.col("_diag")).alias("g"), F.lit(0).alias("best"), F.lit(float("inf")).alias("aic"))
+    fit = fit.withColumn("_best", F.aggregate(F.sequence(F.lit(0), F.col("_top")), start, judged)["best"])
+    fit = fit.withColumn("_g", _adf_earlier(extra)).withColumn("_diag", diagonal(F.col("_g"), size))
+    chosen = F.sequence(F.lit(0), F.col("_best") + extra)
+    done = fit.withColumn("_g", sweep_all(F.col("_g"), size, chosen, F.col("_diag")))
+    n_used = F.col("_n") - 1 - F.col("_best")
+    dof = n_used - F.col("_best") - extra - 1
+    variance = at(F.col("_g"), size, last, last) / dof * at(F.col("_g"), size, F.lit(extra), F.lit(extra))
+    stat = F.when((dof > 0) & (variance > 0), at(F.col("_g"), size, F.lit(extra), last) / F.sqrt(variance))
+    reason = F.when(F.col("_n") < 10, "fewer than 10 observations").when(~enough, "constant series")
+    tested = done.select(
+        *spec.key_cols, F.when(enough, stat).alias("statistic"), F.when(enough, F.col("_best")).alias("used_lag"),
+        F.when(enough, n_used).otherwise(F.col("_n")).cast("int").alias("n_obs"), reason.alias("error"),
     )
-    keys, date = list(spec.key_cols), spec.date_col
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(date)["_v"].dropna().to_numpy()
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        if len(y) < 10 or np.ptp(y) == 0:
-            reason = "fewer than 10 observations" if len(y) < 10 else "constant series"
-            return pd.DataFrame({**row, "statistic": [None], "used_lag": [None], "n_obs": [len(y)], "error": [reason]}).astype({"statistic": float})
-        stat, lag, n = _adf_one(y, regression, max_lag)
-        return pd.DataFrame({**row, "statistic": [stat], "used_lag": [lag], "n_obs": [n], "error": [None]})
-
-    tested = kept.groupBy(*keys).applyInPandas(fit, schema)
+    empty = df.select(*spec.key_cols).distinct()
+    tested = join_on_keys(empty, tested, spec.key_cols)
+    tested = tested.withColumns({"n_obs": F.coalesce("n_obs", F.lit(0)), "error": F.when(F.col("n_obs").isNull(), "fewer than 10 observations").otherwise(F.col("error"))})
     n = F.col("n_obs").cast("double")
     crit = {
         level: sum((F.lit(c) / F.pow(n, F.lit(float(i))) for i, c in enumerate(coef)), F.lit(0.0))
         for level, coef in zip(("1pct", "5pct", "10pct"), ADF_SURFACE[regression], strict=True)
     }
-    clean = tested.withColumn("statistic", F.nanvl("statistic", F.lit(None).cast("double")))
-    return clean.withColumns({f"critical_{k}": F.when(F.col("error").isNull(), v) for k, v in crit.items()}).withColumn(
+    return tested.withColumns({f"critical_{k}": F.when(F.col("error").isNull(), v) for k, v in crit.items()}).withColumn(
         "stationary", F.col("statistic") < F.col("critical_5pct")
     )
 

@@ -446,37 +446,78 @@ def cross_correlations(spark, folder):
     return shown(tsstats.cross_correlation(P.user_day(spark, folder), P.DAILY, "x", "y", 7).filter("ccf IS NOT NULL"))
 
 
-@query(
-    "kpss_statistics",
-    f"""{_MONTHS}, c AS (SELECT k, y - avg(y) OVER (PARTITION BY k) AS e, row_number() OVER (PARTITION BY k ORDER BY d) AS i, count(*) OVER (PARTITION BY k) AS n FROM filled),
+_KPSS = f"""{_MONTHS}, c AS (SELECT k, y - avg(y) OVER (PARTITION BY k) AS e, row_number() OVER (PARTITION BY k ORDER BY d) AS i, count(*) OVER (PARTITION BY k) AS n FROM filled),
  s AS (SELECT k, n, sum(t * t) AS eta FROM (SELECT k, n, sum(e) OVER (PARTITION BY k ORDER BY i) AS t FROM c) GROUP BY 1, 2),
  g AS (SELECT a.k, a.i - b.i AS lag, sum(a.e * b.e) AS g FROM c a JOIN c b ON a.k = b.k AND b.i <= a.i GROUP BY 1, 2),
  h AS (SELECT s.k, s.n, s.eta, sum(CASE WHEN lag = 0 THEN g / s.n ELSE g / (s.n / 2.0) END) AS s0, sum(CASE WHEN lag > 0 THEN lag * g / (s.n / 2.0) ELSE 0 END) AS s1
    FROM s JOIN g ON g.k = s.k AND g.lag <= floor(pow(s.n, 2.0 / 9)) GROUP BY 1, 2, 3),
  b AS (SELECT *, least(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3)), n - 1) AS l FROM h)
 SELECT b.k, n AS n_obs, {n("l")} AS n_lags, {r("max(eta) / (n * n * (sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / (l + 1)) * g END) / n))")} AS statistic
-FROM b JOIN g ON g.k = b.k AND g.lag <= l GROUP BY b.k, n, l""",
-)
+FROM b JOIN g ON g.k = b.k AND g.lag <= l GROUP BY b.k, n, l"""
+
+
+@query("kpss_statistics", _KPSS)
 def kpss_statistics(spark, folder):
     out = tsstats.kpss_test(P.brand_month_full(spark, folder), P.MONTHLY)
     return shown(out.select("k", "n_obs", "n_lags", "statistic"))
 
 
-@query("adf_tests", f"""{_MONTHS} SELECT k, {n("count(*)")} AS months, {n("1")} AS consistent FROM filled GROUP BY k""")
+# A flat matrix of width m after predictor p has entered the regression.
+_SWEEP = """list_transform(range(0, m * m), lambda x: CASE WHEN x // m = p AND x % m = p THEN 1 / g[p * m + p + 1] WHEN x // m = p THEN g[x + 1] / g[p * m + p + 1]
+  WHEN x % m = p THEN -g[x + 1] / g[p * m + p + 1] ELSE g[x + 1] - g[x // m * m + p + 1] * g[p * m + x % m + 1] / g[p * m + p + 1] END)"""
+
+
+def _products(rows: str) -> str:
+    """Flat matrices g of width m per key, from rows (k, t, n, top, best, v) that hold a list of regressors and the target."""
+    return f"""SELECT k, n, top, best, m, list(s ORDER BY i, j) AS g FROM (
+   SELECT a.k, a.n, a.top, a.best, a.m, a.i, b.i AS j, sum(a.x * b.x) AS s FROM (SELECT k, t, n, top, best, len(v) AS m, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {rows}) a
+   JOIN (SELECT k, t, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {rows}) b ON a.k = b.k AND a.t = b.t GROUP BY ALL) GROUP BY ALL"""
+
+
+# Every lag order over common rows, then the one of smallest AIC over all of its own rows.
+_ADF = f"""{_MONTHS}, p AS (SELECT k, y - avg(y) OVER (PARTITION BY k) AS l, row_number() OVER w - 1 AS t, lead(y) OVER w - y AS dy, count(*) OVER (PARTITION BY k) AS n FROM filled WINDOW w AS (PARTITION BY k ORDER BY d)),
+ q AS (SELECT *, least(CAST(ceil(12 * pow(n / 100.0, 0.25)) AS BIGINT), n // 2 - 2) AS top FROM p WHERE dy IS NOT NULL),
+ v AS (SELECT a.k, a.t, a.n, a.top, a.l, a.dy, coalesce(list(b.dy ORDER BY b.t DESC) FILTER (b.t IS NOT NULL), []) AS lags FROM q a LEFT JOIN q b ON a.k = b.k AND b.t BETWEEN a.t - a.top AND a.t - 1 GROUP BY ALL),
+ v0 AS (SELECT k, t, n, top, 0 AS best, [1.0, l] || lags || [dy] AS v FROM v WHERE t >= top), g0 AS ({_products("v0")}),
+ s0 AS (SELECT k, n, top, m, CAST(0 AS BIGINT) AS p, g FROM g0 UNION ALL SELECT k, n, top, m, p + 1, {_SWEEP} FROM s0 WHERE p < m - 1),
+ aic AS (SELECT k, p - 2 AS lag, (n - 1 - top) * (ln(2 * pi() * g[m * m] / (n - 1 - top)) + 1) + 2 * p AS aic FROM s0 WHERE p >= 2),
+ best AS (SELECT k, arg_min(lag, aic) AS best FROM aic GROUP BY k),
+ v1 AS (SELECT v.k, t, n, top, best, [1.0, l] || lags[1:best] || [dy] AS v FROM v JOIN best ON best.k = v.k WHERE t >= best), g1 AS ({_products("v1")}),
+ s1 AS (SELECT k, n, best, m, CAST(0 AS BIGINT) AS p, g FROM g1 UNION ALL SELECT k, n, best, m, p + 1, {_SWEEP} FROM s1 WHERE p < m - 1),
+ adf AS (SELECT k, best AS used_lag, n - 1 - best AS n_obs, g[2 * m] / sqrt(g[m * m] / (n - 1 - best - best - 2) * g[m + 2]) AS statistic FROM s1 WHERE p = m - 1),
+ verdict AS (SELECT *, -2.86154 - 2.8903 / n_obs - 4.234 / pow(n_obs, 2) - 40.040 / pow(n_obs, 3) AS c FROM adf)"""
+
+
+@query("adf_tests", f"""{_ADF} SELECT k, {n("n_obs")} AS n_obs, {n("used_lag")} AS used_lag, {r("statistic", 5)} AS statistic, {r("c", 5)} AS critical_5pct, {n("statistic < c")} AS stationary FROM verdict""")
 def adf_tests(spark, folder):
-    """Statistics depend on the lag that the data choose; the row says that they fit together."""
     out = tsstats.adf_test(P.brand_month_full(spark, folder), P.MONTHLY)
-    ordered = (F.col("critical_1pct") < F.col("critical_5pct")) & (F.col("critical_5pct") < F.col("critical_10pct"))
-    agrees = F.col("stationary") == (F.col("statistic") < F.col("critical_5pct"))
-    return shown(out.select("k", (F.col("n_obs") + F.col("used_lag") + 1).alias("months"), (ordered & agrees & F.col("error").isNull()).alias("consistent")))
+    return shown(out.select("k", "n_obs", "used_lag", "statistic", "critical_5pct", "stationary"), 5)
 
 
-@query("stationarity_verdicts", f"""{_MONTHS} SELECT k, {n("1")} AS consistent FROM filled GROUP BY k""")
+# Critical values of the KPSS test around a constant at 10, 5, 2.5 and 1 percent.
+_KPSS_P = """CASE WHEN kpss <= 0.347 THEN 0.1 WHEN kpss <= 0.463 THEN 0.1 + (kpss - 0.347) * (0.05 - 0.1) / (0.463 - 0.347)
+  WHEN kpss <= 0.574 THEN 0.05 + (kpss - 0.463) * (0.025 - 0.05) / (0.574 - 0.463) WHEN kpss <= 0.739 THEN 0.025 + (kpss - 0.574) * (0.01 - 0.025) / (0.739 - 0.574) ELSE 0.01 END"""
+
+
+@query(
+    "kpss_p_values",
+    f"""WITH kp AS ({_KPSS}) SELECT k, {r(_KPSS_P.replace("kpss", "statistic"), 5)} AS p_value, {n("statistic < 0.463")} AS stationary FROM kp""",
+)
+def kpss_p_values(spark, folder):
+    out = tsstats.kpss_test(P.brand_month_full(spark, folder), P.MONTHLY)
+    return shown(out.select("k", "p_value", "stationary"), 5)
+
+
+@query(
+    "stationarity_verdicts",
+    f"""{_ADF}, kp AS (SELECT * FROM ({_KPSS}) z)
+SELECT verdict.k, {r("verdict.statistic", 4)} AS adf_statistic, {r("kp.statistic", 4)} AS kpss_statistic,
+ CASE WHEN verdict.statistic < c AND kp.statistic < 0.463 THEN 'stationary' WHEN verdict.statistic < c THEN 'difference-stationary' WHEN kp.statistic < 0.463 THEN 'trend-stationary' ELSE 'non-stationary' END AS verdict
+FROM verdict JOIN kp ON kp.k = verdict.k""",
+)
 def stationarity_verdicts(spark, folder):
     out = tsstats.stationarity_report(P.brand_month_full(spark, folder), P.MONTHLY)
-    u, v, verdict = F.col("adf_stationary"), F.col("kpss_stationary"), F.col("verdict")
-    same = (u == verdict.isin("stationary", "difference-stationary")) & (v == verdict.isin("stationary", "trend-stationary"))
-    return shown(out.select("k", same.alias("consistent")))
+    return shown(out.select("k", "adf_statistic", "kpss_statistic", "verdict"), 4)
 
 
 def _decomposed(extrapolate: bool) -> str:
