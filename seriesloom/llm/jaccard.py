@@ -10,8 +10,11 @@ compared exactly.
 Index entries are packed by hash range, so a common segment of many sets costs 12 bytes a set. Buckets of up to
 ``SMALL_BUCKET`` sets give their pairs; larger ones a star around their smallest member. Each set is first compared with
 the partner it meets most often. Components then leave only pairs between different components: first of the stored
-candidates, then all remaining pairs of large buckets. So copies cost one comparison each, and no link is
-lost. Before texts are read again, sizes and sketches (shingles counted by hash range) rule out pairs that cannot link.
+candidates, then of large buckets, in rounds. There every set tries the nearest set of another component; what links is
+merged before the next round, and only if nothing links does a set try more partners at once. So rows stay linear in the
+members while anything links, copies cost one comparison each, and no link is lost: the rounds end when no untried pair
+between components is left. Large buckets are dealt into blocks, and a task compares two of them at a time. Before texts are
+read again, sizes and sketches (shingles counted by hash range) rule out pairs that cannot link.
 
 Hashes have 64 bits: sets are equal if two independent 64-bit sums agree, and shingles if their hashes do.
 Null or empty texts and texts without words have no shingles and link with nothing; fewer than five words are one
@@ -29,15 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import connected, id_and_text, mix, span_hashes, stored, text_chunks, words_of
+from seriesloom.llm.common import connected, id_and_text, lean, mix, span_hashes, stored, text_chunks, words_of
 
 WORDS = 5
 #: Hash ranges of a sketch.
 BINS = 128
 SMALL_BUCKET = 16
 #: Index entries that a task keeps before it hands them on, and their layout.
-ENTRIES_AT_ONCE = 2_000_000
+ENTRIES_AT_ONCE = 500_000
 ENTRY = np.dtype([("rest", "<u4"), ("key", "<i8")])
+#: Shingles whose entries go to one task, and to one part of its work.
+SHINGLES_A_TASK, SHINGLES_A_PART = 2_000_000, 200_000
+#: Members of a block of a large bucket; a task compares two blocks at a time.
+BLOCK = 1024
+#: Partners of a set that a round of large buckets tries, and how much more the next one does if none links.
+FIRST_PARTNERS, MORE_PARTNERS = 1, 8
 #: Set keys that a task remembers, so that copies are indexed once.
 SEEN_AT_ONCE = 200_000
 #: Ids of candidate sets up to which they are broadcast (16 bytes each).
@@ -100,10 +109,14 @@ def set_sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(place, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of the differences of two sketches."""
+    return np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+
+
 def _near(n_a, n_b, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sizes and sketches leave a similarity of 0.8 possible."""
-    apart = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
-    return (9 * apart <= n_a + n_b) & (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b))
+    return (9 * _apart(a, b) <= n_a + n_b) & (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b))
 
 
 @dataclass(frozen=True)
@@ -194,7 +207,7 @@ def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             yield pa.RecordBatch.from_arrays([ids.field(0), ids.field(1), pa.array(np.diff(bounds)), pa.array(key), pa.array(key2), sketch], ["doc_id", "text_key", "n_shingles", "key", "key2", "sketch"])
 
     named = id_and_text(docs, id_col, text_col).select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("id"), "text")
-    return named.mapInArrow(run, "doc_id long, text_key long, n_shingles long, key long, key2 long, sketch binary")
+    return named.mapInArrow(lean(run), "doc_id long, text_key long, n_shingles long, key long, key2 long, sketch binary")
 
 
 def packed_index(docs: DataFrame, parts: int, text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -238,56 +251,60 @@ def packed_index(docs: DataFrame, parts: int, text_col: str = "text", words: int
         if held:
             yield flush(signatures, keys)
 
-    return docs.select(F.lit(0).cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "part int, entries binary")
+    return docs.select(F.lit(0).cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).mapInArrow(lean(run), "part int, entries binary")
 
 
 def buckets(index: DataFrame) -> DataFrame:
-    """(members): sorted set keys that share an index entry, one row for each distinct group of two or more in a task."""
+    """(members): sorted set keys that share an index entry, one row for each distinct group of two or more in a part.
+
+    Rows of ``index`` come sorted by part, and a task holds the entries of one part.
+    """
 
     def run(batches):
-        parts: list[np.ndarray] = []
-        entries: list[np.ndarray] = []
+        part, held = None, []
         for batch in batches:
-            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(packed.as_buffer(), ENTRY)
-                entries.append(own)
-                parts.append(np.full(len(own), part, np.int32))
-        if not entries:
-            return
-        flat = np.concatenate(entries)
-        place = (np.concatenate(parts).astype(np.uint64) << np.uint64(32)) | flat["rest"].astype(np.uint64)
-        del entries, parts
-        # Entries that meet no other go first; the rest are few.
-        order = np.argsort(place)
-        place = place[order]
-        twin = np.zeros(len(place), bool)
-        twin[1:] = place[1:] == place[:-1]
-        twin[:-1] |= twin[1:]
-        place, key = place[twin], flat["key"][order[twin]]
-        del flat, order
-        order = np.lexsort((key, place))
-        place, key = place[order], key[order]
-        first = np.ones(len(place), bool)
-        first[1:] = (place[1:] != place[:-1]) | (key[1:] != key[:-1])
-        place, key = place[first], key[first]
-        head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-        ends = np.append(head[1:], len(place))
-        told: set[bytes] = set()
-        group: list[np.ndarray] = []
-        for a, b in zip(head[ends - head > 1].tolist(), ends[ends - head > 1].tolist(), strict=True):
-            name = key[a:b].tobytes()
-            if name not in told:
-                told.add(name)
-                group.append(key[a:b])
-                if sum(map(len, group[-1:])) > 100_000 or len(group) >= 10_000:
-                    yield _lists(group)
-                    group = []
-            if len(told) > 100_000:
-                told = set()
-        if group:
-            yield _lists(group)
-
-    return index.mapInArrow(run, "members array<long>")
+            for own, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own != part and held:
+                    yield from _shared(np.concatenate(held))
+                    held = []
+                part = own
+                held.append(np.frombuffer(packed.as_buffer(), ENTRY))
+        if held:
+            yield from _shared(np.concatenate(held))
+
+    return index.mapInArrow(lean(run), "members array<long>")
+
+
+def _shared(entries: np.ndarray):
+    """The groups of set keys with equal entries, among the entries of one part."""
+    # Entries that meet no other go first; the others are few.
+    order = np.argsort(entries["rest"])
+    place = entries["rest"][order]
+    twin = np.zeros(len(place), bool)
+    twin[1:] = place[1:] == place[:-1]
+    twin[:-1] |= twin[1:]
+    place, key = place[twin], entries["key"][order[twin]]
+    order = np.lexsort((key, place))
+    place, key = place[order], key[order]
+    first = np.ones(len(place), bool)
+    first[1:] = (place[1:] != place[:-1]) | (key[1:] != key[:-1])
+    place, key = place[first], key[first]
+    head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+    ends = np.append(head[1:], len(place))
+    told: set[bytes] = set()
+    group: list[np.ndarray] = []
+    for a, b in zip(head[ends - head > 1].tolist(), ends[ends - head > 1].tolist(), strict=True):
+        name = key[a:b].tobytes()
+        if name not in told:
+            told.add(name)
+            group.append(key[a:b])
+            if len(group[-1]) > 100_000 or len(group) >= 10_000:
+                yield _lists(group)
+                group = []
+        if len(told) > 100_000:
+            told = set()
+    if group:
+        yield _lists(group)
 
 
 def _lists(group: list[np.ndarray]) -> pa.RecordBatch:
@@ -312,34 +329,50 @@ def pairs_of(groups: DataFrame) -> DataFrame:
                     vs.append(own[1:])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*us, np.zeros(0, np.int64)])), pa.array(np.concatenate([*vs, np.zeros(0, np.int64)]))], ["u", "v"])
 
-    return groups.mapInArrow(run, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("met"))
+    return groups.mapInArrow(lean(run), "u long, v long").groupBy("u", "v").agg(F.count("*").alias("met"))
 
 
-def crossing_pairs(groups: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
-    """(u, v) of large groups whose members lie in different components and whose sizes and sketches are near.
+def crossing_pairs(groups: DataFrame, roots: DataFrame, reps: DataFrame, partners: int) -> DataFrame:
+    """(u, v, more): for each member of a large group its ``partners`` nearest members of other components.
 
-    A task holds the sketches of one group and compares one member at a time with the rest.
+    Sizes and sketches must leave a link possible; nearest is the least difference of the sketches, then the smallest key.
+    ``more`` says that a member has further ones. The members of a group are dealt into blocks by its size, and a row holds
+    two blocks at most.
     """
     large = groups.where(F.size("members") > SMALL_BUCKET).select(F.xxhash64("members").alias("bucket"), "members").dropDuplicates(["bucket"])
-    placed = large.select("bucket", F.explode("members").alias("node")).join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    placed = large.select("bucket", F.ceil(F.size("members") / BLOCK).cast("int").alias("blocks"), F.explode("members").alias("node"))
+    placed = placed.join(roots, "node", "left").select("bucket", "blocks", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
     full = placed.join(mixed, "bucket").join(reps.select(F.col("key").alias("node"), "n", "sketch"), "node")
-    lists = full.groupBy("bucket").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("m")).select(*[F.col(f"m.{c}").alias(c) for c in ("node", "root", "n", "sketch")])
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = full.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.groupBy("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    lists = dealt.agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("m")).select(*[F.col(f"m.{c}").alias(c) for c in ("node", "root", "n", "sketch")])
 
     def run(batches):
         for batch in batches:
             for members in zip(*(batch.column(k) for k in range(4)), strict=True):
                 node, top, n = (members[k].values.to_numpy() for k in range(3))
                 sketch = np.frombuffer(b"".join(members[3].values.to_pylist()), np.uint8).reshape(len(node), BINS)
-                us, vs = [], []
-                for i in range(len(node) - 1):
-                    at = i + 1 + np.flatnonzero(top[i + 1 :] != top[i])
-                    at = at[_near(n[i], n[at], sketch[i], sketch[at])]
+                us, vs, more = [], [], []
+                for i in range(len(node)):
+                    at = np.flatnonzero(top != top[i])
+                    at = at[5 * np.minimum(n[i], n[at]) >= 4 * np.maximum(n[i], n[at])]
+                    apart = _apart(sketch[i], sketch[at])
+                    near = 9 * apart <= n[i] + n[at]
+                    at, apart = at[near], apart[near]
+                    if len(at) > partners:
+                        nearest = np.lexsort((node[at], apart))[:partners]
+                        more.append(np.full(partners, True))
+                        at = at[nearest]
+                    else:
+                        more.append(np.full(len(at), False))
                     us.append(np.minimum(node[at], node[i]))
                     vs.append(np.maximum(node[at], node[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*us, np.zeros(0, np.int64)])), pa.array(np.concatenate([*vs, np.zeros(0, np.int64)]))], ["u", "v"])
+                none = np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*us, none])), pa.array(np.concatenate([*vs, none])), pa.array(np.concatenate([*more, none.astype(bool)]))], ["u", "v", "more"])
 
-    return lists.mapInArrow(run, "u long, v long").distinct()
+    return lists.mapInArrow(lean(run), "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
 
 
 def near_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -354,7 +387,7 @@ def near_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(_near(batch.column(2).to_numpy(), batch.column(3).to_numpy(), a, b))).select(["u", "v"])
 
     both = pairs.join(side("v", "b"), "v").join(side("u", "a"), "u").select("u", "v", "na", "nb", "sa", "sb")
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(lean(run), "u long, v long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str, id_col: str, words: int, label: str) -> DataFrame:
@@ -375,7 +408,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str,
             yield pa.RecordBatch.from_arrays([pa.array(key), packed.cast(pa.binary())], ["key", "shingles"])
 
     # Rows that share an id may hold other sets: the join on keys leaves them out, and copies count once.
-    held = texts.mapInArrow(shingles_of, "key long, shingles binary").dropDuplicates(["key"])
+    held = texts.mapInArrow(lean(shingles_of), "key long, shingles binary").dropDuplicates(["key"])
     one = pairs.join(held.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
     both = one.join(held.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").select("u", "v", "a", "b")
 
@@ -391,7 +424,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str,
                 keep[i] = 100 * common >= 80 * (len(x) + len(y) - common)
             yield batch.filter(pa.array(keep)).select(["u", "v"])
 
-    return both.mapInArrow(compare, "u long, v long")
+    return both.mapInArrow(lean(compare), "u long, v long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -402,11 +435,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keyed_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``similar_documents`` with the hash of each row's text, text_key."""
     spark = docs.sparkSession
-    parts = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = stored(set_table(docs, id_col, text_col, words), "sets")
     reps = sets.where("n_shingles > 0").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("doc_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     reps = stored(reps, "set-reps")
-    index = packed_index(docs, parts, text_col, words).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    # The number of tasks follows from the counted shingles, that of parts from what a task should hold at a time.
+    shingles = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // SHINGLES_A_TASK)
+    parts = max(256, 4 * tasks, shingles // SHINGLES_A_PART)
+    index = packed_index(docs, parts, text_col, words).repartition(tasks, "part").sortWithinPartitions("part")
     groups = stored(buckets(index), "buckets")
     pairs = stored(pairs_of(groups), "pairs")
     best = pairs.groupBy("v").agg(F.min_by("u", F.struct(-F.col("met"), "u")).alias("u")).select("u", "v")
@@ -418,15 +454,28 @@ def keyed_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return candidates.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
     tried = best
-    for name, candidates in (("second", lambda: pairs.select("u", "v")), ("third", lambda: crossing_pairs(groups, roots, reps))):
-        rest = stored(apart(candidates()).join(tried, ["u", "v"], "left_anti"), f"{name}-pairs")
-        if rest.isEmpty():
-            continue
-        found = stored(verified(rest, docs, reps, text_col, id_col, words, name), f"{name}-links")
+    rest = stored(apart(pairs.select("u", "v")).join(tried, ["u", "v"], "left_anti"), "second-pairs")
+    if not rest.isEmpty():
+        found = stored(verified(rest, docs, reps, text_col, id_col, words, "second"), "second-links")
         tried = tried.unionByName(rest)
         if not found.isEmpty():
             edges = edges.unionByName(found)
-            roots = stored(connected(edges, name), "roots")
+            roots = stored(connected(edges, "second"), "roots")
+    partners, open_ = FIRST_PARTNERS, True
+    while open_:
+        near = stored(crossing_pairs(groups, roots, reps, partners), "crossing")
+        rest = stored(near.select("u", "v").join(tried, ["u", "v"], "left_anti"), "crossing-pairs")
+        found = None
+        if not rest.isEmpty():
+            found = stored(verified(rest, docs, reps, text_col, id_col, words, "crossing"), "crossing-links")
+            tried = stored(tried.unionByName(rest), "tried")
+        if found is not None and not found.isEmpty():
+            edges = stored(edges.unionByName(found), "links")
+            roots = stored(connected(edges, "crossing"), "roots")
+        else:
+            # Nothing linked: those with untried partners left try more of them, until none is left.
+            open_ = not near.where("more").isEmpty()
+            partners *= MORE_PARTNERS
     named = sets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     full = named.where("n_shingles > 0")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
