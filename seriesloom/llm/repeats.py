@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.common import _tables, flat, mix, pieces, stored
+from seriesloom.llm.common import _tables, flat, lean, mix, pieces, stored
 
 LENGTH = 400
 FIRST_DEPTH = 32
@@ -36,8 +36,10 @@ FIRST_DEPTH = 32
 TEXT_BYTES = 1 << 19
 #: Windows of one anchor that go to one task: the places of a shared anchor are dealt out by their distance from it.
 DEALT_TOGETHER = 8
-#: Rows up to which a small side is broadcast; beyond, the planner shuffles both sides.
-BROADCAST_ROWS = 200_000
+#: Bytes of text whose anchors go to one task, and to one part of its work.
+BYTES_A_TASK, BYTES_A_PART = 32 << 20, 2 << 20
+#: Bytes up to which a small side is broadcast; beyond, the planner shuffles both sides.
+BROADCAST_BYTES = 16 << 20
 ANCHORS_AT_ONCE = 200_000
 SEEN_AT_ONCE = 200_000
 ANCHOR = np.dtype([("bucket", "<u8"), ("around", "<u8"), ("key", "<i8"), ("low", "<u4"), ("high", "<u4"), ("anchor", "<u4"), ("many", "u1")])
@@ -138,14 +140,23 @@ def _part_of(bucket: np.ndarray, parts: int) -> np.ndarray:
 _ROWS = "kind string, part int, rows binary"
 
 
-def _unpacked(batches, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    found, parts = [np.zeros(0, dtype)], [np.zeros(0, np.int64)]
+def _by_part(batches, dtype: np.dtype):
+    """The rows of one part after the other; rows come sorted by part, so a task holds one part."""
+    part, held = None, []
     for batch in batches:
-        for part, body in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            own = np.frombuffer(body.as_buffer(), dtype)
-            found.append(own)
-            parts.append(np.full(len(own), part))
-    return np.concatenate(found), np.concatenate(parts)
+        for own, body in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if own != part and held:
+                yield np.concatenate(held)
+                held = []
+            part = own
+            held.append(np.frombuffer(body.as_buffer(), dtype))
+    if held:
+        yield np.concatenate(held)
+
+
+def _packed_bytes(rows: DataFrame, packed: str) -> int:
+    """Bytes of a packed column and of the keys beside it."""
+    return rows.agg(F.coalesce(F.sum(F.octet_length(packed) + 64), F.lit(0))).first()[0]
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -159,9 +170,14 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
     ``key`` and ``key2`` are ``xxhash64(text)`` and ``xxhash64(text, 1)``.
     """
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(256, 4 * tasks)
     keyed = _keyed(docs, text_col).where(F.octet_length("text") >= length)
+    # The number of tasks follows from the counted bytes, that of parts from what a task should hold at a time.
+    size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BYTES_A_TASK)
+    parts = max(256, 4 * tasks, size // BYTES_A_PART)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "part").sortWithinPartitions("part")
 
     def index(batches):
         held: list[np.ndarray] = []
@@ -194,7 +210,10 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
             yield _packed(_part_of(mix(runs["key"].view(np.uint64)), parts), runs, "runs")
 
     def judged(batches):
-        rows, _ = _unpacked(batches, ANCHOR)
+        for rows in _by_part(batches, ANCHOR):
+            yield from judged_part(rows)
+
+    def judged_part(rows):
         # Anchors alone in their bucket leave first.
         order = np.argsort(rows["bucket"])
         bucket = rows["bucket"][order]
@@ -213,22 +232,20 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
             if len(open_):
                 yield _packed(_part_of(mix(open_["key"].view(np.uint64)), parts), open_, "open")
 
-    first = stored(keyed.select("key", "text").mapInArrow(index, _ROWS), "anchors")
-    second = stored(first.where("kind = 'anchors'").repartition(tasks, "part").mapInArrow(judged, _ROWS), "judged")
+    first = stored(keyed.select("key", "text").mapInArrow(lean(index), _ROWS), "anchors")
+    second = stored(dealt(first.where("kind = 'anchors'")).mapInArrow(lean(judged), _ROWS), "judged")
 
     def by_key(batches):
-        rows, _ = _unpacked(batches, ANCHOR)
-        if not len(rows):
-            return
-        rows = np.unique(rows)
-        rows = rows[np.lexsort((rows["low"], rows["key"]))]
-        head = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
-        ends = (np.append(head, len(rows)) * ANCHOR.itemsize).astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(rows["key"][head]), packed], ["key", "rows"])
-
-    open_texts = stored(second.where("kind = 'open'").repartition(tasks, "part").mapInArrow(by_key, "key long, rows binary"), "open")
-    few = open_texts.count() <= BROADCAST_ROWS
+        for rows in _by_part(batches, ANCHOR):
+            rows = np.unique(rows)
+            rows = rows[np.lexsort((rows["low"], rows["key"]))]
+            head = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+            ends = (np.append(head, len(rows)) * ANCHOR.itemsize).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(rows["key"][head]), packed], ["key", "rows"])
+
+    open_texts = stored(dealt(second.where("kind = 'open'")).mapInArrow(lean(by_key), "key long, rows binary"), "open")
+    few = _packed_bytes(open_texts, "rows") <= BROADCAST_BYTES
     texts = keyed.select("key", "text").join(F.broadcast(open_texts) if few else open_texts, "key")
 
     def leaves(batches):
@@ -249,7 +266,10 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
                 yield _packed(np.concatenate(whose), np.concatenate(out), "windows")
 
     def refined_windows(batches):
-        rows, _ = _unpacked(batches, WINDOW)
+        for rows in _by_part(batches, WINDOW):
+            yield from refined_part(rows)
+
+    def refined_part(rows):
         order = np.argsort(rows["bucket"])
         bucket = rows["bucket"][order]
         twin = np.zeros(len(rows), bool)
@@ -267,12 +287,13 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
             runs["key"], runs["low"], runs["high"] = rows["key"][head], rows["at"][head], rows["at"][np.append(head[1:], len(rows)) - 1]
             yield _packed(_part_of(mix(runs["key"].view(np.uint64)), parts), runs, "runs")
 
-    third = stored(texts.select(F.lit("").alias("kind"), "text", "rows").mapInArrow(leaves, _ROWS).repartition(tasks, "part").mapInArrow(refined_windows, _ROWS), "windows")
+    third = stored(dealt(texts.select(F.lit("").alias("kind"), "text", "rows").mapInArrow(lean(leaves), _ROWS)).mapInArrow(lean(refined_windows), _ROWS), "windows")
 
     def covered(batches):
-        rows, _ = _unpacked(batches, RUN)
-        if not len(rows):
-            return
+        for rows in _by_part(batches, RUN):
+            yield covered_part(rows)
+
+    def covered_part(rows):
         keys, out = [], []
         rows = rows[np.lexsort((rows["low"], rows["key"]))]
         head = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
@@ -281,10 +302,10 @@ def repeat_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
             cut = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
             keys.append(int(rows["key"][a]))
             out.append(np.stack([start[cut], end[np.append(cut[1:], len(start)) - 1]], axis=1).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "runs"])
 
     runs = first.where("kind = 'runs'").unionByName(second.where("kind = 'runs'")).unionByName(third)
-    per_text = runs.repartition(tasks, "part").mapInArrow(covered, "key long, runs binary")
+    per_text = dealt(runs).mapInArrow(lean(covered), "key long, runs binary")
     # Copies of a text repeat all of its strings; the runs of other texts come from the refinement.
     size = keyed.select("key", "key2", F.octet_length("text").alias("size")).groupBy("key", "key2").agg(F.count("*").alias("copies"), F.max("size").alias("size"))
     whole = F.concat(F.unhex(F.lit("00000000")), _little(F.col("size")))
@@ -299,7 +320,7 @@ def _little(n):
 
 def _with_runs(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     runs = repeat_runs(docs, text_col, length).select(F.col("key").alias("_key"), F.col("key2").alias("_key2"), F.col("runs").alias("_runs"))
-    few = runs.count() <= BROADCAST_ROWS
+    few = _packed_bytes(runs, "_runs") <= BROADCAST_BYTES
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.join(F.broadcast(runs) if few else runs, (F.xxhash64(text) == F.col("_key")) & (F.xxhash64(text, F.lit(1)) == F.col("_key2")), "left").drop("_key", "_key2")
 
