@@ -18,9 +18,13 @@ and some 100 bytes for each of their bytes.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +39,29 @@ TEXT_BYTES = 1 << 18
 HOT_PAIRS = 1_000_000
 #: Pairs whose counts a task sums before it hands them on.
 PAIRS_AT_ONCE = 200_000
+#: Pieces of text whose ids a worker remembers, and their greatest length.
+PIECES, PIECE_CHARS = 200_000, 40
 #: A pair is one number: A's id times this, plus B's id.
 PAIR_BASE = 1 << 31
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Bytes of each id, their number, and the id as text in the forms that a digest needs."""
+    """Bytes of each id and their number; ``marked`` has each id as text before a comma, then each before the group's mark."""
 
     body: list[bytes]
     size: np.ndarray
-    text: np.ndarray
+    marked: list[bytes]
 
 
-def _vocabulary(body: list[bytes]) -> Vocabulary:
-    return Vocabulary(body, np.array([len(b) for b in body], np.int64), np.array([str(i).encode() for i in range(len(body))], object))
+def _vocabulary(body: list[bytes], mark: bytes) -> Vocabulary:
+    return Vocabulary(body, np.array([len(b) for b in body], np.int64), [b"%d%b" % (i, m) for m in (b",", mark) for i in range(len(body))])
+
+
+@lru_cache(maxsize=2)
+def _marked(first_path: str, second_path: str) -> list[bytes]:
+    """The marked ids of both vocabularies, one after the other."""
+    return first_tokenizer(first_path)[1].marked + second_tokenizer(second_path)[1].marked
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -59,6 +71,42 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def latin_pieces() -> re.Pattern:
+    """The pieces that a byte-level tokenizer codes one by one, for texts of Latin-1 characters, whose classes are settled."""
+    kind = lambda k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k)
+    letter, number, blank = kind("L"), kind("N"), r"\t-\r \x85\xa0"
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+
+
+def remembering(coder):
+    """An encoder of many texts that hands each piece of a Latin-1 text to the library once, and other texts whole."""
+    known: dict[str, list[int]] = {}
+    split = latin_pieces().findall
+
+    def library(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        if len(known) > PIECES:
+            known.clear()
+        pieces: list[list[str] | None] = []
+        for text in texts:
+            try:
+                text.encode("latin-1")
+                pieces.append(split(text))
+            except UnicodeEncodeError:
+                pieces.append(None)
+        new = list({x for p in pieces if p for x in p}.difference(known))
+        coded = dict(zip(new, library(new), strict=True))
+        known.update((x, ids) for x, ids in coded.items() if len(x) <= PIECE_CHARS)
+        now = known if all(len(x) <= PIECE_CHARS for x in new) else {**known, **coded}
+        whole = iter(library([t for t, p in zip(texts, pieces, strict=True) if p is None]))
+        return [next(whole) if p is None else list(chain.from_iterable(map(now.__getitem__, p))) for p in pieces]
+
+    return encode
+
+
 @lru_cache(maxsize=2)
 def first_tokenizer(path: str):
     """(encoder of many texts to id lists, vocabulary) of a byte-level file of the tokenizers library."""
@@ -72,7 +120,11 @@ def first_tokenizer(path: str):
     body = [b""] * (max(names.values()) + 1)
     for name, i in names.items():
         body[i] = bytes(signs[c] for c in name) if all(c in signs for c in name) else name.encode()
-    return lambda texts: [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)], _vocabulary(body)
+    setting = json.loads(coder.to_str())
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if setting["normalizer"] is None and usual.items() <= (setting["pre_tokenizer"] or {}).items():
+        return remembering(coder), _vocabulary(body, b"|")
+    return lambda texts: [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)], _vocabulary(body, b"|")
 
 
 @lru_cache(maxsize=2)
@@ -85,7 +137,7 @@ def second_tokenizer(path: str):
     for i in range(coder.get_piece_size()):
         piece = coder.id_to_piece(i)
         body.append(bytes([int(piece[3:5], 16)]) if coder.is_byte(i) else piece.replace("▁", " ").encode())
-    return lambda texts: coder.encode(texts, num_threads=1), _vocabulary(body)
+    return lambda texts: coder.encode(texts, num_threads=1), _vocabulary(body, b";")
 
 
 @dataclass(frozen=True)
@@ -101,17 +153,17 @@ class Alignment:
     def pairs(self) -> np.ndarray:
         return self.a[self.a_ends] * PAIR_BASE + self.b[self.b_ends]
 
-    def groups(self, first: Vocabulary, second: Vocabulary) -> bytes:
-        """``a1,a2|b1;a3|b2,b3``: the ids of every group in order."""
-        group_a, group_b = (np.searchsorted(ends, np.arange(len(ids))) for ends, ids in ((self.a_ends, self.a), (self.b_ends, self.b)))
-        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-        marks = np.full(len(order), b",", object)
-        marks[self.a_ends] = b"|"
-        marks[len(self.a) + self.b_ends] = b";"
-        words = np.concatenate([first.text[self.a], second.text[self.b]])
-        both = np.empty(2 * len(order), object)
-        both[::2], both[1::2] = words[order], marks[order]
-        return b"".join(both[:-1].tolist())
+    def groups(self, marked: list[bytes], first_size: int, second_size: int) -> bytes:
+        """``a1,a2|b1;a3|b2,b3``: the ids of every group in order, from the marked ids of both vocabularies."""
+        a, b = self.a.copy(), self.b + 2 * first_size
+        a[self.a_ends] += first_size
+        b[self.b_ends] += second_size
+        # A's tokens of a group come before B's: each token moves by what the other side has placed before it.
+        size_a, size_b = np.diff(self.a_ends, prepend=-1), np.diff(self.b_ends, prepend=-1)
+        both = np.empty(len(a) + len(b), np.int64)
+        both[np.arange(len(a)) + np.repeat(self.b_ends + 1 - size_b, size_a)] = a
+        both[np.arange(len(b)) + np.repeat(self.a_ends + 1, size_b)] = b
+        return b"".join(map(marked.__getitem__, both.tolist()))[:-1]
 
 
 def aligned(text: bytes, a: list[int], b: list[int], first: Vocabulary, second: Vocabulary) -> Alignment | None:
@@ -121,9 +173,13 @@ def aligned(text: bytes, a: list[int], b: list[int], first: Vocabulary, second:
         return None
     ids = np.array(a, np.int64), np.array(b, np.int64)
     ends = np.cumsum(first.size[ids[0]]), np.cumsum(second.size[ids[1]])
-    # Tokens without bytes end where the one before does; a group ends with the last of them.
-    _, at_a, at_b = np.intersect1d(ends[0][::-1], ends[1][::-1], return_indices=True)
-    return Alignment(*ids, len(ends[0]) - 1 - at_a, len(ends[1]) - 1 - at_b)
+    common = []
+    for mine, other in (ends, ends[::-1]):
+        there = np.zeros(len(whole) + 1, bool)
+        there[other] = True
+        # Tokens without bytes end where the one before does; a group ends with the last of them.
+        common.append(np.flatnonzero(there[mine] & np.append(mine[1:] != mine[:-1], True)))
+    return Alignment(*ids, *common)
 
 
 def text_measures(docs: DataFrame, first_path: str, second_path: str, text_col: str = "text") -> DataFrame:
@@ -137,6 +193,7 @@ def text_measures(docs: DataFrame, first_path: str, second_path: str, text_col:
 
     def coded(texts):
         (encode_a, first), (encode_b, second) = first_tokenizer(first_path), second_tokenizer(second_path)
+        marked = _marked(first_path, second_path)
         raw = [t.encode() for t in texts]
         for text, a, b in zip(raw, encode_a([" " + t for t in texts]), encode_b(texts), strict=True):
             found = aligned(text, a, b, first, second)
@@ -145,7 +202,7 @@ def text_measures(docs: DataFrame, first_path: str, second_path: str, text_col:
                 yield key, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
             else:
                 pairs, times = np.unique(found.pairs, return_counts=True)
-                yield key, len(found.a), len(found.b), len(found.a_ends), hashlib.sha256(found.groups(first, second)).hexdigest(), pairs, times
+                yield key, len(found.a), len(found.b), len(found.a_ends), hashlib.sha256(found.groups(marked, len(first.body), len(second.body))).hexdigest(), pairs, times
 
     def run(batches):
         for batch in batches:

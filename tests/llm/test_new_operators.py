@@ -220,6 +220,20 @@ def test_alignment_equals_brute_force(spark):
     assert alignment.align_documents(frame.limit(0), path("byte_bpe_50k.json"), path("piece_bpe_32k.model")).count() == 0
 
 
+def test_remembered_pieces_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(alignment, "PIECES", 50)
+    coder = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    coder.encode_special_tokens = True
+    encode = alignment.remembering(coder)
+    rng = random.Random(3)
+    signs = [chr(c) for c in range(256)] + ["  ", "\n\n", "'s", "'ll", "'ve ", " the", " été", "<|endoftext|>", "x" * 60, "²½", "\x1c", "\x85", "\xa0", "€", "ω"]
+    for _ in range(40):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(20)]
+        assert encode(texts) == [coder.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_rare_pairs_are_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(alignment, "HOT_PAIRS", 20)
     rows = odd_texts()
