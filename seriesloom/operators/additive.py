@@ -1,7 +1,7 @@
 """Per-key additive regression: trend, yearly and weekly waves, holidays, regressors.
 
-A key is one group of a grouped map with at most one row per period of its
-history and future; numpy solves one small ridge system per key.
+The normal equations of a key are sums of products, merged from partial sums of every task, so a key's rows are never
+gathered. The system of a key is one array column, which the sweep operator solves; no Python runs.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from seriesloom.operators.impute import join_on_keys
+from seriesloom.operators.linear import at, diagonal, sweep_all
 from seriesloom.spec import PanelSpec
 
 COMPONENTS = ("trend", "yearly", "weekly", "holidays", "regressors")
@@ -44,75 +43,84 @@ class AdditiveModel:
         weekly = self.weekly_order if self.spec.freq.base in ("D", "H", "B") else 0
         return [("yearly", 365.25, self.yearly_order), ("weekly", 7.0, weekly)]
 
-    def _design(self, days: np.ndarray, first: float, last: float, extra: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, slice]]:
-        """Design matrix and the columns of each component."""
-        t = (days - first) / max(last - first, 1.0)
-        blocks, where, at = [], {}, 0
-
-        def add(name: str, block: np.ndarray) -> None:
-            nonlocal at
-            blocks.append(block)
-            where[name] = slice(at, at + block.shape[1])
-            at += block.shape[1]
-
-        knots = np.linspace(0, self.changepoint_range, self.changepoints + 1)[1:]
-        add("trend", np.column_stack([np.ones_like(t), t, *[np.maximum(t - k, 0) for k in knots]]))
+    def _terms(self) -> dict[str, list[Column]]:
+        """Regressors of each component as expressions of ``_t`` (0 to 1 over the known rows) and ``_day``."""
+        t = F.col("_t")
+        knots = [self.changepoint_range * (i + 1) / self.changepoints for i in range(self.changepoints)]
+        terms = {"trend": [F.lit(1.0), t, *[F.greatest(t - k, F.lit(0.0)) for k in knots]]}
         for name, period, order in self._waves():
-            if order:
-                angle = 2 * math.pi * days / period
-                add(name, np.column_stack([f(i * angle) for i in range(1, order + 1) for f in (np.sin, np.cos)]))
-        for name, cols in (("holidays", self.holidays), ("regressors", self.regressors)):
-            if cols:
-                add(name, np.column_stack([extra[c] for c in cols]))
-        return np.hstack(blocks), where
-
-    def components(self, history: DataFrame, future: DataFrame | None = None) -> DataFrame:
-        """Fitted and future rows: components, ``yhat`` and its interval.
-
-        Rows of ``future`` carry the keys, the date and the regressor columns.
-        """
+            angle = 2 * math.pi * F.col("_day") / period
+            terms[name] = [f(i * angle) for i in range(1, order + 1) for f in (F.sin, F.cos)]
+        terms["holidays"] = [F.col(c) for c in self.holidays]
+        terms["regressors"] = [F.col(c) for c in self.regressors]
+        return terms
+
+    def _rows(self, history: DataFrame, future: DataFrame | None) -> DataFrame:
+        """History and future rows with ``y`` (null in the future), ``_day``, ``_t`` and the number of known rows of the key."""
         spec, extra = self.spec, [*self.holidays, *self.regressors]
         cols = [*spec.key_cols, spec.date_col, *extra]
-        target = F.col(spec.target_col).cast("double").alias("y")
-        rows = history.select(*cols, target)
+        known = F.nanvl(F.col(spec.target_col).cast("double"), F.lit(None).cast("double"))
+        rows = history.select(*cols, known.alias("y"))
         if future is not None:
             rows = rows.unionByName(future.select(*cols, F.lit(None).cast("double").alias("y")))
         day = F.unix_seconds(F.col(spec.date_col).cast("timestamp")) / 86400.0
         rows = rows.withColumn("_day", day).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in extra})
-        keep = [f for f in rows.schema.fields if f.name in (*spec.key_cols, spec.date_col)]
-        numbers = ["y", *COMPONENTS, "yhat", "yhat_lower", "yhat_upper"]
-        schema = T.StructType(keep + [T.StructField(c, T.DoubleType()) for c in numbers])
-        names = [f.name for f in keep] + numbers
-        model = self
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_day")
-            y, days = pdf["y"].to_numpy(dtype=float), pdf["_day"].to_numpy(dtype=float)
-            known = ~np.isnan(y)
-            if known.sum() < model.min_rows:
-                return pdf.assign(**{c: np.nan for c in numbers[1:]})[names]
-            x, where = model._design(days, days[known].min(), days[known].max(), {c: pdf[c].to_numpy(dtype=float) for c in extra})
-            scale = np.abs(y[known]).max() or 1.0
-            a, b = x[known], y[known] / scale
-            penalty = np.full(x.shape[1], model.ridge * 0.01)
-            penalty[:2] = 1e-8
-            beta = np.linalg.solve(a.T @ a + np.diag(penalty), a.T @ b) * scale
-            out = {c: (x[:, where[c]] @ beta[where[c]] if c in where else np.zeros(len(y))) for c in COMPONENTS}
-            yhat = x @ beta
-            tail = (1 - model.interval_width) / 2
-            lo, hi = np.quantile(y[known] - yhat[known], [tail, 1 - tail])
-            bounds = {"yhat": yhat, "yhat_lower": yhat + lo, "yhat_upper": yhat + hi}
-            if model.floor_zero:
-                bounds = {k: np.maximum(v, 0.0) for k, v in bounds.items()}
-            return pdf.assign(**out, **bounds)[names]
-
-        return rows.groupBy(*spec.key_cols).applyInPandas(fit, schema)
+        seen = F.when(F.col("y").isNotNull(), F.col("_day"))
+        first, last = F.min(seen).over(spec.per_key()), F.max(seen).over(spec.per_key())
+        rows = rows.withColumns({"_known": F.count("y").over(spec.per_key()), "_t": (F.col("_day") - first) / F.greatest(last - first, F.lit(1.0))})
+        return rows
+
+    def _solved(self, rows: DataFrame) -> DataFrame:
+        """(keys, _beta): the coefficients of every key with enough known rows, in the order of ``_terms``."""
+        terms = [x for part in self._terms().values() for x in part]
+        used = rows.filter(F.col("y").isNotNull() & (F.col("_known") >= self.min_rows))
+        data = used.select(*self.spec.key_cols, *[x.alias(f"_x{i}") for i, x in enumerate([*terms, F.col("y")])])
+        p = len(terms)
+        upper = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i in range(p + 1) for j in range(i, p + 1)]
+        sums = data.groupBy(*self.spec.key_cols).agg(F.array(*upper).alias("_u"))
+        # Entry (i, j) of the whole matrix among the sums of the upper half; the ridge lies on the diagonal.
+        place = {(i, j): n for n, (i, j) in enumerate((i, j) for i in range(p + 1) for j in range(i, p + 1))}
+        index = F.array(*[F.lit(place[min(i, j), max(i, j)]) for i in range(p + 1) for j in range(p + 1)])
+        penalty = [1e-8 if i < 2 else self.ridge * 0.01 for i in range(p)]
+        ridge = F.array(*[F.lit(penalty[i] if i == j and i < p else 0.0) for i in range(p + 1) for j in range(p + 1)])
+        full = sums.withColumn("_g", F.zip_with(F.transform(index, lambda n: F.get("_u", n)), ridge, lambda a, b: a + b))
+        size = F.lit(p + 1)
+        swept = sweep_all(F.col("_g"), size, F.sequence(F.lit(0), F.lit(p - 1)), diagonal(F.col("_g"), size))
+        beta = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: at(F.col("_s"), size, i, p))
+        return full.withColumn("_s", swept).select(*self.spec.key_cols, beta.alias("_beta"))
+
+    def coefficients(self, history: DataFrame) -> DataFrame:
+        """``(keys, component, term, value)``: the fitted coefficients; keys with too few known rows have none."""
+        named = [F.struct(F.lit(c).alias("component"), F.lit(i).alias("term")) for c, part in self._terms().items() for i in range(len(part))]
+        solved = self._solved(self._rows(history, None))
+        return solved.select(*self.spec.key_cols, F.posexplode("_beta").alias("_i", "value")).select(*self.spec.key_cols, F.get(F.array(*named), F.col("_i")).alias("_n"), "value").select(*self.spec.key_cols, "_n.*", "value")
+
+    def components(self, history: DataFrame, future: DataFrame | None = None) -> DataFrame:
+        """Fitted and future rows: components, ``yhat`` and its interval; null for a key with too few known rows.
+
+        Rows of ``future`` carry the keys, the date and the regressor columns.
+        """
+        keys = list(self.spec.key_cols)
+        rows = self._rows(history, future)
+        fitted = join_on_keys(rows, self._solved(rows), keys)
+        parts, at_ = {}, 0
+        for name in COMPONENTS:
+            terms = self._terms().get(name, [])
+            total = sum((x * F.get("_beta", F.lit(at_ + i)) for i, x in enumerate(terms)), F.lit(0.0))
+            parts[name] = F.when(F.col("_beta").isNotNull(), total)
+            at_ += len(terms)
+        made = fitted.withColumns(parts).withColumn("_yhat", sum((F.col(c) for c in COMPONENTS), F.lit(0.0)))
+        tail = (1 - self.interval_width) / 2
+        off = made.groupBy(*keys).agg(F.percentile(F.col("y") - F.col("_yhat"), [tail, 1 - tail]).alias("_off"))
+        bounded = join_on_keys(made, off, keys)
+        bounds = {"yhat": F.col("_yhat"), "yhat_lower": F.col("_yhat") + F.get("_off", F.lit(0)), "yhat_upper": F.col("_yhat") + F.get("_off", F.lit(1))}
+        if self.floor_zero:
+            bounds = {k: F.when(v.isNotNull(), F.greatest(v, F.lit(0.0))) for k, v in bounds.items()}
+        return bounded.select(*keys, self.spec.date_col, "y", *COMPONENTS, *[v.alias(k) for k, v in bounds.items()])
 
     def predict(self, history: DataFrame, future: DataFrame) -> DataFrame:
         """``(keys, date, yhat, yhat_lower, yhat_upper)`` of the future rows."""
         made = self.components(history, future).filter(F.col("y").isNull())
         starts = history.groupBy(*self.spec.key_cols).agg(F.max(F.when(F.col(self.spec.target_col).isNotNull(), F.col(self.spec.date_col))).alias("_last"))
-        from seriesloom.operators.impute import join_on_keys
-
         after = join_on_keys(made, starts, self.spec.key_cols).filter(F.col(self.spec.date_col) > F.col("_last"))
         return after.select(*self.spec.key_cols, self.spec.date_col, "yhat", "yhat_lower", "yhat_upper")

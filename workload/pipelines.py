@@ -409,31 +409,65 @@ def out_of_fold_predictions(spark, folder):
     return shown(oof.select("k", "d", "y", "fold", (F.col("yhat") >= 0).alias("not_negative")))
 
 
+def _additive(panel: str, changes: int, waves: str, extra: str, future: str = "") -> str:
+    """SQL of the additive regression: rows with their regressors, normal equations with the ridge, one sweep per regressor."""
+    terms = f"""[1.0, t] || list_transform(range(1, {changes + 1}), lambda i: greatest(t - 0.8 * i / {changes}, 0.0)) || {waves}{extra}"""
+    sweep = """list_transform(range(0, m * m), lambda x: CASE WHEN x // m = p AND x % m = p THEN 1 / g[p * m + p + 1] WHEN x // m = p THEN g[x + 1] / g[p * m + p + 1]
+  WHEN x % m = p THEN -g[x + 1] / g[p * m + p + 1] ELSE g[x + 1] - g[x // m * m + p + 1] * g[p * m + x % m + 1] / g[p * m + p + 1] END)"""
+    return f"""{panel}, ends AS (SELECT k, min(epoch(d) / 86400.0) AS lo, max(epoch(d) / 86400.0) AS hi FROM known GROUP BY k),
+ dated AS (SELECT k, d, y, epoch(d) / 86400.0 AS day FROM known{future}),
+ placed AS (SELECT z.*, (day - lo) / greatest(hi - lo, 1.0) AS t FROM dated z JOIN ends ON ends.k = z.k),
+ rows_ AS (SELECT *, {terms} AS x FROM placed),
+ fit AS (SELECT k, d, x || [CAST(y AS DOUBLE)] AS v FROM rows_ WHERE y IS NOT NULL),
+ long AS (SELECT k, d, len(v) AS m, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM fit),
+ gram AS (SELECT a.k, a.m, a.i, b.i AS j, sum(a.x * b.x) + CASE WHEN a.i = b.i AND a.i < a.m THEN CASE WHEN a.i <= 2 THEN 1e-8 ELSE 0.01 END ELSE 0 END AS s FROM long a JOIN long b ON a.k = b.k AND a.d = b.d GROUP BY a.k, a.m, a.i, b.i),
+ swept AS (SELECT k, m, CAST(0 AS BIGINT) AS p, list(s ORDER BY i, j) AS g FROM gram GROUP BY k, m UNION ALL SELECT k, m, p + 1, {sweep} FROM swept WHERE p < m - 1),
+ beta AS (SELECT k, list_transform(range(0, m - 1), lambda i: g[i * m + m]) AS b FROM swept WHERE p = m - 1)"""
+
+
+_WAVE = "list_transform(range(0, {n}), lambda i: CASE WHEN i % 2 = 0 THEN sin(2 * pi() * day / {period} * (i // 2 + 1)) ELSE cos(2 * pi() * day / {period} * (i // 2 + 1)) END)"
+_YEARLY = _WAVE.format(n=6, period=365.25)
+_MONTHLY_ADDITIVE = _additive(P.with_grid(P.BRAND_MONTH, "1 MONTH") + ", known AS (SELECT k, d, y FROM filled)", 10, _YEARLY, "")
+_HOLIDAY = "[CASE WHEN strftime(d, '%m-%d') IN ('12-24', '12-25', '12-26', '01-01') THEN 1.0 ELSE 0.0 END]"
+
+
 @query(
     "additive_forecast",
-    f"""WITH panel AS ({P.BRAND_DAY}), l AS (SELECT k, max(d) AS d FROM panel GROUP BY k)
-SELECT k, {s("d + CAST(h AS INTEGER)")} AS d, {n("1")} AS inside FROM l, range(1, 29) t(h)""",
+    _additive(
+        f"WITH RECURSIVE known AS ({P.BRAND_DAY})", 10, f"{_WAVE.format(n=12, period=365.25)} || {_WAVE.format(n=6, period=7.0)}", f" || {_HOLIDAY}",
+        " UNION ALL SELECT k, CAST(hi AS DATE), NULL, epoch(CAST(hi AS DATE)) / 86400.0 FROM (SELECT k, max(d) + CAST(unnest(range(1, 29)) AS INTEGER) AS hi FROM known GROUP BY k)",
+    )
+    + f""", made AS (SELECT z.k, d, y, list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * b[i])) AS f FROM rows_ z JOIN beta ON beta.k = z.k),
+ off AS (SELECT k, quantile_cont(y - f, 0.1) AS lo, quantile_cont(y - f, 0.9) AS hi FROM made WHERE y IS NOT NULL GROUP BY k)
+SELECT made.k, {s("d")} AS d, {r("greatest(f, 0)", 3)} AS yhat, {r("greatest(f + lo, 0)", 3)} AS yhat_lower, {r("greatest(f + hi, 0)", 3)} AS yhat_upper FROM made JOIN off ON off.k = made.k WHERE y IS NULL""",
 )
 def additive_forecast(spark, folder):
     daily = P.brand_day(spark, folder)
     flag = F.date_format("d", "MM-dd").isin("12-24", "12-25", "12-26", "01-01").cast("double")
     model = AdditiveModel(P.DAILY, holidays=("holiday",))
     future = future_dates(daily, P.DAILY, 28).withColumn("holiday", flag)
-    out = model.predict(daily.withColumn("holiday", flag), future)
-    inside = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
-    return shown(out.select("k", "d", inside.alias("inside")))
+    return shown(model.predict(daily.withColumn("holiday", flag), future), 3)
 
 
 @query(
     "additive_components",
-    f"""{P.with_grid(P.BRAND_MONTH, "1 MONTH")} SELECT k, {s("d")} AS d, {r("y")} AS observed, {n("1")} AS adds_up FROM filled""",
+    f"""{_MONTHLY_ADDITIVE} SELECT z.k, {s("d")} AS d, {r("y")} AS observed, {r("list_sum(list_transform(range(1, 13), lambda i: x[i] * b[i]))", 3)} AS trend,
+ {r("list_sum(list_transform(range(13, 19), lambda i: x[i] * b[i]))", 3)} AS yearly, {r("greatest(list_sum(list_transform(range(1, 19), lambda i: x[i] * b[i])), 0)", 3)} AS yhat FROM rows_ z JOIN beta ON beta.k = z.k""",
 )
 def additive_components(spark, folder):
     monthly = P.brand_month_full(spark, folder)
     parts = AdditiveModel(P.MONTHLY, yearly_order=3).components(monthly)
     drawn = chartdata.components_with_actual(parts, monthly, P.MONTHLY)
-    total = sum((F.col(c) for c in COMPONENTS), F.lit(0.0))
-    return shown(drawn.select("k", "d", "observed", (F.abs(total - F.col("yhat")) < 1e-6).alias("adds_up")))
+    return shown(drawn.select("k", "d", "observed", "trend", "yearly", "yhat"), 3)
+
+
+@query(
+    "additive_coefficients",
+    f"""{_MONTHLY_ADDITIVE} SELECT k, CASE WHEN i <= 12 THEN 'trend' ELSE 'yearly' END AS component, {n("CASE WHEN i <= 12 THEN i - 1 ELSE i - 13 END")} AS term, {r("v", 2)} AS value
+FROM (SELECT k, unnest(b) AS v, generate_subscripts(b, 1) AS i FROM beta)""",
+)
+def additive_coefficients(spark, folder):
+    return shown(AdditiveModel(P.MONTHLY, yearly_order=3).coefficients(P.brand_month_full(spark, folder)), 2)
 
 
 @query(
