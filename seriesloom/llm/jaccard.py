@@ -46,7 +46,7 @@ SHINGLES_A_TASK, SHINGLES_A_PART = 2_000_000, 200_000
 #: Members of a block of a large bucket; a task compares two blocks at a time.
 BLOCK = 1024
 #: Partners of a set that a round of large buckets tries, and how much more the next one does if none links.
-FIRST_PARTNERS, MORE_PARTNERS = 1, 8
+FIRST_PARTNERS, MORE_PARTNERS = 2, 16
 #: Set keys that a task remembers, so that copies are indexed once.
 SEEN_AT_ONCE = 200_000
 #: Ids of candidate sets up to which they are broadcast (16 bytes each).
@@ -354,10 +354,12 @@ def crossing_pairs(groups: DataFrame, roots: DataFrame, reps: DataFrame, partner
             for members in zip(*(batch.column(k) for k in range(4)), strict=True):
                 node, top, n = (members[k].values.to_numpy() for k in range(3))
                 sketch = np.frombuffer(b"".join(members[3].values.to_pylist()), np.uint8).reshape(len(node), BINS)
+                coarse = sketch.reshape(len(node), 8, -1).sum(axis=2, dtype=np.int16)
                 us, vs, more = [], [], []
                 for i in range(len(node)):
-                    at = np.flatnonzero(top != top[i])
-                    at = at[5 * np.minimum(n[i], n[at]) >= 4 * np.maximum(n[i], n[at])]
+                    at = np.flatnonzero((top != top[i]) & (5 * np.minimum(n[i], n) >= 4 * np.maximum(n[i], n)))
+                    # Sums of sketch entries differ by no more than the entries do, and take a sixteenth of the time.
+                    at = at[9 * _apart(coarse[i], coarse[at]) <= n[i] + n[at]]
                     apart = _apart(sketch[i], sketch[at])
                     near = 9 * apart <= n[i] + n[at]
                     at, apart = at[near], apart[near]
@@ -427,6 +429,16 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str,
     return both.mapInArrow(lean(compare), "u long, v long")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links: only the components that they join are connected anew."""
+    a, b = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+    between = links.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    moved = stored(connected(between, "merged"), "moved")
+    known = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = moved.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return stored(known.unionByName(new), "roots")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest linked id, itself included."""
     return keyed_components(docs, id_col, text_col, words).drop("text_key")
@@ -454,24 +466,20 @@ def keyed_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return candidates.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
     tried = best
-    rest = stored(apart(pairs.select("u", "v")).join(tried, ["u", "v"], "left_anti"), "second-pairs")
-    if not rest.isEmpty():
-        found = stored(verified(rest, docs, reps, text_col, id_col, words, "second"), "second-links")
-        tried = tried.unionByName(rest)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            roots = stored(connected(edges, "second"), "roots")
-    partners, open_ = FIRST_PARTNERS, True
+    partners, open_, stored_pairs = FIRST_PARTNERS, True, apart(pairs.select("u", "v"))
     while open_:
         near = stored(crossing_pairs(groups, roots, reps, partners), "crossing")
-        rest = stored(near.select("u", "v").join(tried, ["u", "v"], "left_anti"), "crossing-pairs")
+        candidates = near.select("u", "v")
+        if stored_pairs is not None:
+            # The first round also takes the pairs of small buckets.
+            candidates, stored_pairs = candidates.unionByName(stored_pairs).distinct(), None
+        rest = stored(candidates.join(tried, ["u", "v"], "left_anti"), "crossing-pairs")
         found = None
         if not rest.isEmpty():
             found = stored(verified(rest, docs, reps, text_col, id_col, words, "crossing"), "crossing-links")
-            tried = stored(tried.unionByName(rest), "tried")
+            tried = tried.unionByName(rest)
         if found is not None and not found.isEmpty():
-            edges = stored(edges.unionByName(found), "links")
-            roots = stored(connected(edges, "crossing"), "roots")
+            roots = merged(roots, found)
         else:
             # Nothing linked: those with untried partners left try more of them, until none is left.
             open_ = not near.where("more").isEmpty()
