@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.impute import join_on_keys
-from seriesloom.operators.linear import at, diagonal, sweep_all
+from seriesloom.operators.linear import at, diagonal, let, sweep_all
 from seriesloom.spec import PanelSpec
 
 COMPONENTS = ("trend", "yearly", "weekly", "holidays", "regressors")
@@ -83,11 +83,11 @@ class AdditiveModel:
         index = F.array(*[F.lit(place[min(i, j), max(i, j)]) for i in range(p + 1) for j in range(p + 1)])
         penalty = [1e-8 if i < 2 else self.ridge * 0.01 for i in range(p)]
         ridge = F.array(*[F.lit(penalty[i] if i == j and i < p else 0.0) for i in range(p + 1) for j in range(p + 1)])
-        full = sums.withColumn("_g", F.zip_with(F.transform(index, lambda n: F.get("_u", n)), ridge, lambda a, b: a + b))
         size = F.lit(p + 1)
-        swept = sweep_all(F.col("_g"), size, F.sequence(F.lit(0), F.lit(p - 1)), diagonal(F.col("_g"), size))
-        beta = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: at(F.col("_s"), size, i, p))
-        return full.withColumn("_s", swept).select(*self.spec.key_cols, beta.alias("_beta"))
+        matrix = let(F.col("_u"), lambda u: F.zip_with(F.transform(index, lambda n: F.get(u, n)), ridge, lambda a, b: a + b))
+        swept = let(matrix, lambda g: let(diagonal(g, size), lambda first: sweep_all(g, size, F.sequence(F.lit(0), F.lit(p - 1)), first)))
+        beta = let(swept, lambda g: F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: at(g, size, i, p)))
+        return sums.select(*self.spec.key_cols, beta.alias("_beta"))
 
     def coefficients(self, history: DataFrame) -> DataFrame:
         """``(keys, component, term, value)``: the fitted coefficients; keys with too few known rows have none."""

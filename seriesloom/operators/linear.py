@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 COLLINEAR = 1e-10
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; the optimizer would else copy it into every step of a fold that reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def at(matrix: Column, size: Column, i: Column | int, j: Column | int) -> Column:
     return F.get(matrix, (size * i + j).cast("int"))
 

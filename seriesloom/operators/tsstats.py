@@ -7,6 +7,7 @@ bounded by its calendar.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.impute import join_on_keys, next_value, previous_value
-from seriesloom.operators.linear import at, diagonal, sweep, sweep_all, usable
+from seriesloom.operators.linear import at, diagonal, let, sweep, sweep_all, usable
 from seriesloom.spec import PanelSpec
 
 
@@ -541,14 +542,111 @@ def stl_arrays(y: np.ndarray, period: int, seasonal: int = 7, trend: int | None
     return t, s
 
 
+def _local_lines(span: int, length: int, before: int, after: int) -> np.ndarray:
+    """Weights of the values in the fitted value, for positions from ``-before`` to ``length - 1 + after``: local lines are linear in them."""
+    at_ = np.arange(-before, length + after, dtype=float)
+    return np.column_stack([_loess(unit, span, at_, np.ones(length)) for unit in np.eye(length)])
+
+
+def _doubles(values: np.ndarray) -> Column:
+    return F.array(*[F.lit(float(v)) for v in np.ravel(values)])
+
+
+def _smoothed(value: Callable[[Column], Column], length: Column, position: Column, span: int, outside: int) -> Column:
+    """The local line of ``span`` (odd) values at a position of a series with at least as many, up to ``outside`` beyond its ends.
+
+    Weights depend on the distance from the nearer end only, so one row of them serves all positions inside.
+    """
+    half = span // 2
+    wide = _local_lines(span, 2 * span, outside, 0)[: half + 1 + outside]
+    first = [max(i - outside - half, 0) for i in range(half + 1 + outside)]
+    table = _doubles(np.stack([row[f : f + span] for row, f in zip(wide, first, strict=True)]))
+    from_end = length - 1 - position
+    row = F.least(position, from_end, F.lit(half)) + outside
+    start = F.least(F.greatest(position - half, F.lit(0)), length - span)
+    step = lambda acc, j: acc + F.get(table, (row * span + F.when(position > from_end, span - 1 - j).otherwise(j)).cast("int")) * value(start + j)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(span - 1)), F.lit(0.0), step)
+
+
+def _smoothed_short(value: Callable[[Column], Column], length: Column, position: Column, span: int, least: int, outside: int) -> Column:
+    """The same for series of ``least`` to ``span - 1`` values: all of them take part, with weights for every length."""
+    blocks = [_local_lines(span, size, outside, outside).ravel() for size in range(least, span)]
+    table, begin = _doubles(np.concatenate(blocks)), F.array(*[F.lit(int(x)) for x in np.cumsum([0, *map(len, blocks)])])
+    row = F.get(begin, length - least) + (position + outside) * length
+    return F.aggregate(F.sequence(F.lit(0), length - 1), F.lit(0.0), lambda acc, j: acc + F.get(table, (row + j).cast("int")) * value(j))
+
+
+def _line(value: Callable[[Column], Column], length: Column, position: Column, span: int, least: int, outside: int = 0) -> Column:
+    """The local line at a position of a series with ``least`` values or more."""
+    long_ = _smoothed(value, length, position, span, outside)
+    return F.when(length >= span, long_).otherwise(_smoothed_short(value, length, position, span, least, outside)) if span > least else long_
+
+
+def _stl_native(slim: DataFrame, spec: PanelSpec, period: int, seasonal: int, trend: int) -> DataFrame:
+    """Non-robust STL as array expressions: every smoother is a linear filter, whose weights are known when the plan is made."""
+    keys, y = list(spec.key_cols), spec.target_col
+    low = period + 1 if period % 2 == 0 else period + 2
+    rows = F.array_sort(F.collect_list(F.struct(F.col(spec.date_col).alias("d"), F.nanvl(F.col(y), F.lit(None).cast("double")).alias("v"))))
+    series = slim.groupBy(*keys).agg(rows.alias("_s"))
+
+    def over(size: Column, of: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0), size - 1), of)
+
+    def moving(values: Column, m: int, size: Column) -> Column:
+        return over(size, lambda i: F.aggregate(F.slice(values, i + 1, m), F.lit(0.0), lambda acc, v: acc + v) / m)
+
+    def cycles(free: Column, n: Column) -> Column:
+        """Fits of the cycle-subseries, which begin one period before the series and end one after it."""
+        def fit(i: Column) -> Column:
+            p = i % period
+            length = ((n - p + period - 1) / period).cast("int")
+            return _line(lambda j: F.get(free, (p + j * period).cast("int")), length, ((i - p) / period).cast("int") - 1, seasonal, 2, 1)
+
+        return over(n + 2 * period, fit)
+
+    def line(values: Column, n: Column, span: int) -> Column:
+        return over(n, lambda i: _line(lambda j: F.get(values, j), n, i, span, 2 * period))
+
+    def round_(v: Column, n: Column, t: Column) -> Column:
+        def parted(cyc: Column, smooth: Column) -> Column:
+            sea = over(n, lambda i: F.get(cyc, i + period) - F.get(smooth, i))
+            return let(sea, lambda s: let(F.zip_with(v, s, lambda a, b: a - b), lambda rest: F.struct(line(rest, n, trend).alias("t"), s.alias("s"))))
+
+        def lowered(cyc: Column) -> Column:
+            once = lambda use: let(moving(cyc, period, n + period + 1), use)
+            return once(lambda a: let(moving(a, period, n + 2), lambda b: let(moving(b, 3, n), lambda c: let(line(c, n, low), lambda smooth: parted(cyc, smooth)))))
+
+        return let(F.zip_with(v, t, lambda a, b: a - b), lambda free: let(cycles(free, n), lowered))
+
+    def decomposed(v: Column) -> Column:
+        zero = F.transform(v, lambda _: F.lit(0.0))
+        start = F.struct(zero.alias("t"), zero.alias("s"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(5)), start, lambda acc, _: round_(v, F.size(v), acc["t"]))
+
+    enough = (F.size("_s") >= 2 * period) & ~F.exists("_s", lambda r: r["v"].isNull())
+    made = series.filter(enough).withColumn("_p", let(F.transform("_s", lambda r: r["v"]), decomposed))
+    made = made.select(*keys, F.inline(F.arrays_zip("_s", F.col("_p")["t"].alias("_t"), F.col("_p")["s"].alias("_sea"))))
+    made = made.select(*keys, F.col("_s.d").alias(spec.date_col), F.col("_s.v").alias(y), F.col("_t").alias("trend"), F.col("_sea").alias("seasonal"))
+    made = made.withColumns({"resid": F.col(y) - F.col("trend") - F.col("seasonal"), "error": F.lit(None).cast("string")})
+    none = F.lit(None).cast("double")
+    rest = series.filter(~enough).select(*keys, F.inline("_s"))
+    rest = rest.select(*keys, F.col("d").alias(spec.date_col), F.col("v").alias(y), none.alias("trend"), none.alias("seasonal"), none.alias("resid"), F.lit("fewer than two periods of values").alias("error"))
+    return made.unionByName(rest)
+
+
 def stl_decompose(df: DataFrame, spec: PanelSpec, period: int, seasonal: int = 7, trend: int | None = None, robust: bool = False) -> DataFrame:
     """Adds ``trend``, ``seasonal``, ``resid`` by LOESS.
 
     A key with values for less than two periods keeps its rows, with nulls and the
-    reason in ``error``.
+    reason in ``error``. Without ``robust`` no Python runs, unless ``trend`` spans
+    many more values than two periods or a span is even.
     """
     filled = fill_both_ways(df, spec, spec.target_col)
     slim = filled.select(*spec.key_cols, spec.date_col, F.col(spec.target_col).cast("double").alias(spec.target_col))
+    span = trend or math.ceil(1.5 * period / (1 - 1.5 / seasonal))
+    span += trend is None and span % 2 == 0
+    if not robust and period > 1 and span <= 2 * period + 8 and span % 2 and seasonal % 2 and seasonal > 1:
+        return _stl_native(slim, spec, period, seasonal, span)
     added = [T.StructField(c, T.DoubleType()) for c in ("trend", "seasonal", "resid")] + [T.StructField("error", T.StringType())]
     schema = T.StructType(slim.schema.fields + added)
     date, target = spec.date_col, spec.target_col
