@@ -98,17 +98,11 @@ def workflow(rows):
     assert len({r.model for r in rows}) > 1
 
 
-def stl(rows):
-    for r in rows:
-        if r.error is None:
-            assert r.trend + r.seasonal + r.resid == pytest.approx(r.y, abs=1e-4)
-
-
 CHECKS = {
     "recursive_forecast": not_constant, "direct_forecast": not_constant, "causal_forecast": not_constant, "tweedie_forecast": tweedie, "quantile_forecast": quantiles,
     "out_of_fold_predictions": out_of_fold, "grid_search_scores": grid, "random_search_history": history, "gain_and_split_importance": importance,
     "permutation_importance": permutation, "linear_attributions": attributions, "local_attributions": attributions, "attribution_totals": totals,
-    "dependence_on_week": dependence, "bake_off_ranking": ranking, "univariate_workflow": workflow, "stl_decomposition": stl,
+    "dependence_on_week": dependence, "bake_off_ranking": ranking, "univariate_workflow": workflow,
 }
 
 

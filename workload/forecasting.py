@@ -564,9 +564,35 @@ def seasonally_adjusted(spark, folder):
     return shown(tsstats.seasonally_adjusted(dec, P.MONTHLY).select("k", "d", "adjusted"))
 
 
-@query("stl_decomposition")
+def _loess(src: str, span: int, beyond: int = 0) -> str:
+    """Local lines of x over i per (k, c) of n values, at all positions a and ``beyond`` both ends: (k, c, a, f)."""
+    return f"""SELECT k, c, a, any_value(n) AS n, sum(w * x) / sum(w) + CASE WHEN sqrt(greatest(sum(w * i * i) / sum(w) - pow(sum(w * i) / sum(w), 2), 0)) > 0.001 * (any_value(n) - 1)
+   THEN (a - sum(w * i) / sum(w)) / (sum(w * i * i) / sum(w) - pow(sum(w * i) / sum(w), 2)) * (sum(w * i * x) / sum(w) - sum(w * i) / sum(w) * sum(w * x) / sum(w)) ELSE 0 END AS f
+  FROM (SELECT z.k, z.c, z.n, a, i, x, CASE WHEN u <= 0.001 THEN 1 WHEN u < 0.999 THEN pow(1 - pow(u, 3), 3) ELSE 0 END AS w FROM (
+   SELECT q.*, z.i, z.x, abs(z.i - a) / (greatest(a - first, first + span - 1 - a) + ({span} - span) // 2) AS u FROM (
+    SELECT *, greatest(0, least(CAST(floor(a - (span - 1) / 2.0 + 0.5) AS BIGINT), n - span)) AS first FROM (
+     SELECT k, c, n, least({span}, n) AS span, unnest(range(-{beyond}, n + {beyond})) AS a FROM (SELECT DISTINCT k, c, n FROM {src}))) q
+   JOIN {src} z ON z.k = q.k AND z.c = q.c AND z.i BETWEEN first AND first + span - 1) z) GROUP BY k, c, a"""
+
+
+def _stl_round(r_: int) -> str:
+    after = lambda m: f"avg(f) OVER (PARTITION BY k ORDER BY q ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)"
+    return f""", free{r_} AS MATERIALIZED (SELECT v.k, v.i % 12 AS c, v.i // 12 AS i, v.y - t.f AS x, count(*) OVER (PARTITION BY v.k, v.i % 12) AS n FROM v JOIN t{r_ - 1} t ON t.k = v.k AND t.a = v.i),
+ cyc{r_} AS MATERIALIZED (SELECT z.k, (a + 1) * 12 + c AS q, f, len FROM ({_loess(f"free{r_}", 7, 1)}) z JOIN (SELECT k, count(*) AS len FROM v GROUP BY k) l ON l.k = z.k),
+ one{r_} AS (SELECT k, q, len, {after(12)} AS f FROM cyc{r_} QUALIFY q <= len + 12), two{r_} AS (SELECT k, q, len, {after(12)} AS f FROM one{r_} QUALIFY q <= len + 1),
+ low{r_} AS MATERIALIZED (SELECT k, 0 AS c, q AS i, len AS n, {after(3)} AS x FROM two{r_} QUALIFY q <= len - 1),
+ sea{r_} AS MATERIALIZED (SELECT v.k, 0 AS c, v.i, v.n, v.y - (cyc.f - l.f) AS x, cyc.f - l.f AS s FROM v JOIN cyc{r_} cyc ON cyc.k = v.k AND cyc.q = v.i + 12 JOIN ({_loess(f"low{r_}", 13)}) l ON l.k = v.k AND l.a = v.i),
+ t{r_} AS MATERIALIZED ({_loess(f"sea{r_}", 23)})"""
+
+
+@query(
+    "stl_decomposition",
+    f"""{_MONTHS}, v AS (SELECT k, d, CAST(y AS DOUBLE) AS y, row_number() OVER (PARTITION BY k ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM filled),
+ t0 AS (SELECT k, i AS a, CAST(0 AS DOUBLE) AS f FROM v){"".join(map(_stl_round, range(1, 6)))}
+SELECT v.k, {s("v.d")} AS d, {r("v.y", 3)} AS y, {r("t.f", 3)} AS trend, {r("z.s", 3)} AS seasonal, {r("v.y - t.f - z.s", 3)} AS resid, {s("NULL")} AS error FROM v JOIN t5 t ON t.k = v.k AND t.a = v.i JOIN sea5 z ON z.k = v.k AND z.i = v.i""",
+)
 def stl_decomposition(spark, folder):
-    return shown(tsstats.stl_decompose(P.brand_month_full(spark, folder), P.MONTHLY, 12))
+    return shown(tsstats.stl_decompose(P.brand_month_full(spark, folder), P.MONTHLY, 12), 3)
 
 
 @query(
