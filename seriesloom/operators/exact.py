@@ -162,9 +162,10 @@ def running_total(values: DataFrame, order: Sequence[str], weight: str | None, n
     parts = in_ranges(values, [*group, *order])
     w = F.col(weight) if weight else F.lit(1)
     sizes = parts.groupBy("_part", *group).agg(F.sum(w).alias("_w"))
-    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # A row for each range, and for each group inside one.
-    offsets = sizes.select("_part", *group, F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_before"))
+    # One number for each range, and for each group inside one: a group's list is as long as there are ranges.
+    listed = sizes.groupBy(*group).agg(F.collect_list(F.struct("_part", "_w")).alias("_sizes"))
+    earlier = lambda b: F.aggregate(F.filter("_sizes", lambda x: x["_part"] < b["_part"]), F.lit(0).cast("bigint"), lambda t, x: t + x["_w"])
+    offsets = listed.select(*group, F.inline(F.transform("_sizes", lambda b: F.struct(b["_part"].alias("_part"), earlier(b).alias("_before")))))
     local = F.sum(w).over(Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     counted = parts.withColumn("_local", local)
     placed = join_on_keys(counted, offsets, ["_part", *group]) if group else counted.join(F.broadcast(offsets), "_part")
