@@ -25,9 +25,9 @@ class FeatureBuilder:
     The feature list follows from the settings alone, so it is the same for
     every table. All ordered features use one partitioning by the keys.
     ``rolling_min_lag=0`` lets features see the row's own value (direct models).
-    ``block`` spreads a very long series over several tasks: lag and rolling
-    features are then built per key and block of that many periods (the panel
-    must be a completed grid).
+    ``block`` spreads a very long series over several tasks: all ordered features
+    are then built per key and block of that many periods, weighted means in two
+    levels (the panel must be a completed grid).
     """
 
     spec: PanelSpec
@@ -75,7 +75,7 @@ class FeatureBuilder:
         out = add_calendar_features(df, spec.date_col, self.cyclical_calendar)
         out = by_blocks(out, spec, self.reach, self.block, self._ordered) if self.block else self._ordered(out, spec)
         if self.ewm_halflives:
-            out = add_ewm_features(out, spec, y, self.ewm_halflives, self.rolling_min_lag)
+            out = add_ewm_features(out, spec, y, self.ewm_halflives, self.rolling_min_lag, self.block)
         if self.encode_keys:
             copies = out.withColumns({f"{k}_code": F.col(k) for k in spec.key_cols})
             out, _ = label_encode(copies, [f"{k}_code" for k in spec.key_cols])
