@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import add_calendar_features
-from seriesloom.operators.encode import label_encode
+from seriesloom.operators.encode import apply_label_encoding, fit_labels, label_encode
+from seriesloom.operators.linear import let
 from seriesloom.operators.recurrence import add_ewm_features, ewm_name
 from seriesloom.operators.windows import by_blocks, rolling_columns
+from seriesloom.session import reliable_checkpoint
 from seriesloom.spec import PanelSpec
 
 CALENDAR = ("year", "quarter", "month", "week", "day", "day_of_week", "day_of_year", "is_weekend", "is_month_start", "is_month_end", "is_quarter_end")
@@ -40,6 +42,8 @@ class FeatureBuilder:
     encode_keys: bool = False
     exogenous: Sequence[str] = ()
     block: int | None = None
+    #: Codes of key values, see :meth:`fitted`.
+    codes: Mapping[str, DataFrame] | None = field(default=None, compare=False, repr=False)
 
     @property
     def calendar_names(self) -> list[str]:
@@ -76,10 +80,22 @@ class FeatureBuilder:
         out = by_blocks(out, spec, self.reach, self.block, self._ordered) if self.block else self._ordered(out, spec)
         if self.ewm_halflives:
             out = add_ewm_features(out, spec, y, self.ewm_halflives, self.rolling_min_lag, self.block)
-        if self.encode_keys:
-            copies = out.withColumns({f"{k}_code": F.col(k) for k in spec.key_cols})
-            out, _ = label_encode(copies, [f"{k}_code" for k in spec.key_cols])
-        return out
+        return self.with_codes(out)
+
+    def fitted(self, train: DataFrame) -> FeatureBuilder:
+        """A builder whose key codes come from ``train`` and are the same for every table; unseen and null keys get -1."""
+        if not self.encode_keys or self.codes is not None:
+            return self
+        return replace(self, codes={f"{k}_code": reliable_checkpoint(fit_labels(train, k)) for k in self.spec.key_cols})
+
+    def with_codes(self, df: DataFrame) -> DataFrame:
+        """Adds the key codes, if the builder has them."""
+        if not self.encode_keys:
+            return df
+        copies = df.withColumns({f"{k}_code": F.col(k) for k in self.spec.key_cols})
+        if self.codes is not None:
+            return apply_label_encoding(copies, dict(self.codes))
+        return label_encode(copies, [f"{k}_code" for k in self.spec.key_cols])[0]
 
 
 # Column prefixes that are known in advance for every date.
@@ -117,6 +133,36 @@ def _median(values: Column) -> Column:
     return F.when(n > 0, (F.try_element_at(ordered, lo) + F.try_element_at(ordered, hi)) / 2)
 
 
+def _shape(values: Column, use: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """``use(n, m2, m3, m4)`` with sums of powers around the mean; equal values have sums of exactly zero."""
+    base = F.get(values, F.lit(0))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "abc"])
+
+    def around(mu: Column) -> Column:
+        def add(s: Column, v: Column) -> Column:
+            return F.struct(*[(s[c] + F.pow(v - base - mu, F.lit(p))).alias(c) for c, p in zip("abc", (2, 3, 4), strict=True)])
+
+        return let(F.aggregate(values, zero, add), lambda s: use(F.size(values).cast("double"), s["a"], s["b"], s["c"]))
+
+    return let(_mean(F.transform(values, lambda v: v - base)), around)
+
+
+def _skew(values: Column) -> Column:
+    def of(n: Column, m2: Column, m3: Column, _: Column) -> Column:
+        g = F.try_divide(F.sqrt(n) * m3, F.pow(m2, F.lit(1.5)))
+        return F.when(n > 2, F.when(m2 > 0, F.try_divide(g * F.sqrt(n * (n - 1)), n - 2)).otherwise(0.0))
+
+    return _shape(values, of)
+
+
+def _kurt(values: Column) -> Column:
+    def of(n: Column, m2: Column, _: Column, m4: Column) -> Column:
+        g = F.try_divide(n * m4, m2 * m2) - 3.0
+        return F.when(n > 3, F.when(m2 > 0, F.try_divide((n - 1) * ((n + 1) * g + 6), (n - 2) * (n - 3))).otherwise(-3.0))
+
+    return _shape(values, of)
+
+
 ARRAY_STATS = {
     "mean": _mean,
     "std": lambda v: F.sqrt(_var(v)),
@@ -125,6 +171,8 @@ ARRAY_STATS = {
     "max": F.array_max,
     "median": _median,
     "sum": lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x)),
+    "skew": _skew,
+    "kurt": _kurt,
 }
 
 

@@ -160,6 +160,7 @@ class RecursiveForecaster:
 
     def fit(self, train: DataFrame, valid: DataFrame | None = None) -> RecursiveForecaster:
         spec = self.builder.spec
+        self.builder = self.regressor.builder = self.builder.fitted(train)
         if valid is None:
             self.regressor.fit(self.builder.transform(train), spec.target_col)
             return self
@@ -176,6 +177,11 @@ class RecursiveForecaster:
         for h in b.ewm_halflives:
             source = F.lag(y, shift).over(spec.in_order()) if shift else F.col(y)
             rows = ewm_mean(rows.withColumn("_s", source), spec, F.col("_s"), alpha_of_halflife(h), ewm_name(y, h)).drop("_s")
+        # Rows since the newest value that entered the means: it has lost that much weight when the next one enters.
+        so_far, number = spec.in_order(), F.row_number().over(spec.in_order())
+        entered = F.lag(y, shift).over(so_far) if shift else F.col(y)
+        rows = rows.withColumns({"_n": number, "_e": entered})
+        rows = rows.withColumn("_age", F.col("_n") - F.last(F.when(F.col("_e").isNotNull(), F.col("_n")), ignorenulls=True).over(so_far)).drop("_n", "_e")
         back = F.row_number().over(spec.in_reverse())
         keep = max(b.reach, b.rolling_min_lag)
         tail = rows.withColumn("_b", back).filter(F.col("_b") <= keep)
@@ -183,11 +189,15 @@ class RecursiveForecaster:
         return tail.groupBy(*spec.key_cols).agg(
             values.alias("_recent"),
             F.max(spec.freq.index(spec.date_col)).alias("_at"),
+            F.max_by("_age", spec.date_col).alias("_age"),
             *[F.max_by(ewm_name(y, h), spec.date_col).alias(ewm_name(y, h)) for h in b.ewm_halflives],
         )
 
-    def predict_recursive(self, history: DataFrame, horizon: int, exogenous_future: DataFrame | None = None) -> DataFrame:
-        """``(keys, date, horizon, yhat)`` for the periods after each key's last date."""
+    def predict_recursive(self, history: DataFrame, horizon: int, exogenous_future: DataFrame | None = None, show: Sequence[str] = ()) -> DataFrame:
+        """``(keys, date, horizon, yhat)`` for the periods after each key's last date.
+
+        ``show`` names features whose values at every step are returned too.
+        """
         from seriesloom.functions.calendar import add_calendar_features
 
         b, spec = self.builder, self.builder.spec
@@ -201,7 +211,8 @@ class RecursiveForecaster:
             at = freq.index(spec.date_col).alias("i")
             known = exogenous_future.groupBy(*spec.key_cols).agg(F.map_from_entries(F.collect_list(F.struct(at, F.struct(*exo).alias("x")))).alias("_exo"))
             state = join_on_keys(state, known, spec.key_cols)
-        state = self.regressor.encode(state).withColumn("_path", F.array().cast("array<struct<horizon:int,yhat:double>>"))
+        state = b.with_codes(self.regressor.encode(state))
+        state = state.withColumn("_path", F.array().cast(f"array<struct<horizon:int,yhat:double{''.join(f',`{c}`:double' for c in show)}>>"))
         keep = state.columns
         for step in range(1, horizon + 1):
             rows = state.withColumn(spec.date_col, freq.date(F.col("_at") + step))
@@ -210,19 +221,20 @@ class RecursiveForecaster:
                 rows = rows.withColumn(c, F.try_element_at("_exo", F.col("_at") + step)[c])
             rows = self.regressor.predict(rows, encoded=True)
             grown = rows.withColumn("_recent", F.concat("_recent", F.array("yhat")))
-            grown = grown.withColumn("_path", F.concat("_path", F.array(F.struct(F.lit(step).alias("horizon"), F.col("yhat").alias("yhat")))))
-            updates = {}
+            grown = grown.withColumn("_path", F.concat("_path", F.array(F.struct(F.lit(step).alias("horizon"), F.col("yhat").alias("yhat"), *[F.col(c).cast("double").alias(c) for c in show]))))
+            newest = F.try_element_at("_recent", F.lit(-b.rolling_min_lag))
+            updates = {"_age": F.when(newest.isNotNull(), 0).otherwise(F.col("_age") + 1)}
             for h in b.ewm_halflives:
                 a, name = alpha_of_halflife(h), ewm_name(y, h)
-                newest = F.try_element_at("_recent", F.lit(-b.rolling_min_lag))
-                updates[name] = F.coalesce((1 - a) * F.col(name) + a * newest, F.col(name), newest)
+                left = F.pow(F.lit(1 - a), F.col("_age") + 1)
+                updates[name] = F.coalesce((left * F.col(name) + a * newest) / (left + a), F.col(name), newest)
             size = max(b.reach, b.rolling_min_lag)
             grown = grown.withColumns(updates).withColumn("_recent", F.slice("_recent", F.greatest(F.size("_recent") - size + 1, F.lit(1)), size))
             state = grown.select(*keep)
             if self.checkpoint_every and step % self.checkpoint_every == 0 and step < horizon:
                 state = reliable_checkpoint(state)
         out = state.select(*spec.key_cols, "_at", F.inline("_path"))
-        return out.select(*spec.key_cols, freq.date(F.col("_at") + F.col("horizon")).alias(spec.date_col), "horizon", "yhat")
+        return out.select(*spec.key_cols, freq.date(F.col("_at") + F.col("horizon")).alias(spec.date_col), "horizon", "yhat", *show)
 
 
 class DirectMultiHorizonForecaster:
@@ -238,6 +250,7 @@ class DirectMultiHorizonForecaster:
 
     def fit(self, train: DataFrame, valid: DataFrame | None = None) -> DirectMultiHorizonForecaster:
         spec = self.builder.spec
+        self.builder = self.builder.fitted(train)
         parts = train.withColumn("_part", F.lit(0))
         if valid is not None:
             parts = parts.unionByName(valid.withColumn("_part", F.lit(1)))
@@ -334,6 +347,7 @@ class QuantileForecaster:
         """Fit on ``train``; errors of its forecasts of ``calibration`` are kept per group and step."""
         spec = self.builder.spec
         y = spec.target_col
+        self.builder = self.regressor.builder = self.builder.fitted(train)
         self.regressor.fit(self.builder.transform(train), y)
         made = self._roll(train, horizon)
         actual = calibration.select(*spec.key_cols, spec.date_col, F.col(y).alias("_actual")).filter("_actual IS NOT NULL")
@@ -357,6 +371,7 @@ class QuantileForecaster:
 
     def fit(self, train: DataFrame, calibration: DataFrame) -> QuantileForecaster:
         y = self.builder.spec.target_col
+        self.builder = self.regressor.builder = self.builder.fitted(train)
         both = train.withColumn("_part", F.lit(0)).unionByName(calibration.withColumn("_part", F.lit(1)))
         rows = self.builder.transform(both)
         self.regressor.fit(rows.filter("_part = 0"), y)

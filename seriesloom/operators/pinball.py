@@ -155,6 +155,7 @@ class PinballForecaster:
         self.regressor = PinballRegressor(builder, quantiles, features, **settings)
 
     def fit(self, train: DataFrame) -> PinballForecaster:
+        self.builder = self.regressor.builder = self.builder.fitted(train)
         self.regressor.fit(self.builder.transform(train), self.builder.spec.target_col)
         return self
 

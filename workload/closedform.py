@@ -8,9 +8,11 @@ from seriesloom.operators import chartdata, explain, learners
 from seriesloom.operators.features import FeatureBuilder
 from workload import panels as P
 from workload.pipelines import SUP, _split, _stored_panel
+from workload.preparation import HL4
 from workload.registry import n, query, r, s, shown
 
 LAGS = FeatureBuilder(P.WEEKLY, lags=(1, 2), rolling_windows=(), ewm_halflives=())
+STATE = FeatureBuilder(P.WEEKLY, lags=(1,), rolling_windows=(13,), rolling_stats=("mean", "skew", "kurt"), ewm_halflives=(4.0,), encode_keys=True)
 OLS = {"objective": "least_squares"}
 
 # Last 8 weeks: test; the 13 before: validation. Lags look back over all rows.
@@ -116,3 +118,24 @@ def least_squares_out_of_fold(spark, folder):
     rows = LAGS.transform(_stored_panel(spark, folder)).filter("y_lag_1 IS NOT NULL")
     oof, _ = learners.cross_validated_predictions(rows, LAGS, "y", ["k", "d"], 3, OLS, features=["y_lag_1"])
     return shown(oof.select("k", "d", "fold", "y", "yhat"), 4)
+
+
+@query(
+    "rollout_features",
+    f"""{_ROWS}, f AS (SELECT k, d, CAST(0 AS BIGINT) AS h, y AS f FROM last UNION ALL SELECT k, d, h + 1, a + b * f FROM f, line WHERE h < 8),
+ whole AS (SELECT k, d, y, CAST(0 AS BIGINT) AS h FROM x WHERE part <> 'test' UNION ALL SELECT k, d + CAST(h * 7 AS INTEGER), f, h FROM f WHERE h > 0),
+ o AS (SELECT k, d, row_number() OVER (PARTITION BY k ORDER BY d) AS i, lag(y) OVER (PARTITION BY k ORDER BY d) AS prev FROM whole),
+ ew AS (SELECT k, i, d, CAST(NULL AS DOUBLE) AS m FROM o WHERE i = 1 UNION ALL SELECT o.k, o.i, o.d, CASE WHEN ew.m IS NULL THEN o.prev ELSE (1 - {HL4!r}) * ew.m + {HL4!r} * o.prev END FROM ew JOIN o ON o.k = ew.k AND o.i = ew.i + 1),
+ g AS (SELECT k, d, y, h, count(y) OVER w AS n, avg(y) OVER w AS mu, skewness(y) OVER w AS sk, kurtosis(y) OVER w AS ku, var_pop(y) OVER w AS v FROM whole WINDOW w AS (PARTITION BY k ORDER BY d ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING)),
+ codes AS (SELECT k, row_number() OVER (ORDER BY CAST(k AS VARCHAR)) - 1 AS code FROM (SELECT DISTINCT k FROM x WHERE part = 'train'))
+SELECT g.k, {s("g.d")} AS d, {n("g.h")} AS horizon, {r("g.y", 4)} AS yhat, {r("g.mu", 4)} AS y_roll_mean_13, {r("CASE WHEN g.n > 2 THEN CASE WHEN g.v > 0 THEN g.sk ELSE 0 END END", 4)} AS y_roll_skew_13,
+ {r("CASE WHEN g.n > 3 THEN CASE WHEN g.v > 0 THEN g.ku ELSE -3 END END", 4)} AS y_roll_kurt_13, {r("ew.m", 4)} AS y_ewm_hl4, {r("coalesce(c.code, -1)", 4)} AS k_code
+FROM g JOIN ew ON ew.k = g.k AND ew.d = g.d LEFT JOIN codes c ON c.k = g.k WHERE g.h > 0""",
+)
+def rollout_features(spark, folder):
+    """Features at every step of a roll-out equal those of the panel completed with the forecasts; codes are the training rows'."""
+    split = _split(spark, folder)
+    known = split.frame.filter("split <> 'test'").drop("split")
+    model = learners.RecursiveForecaster(STATE, OLS, features=["y_lag_1"]).fit(split.train)
+    seen = ["y_roll_mean_13", "y_roll_skew_13", "y_roll_kurt_13", "y_ewm_hl4", "k_code"]
+    return shown(model.predict_recursive(known, 8, show=seen).select("k", "d", "horizon", "yhat", *seen), 4)
