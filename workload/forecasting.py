@@ -387,6 +387,20 @@ def holt_winters_forecasts(spark, folder):
     return shown(fc.select("k", "horizon", "yhat"), 4)
 
 
+@query(
+    "smoothing_parameters",
+    f"""{P.with_grid(P.BRAND_MONTH, "1 MONTH")}, p AS (SELECT k, CAST(y AS DOUBLE) AS y, row_number() OVER (PARTITION BY k ORDER BY d) AS i, count(*) OVER (PARTITION BY k) AS n FROM filled),
+ h AS (SELECT k, CAST(1 AS BIGINT) AS i, n, a, y AS l, CAST(0 AS DOUBLE) AS sse FROM p, range(1, 1000) g(a) WHERE i = 1
+  UNION ALL SELECT p.k, p.i, p.n, a, h.l + a / 1000.0::DOUBLE * (p.y - h.l), sse + pow(p.y - h.l, 2) FROM h JOIN p ON p.k = h.k AND p.i = h.i + 1),
+ f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sse, a) AS rn FROM h WHERE i = n)
+SELECT k, {n("n")} AS n, {r("a / 1000.0", 3)} AS alpha, {r("sse", 2)} AS sse FROM f WHERE rn = 1""",
+)
+def smoothing_parameters(spark, folder):
+    """Simple smoothing: the rate of least squared error among all thousandths."""
+    found = FC.smoothing_parameters(P.brand_month_full(spark, folder), P.MONTHLY, FC.Smoothing(trend=False))
+    return shown(found.select("k", "n", "alpha", F.round("sse", 2).alias("sse")), 3)
+
+
 # --- series statistics -----------------------------------------------------------------
 
 _MONTHS = P.with_grid(P.BRAND_MONTH, "1 MONTH")
