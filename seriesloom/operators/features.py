@@ -98,16 +98,14 @@ class FeatureBuilder:
         return label_encode(copies, [f"{k}_code" for k in self.spec.key_cols])[0]
 
 
-# Column prefixes that are known in advance for every date.
-CAUSAL_PREFIXES = ("year", "quarter", "month", "week", "day", "is_", "dow_", "month_sin", "month_cos", "doy_")
+def causal_features(names: Sequence[str], builder: FeatureBuilder, extra: Sequence[str] = ()) -> list[str]:
+    """Features that use nothing after their date: the builder's calendar and history, keys in any encoding, and ``extra``.
 
-
-def causal_features(names: Sequence[str], spec: PanelSpec, extra: Sequence[str] = ()) -> list[str]:
-    """Features that use nothing after their date: history, calendar, keys and ``extra``."""
-    y = spec.target_col
-    prefixes = (*CAUSAL_PREFIXES, f"{y}_lag_", f"{y}_roll_", f"{y}_ewm_")
-    fixed = {*spec.key_cols, *[f"{k}_code" for k in spec.key_cols], *[f"{k}_te" for k in spec.key_cols], *extra}
-    return [n for n in names if n in fixed or n.startswith(prefixes)]
+    Exogenous columns are left out unless ``extra`` declares that they are known ahead.
+    """
+    keys = [f"{k}{end}" for k in builder.spec.key_cols for end in ("", "_code", "_te")]
+    known = {*builder.calendar_names, *builder.history_names, *keys, *extra}
+    return [n for n in names if n in known]
 
 
 # --- the same history features from an array of recent values ---------------------------

@@ -303,7 +303,7 @@ class PurelyCausalForecaster(DirectMultiHorizonForecaster):
         self.extra_causal = list(extra_causal)
 
     def _inputs(self) -> list[str]:
-        return causal_features(super()._inputs(), self.builder.spec, self.extra_causal)
+        return causal_features(super()._inputs(), self.builder, self.extra_causal)
 
 
 def quantile_name(q: float) -> str:

@@ -70,3 +70,11 @@ def test_every_forecaster_takes_key_codes(spark):
     quantiles = QuantileForecaster(builder, (0.1, 0.9), OLS, features=use).fit(train, held)
     assert quantiles.predict(held, train).filter("q0_10 <= q0_90").count() == 30
     assert PinballForecaster(builder, (0.1, 0.9), use, max_iter=3).fit(train).predict(held, train).filter("q0_10 <= q0_90").count() == 30
+
+
+def test_columns_known_ahead_are_declared_not_guessed(spark):
+    from seriesloom.operators.features import causal_features
+
+    builder = FeatureBuilder(SPEC, lags=(1,), rolling_windows=(3,), ewm_halflives=(), exogenous=("day_before_x", "price"), encode_keys=True)
+    kept = causal_features(builder.feature_names, builder, ["price"])
+    assert "day_before_x" not in kept and {"price", "month", "dow_sin", "y_lag_1", "y_roll_mean_3", "k_code"} <= set(kept)
