@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.grid import explode_horizon
@@ -67,58 +67,51 @@ def seasonal_naive_forecast(df: DataFrame, spec: PanelSpec, horizon: int, season
     return _ahead(stats, spec, horizon, value, "seasonal_naive")
 
 
-def _demand_rows(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Rows with demand: row position, gap to the previous demand, rank from both ends, series length."""
-    y = F.col(spec.target_col)
-    placed = df.withColumn("_i", F.row_number().over(spec.in_order())).withColumn("_n", F.count("*").over(spec.per_key()))
-    sold = placed.withColumn("_end", F.max(spec.date_col).over(spec.per_key())).filter(y > 0)
-    gap = F.col("_i") - F.lag("_i").over(spec.in_order())
-    return (
-        sold.withColumn("_gap", F.coalesce(gap, F.col("_i")).cast("double"))
-        .withColumn("_rank", F.row_number().over(spec.in_order()))
-        .withColumn("_m", F.count("*").over(spec.per_key()))
-        .withColumn("_back", F.col("_m") - F.col("_rank"))
-    )
-
+def intermittent_rates(df: DataFrame, spec: PanelSpec, alpha: float = 0.1, beta: float = 0.1) -> DataFrame:
+    """``(keys, _last, classic, sba, tsb)``: demand rates of three methods from one aggregation per key.
 
-def croston(df: DataFrame, spec: PanelSpec, horizon: int, alpha: float = 0.1, variant: str = "classic") -> DataFrame:
-    """Smoothed demand size over smoothed demand interval.
-
-    Both smoothers end in a weighted sum over the demands, so no state is folded
-    row by row. Without demand the rate is zero, with one it is spread over the history.
+    ``classic`` is smoothed demand size over smoothed demand interval, ``sba`` the same with its bias taken out, ``tsb`` the
+    size times a demand probability that decays in idle periods at rate ``beta``. All end in weighted sums over the demands, so
+    no state is folded row by row. Without demand the rates are zero; with one demand classic and sba spread it over the history.
     """
-    if variant not in ("classic", "sba"):
-        raise ValueError("variant must be 'classic' or 'sba'")
     _check_rate(alpha)
-    rows = _demand_rows(df, spec)
-    first = F.col("_rank") == 1
+    _check_rate(beta)
+    y, by = F.col(spec.target_col), spec.in_order()
+    sold = y > 0
+    rows = df.withColumns({"_i": F.row_number().over(by), "_n": F.count("*").over(spec.per_key()), "_m": F.count(F.when(sold, 1)).over(spec.per_key())})
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_at": F.last(F.when(sold, F.col("_i")), ignorenulls=True).over(before), "_rank": F.count(F.when(sold, 1)).over(by)})
+    first, back = F.col("_rank") == 1, F.col("_m") - F.col("_rank")
+    gap = (F.col("_i") - F.coalesce("_at", F.lit(0))).cast("double")
+    left = F.pow(F.lit(1.0 - beta), F.col("_n") - F.col("_i"))
     stats = rows.groupBy(*spec.key_cols).agg(
-        final_smooth(F.col(spec.target_col), F.col("_back"), first, alpha).alias("_z"),
-        final_smooth(F.col("_gap"), F.col("_back"), first, alpha).alias("_p"),
+        _last(spec),
+        final_smooth(F.when(sold, y), back, first, alpha).alias("_z"),
+        final_smooth(F.when(sold, gap), back, first, alpha).alias("_p"),
+        F.sum(F.when(sold, F.when(first, left / F.col("_i")).otherwise(beta * left))).alias("_chance"),
         F.max("_m").alias("_m"),
         F.max("_n").alias("_n"),
-        F.max(spec.target_col).alias("_y"),
+        F.max(F.when(sold, y)).alias("_y"),
     )
-    correction = 1.0 - alpha / 2 if variant == "sba" else 1.0
-    rate = F.when(F.col("_m") == 1, F.col("_y") / F.col("_n")).otherwise(F.col("_z") / F.col("_p") * correction)
-    ends = df.groupBy(*spec.key_cols).agg(_last(spec))
-    rated = join_on_keys(ends, stats.select(*spec.key_cols, rate.alias("_rate")), spec.key_cols)
-    return _ahead(rated, spec, horizon, F.coalesce("_rate", F.lit(0.0)), f"croston_{variant}")
+    once, rate = F.col("_m") == 1, F.col("_z") / F.col("_p")
+    rates = {
+        "classic": F.when(once, F.col("_y") / F.col("_n")).otherwise(rate),
+        "sba": F.when(once, F.col("_y") / F.col("_n")).otherwise(rate * (1.0 - alpha / 2)),
+        "tsb": F.col("_z") * F.col("_chance"),
+    }
+    return stats.select(*spec.key_cols, "_last", *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in rates.items()])
+
+
+def croston(df: DataFrame, spec: PanelSpec, horizon: int, alpha: float = 0.1, variant: str = "classic") -> DataFrame:
+    """Smoothed demand size over smoothed demand interval, see :func:`intermittent_rates`."""
+    if variant not in ("classic", "sba"):
+        raise ValueError("variant must be 'classic' or 'sba'")
+    return _ahead(intermittent_rates(df, spec, alpha), spec, horizon, F.col(variant), f"croston_{variant}")
 
 
 def croston_tsb(df: DataFrame, spec: PanelSpec, horizon: int, alpha: float = 0.1, beta: float = 0.1) -> DataFrame:
     """Smoothed demand size times a demand probability that decays in idle periods."""
-    _check_rate(alpha)
-    _check_rate(beta)
-    rows = _demand_rows(df, spec)
-    first = F.col("_rank") == 1
-    idle = F.col("_n") - F.col("_i")
-    chance = F.when(first, F.pow(F.lit(1.0 - beta), idle) / F.col("_i")).otherwise(beta * F.pow(F.lit(1.0 - beta), idle))
-    stats = rows.groupBy(*spec.key_cols).agg(
-        (final_smooth(F.col(spec.target_col), F.col("_back"), first, alpha) * F.sum(chance)).alias("_rate")
-    )
-    ends = df.groupBy(*spec.key_cols).agg(_last(spec))
-    return _ahead(join_on_keys(ends, stats, spec.key_cols), spec, horizon, F.coalesce("_rate", F.lit(0.0)), "tsb")
+    return _ahead(intermittent_rates(df, spec, alpha, beta), spec, horizon, F.col("tsb"), "tsb")
 
 
 def _check_rate(x: float) -> None:

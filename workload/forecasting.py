@@ -344,16 +344,7 @@ FROM c WHERE j = m""",
 )
 def croston_forecasts(spark, folder):
     full = P.complete_panel(P.part_week(spark, folder), P.WEEKLY)
-    made = {
-        "classic": FC.croston(full, P.WEEKLY, 1),
-        "sba": FC.croston(full, P.WEEKLY, 1, variant="sba"),
-        "tsb": FC.croston_tsb(full, P.WEEKLY, 1, alpha=0.1, beta=0.2),
-    }
-    long = None
-    for name, f in made.items():
-        part = f.select("k", F.lit(name).alias("m"), "yhat")
-        long = part if long is None else long.unionByName(part)
-    return shown(long.groupBy("k").pivot("m", ["classic", "sba", "tsb"]).agg(F.first("yhat")))
+    return shown(FC.intermittent_rates(full, P.WEEKLY, alpha=0.1, beta=0.2).drop("_last"))
 
 
 @query(
