@@ -314,7 +314,7 @@ def ensemble_of_forecasts(spark, folder):
 @query(
     "best_model_refit",
     f"""{_BASE}, sc AS (SELECT t.k, fc.model, avg(abs(t.y - yhat)) AS mae FROM test t JOIN fc ON fc.k = t.k AND fc.d = t.d GROUP BY 1, 2),
- best AS (SELECT k, model FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY mae, model) AS rn FROM sc WHERE mae IS NOT NULL) WHERE rn = 1),
+ best AS (SELECT k, model FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CAST(printf('%.9e', mae * (1 + 2e-12)) AS DOUBLE), model) AS rn FROM sc WHERE mae IS NOT NULL) WHERE rn = 1),
  o2 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC) AS b FROM filled),
  s2 AS (SELECT k, max(d) AS hi, arg_max(y, d) AS y1, arg_min(y, d) AS y0, avg(y) AS mu, count(*) AS n FROM filled GROUP BY k)
 SELECT best.k, best.model, {n("h")} AS horizon, {s("CAST(hi + CAST(h * 7 AS INTEGER) AS DATE)")} AS d,
