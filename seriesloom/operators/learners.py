@@ -10,7 +10,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from copy import copy
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
@@ -22,10 +24,12 @@ from seriesloom.operators.features import FeatureBuilder, causal_features, next_
 from seriesloom.operators.impute import join_on_keys
 from seriesloom.operators.recurrence import alpha_of_halflife, ewm_mean, ewm_name
 from seriesloom.operators.windows import lead_target
-from seriesloom.session import reliable_checkpoint
+from seriesloom.session import dealt, reliable_checkpoint
 
 # Variance power of the default objective and its learning rate.
 DEFAULT_PARAMS = {"objective": "tweedie", "variance_power": 1.2, "learning_rate": 0.05, "max_iter": 40, "max_depth": 5}
+#: Key means up to this counted number go to every executor; rows with features then need no exchange.
+BROADCAST_KEYS = 1_000_000
 
 
 def make_estimator(params: Mapping, features: str, label: str, validation: str | None = None, weight: str | None = None) -> Estimator:
@@ -106,35 +110,52 @@ class PanelRegressor:
         wanted = {k: v for k, v in self.encodings.items() if k == "__global_mean__" or f"{k}_te" in self.inputs}
         return apply_target_encoding(df, wanted) if len(wanted) > 1 else df
 
-    def fit(self, train: DataFrame, label: str, valid: DataFrame | None = None, weight: str | None = None) -> PanelRegressor:
-        """Fit on rows with features and ``label``; ``valid`` stops the boosting early.
-
-        ``weight`` names a column of row weights; a row without one has weight 1.
-        """
+    def _learn_encodings(self, rows: DataFrame, label: str) -> None:
         keys = [k for k in self.builder.spec.key_cols if f"{k}_te" in self.inputs]
+        if not keys:
+            return
+        stored = {k: reliable_checkpoint(v) for k, v in fit_target_encoding(rows, keys, label).items()}
+        self.encodings = {k: F.broadcast(v) if k in keys and v.count() <= BROADCAST_KEYS else v for k, v in stored.items()}
+
+    def prepare(self, train: DataFrame, label: str, valid: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+        """``(_label, _raw, _valid, _weight)`` of rows with a label, after key means and fills are learned from ``train``."""
         rows = train.filter(F.col(label).isNotNull())
-        if keys:
-            self.encodings = {k: reliable_checkpoint(v) for k, v in fit_target_encoding(rows, keys, label).items()}
-        early = valid is not None and self.is_tree
+        self._learn_encodings(rows, label)
         rows = rows.withColumn("_valid", F.lit(False))
-        if early:
+        if valid is not None:
             rows = rows.unionByName(valid.filter(F.col(label).isNotNull()).withColumn("_valid", F.lit(True)))
         encoded = self.encode(rows)
         self._learn_fills(encoded.filter(~F.col("_valid")))
         share = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
-        data = self._vectors(encoded).select(F.col(label).cast("double").alias("_label"), "_raw", "_valid", share.alias("_weight"))
-        use = "_weight" if weight else None
-        # Boosting passes over the vectors many times.
-        data = data.persist()
+        return self._vectors(encoded).select(F.col(label).cast("double").alias("_label"), "_raw", "_valid", share.alias("_weight"))
+
+    def learn(self, data: DataFrame, early: bool = False, weighted: bool = False) -> PanelRegressor:
+        """Fit on what :meth:`prepare` made, best persisted: a model passes over it several times."""
+        use = "_weight" if weighted else None
+        if self.is_tree:
+            self.model = PipelineModel([make_estimator(self.params, "_raw", "_label", "_valid" if early else None, use).fit(data)])
+        else:
+            scaler = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True).fit(data)
+            self.model = PipelineModel([scaler, make_estimator(self.params, "_std", "_label", weight=use).fit(scaler.transform(data))])
+        return self
+
+    def with_params(self, params: Mapping) -> PanelRegressor:
+        """The same prepared rows with other parameters, not fitted yet."""
+        other = copy(self)
+        other.params, other.model = {**DEFAULT_PARAMS, **params}, None
+        return other
+
+    def fit(self, train: DataFrame, label: str, valid: DataFrame | None = None, weight: str | None = None) -> PanelRegressor:
+        """Fit on rows with features and ``label``; ``valid`` stops the boosting early.
+
+        ``weight`` names a column of row weights; a row without one has weight 1.
+        """
+        early = valid is not None and self.is_tree
+        data = self.prepare(train, label, valid if early else None, weight).persist(StorageLevel.DISK_ONLY if self.is_tree else StorageLevel.MEMORY_AND_DISK)
         try:
-            if self.is_tree:
-                self.model = PipelineModel([make_estimator(self.params, "_raw", "_label", "_valid" if early else None, use).fit(data)])
-            else:
-                scaler = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True).fit(data)
-                self.model = PipelineModel([scaler, make_estimator(self.params, "_std", "_label", weight=use).fit(scaler.transform(data))])
+            return self.learn(data, early, weight is not None)
         finally:
             data.unpersist()
-        return self
 
     def predict(self, df: DataFrame, encoded: bool = False) -> DataFrame:
         """Adds ``yhat``."""
@@ -162,11 +183,11 @@ class RecursiveForecaster:
         spec = self.builder.spec
         self.builder = self.regressor.builder = self.builder.fitted(train)
         if valid is None:
-            self.regressor.fit(self.builder.transform(train), spec.target_col)
+            self.regressor.fit(self.builder.transform(dealt(train, *spec.key_cols)), spec.target_col)
             return self
         # Lags of the validation rows reach into the training rows.
         both = train.withColumn("_part", F.lit(0)).unionByName(valid.withColumn("_part", F.lit(1)))
-        rows = self.builder.transform(both)
+        rows = self.builder.transform(dealt(both, *spec.key_cols))
         self.regressor.fit(rows.filter("_part = 0").drop("_part"), spec.target_col, rows.filter("_part = 1").drop("_part"))
         return self
 
@@ -254,7 +275,7 @@ class DirectMultiHorizonForecaster:
         parts = train.withColumn("_part", F.lit(0))
         if valid is not None:
             parts = parts.unionByName(valid.withColumn("_part", F.lit(1)))
-        rows = self.builder.transform(parts).withColumns({f"_y{h}": lead_target(spec, h) for h in self.horizons})
+        rows = self.builder.transform(dealt(parts, *spec.key_cols)).withColumns({f"_y{h}": lead_target(spec, h) for h in self.horizons})
         # The part of the target date decides: training rows never aim into the validation part.
         rows = rows.withColumns({f"_p{h}": F.lead("_part", h).over(spec.in_order()) for h in self.horizons})
         rows = rows.filter(F.col(spec.target_col).isNotNull()).persist()
@@ -348,7 +369,7 @@ class QuantileForecaster:
         spec = self.builder.spec
         y = spec.target_col
         self.builder = self.regressor.builder = self.builder.fitted(train)
-        self.regressor.fit(self.builder.transform(train), y)
+        self.regressor.fit(self.builder.transform(dealt(train, *spec.key_cols)), y)
         made = self._roll(train, horizon)
         actual = calibration.select(*spec.key_cols, spec.date_col, F.col(y).alias("_actual")).filter("_actual IS NOT NULL")
         both = join_on_keys(made, actual, [*spec.key_cols, spec.date_col], "inner")
@@ -373,7 +394,7 @@ class QuantileForecaster:
         y = self.builder.spec.target_col
         self.builder = self.regressor.builder = self.builder.fitted(train)
         both = train.withColumn("_part", F.lit(0)).unionByName(calibration.withColumn("_part", F.lit(1)))
-        rows = self.builder.transform(both)
+        rows = self.builder.transform(dealt(both, *self.builder.spec.key_cols))
         self.regressor.fit(rows.filter("_part = 0"), y)
         held = self.regressor.predict(rows.filter("_part = 1").filter(F.col(y).isNotNull()))
         spread = F.percentile_approx(F.col(y) - F.col("yhat"), self.quantiles, self.accuracy)
@@ -413,9 +434,13 @@ def cross_validated_predictions(
     spec = builder.spec
     fold = repeated_fold(identity, k, seed) if mode == "random" else time_fold(spec, *date_span(rows, spec), k)
     folded = rows.withColumn("_fold", fold.cast("int")).withColumn("_label", power_target(F.col(label), exponent))
+    kept = folded.persist()
+    try:
+        models = [PanelRegressor(builder, params, features).fit(kept.filter(F.col("_fold") != i), "_label", weight=weight) for i in range(k)]
+    finally:
+        kept.unpersist()
     oof, tests = None, None
-    for i in range(k):
-        model = PanelRegressor(builder, params, features).fit(folded.filter(F.col("_fold") != i), "_label", weight=weight)
+    for i, model in enumerate(models):
         part = model.predict(folded.filter(F.col("_fold") == i)).select(
             *identity, F.col(label), *([weight] if weight else []), F.lit(i).alias("fold"), invert_power_target(F.col("yhat"), exponent).alias("yhat")
         )

@@ -17,10 +17,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.encode import fit_target_encoding
 from seriesloom.operators.features import FeatureBuilder
 from seriesloom.operators.learners import PanelRegressor, quantile_name
-from seriesloom.session import reliable_checkpoint
 
 
 class PinballRegressor(PanelRegressor):
@@ -48,10 +46,8 @@ class PinballRegressor(PanelRegressor):
 
     def fit(self, train: DataFrame, label: str, valid: DataFrame | None = None, weight: str | None = None) -> PinballRegressor:
         """Fit on rows with features and ``label``; rows of ``valid`` are not used, a row without ``weight`` has weight 1."""
-        keys = [k for k in self.builder.spec.key_cols if f"{k}_te" in self.inputs]
         rows = train.filter(F.col(label).isNotNull())
-        if keys:
-            self.encodings = {k: reliable_checkpoint(v) for k, v in fit_target_encoding(rows, keys, label).items()}
+        self._learn_encodings(rows, label)
         encoded = self.encode(rows)
         self._learn_fills(encoded)
         share = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)

@@ -14,6 +14,7 @@ from seriesloom.operators.features import FeatureBuilder
 from seriesloom.operators.learners import PanelRegressor
 from seriesloom.operators.splits import Folds
 from seriesloom.operators.windows import best_so_far
+from seriesloom.session import dealt
 
 
 def parameter_grid(spark: SparkSession, grid: Mapping[str, Sequence]) -> DataFrame:
@@ -54,36 +55,49 @@ def sample_space(spark: SparkSession, space: Mapping[str, Mapping], n_trials: in
     return spark.range(n_trials).withColumnRenamed("id", "trial").select("trial", *cols)
 
 
-def score_fold(rows: DataFrame, builder: FeatureBuilder, folds: Folds, fold: int, params: Mapping, metric: Callable[[Column, Column], Column]) -> float | None:
-    """Fit on the training range of a fold and score its validation range."""
+def score_fold(
+    rows: DataFrame, builder: FeatureBuilder, folds: Folds, fold: int, sets: Sequence[Mapping], metric: Callable[[Column, Column], Column], parallelism: int = 1
+) -> list[float | None]:
+    """Scores of the validation range for every parameter set, each fitted on the training range of the fold.
+
+    Vectors depend on the fold alone: they are made once and serve all sets. ``rows`` are best persisted.
+    """
     y = builder.spec.target_col
     train, valid = folds.pair(rows, builder.spec, fold)
-    model = PanelRegressor(builder, params).fit(train, y)
-    return model.predict(valid.filter(F.col(y).isNotNull())).agg(metric(F.col(y), F.col("yhat"))).first()[0]
+    base = PanelRegressor(builder)
+    data = base.prepare(train, y).persist()
+    held = base.encode(valid.filter(F.col(y).isNotNull())).persist()
+
+    def score(params: Mapping) -> float | None:
+        model = base.with_params(params).learn(data)
+        return model.predict(held, encoded=True).agg(metric(F.col(y), F.col("yhat"))).first()[0]
+
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            return list(pool.map(score, sets))
+    finally:
+        data.unpersist()
+        held.unpersist()
 
 
 def search(df: DataFrame, builder: FeatureBuilder, folds: Folds, base_params: Mapping, trials: DataFrame, metric: Callable[[Column, Column], Column] = M.rmse, parallelism: int = 2) -> DataFrame:
     """Score every trial on every fold: ``trial, params.., fold, score, state``.
 
-    Features are computed once for all trials. Each fit is a distributed job;
+    Features are computed once for all trials, vectors once for each fold. Each fit is a distributed job;
     a few run side by side. The driver holds one number per trial and fold.
     """
     names = [c for c in trials.columns if c != "trial"]
     sets = [(r["trial"], {c: r[c] for c in names}) for r in trials.orderBy("trial").collect()]
-    rows = builder.transform(df).persist()
-
-    def run(job) -> tuple:
-        (trial, params), fold = job
-        score = score_fold(rows, builder, folds, fold, {**base_params, **params}, metric)
-        return trial, fold, score, "COMPLETE" if score is not None else "FAIL"
-
+    rows = builder.transform(dealt(df, *builder.spec.key_cols)).persist()
+    done = []
     try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            done = list(pool.map(run, [(s, f.fold) for s in sets for f in folds]))
+        for f in folds:
+            scores = score_fold(rows, builder, folds, f.fold, [{**base_params, **params} for _, params in sets], metric, parallelism)
+            done += [(trial, f.fold, score, "COMPLETE" if score is not None else "FAIL") for (trial, _), score in zip(sets, scores, strict=True)]
     finally:
         rows.unpersist()
-    scores = df.sparkSession.createDataFrame(done, "trial bigint, fold int, score double, state string")
-    return trials.join(scores, "trial")
+    scored = df.sparkSession.createDataFrame(done, "trial bigint, fold int, score double, state string")
+    return trials.join(scored, "trial")
 
 
 def ranking(scores: DataFrame, params: Sequence[str], folds: int) -> DataFrame:

@@ -12,7 +12,7 @@ from seriesloom.operators.features import FeatureBuilder
 from seriesloom.operators.forecast import floor_zero
 from seriesloom.operators.grid import future_dates
 from seriesloom.plans import bakeoff, cleaning, retail, subset, univariate
-from seriesloom.session import reliable_checkpoint
+from seriesloom.session import dealt, reliable_checkpoint
 from seriesloom.spec import PanelSpec
 from workload import panels as P
 from workload.forecasting import _decomposition
@@ -327,8 +327,8 @@ def sampled_panel(spark, folder):
 
 
 def _stored_panel(spark, folder):
-    """Model fits pass over the panel many times, so it is written out once."""
-    return reliable_checkpoint(P.supplier_week_full(spark, folder))
+    """Model fits pass over the panel many times, so it is written out once; features grow on parts of counted rows."""
+    return dealt(reliable_checkpoint(P.supplier_week_full(spark, folder)), "k")
 
 
 # Last 8 weeks: test; the 13 before: validation. Forecasts start at each key's last known week.
