@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.session import dealt, reliable_checkpoint
 from seriesloom.spec import Frequency, PanelSpec
 
 INSERTED = "_was_imputed"
@@ -71,6 +72,17 @@ def _finish(grid: DataFrame, spec: PanelSpec, fill_value: float | None, add_indi
     return grid if add_indicator else grid.drop(INSERTED)
 
 
+def dealt_by_periods(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The rows, stored and dealt by their keys into parts that hold a bounded number of periods once they are completed.
+
+    A key with two rows may become years of days: parts by the bytes of the rows would then be too large to sort in memory.
+    """
+    stored = reliable_checkpoint(df)
+    at = spec.freq.index(spec.date_col)
+    spans = stored.groupBy(*spec.key_cols).agg((F.max(at) - F.min(at) + 1).cast("bigint").alias("_periods"))
+    return dealt(stored, *spec.key_cols, rows=spans.agg(F.sum("_periods")).first()[0] or 0)
+
+
 def fill_time_gaps(
     df: DataFrame, spec: PanelSpec, fill_value: float | None = None, add_indicator: bool = True
 ) -> DataFrame:

@@ -42,3 +42,16 @@ def test_a_fold_learns_its_key_means_once_for_all_sets(spark, monkeypatch):
     scored = tuning.grid_search(rows, builder, folds, base, {"l2": [0.0, 0.5, 5.0]}).collect()
     assert len(calls) == len(folds) and len(scored) == 3
     assert len({r["fold0"] for r in scored}) == 3
+
+
+def test_parts_follow_the_periods_to_come(spark, monkeypatch):
+    """Two rows a key that become years of days are dealt by the days."""
+    from seriesloom import session
+    from seriesloom.operators.grid import dealt_by_periods, fill_time_gaps
+
+    monkeypatch.setattr(session, "ROWS_PER_PART", 1000)
+    ends = spark.range(200).selectExpr("id div 2 AS k", "date_add(DATE'2024-01-01', CAST(id % 2 * 999 AS INT)) AS d", "1.0D AS y")
+    full = fill_time_gaps(dealt_by_periods(ends, P.DAILY), P.DAILY)
+    parts = full.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert sum(r["count"] for r in parts) == 100_000
+    assert len(parts) > 40 and max(r["count"] for r in parts) < 10_000

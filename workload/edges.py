@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import chartdata, demand, encode, recurrence, transforms, tsstats, tuning
 from seriesloom.operators import forecast as FC
-from seriesloom.operators.grid import complete_panel, fill_time_gaps, to_panel
+from seriesloom.operators.grid import complete_panel, dealt_by_periods, fill_time_gaps, to_panel
 from seriesloom.spec import PanelSpec
 from workload import panels as P
 from workload.registry import n, query, r, s, shown, table
@@ -42,7 +42,7 @@ def _end_points(spark, folder):
     daily = to_panel(lines, P.DAILY, {"y": F.sum("q")})
     ends = daily.groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min_by("y", "d").alias("y0"), F.max_by("y", "d").alias("y1"))
     two = ends.select("k", F.inline(F.array(F.struct(F.col("lo").alias("d"), F.col("y0").alias("y")), F.struct(F.col("hi").alias("d"), F.col("y1").alias("y")))))
-    return fill_time_gaps(two.distinct(), P.DAILY, add_indicator=False)
+    return fill_time_gaps(dealt_by_periods(two.distinct(), P.DAILY), P.DAILY, add_indicator=False)
 
 
 _ENDS = """WITH panel AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2),
