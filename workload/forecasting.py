@@ -8,6 +8,7 @@ from seriesloom.functions import metrics as M
 from seriesloom.operators import forecast as FC
 from seriesloom.operators import scoring, splits, tsstats
 from seriesloom.operators import walkforward as WF
+from seriesloom.operators.grid import dealt_by_periods
 from seriesloom.operators.impute import join_on_keys
 from seriesloom.session import reliable_checkpoint
 from workload import panels as P
@@ -343,7 +344,8 @@ SELECT k, {r("CASE WHEN m = 1 THEN y / n ELSE z / q END")} AS classic, {r("CASE
 FROM c WHERE j = m""",
 )
 def croston_forecasts(spark, folder):
-    full = P.complete_panel(P.part_week(spark, folder), P.WEEKLY)
+    # Parts hold a bounded number of weeks: the grid has many times the rows of the exchange before it.
+    full = P.complete_panel(dealt_by_periods(P.part_week(spark, folder), P.WEEKLY), P.WEEKLY)
     return shown(FC.intermittent_rates(full, P.WEEKLY, alpha=0.1, beta=0.2).drop("_last"))
 
 
