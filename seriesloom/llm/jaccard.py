@@ -32,9 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import connected, id_and_text, lean, mix, span_hashes, stored, text_chunks, words_of
+from seriesloom.llm.common import connected, id_and_text, lean, mix, span_hashes, text_chunks, words_of
+from seriesloom.llm.common import stored_in_small_batches as stored
 
 WORDS = 5
+#: Bytes of text whose shingles a task makes at a time.
+TEXT_BYTES = 1 << 19
 #: Hash ranges of a sketch.
 BINS = 128
 SMALL_BUCKET = 16
@@ -47,6 +50,9 @@ SHINGLES_A_TASK, SHINGLES_A_PART = 2_000_000, 200_000
 BLOCK = 1024
 #: Partners of a set that a round of large buckets tries, and how much more the next one does if none links.
 FIRST_PARTNERS, MORE_PARTNERS = 2, 16
+#: Pairs of large buckets that a task holds before it hands them on, each told once, and their layout.
+PAIRS_AT_ONCE = 1_000_000
+PAIR = np.dtype([("u", "<i8"), ("v", "<i8"), ("more", "?")])
 #: Set keys that a task remembers, so that copies are indexed once.
 SEEN_AT_ONCE = 200_000
 #: Ids of candidate sets up to which they are broadcast (16 bytes each).
@@ -199,7 +205,7 @@ def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """(doc_id, text_key, n_shingles, key, key2, sketch) of every row; text_key is a hash of the text."""
 
     def run(batches):
-        for ids, body, offsets in text_chunks(batches):
+        for ids, body, offsets in text_chunks(batches, TEXT_BYTES):
             shingles, bounds = shingle_sets(body, offsets, words)
             key, key2 = set_keys(shingles, bounds)
             ends = (np.arange(len(key) + 1) * BINS).astype(np.int32)
@@ -227,7 +233,7 @@ def packed_index(docs: DataFrame, parts: int, text_col: str = "text", words: int
 
     def run(batches):
         held, signatures, keys, seen = 0, [], [], set()
-        for _, body, offsets in text_chunks(batches):
+        for _, body, offsets in text_chunks(batches, TEXT_BYTES):
             shingles, bounds = shingle_sets(body, offsets, words)
             key, _ = set_keys(shingles, bounds)
             if len(seen) > SEEN_AT_ONCE:
@@ -332,6 +338,39 @@ def pairs_of(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(lean(run), "u long, v long").groupBy("u", "v").agg(F.count("*").alias("met"))
 
 
+def _nearest(node: np.ndarray, top: np.ndarray, n: np.ndarray, sketch: np.ndarray, partners: int) -> np.ndarray:
+    """For each of the sets its ``partners`` nearest ones of other components, as ``PAIR``."""
+    coarse = sketch.reshape(len(node), 8, -1).sum(axis=2, dtype=np.int16)
+    out = [np.zeros(0, PAIR)]
+    for i in range(len(node)):
+        at = np.flatnonzero((top != top[i]) & (5 * np.minimum(n[i], n) >= 4 * np.maximum(n[i], n)))
+        # Sums of sketch entries differ by no more than the entries do, and take a sixteenth of the time.
+        at = at[9 * _apart(coarse[i], coarse[at]) <= n[i] + n[at]]
+        apart = _apart(sketch[i], sketch[at])
+        near = 9 * apart <= n[i] + n[at]
+        at, apart = at[near], apart[near]
+        more = len(at) > partners
+        if more:
+            at = at[np.lexsort((node[at], apart))[:partners]]
+        own = np.zeros(len(at), PAIR)
+        own["u"], own["v"], own["more"] = np.minimum(node[at], node[i]), np.maximum(node[at], node[i]), more
+        out.append(own)
+    return np.concatenate(out)
+
+
+def _told_once(held: list[np.ndarray]) -> np.ndarray:
+    """Each pair once; ``more`` holds if any of its rows says so."""
+    rows = np.concatenate(held)
+    rows = rows[np.lexsort((~rows["more"], rows["v"], rows["u"]))]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows["u"][1:] != rows["u"][:-1]) | (rows["v"][1:] != rows["v"][:-1])
+    return rows[first]
+
+
+def _pair_batch(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in PAIR.names], list(PAIR.names))
+
+
 def crossing_pairs(groups: DataFrame, roots: DataFrame, reps: DataFrame, partners: int) -> DataFrame:
     """(u, v, more): for each member of a large group its ``partners`` nearest members of other components.
 
@@ -350,29 +389,19 @@ def crossing_pairs(groups: DataFrame, roots: DataFrame, reps: DataFrame, partner
     lists = dealt.agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("m")).select(*[F.col(f"m.{c}").alias(c) for c in ("node", "root", "n", "sketch")])
 
     def run(batches):
+        # Sets of one cluster meet in very many buckets: a task tells each of its pairs once.
+        held: list[np.ndarray] = []
         for batch in batches:
             for members in zip(*(batch.column(k) for k in range(4)), strict=True):
                 node, top, n = (members[k].values.to_numpy() for k in range(3))
                 sketch = np.frombuffer(b"".join(members[3].values.to_pylist()), np.uint8).reshape(len(node), BINS)
-                coarse = sketch.reshape(len(node), 8, -1).sum(axis=2, dtype=np.int16)
-                us, vs, more = [], [], []
-                for i in range(len(node)):
-                    at = np.flatnonzero((top != top[i]) & (5 * np.minimum(n[i], n) >= 4 * np.maximum(n[i], n)))
-                    # Sums of sketch entries differ by no more than the entries do, and take a sixteenth of the time.
-                    at = at[9 * _apart(coarse[i], coarse[at]) <= n[i] + n[at]]
-                    apart = _apart(sketch[i], sketch[at])
-                    near = 9 * apart <= n[i] + n[at]
-                    at, apart = at[near], apart[near]
-                    if len(at) > partners:
-                        nearest = np.lexsort((node[at], apart))[:partners]
-                        more.append(np.full(partners, True))
-                        at = at[nearest]
-                    else:
-                        more.append(np.full(len(at), False))
-                    us.append(np.minimum(node[at], node[i]))
-                    vs.append(np.maximum(node[at], node[i]))
-                none = np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*us, none])), pa.array(np.concatenate([*vs, none])), pa.array(np.concatenate([*more, none.astype(bool)]))], ["u", "v", "more"])
+                held.append(_nearest(node, top, n, sketch, partners))
+                if sum(map(len, held)) >= PAIRS_AT_ONCE:
+                    held = [_told_once(held)]
+                    if 2 * len(held[0]) >= PAIRS_AT_ONCE:
+                        yield _pair_batch(held.pop())
+        if held:
+            yield _pair_batch(_told_once(held))
 
     return lists.mapInArrow(lean(run), "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
 
@@ -403,7 +432,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str,
     texts = texts.join(F.broadcast(chosen.select("doc_id").distinct()) if few else chosen.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def shingles_of(batches):
-        for _, body, offsets in text_chunks(batches):
+        for _, body, offsets in text_chunks(batches, TEXT_BYTES):
             shingles, bounds = shingle_sets(body, offsets, words)
             key, _ = set_keys(shingles, bounds)
             packed = pa.Array.from_buffers(pa.large_binary(), len(key), [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), pa.py_buffer(shingles.tobytes())])
