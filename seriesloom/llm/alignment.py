@@ -24,7 +24,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,29 +39,49 @@ TEXT_BYTES = 1 << 18
 HOT_PAIRS = 1_000_000
 #: Pairs whose counts a task sums before it hands them on.
 PAIRS_AT_ONCE = 200_000
-#: Pieces of text whose ids a worker remembers, and their greatest length.
-PIECES, PIECE_CHARS = 200_000, 40
+#: Pieces of text whose ids a worker remembers (more only within a call), their greatest length, and new words that go to
+#: the library in one text.
+PIECES, PIECE_CHARS, WORDS_AT_ONCE = 400_000, 40, 64
 #: A pair is one number: A's id times this, plus B's id.
 PAIR_BASE = 1 << 31
 
 
+class Strings:
+    """Byte strings in one buffer, joined by their numbers with array operations."""
+
+    def __init__(self, strings: list[bytes]):
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.array([len(b) for b in strings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        n = self.size[numbers]
+        ends = np.cumsum(n)
+        if not len(ends):
+            return b""
+        return self.flat[np.repeat(self.start[numbers] - ends + n, n) + np.arange(ends[-1])].tobytes()
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """Bytes of each id and their number; ``marked`` has each id as text before a comma, then each before the group's mark."""
+    """The bytes of each id; ``marked`` has each id as text before a comma, then each before the group's mark."""
 
-    body: list[bytes]
-    size: np.ndarray
+    body: Strings
     marked: list[bytes]
 
+    @property
+    def entries(self) -> int:
+        return len(self.body.size)
+
 
 def _vocabulary(body: list[bytes], mark: bytes) -> Vocabulary:
-    return Vocabulary(body, np.array([len(b) for b in body], np.int64), [b"%d%b" % (i, m) for m in (b",", mark) for i in range(len(body))])
+    return Vocabulary(Strings(body), [b"%d%b" % (i, m) for m in (b",", mark) for i in range(len(body))])
 
 
 @lru_cache(maxsize=2)
-def _marked(first_path: str, second_path: str) -> list[bytes]:
+def _marked(first_path: str, second_path: str) -> Strings:
     """The marked ids of both vocabularies, one after the other."""
-    return first_tokenizer(first_path)[1].marked + second_tokenizer(second_path)[1].marked
+    return Strings(first_tokenizer(first_path)[1].marked + second_tokenizer(second_path)[1].marked)
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -71,40 +91,124 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _latin(kind: str) -> str:
+    """The Latin-1 characters of one class, for a pattern."""
+    return "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == kind)
+
+
 @lru_cache(maxsize=1)
 def latin_pieces() -> re.Pattern:
     """The pieces that a byte-level tokenizer codes one by one, for texts of Latin-1 characters, whose classes are settled."""
-    kind = lambda k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k)
-    letter, number, blank = kind("L"), kind("N"), r"\t-\r \x85\xa0"
+    letter, number, blank = _latin("L"), _latin("N"), r"\t-\r \x85\xa0"
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
 
 
+class Remembering:
+    """An encoder of many texts that hands each piece of a Latin-1 text to the library once, and other texts whole.
+
+    A piece's ids are kept as a stretch of one array, so a text is a list of stretch numbers and one gather. New words after
+    a space are told to the library many to a text, which it splits into the same pieces; the bytes of the ids say where one
+    ends. Pieces whose ids do not give their bytes are not kept, and texts with such a piece go whole.
+    """
+
+    def __init__(self, coder, vocabulary: Vocabulary):
+        self.coder, self.vocabulary = coder, vocabulary
+        self.split = latin_pieces().findall
+        self.word = re.compile(rf" [{_latin('L')}]+").fullmatch
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.stretches = 0
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        words = [x for x in new if self.word(x)]
+        runs = ["".join(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        if not self._keep(words, runs):
+            self._keep(words, words)
+        rest = [x for x in new if not self.word(x)]
+        if not self._keep(rest, rest):
+            for x in rest:
+                self._keep([x], [x])
+
+    def _keep(self, new: list[str], texts: list[str]) -> bool:
+        """Remember the new pieces, which the texts are made of, unless the library's tokens do not end with them."""
+        if not new:
+            return True
+        ids = np.fromiter(chain.from_iterable(self.library(texts)), np.int64)
+        whole = "".join(new)
+        if self.vocabulary.body.joined(ids) != whole.encode():
+            return False
+        # Bytes of the pieces: a Latin-1 character has one below 128, two from there on.
+        places = np.cumsum(1 + (np.frombuffer(whole.encode("latin-1"), np.uint8) >= 128))
+        stops = places[np.cumsum(np.fromiter(map(len, new), np.int64)) - 1]
+        ends = np.cumsum(self.vocabulary.body.size[ids])
+        at = np.searchsorted(ends, stops, "right")
+        if not np.array_equal(ends[at - 1], stops):
+            return False
+        used, n = int(self.ends[self.stretches]), self.stretches
+        self.ids = _roomy(self.ids, used + len(ids))
+        self.ends = _roomy(self.ends, n + len(new) + 1)
+        self.ids[used : used + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(new)] = used + at
+        self.number.update(zip(new, range(n, n + len(new)), strict=True))
+        self.stretches += len(new)
+        return True
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray | list[int]]:
+        if len(self.number) > PIECES:
+            self.forget()
+        latin = [_is_latin(t) for t in texts]
+        pieces = [self.split(t) if own else [] for t, own in zip(texts, latin, strict=True)]
+        self.learn([x for x in {*chain.from_iterable(pieces)}.difference(self.number) if len(x) <= PIECE_CHARS])
+        size = np.array([len(p) for p in pieces], np.int64)
+        number = np.fromiter(map(self.number.get, chain.from_iterable(pieces), repeat(-1)), np.int64, size.sum())
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        # Pieces that are not known have number -1 and no ids here.
+        start = np.where(number < 0, 0, self.ends[number])
+        n = self.ends[number + 1] - start
+        told = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(start - told[:-1], n) + np.arange(told[-1])]
+        told = told[bounds].tolist()
+        out: list[np.ndarray | list[int]] = [ids[a:b] for a, b in zip(told[:-1], told[1:], strict=True)]
+        unknown = np.concatenate([[0], np.cumsum(number < 0)])[bounds]
+        whole = [i for i in range(len(texts)) if not latin[i] or unknown[i + 1] > unknown[i]]
+        for i, one in zip(whole, self.library([texts[i] for i in whole]), strict=True):
+            out[i] = one
+        return out
+
+
+def _roomy(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, with room for ``n`` entries."""
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, len(array)), np.int64)])
+
+
 def remembering(coder):
-    """An encoder of many texts that hands each piece of a Latin-1 text to the library once, and other texts whole."""
-    known: dict[str, list[int]] = {}
-    split = latin_pieces().findall
-
-    def library(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        if len(known) > PIECES:
-            known.clear()
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            try:
-                text.encode("latin-1")
-                pieces.append(split(text))
-            except UnicodeEncodeError:
-                pieces.append(None)
-        new = list({x for p in pieces if p for x in p}.difference(known))
-        coded = dict(zip(new, library(new), strict=True))
-        known.update((x, ids) for x, ids in coded.items() if len(x) <= PIECE_CHARS)
-        now = known if all(len(x) <= PIECE_CHARS for x in new) else {**known, **coded}
-        whole = iter(library([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        return [next(whole) if p is None else list(chain.from_iterable(map(now.__getitem__, p))) for p in pieces]
-
-    return encode
+    """``Remembering`` as a function from texts to id lists."""
+    encode = Remembering(coder, _byte_vocabulary(coder))
+    return lambda texts: [np.asarray(ids, np.int64).tolist() for ids in encode(texts)]
+
+
+def _byte_vocabulary(coder) -> Vocabulary:
+    """The bytes of a byte-level tokenizer's entries."""
+    signs = byte_of_sign()
+    names = coder.get_vocab(with_added_tokens=True)
+    body = [b""] * (max(names.values()) + 1)
+    for name, i in names.items():
+        body[i] = bytes(signs[c] for c in name) if all(c in signs for c in name) else name.encode()
+    return _vocabulary(body, b"|")
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)
@@ -115,16 +219,12 @@ def first_tokenizer(path: str):
 
     coder = Tokenizer.from_file(path)
     coder.encode_special_tokens = True
-    signs = byte_of_sign()
-    names = coder.get_vocab(with_added_tokens=True)
-    body = [b""] * (max(names.values()) + 1)
-    for name, i in names.items():
-        body[i] = bytes(signs[c] for c in name) if all(c in signs for c in name) else name.encode()
+    vocabulary = _byte_vocabulary(coder)
     setting = json.loads(coder.to_str())
     usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
     if setting["normalizer"] is None and usual.items() <= (setting["pre_tokenizer"] or {}).items():
-        return remembering(coder), _vocabulary(body, b"|")
-    return lambda texts: [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)], _vocabulary(body, b"|")
+        return Remembering(coder, vocabulary), vocabulary
+    return lambda texts: [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)], vocabulary
 
 
 @lru_cache(maxsize=2)
@@ -153,7 +253,7 @@ class Alignment:
     def pairs(self) -> np.ndarray:
         return self.a[self.a_ends] * PAIR_BASE + self.b[self.b_ends]
 
-    def groups(self, marked: list[bytes], first_size: int, second_size: int) -> bytes:
+    def groups(self, marked: Strings, first_size: int, second_size: int) -> bytes:
         """``a1,a2|b1;a3|b2,b3``: the ids of every group in order, from the marked ids of both vocabularies."""
         a, b = self.a.copy(), self.b + 2 * first_size
         a[self.a_ends] += first_size
@@ -163,16 +263,17 @@ class Alignment:
         both = np.empty(len(a) + len(b), np.int64)
         both[np.arange(len(a)) + np.repeat(self.b_ends + 1 - size_b, size_a)] = a
         both[np.arange(len(b)) + np.repeat(self.a_ends + 1, size_b)] = b
-        return b"".join(map(marked.__getitem__, both.tolist()))[:-1]
+        return marked.joined(both)[:-1]
 
 
-def aligned(text: bytes, a: list[int], b: list[int], first: Vocabulary, second: Vocabulary) -> Alignment | None:
+def aligned(text: bytes, a: list[int] | np.ndarray, b: list[int], first: Vocabulary, second: Vocabulary) -> Alignment | None:
     """The alignment of two id lists, or None where either does not give the bytes of the text after a space."""
     whole = b" " + text
-    if b"".join(map(first.body.__getitem__, a)) != whole or b"".join(map(second.body.__getitem__, b)) != whole:
+    ids = np.asarray(a, np.int64), np.array(b, np.int64)
+    # An array comes from pieces whose bytes were compared when they were learnt.
+    if not isinstance(a, np.ndarray) and first.body.joined(ids[0]) != whole or second.body.joined(ids[1]) != whole:
         return None
-    ids = np.array(a, np.int64), np.array(b, np.int64)
-    ends = np.cumsum(first.size[ids[0]]), np.cumsum(second.size[ids[1]])
+    ends = np.cumsum(first.body.size[ids[0]]), np.cumsum(second.body.size[ids[1]])
     common = []
     for mine, other in (ends, ends[::-1]):
         there = np.zeros(len(whole) + 1, bool)
@@ -202,7 +303,7 @@ def text_measures(docs: DataFrame, first_path: str, second_path: str, text_col:
                 yield key, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
             else:
                 pairs, times = np.unique(found.pairs, return_counts=True)
-                yield key, len(found.a), len(found.b), len(found.a_ends), hashlib.sha256(found.groups(marked, len(first.body), len(second.body))).hexdigest(), pairs, times
+                yield key, len(found.a), len(found.b), len(found.a_ends), hashlib.sha256(found.groups(marked, first.entries, second.entries)).hexdigest(), pairs, times
 
     def run(batches):
         for batch in batches:
