@@ -13,8 +13,10 @@ the partner it meets most often. Components then leave only pairs between differ
 candidates, then of large buckets, in rounds. There every set tries the nearest set of another component; what links is
 merged before the next round, and only if nothing links does a set try more partners at once. So rows stay linear in the
 members while anything links, copies cost one comparison each, and no link is lost: the rounds end when no untried pair
-between components is left. Large buckets are dealt into blocks, and a task compares two of them at a time. Before texts are
-read again, sizes and sketches (shingles counted by hash range) rule out pairs that cannot link.
+between components is left. Large buckets are dealt into blocks, and a task compares two of them at a time. Sets of one
+cluster meet in many buckets: these go to the same task, where each set names its nearest partners of all of them once.
+Before texts are read again, sizes and sketches (parities of shingles by hash, four bits a shingle or more) rule out all
+pairs but those near the limit.
 
 Hashes have 64 bits: sets are equal if two independent 64-bit sums agree, and shingles if their hashes do.
 Null or empty texts and texts without words have no shingles and link with nothing; fewer than five words are one
@@ -38,8 +40,8 @@ from seriesloom.llm.common import stored_in_small_batches as stored
 WORDS = 5
 #: Bytes of text whose shingles a task makes at a time.
 TEXT_BYTES = 1 << 19
-#: Hash ranges of a sketch.
-BINS = 128
+#: Bytes of the smallest sketch and of the largest one; between them a sketch has four to eight bits a shingle.
+BINS, MOST_BINS = 128, 1 << 14
 SMALL_BUCKET = 16
 #: Index entries that a task keeps before it hands them on, and their layout.
 ENTRIES_AT_ONCE = 500_000
@@ -50,8 +52,11 @@ SHINGLES_A_TASK, SHINGLES_A_PART = 2_000_000, 200_000
 BLOCK = 1024
 #: Partners of a set that a round of large buckets tries, and how much more the next one does if none links.
 FIRST_PARTNERS, MORE_PARTNERS = 2, 16
-#: Pairs of large buckets that a task holds before it hands them on, each told once, and their layout.
+#: Comparisons of sketches in the buckets of one cluster that go to one task.
+COMPARISONS_A_TASK = 50_000_000
+#: Partners of sets of large buckets that a task holds before it hands pairs on, each told once, and their layouts.
 PAIRS_AT_ONCE = 1_000_000
+PARTNER = np.dtype([("node", "<i8"), ("other", "<i8"), ("apart", "<i4"), ("more", "?")])
 PAIR = np.dtype([("u", "<i8"), ("v", "<i8"), ("more", "?")])
 #: Set keys that a task remembers, so that copies are indexed once.
 SEEN_AT_ONCE = 200_000
@@ -105,24 +110,57 @@ def set_keys(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[0], keys[1]
 
 
-def set_sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Number of shingles in each of ``BINS`` hash ranges, at most 255: a row of bytes for each set.
+def set_sketches(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of the shingles by the low bits of a hash, as bytes of all sets and the bounds of each set; none for an empty one.
 
-    The ranges of two sets differ by no more than the sets do, so a larger difference rules a pair out.
+    A shingle of only one of two sets turns one bit, so sketches differ in no more bits than the sets do in shingles. The
+    halves of a sketch combined by exclusive or are the sketch of half the length.
     """
-    n = len(bounds) - 1
-    place = np.repeat(np.arange(n, dtype=np.int64) * BINS, np.diff(bounds)) + (mix(shingles ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(57)).astype(np.int64)
-    return np.minimum(np.bincount(place, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+    n = np.diff(bounds)
+    size = np.minimum(np.maximum(1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64), BINS), MOST_BINS) * (n > 0)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    bit = (mix(shingles ^ np.uint64(0xA24BAED4963EE407)) & (np.repeat(size, n) * 8 - 1).astype(np.uint64)).astype(np.int64)
+    sketch = np.zeros(ends[-1], np.uint8)
+    np.bitwise_xor.at(sketch, np.repeat(ends[:-1], n) + (bit >> 3), np.uint8(1) << (bit & 7).astype(np.uint8))
+    return sketch, ends
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches (64 bits an entry) as sketches of ``words`` entries."""
+    while sketch.shape[1] > words:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sum of the differences of two sketches."""
-    return np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    """Number of bits in which sketches of one length differ."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _near(n_a, n_b, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _by_length(sketches: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Length of each sketch in 64-bit entries, and for each length the sketches folded to it; rows of shorter ones are zero."""
+    words = np.array([len(s) // 8 for s in sketches], np.int64)
+    levels = {w: np.zeros((len(words), w), np.uint64) for w in np.unique(words).tolist()}
+    for w in levels:
+        own = np.flatnonzero(words == w)
+        rows = np.frombuffer(b"".join(sketches[i] for i in own.tolist()), np.uint64).reshape(len(own), w)
+        for v in levels:
+            if v <= w:
+                levels[v][own] = _folded(rows, v)
+    return words, levels
+
+
+def _near(n_a: np.ndarray, n_b: np.ndarray, a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Whether sizes and sketches leave a similarity of 0.8 possible."""
-    return (9 * _apart(a, b) <= n_a + n_b) & (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b))
+    words, levels = _by_length([*a, *b])
+    at = len(a)
+    both = np.minimum(words[:at], words[at:])
+    near = 5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b)
+    for w in np.unique(both[near]).tolist():
+        rows = np.flatnonzero(near & (both == w))
+        near[rows] = 9 * _apart(levels[w][rows], levels[w][rows + at]) <= (n_a + n_b)[rows]
+    return near
 
 
 @dataclass(frozen=True)
@@ -208,8 +246,8 @@ def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         for ids, body, offsets in text_chunks(batches, TEXT_BYTES):
             shingles, bounds = shingle_sets(body, offsets, words)
             key, key2 = set_keys(shingles, bounds)
-            ends = (np.arange(len(key) + 1) * BINS).astype(np.int32)
-            sketch = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(set_sketches(shingles, bounds).tobytes())])
+            parities, ends = set_sketches(shingles, bounds)
+            sketch = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(parities.tobytes())])
             yield pa.RecordBatch.from_arrays([ids.field(0), ids.field(1), pa.array(np.diff(bounds)), pa.array(key), pa.array(key2), sketch], ["doc_id", "text_key", "n_shingles", "key", "key2", "sketch"])
 
     named = id_and_text(docs, id_col, text_col).select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("id"), "text")
@@ -338,29 +376,56 @@ def pairs_of(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(lean(run), "u long, v long").groupBy("u", "v").agg(F.count("*").alias("met"))
 
 
-def _nearest(node: np.ndarray, top: np.ndarray, n: np.ndarray, sketch: np.ndarray, partners: int) -> np.ndarray:
-    """For each of the sets its ``partners`` nearest ones of other components, as ``PAIR``."""
-    coarse = sketch.reshape(len(node), 8, -1).sum(axis=2, dtype=np.int16)
-    out = [np.zeros(0, PAIR)]
+def _nearest(node: np.ndarray, top: np.ndarray, n: np.ndarray, sketches: list[bytes], partners: int) -> np.ndarray:
+    """For each of the sets its ``partners`` nearest ones of other components, as ``PARTNER``."""
+    words, levels = _by_length(sketches)
+    least = min(levels)
+    # A folded sketch differs by no more than the sketch does, and takes a quarter of the time.
+    coarse = _folded(levels[least], max(least // 4, 1))
+    out = [np.zeros(0, PARTNER)]
     for i in range(len(node)):
         at = np.flatnonzero((top != top[i]) & (5 * np.minimum(n[i], n) >= 4 * np.maximum(n[i], n)))
-        # Sums of sketch entries differ by no more than the entries do, and take a sixteenth of the time.
         at = at[9 * _apart(coarse[i], coarse[at]) <= n[i] + n[at]]
-        apart = _apart(sketch[i], sketch[at])
+        apart, both = np.zeros(len(at), np.int64), np.minimum(words[i], words[at])
+        for w in np.unique(both).tolist():
+            rows = both == w
+            apart[rows] = _apart(levels[w][i], levels[w][at[rows]])
         near = 9 * apart <= n[i] + n[at]
         at, apart = at[near], apart[near]
         more = len(at) > partners
         if more:
-            at = at[np.lexsort((node[at], apart))[:partners]]
-        own = np.zeros(len(at), PAIR)
-        own["u"], own["v"], own["more"] = np.minimum(node[at], node[i]), np.maximum(node[at], node[i]), more
+            chosen = np.lexsort((node[at], apart))[:partners]
+            at, apart = at[chosen], apart[chosen]
+        own = np.zeros(len(at), PARTNER)
+        own["node"], own["other"], own["apart"], own["more"] = node[i], node[at], apart, more
         out.append(own)
     return np.concatenate(out)
 
 
-def _told_once(held: list[np.ndarray]) -> np.ndarray:
-    """Each pair once; ``more`` holds if any of its rows says so."""
+def _nearest_of_all(held: list[np.ndarray], partners: int) -> np.ndarray:
+    """The ``partners`` nearest of each set among its partners in several buckets; ``more`` if any row says so or one is left out."""
     rows = np.concatenate(held)
+    rows = rows[np.lexsort((~rows["more"], rows["other"], rows["apart"], rows["node"]))]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows["node"][1:] != rows["node"][:-1]) | (rows["other"][1:] != rows["other"][:-1])
+    more = np.unique(rows["node"][rows["more"]])
+    rows = rows[first]
+    head = np.flatnonzero(np.concatenate([[True], rows["node"][1:] != rows["node"][:-1]])) if len(rows) else np.zeros(0, np.int64)
+    count = np.diff(np.append(head, len(rows)))
+    rank = np.arange(len(rows)) - np.repeat(head, count)
+    rows["more"] = np.isin(rows["node"], more) | np.repeat(count > partners, count)
+    return rows[rank < partners]
+
+
+def _pairs(rows: np.ndarray) -> np.ndarray:
+    """``PARTNER`` rows as ``PAIR``."""
+    out = np.zeros(len(rows), PAIR)
+    out["u"], out["v"], out["more"] = np.minimum(rows["node"], rows["other"]), np.maximum(rows["node"], rows["other"]), rows["more"]
+    return out
+
+
+def _told_once(rows: np.ndarray) -> np.ndarray:
+    """Each pair once; ``more`` holds if any of its rows says so."""
     rows = rows[np.lexsort((~rows["more"], rows["v"], rows["u"]))]
     first = np.ones(len(rows), bool)
     first[1:] = (rows["u"][1:] != rows["u"][:-1]) | (rows["v"][1:] != rows["v"][:-1])
@@ -372,36 +437,41 @@ def _pair_batch(rows: np.ndarray) -> pa.RecordBatch:
 
 
 def crossing_pairs(groups: DataFrame, roots: DataFrame, reps: DataFrame, partners: int) -> DataFrame:
-    """(u, v, more): for each member of a large group its ``partners`` nearest members of other components.
+    """(u, v, more): for each member of large groups its ``partners`` nearest members of other components.
 
     Sizes and sketches must leave a link possible; nearest is the least difference of the sketches, then the smallest key.
     ``more`` says that a member has further ones. The members of a group are dealt into blocks by its size, and a row holds
-    two blocks at most.
+    two blocks at most. Groups with the same smallest root share members: their blocks of one place go to one task, or to
+    some by the number of their comparisons, and a task takes the nearest of all its groups.
     """
     large = groups.where(F.size("members") > SMALL_BUCKET).select(F.xxhash64("members").alias("bucket"), "members").dropDuplicates(["bucket"])
-    placed = large.select("bucket", F.ceil(F.size("members") / BLOCK).cast("int").alias("blocks"), F.explode("members").alias("node"))
+    # Powers of two: of two members that meet in groups of one number of blocks, the blocks are the same ones.
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.size("members") / BLOCK)))).cast("int")
+    placed = large.select("bucket", blocks.alias("blocks"), F.explode("members").alias("node"))
     placed = placed.join(roots, "node", "left").select("bucket", "blocks", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.least(F.count("*"), F.lit(2 * BLOCK)).alias("size")).where("a <> b")
+    spread = mixed.groupBy("a").agg(F.ceil(F.sum(F.col("size") * F.col("size")) / COMPARISONS_A_TASK).alias("slices"))
+    mixed = mixed.join(spread, "a").select("bucket", "a", F.pmod(F.col("bucket"), F.col("slices")).alias("slice"))
     full = placed.join(mixed, "bucket").join(reps.select(F.col("key").alias("node"), "n", "sketch"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = full.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.groupBy("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    lists = dealt.agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("m")).select(*[F.col(f"m.{c}").alias(c) for c in ("node", "root", "n", "sketch")])
+    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    place = ["a", "slice", "blocks", "x", "y"]
+    lists = dealt.repartition(*place).groupBy(*place, "bucket").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("m"))
+    lists = lists.select(*[F.col(f"m.{c}").alias(c) for c in ("node", "root", "n", "sketch")])
 
     def run(batches):
-        # Sets of one cluster meet in very many buckets: a task tells each of its pairs once.
         held: list[np.ndarray] = []
         for batch in batches:
             for members in zip(*(batch.column(k) for k in range(4)), strict=True):
                 node, top, n = (members[k].values.to_numpy() for k in range(3))
-                sketch = np.frombuffer(b"".join(members[3].values.to_pylist()), np.uint8).reshape(len(node), BINS)
-                held.append(_nearest(node, top, n, sketch, partners))
+                held.append(_nearest(node, top, n, members[3].values.to_pylist(), partners))
                 if sum(map(len, held)) >= PAIRS_AT_ONCE:
-                    held = [_told_once(held)]
+                    held = [_nearest_of_all(held, partners)]
                     if 2 * len(held[0]) >= PAIRS_AT_ONCE:
-                        yield _pair_batch(held.pop())
+                        yield _pair_batch(_told_once(_pairs(held.pop())))
         if held:
-            yield _pair_batch(_told_once(held))
+            yield _pair_batch(_told_once(_pairs(_nearest_of_all(held, partners))))
 
     return lists.mapInArrow(lean(run), "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
 
@@ -414,8 +484,8 @@ def near_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (4, 5))
-            yield batch.filter(pa.array(_near(batch.column(2).to_numpy(), batch.column(3).to_numpy(), a, b))).select(["u", "v"])
+            near = _near(batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            yield batch.filter(pa.array(near)).select(["u", "v"])
 
     both = pairs.join(side("v", "b"), "v").join(side("u", "a"), "u").select("u", "v", "na", "nb", "sa", "sb")
     return both.mapInArrow(lean(run), "u long, v long")
