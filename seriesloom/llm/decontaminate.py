@@ -103,6 +103,12 @@ def _literals(tokens: Column, n: Column, width: int, kind: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - width), lambda i: F.size(F.filter(F.slice(tokens, i + 1, width), lambda t: ~_placeholder(t, kind))))
 
 
+def _placed_windows(kind: int) -> Column:
+    """The windows of a kind with their places, their words and the words that they need."""
+    fields = lambda h, i: F.struct(F.lit(kind).alias("kind"), i.alias("item_pos"), h.alias("hash"), F.get(f"l{kind}", i).alias("literals"), F.col(f"m{kind}").alias("least"))
+    return F.transform(f"w{kind}", fields)
+
+
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(item_id, item_key, width, kind, item_pos, hash) of all windows that count, and the items with their tokens."""
     items = (
@@ -117,17 +123,16 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     # An empty benchmark has the columns of any width.
     for width in sorted(r[0] for r in items.select(F.least("n_item", F.lit(WINDOW))).distinct().collect()) or [WINDOW]:
         own = items.where(F.col("n_item") == width) if width < WINDOW else items.where(F.col("n_item") >= WINDOW)
-        hashed = _with_hashes(own, "item_tokens", width)
-        for kind in KINDS:
-            literal = _literals(F.col("item_tokens"), F.col("n_item"), width, kind)
-            half = F.lit((width + 1) // 2)
-            parts.append(
-                hashed.withColumn("literals", literal)
-                .withColumn("least", F.least(half, F.array_max("literals")) if kind == TYPED else half)
-                .select("item_id", "item_key", "literals", "least", F.posexplode(f"w{kind}").alias("item_pos", "hash"))
-                .where(F.col("hash").isNotNull() & (F.get("literals", F.col("item_pos")) >= F.col("least")))
-                .select("item_id", "item_key", F.lit(width).alias("width"), F.lit(kind).alias("kind"), "item_pos", "hash")
-            )
+        # All kinds in one pass: a plan for each of them would hash, and compile the hashing, three times.
+        counted = _with_hashes(own, "item_tokens", width).withColumns({f"l{k}": _literals(F.col("item_tokens"), F.col("n_item"), width, k) for k in KINDS})
+        half = F.lit((width + 1) // 2)
+        counted = counted.withColumns({f"m{k}": F.least(half, F.array_max(f"l{k}")) if k == TYPED else half for k in KINDS})
+        of_kinds = F.concat(*[_placed_windows(k) for k in KINDS])
+        parts.append(
+            counted.select("item_id", "item_key", F.inline(of_kinds))
+            .where(F.col("hash").isNotNull() & (F.col("literals") >= F.col("least")))
+            .select("item_id", "item_key", F.lit(width).alias("width"), "kind", "item_pos", "hash")
+        )
     windows = parts[0]
     for p in parts[1:]:
         windows = windows.unionByName(p)

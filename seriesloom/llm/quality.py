@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import id_and_text, span_hashes, text_chunks
+from seriesloom.llm.common import given_back, id_and_text, span_hashes, text_chunks
 
 FIT_DOCUMENTS = 4000
 STEPS = 200
@@ -184,7 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows.sort(key=lambda r: (r["label"], bytes(r["lines"])))
     lines = [np.frombuffer(r["lines"], np.float32).reshape(-1, OWN + 2 * NEAR) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
-    return fit_field(np.concatenate(lines).astype(float), first, np.array([min(max(r["label"], 0), 1) for r in rows]))
+    field = fit_field(np.concatenate(lines).astype(float), first, np.array([min(max(r["label"], 0), 1) for r in rows]))
+    del rows, lines
+    given_back()
+    return field
 
 
 def score_documents(docs: DataFrame, field: LineField | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

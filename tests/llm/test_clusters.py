@@ -1,10 +1,10 @@
-"""Clusters that meet in many buckets, sketches of long sets."""
+"""Clusters that meet in many buckets, sketches of long sets, plans of benchmark windows."""
 
 import random
 
 import numpy as np
 
-from seriesloom.llm import jaccard
+from seriesloom.llm import decontaminate, jaccard
 
 
 def _sketch(rng, n):
@@ -64,3 +64,12 @@ def test_pairs_of_a_cluster_are_told_in_one_task(spark, monkeypatch):
         spark.conf.set(name, before)
     assert told.value == len(found) <= partners * (n + buckets)
     assert {r["u"] for r in found} | {r["v"] for r in found} == set(range(n + buckets))
+
+
+def test_windows_of_all_kinds_take_one_pass(spark):
+    """One plan for each width, not one for each width and kind."""
+    items = spark.createDataFrame([(1, "The runner covered the same long road in 3 hours before noon"), (2, "Four words stand here")], "item_id long, text string")
+    windows, _ = decontaminate.benchmark_windows(items)
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 2
+    assert {r["kind"] for r in windows.where("item_id = 1").collect()} == set(decontaminate.KINDS)
