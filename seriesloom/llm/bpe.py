@@ -4,7 +4,8 @@ Each task splits its texts into pieces (letters, digits, other signs, white spac
 recursive query contract them: rows of (piece, position, token) join the merge table, the leftmost pair of the lowest rank
 of each piece is replaced, and pieces without such a pair leave the recursion. Decoding is an ordered aggregation of the
 tokens' bytes. Work per task is bounded by ``TEXT_BYTES`` of text; encoded pieces are remembered per worker up to
-``REMEMBERED`` and then forgotten, which changes speed only.
+``REMEMBERED`` and then forgotten, which changes speed only. They lie in flat arrays, and new ones are encoded
+``PIECES_AT_ONCE`` at a time: a worker shares its executor's memory with what earlier stages left there.
 
 Null texts are empty and give no tokens. Repeated rows and null ids give a row each. Extra columns are not read.
 """
@@ -22,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import id_and_text, pieces, span_hashes, text_chunks
+from seriesloom.llm.common import given_back, id_and_text, pieces, span_hashes, text_chunks
 
-REMEMBERED = 800_000
-TEXT_BYTES = 1 << 20
+REMEMBERED = 600_000
+TEXT_BYTES = 1 << 19
 #: Pieces that one recursive query contracts.
-PIECES_AT_ONCE = 40_000
+PIECES_AT_ONCE = 20_000
 
 ENCODE = """
 WITH RECURSIVE state(piece, toks) AS (
@@ -64,6 +65,7 @@ class Coder:
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
+        self.tokens = set(self.ranks.values())
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -75,7 +77,7 @@ class Coder:
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         whole = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())})
         words = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.con.register("merge_rows", whole)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.con.register("word_rows", words)
@@ -84,12 +86,13 @@ class Coder:
 
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.slots = np.zeros(0, np.int64)
+        self.slots = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
         self.first_id = np.zeros(0, np.int64)
-        self.n_ids = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.decoded: list[bytes] = []
+        self.n_ids = np.zeros(0, np.int32)
+        self.decoded = np.zeros(0, np.uint8)
+        self.first_byte = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int32)
         self.written: list[bytes] = []
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
@@ -176,7 +179,7 @@ class Coder:
             self.con.unregister("coded")
             for i, text in rows:
                 out[i] = bytes.fromhex(text)
-            unknown = set(np.unique(np.concatenate([lists[i] for i in full])).tolist()) - set(self.ranks.values())
+            unknown = set(np.unique(np.concatenate([lists[i] for i in full])).tolist()) - self.tokens
             if unknown:
                 raise ValueError(f"ids outside the vocabulary: {sorted(unknown)[:5]}")
         return out
@@ -192,20 +195,26 @@ class Coder:
         there[there] = self.known[at[there]] == distinct[there]
         new = np.flatnonzero(~there)
         if len(new):
-            words = [body[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            ids = self.encode(words)
             begin = len(self.n_ids)
-            ends_of_ids = len(self.ids) + np.cumsum([len(x) for x in ids])
-            self.ids = np.concatenate([self.ids, *ids])
-            self.first_id = np.concatenate([self.first_id, ends_of_ids - [len(x) for x in ids]])
-            self.n_ids = np.concatenate([self.n_ids, [len(x) for x in ids]])
-            self.decoded += self.decode(ids)
-            self.lengths = np.concatenate([self.lengths, [len(x) for x in self.decoded[begin:]]])
+            for k in range(0, len(new), PIECES_AT_ONCE):
+                own = first[new[k : k + PIECES_AT_ONCE]]
+                self._remember([body[a:b].tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
             self.known = np.insert(self.known, at[new], distinct[new])
-            self.slots = np.insert(self.slots, at[new], np.arange(begin, begin + len(new)))
+            self.slots = np.insert(self.slots, at[new], np.arange(begin, begin + len(new), dtype=np.int32))
             at = np.searchsorted(self.known, distinct)
         return self.slots[at][inverse]
 
+    def _remember(self, words: list[bytes]) -> None:
+        """Ids and decoded bytes of new pieces, after those of the pieces before."""
+        ids = self.encode(words)
+        back = self.decode(ids)
+        n_ids, lengths = (np.array([len(x) for x in each], np.int32) for each in (ids, back))
+        self.first_id = np.concatenate([self.first_id, len(self.ids) + np.cumsum(n_ids, dtype=np.int64) - n_ids])
+        self.first_byte = np.concatenate([self.first_byte, len(self.decoded) + np.cumsum(lengths, dtype=np.int64) - lengths])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.decoded = np.concatenate([self.decoded, np.frombuffer(b"".join(back), np.uint8)])
+        self.n_ids, self.lengths = np.concatenate([self.n_ids, n_ids]), np.concatenate([self.lengths, lengths])
+
     def write_out(self) -> list[bytes]:
         """Decimal ids of every remembered piece, each with a blank after it; made when first asked for."""
         for k in range(len(self.written), len(self.n_ids)):
@@ -214,8 +223,17 @@ class Coder:
 
     def ids_of(self, slots: np.ndarray) -> np.ndarray:
         """Token ids of the given pieces, one after the other."""
-        n = self.n_ids[slots]
-        return self.ids[np.repeat(self.first_id[slots] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return self.ids[_runs(self.first_id[slots], self.n_ids[slots])]
+
+    def bytes_of(self, slots: np.ndarray) -> np.ndarray:
+        """Decoded bytes of the given pieces, one after the other."""
+        return self.decoded[_runs(self.first_byte[slots], self.lengths[slots])]
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of runs of ``n`` entries from ``first`` on."""
+    n = n.astype(np.int64)
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def _with(toks: np.ndarray, at: np.ndarray, value: int) -> np.ndarray:
@@ -298,22 +316,24 @@ def split_pieces(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def coded_chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple]:
-    """(doc ids, bytes, offsets, coder, slots of all pieces, piece bounds per text), verified against the text."""
+    """(doc ids, offsets, coder, decoded bytes, slots of all pieces, piece bounds per text), verified against the text."""
     c = coder(path)
     for ids, body, offsets in text_chunks(batches, TEXT_BYTES):
         starts, counts = split_pieces(body, offsets)
         ends = np.append(starts[1:], len(body))
         slots = c.slots_of(body, starts, ends)
-        if not np.array_equal(c.lengths[slots], ends - starts) or b"".join(map(c.decoded.__getitem__, slots.tolist())) != body.tobytes():
+        back = c.bytes_of(slots)
+        if not np.array_equal(c.lengths[slots], ends - starts) or not np.array_equal(back, body):
             raise ValueError("two pieces share a 64-bit hash: encode this partition with another hash base")
-        yield ids, body, offsets, c, slots, np.concatenate([[0], np.cumsum(counts)])
+        yield ids, offsets, c, back, slots, np.concatenate([[0], np.cumsum(counts)])
+        given_back()
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, token_ids) of every whole text."""
 
     def run(batches):
-        for ids, _, offsets, c, slots, bounds in coded_chunks(batches, path):
+        for ids, _, c, _, slots, bounds in coded_chunks(batches, path):
             values = c.ids_of(slots)
             each = np.concatenate([[0], np.cumsum(c.n_ids[slots])])[bounds]
             lists = pa.ListArray.from_arrays(pa.array(each.astype(np.int32)), pa.array(values.astype(np.int32)))
@@ -340,13 +360,12 @@ def encoded_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the decoded bytes, made where they arise."""
 
     def run(batches):
-        for ids, _, _, c, slots, bounds in coded_chunks(batches, path):
+        for ids, offsets, c, decoded, slots, bounds in coded_chunks(batches, path):
             place, total = slots.tolist(), np.concatenate([[0], np.cumsum(c.n_ids[slots])])[bounds]
             coded, back, written = [], [], c.write_out()
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                own = place[a:b]
-                coded.append(hashlib.sha256(b"".join(map(written.__getitem__, own))[:-1]).hexdigest())
-                back.append(hashlib.sha256(b"".join(map(c.decoded.__getitem__, own))).hexdigest())
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                coded.append(hashlib.sha256(b"".join(map(written.__getitem__, place[a:b]))[:-1]).hexdigest())
+                back.append(hashlib.sha256(decoded[offsets[i] : offsets[i + 1]]).hexdigest())
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(total).astype(np.int64)), pa.array(coded), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
