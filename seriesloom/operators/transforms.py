@@ -46,8 +46,7 @@ BEYOND = 8
 def _best_lambda(df: DataFrame, keys: Sequence[str], col: str, form, jacobian: Column, lo: float, hi: float, steps: int, rounds: int) -> DataFrame:
     """Grid maximum refined ``rounds`` times; each round is one aggregation.
 
-    The data itself is not multiplied: one aggregate expression per grid value. The
-    grid is even from ``lo`` to ``hi`` and goes on beyond both ends in steps that
+    The grid is even from ``lo`` to ``hi`` and goes on beyond both ends in steps that
     double, so a maximum outside is found as well. A round divides the distance to
     the neighbouring values by five.
     """
@@ -72,14 +71,20 @@ def _join_fit(df: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _grid_pass(df, keys, y, form, jacobian, lams, own=False) -> DataFrame:
-    aggs = []
-    for i, (lam, gap) in enumerate(lams):
-        at, step = (F.first(lam), F.first(gap)) if own else (lam, gap)
-        aggs.append(F.struct(_likelihood(form(y, lam), at, jacobian).alias("loglik"), at.alias("lam"), step.alias("gap")).alias(f"_c{i}"))
-    out = df.groupBy(*keys).agg(*aggs)
-    usable = F.filter(F.array(*[f"_c{i}" for i in range(len(lams))]), lambda s: s["loglik"].isNotNull() & (F.abs(s["loglik"]) < float("inf")))
-    best = out.select(*keys, F.array_max(usable).alias("_best"))
-    return best.select(*keys, F.col("_best")["lam"].alias("lambda"), F.col("_best")["loglik"].alias("loglik"), F.col("_best")["gap"].alias("_gap"))
+    """Best of the given (lambda, gap) per key.
+
+    A row meets every grid value inside its task and is summed there at once: an aggregate with an expression for each
+    value would be too large a method for the JVM to compile.
+    """
+    row = F.struct(y.alias("y"), jacobian.cast("double").alias("jacobian"))
+    pairs = F.array(*[F.struct(lam.alias("lam"), gap.alias("gap")) for lam, gap in lams])
+    # Literals are the same for all rows of a key, own values too: they are part of the group.
+    wide = df.select(*keys, row.alias("_row"), F.inline(pairs).alias("_at", "_step"))
+    met = wide.select(*keys, "_at", "_step", form(F.col("_row.y"), F.col("_at")).alias("_value"), F.col("_row.jacobian").alias("_jacobian"))
+    each = met.groupBy(*keys, "_at", "_step").agg(_likelihood(F.col("_value"), F.col("_at"), F.col("_jacobian")).alias("_fit"))
+    usable = F.col("_fit").isNotNull() & (F.abs("_fit") < float("inf"))
+    best = each.groupBy(*keys).agg(F.max(F.when(usable, F.struct("_fit", "_at", "_step"))).alias("_best"))
+    return best.select(*keys, F.col("_best")["_at"].alias("lambda"), F.col("_best")["_fit"].alias("loglik"), F.col("_best")["_step"].alias("_gap"))
 
 
 def fit_boxcox(df: DataFrame, col: str, keys: Sequence[str] = (), lo: float = -2.0, hi: float = 2.0, steps: int = 40, rounds: int = 2) -> DataFrame:
