@@ -12,6 +12,7 @@ from seriesloom.functions.statistics import adjusted_kurtosis, adjusted_skewness
 from seriesloom.operators.demand import adi, cv2
 from seriesloom.operators.exact import average_rank, exact_quantiles, grouped_quantiles, running_total
 from seriesloom.operators.impute import join_on_keys
+from seriesloom.session import counted_parts, reliable_checkpoint
 from seriesloom.spec import PanelSpec
 
 
@@ -242,7 +243,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, method:
         raise ValueError(f"unknown correlation: {method}")
     if not pairs:
         return df.sparkSession.createDataFrame([], "x string, y string, corr double")
-    found = (_spearman if method == "spearman" else _kendall)(_contingency(df, pairs))
+    with counted_parts(df.sparkSession, df.count() * len(pairs)):
+        # Read for the ranks and for the sums.
+        cells = reliable_checkpoint(_contingency(df, pairs))
+        found = reliable_checkpoint((_spearman if method == "spearman" else _kendall)(cells))
     names = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs])
     listed = df.sparkSession.range(1).select(F.posexplode(names).alias("pair", "_n")).select("pair", "_n.*")
     return listed.join(found, "pair", "left").select("x", "y", "corr")
