@@ -28,28 +28,14 @@ def _percent(df: DataFrame) -> DataFrame:
 
 def importance(df: DataFrame, model: PanelRegressor, kind: str = "gain") -> DataFrame:
     """``(feature, importance, importance_pct)`` of a tree model, by gain or by number of splits."""
-    spark, trees = df.sparkSession, _core(model)
-    if kind == "gain":
-        rows = [(n, float(v)) for n, v in zip(model.vector_names, trees.featureImportances.toArray(), strict=True)]
-    elif kind == "split":
-        counts = [0] * len(model.vector_names)
-        for tree in trees.trees:
-            _count_splits(tree._java_obj.rootNode(), counts)
-        rows = [(n, float(c)) for n, c in zip(model.vector_names, counts, strict=True)]
-    else:
+    if kind not in ("gain", "split"):
         raise ValueError("kind must be 'gain' or 'split'")
+    spark, trees = df.sparkSession, model.model
+    rows = [(n, float(v)) for n, v in zip(model.vector_names, trees.gains() if kind == "gain" else trees.counts(), strict=True)]
     # One row per feature of a fitted model.
     return _percent(spark.createDataFrame(rows, "feature string, importance double"))
 
 
-def _count_splits(node, counts: list[int]) -> None:
-    if node.subtreeDepth() == 0:
-        return
-    counts[node.split().featureIndex()] += 1
-    _count_splits(node.leftChild(), counts)
-    _count_splits(node.rightChild(), counts)
-
-
 #: Features scored by one pass over the paired rows.
 AT_ONCE = 4
 

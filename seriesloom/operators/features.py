@@ -76,10 +76,11 @@ class FeatureBuilder:
 
     def transform(self, df: DataFrame) -> DataFrame:
         spec, y = self.spec, self.spec.target_col
-        out = add_calendar_features(df, spec.date_col, self.cyclical_calendar)
+        # Windows sort what they carry: the weighted means, which sort most often, come first, and calendar columns last.
+        out = add_ewm_features(df, spec, y, self.ewm_halflives, self.rolling_min_lag, self.block) if self.ewm_halflives else df
         out = by_blocks(out, spec, self.reach, self.block, self._ordered) if self.block else self._ordered(out, spec)
-        if self.ewm_halflives:
-            out = add_ewm_features(out, spec, y, self.ewm_halflives, self.rolling_min_lag, self.block)
+        out = add_calendar_features(out, spec.date_col, self.cyclical_calendar)
+        out = out.select(*df.columns, *[c for c in (*self.calendar_names, *self.history_names) if c not in df.columns])
         return self.with_codes(out)
 
     def fitted(self, train: DataFrame) -> FeatureBuilder:

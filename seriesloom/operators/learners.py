@@ -1,4 +1,4 @@
-"""Learned forecasters on MLlib: one model over all series of a panel.
+"""Learned forecasters: one model over all series of a panel, boosted trees or a linear model of MLlib.
 
 Features are built once on whole series and then split, since they look back
 only. Keys enter as smoothed target means fitted on the training rows, which
@@ -11,14 +11,17 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from copy import copy
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.blocks import Blocks
+from seriesloom.operators.boosting import TRAIN, VALID, Bins, Boosted, Job, boost
 from seriesloom.operators.encode import apply_target_encoding, fit_target_encoding
 from seriesloom.operators.features import FeatureBuilder, causal_features, next_step_features
 from seriesloom.operators.impute import join_on_keys
@@ -32,24 +35,19 @@ DEFAULT_PARAMS = {"objective": "tweedie", "variance_power": 1.2, "learning_rate"
 BROADCAST_KEYS = 1_000_000
 
 
-def make_estimator(params: Mapping, features: str, label: str, validation: str | None = None, weight: str | None = None) -> Estimator:
-    """MLlib estimator of an objective: trees for squared and absolute error, linear models else.
+def is_tree(params: Mapping) -> bool:
+    """Whether the objective is one of boosted trees: squared or absolute error."""
+    return params["objective"] in ("regression", "regression_l1")
+
+
+def make_estimator(params: Mapping, features: str, label: str, weight: str | None = None) -> Estimator:
+    """MLlib estimator of an objective that a linear model fits.
 
     ``least_squares`` is the plain linear model, without a penalty unless ``l2`` is given.
     """
     p = {**DEFAULT_PARAMS, **params}
     objective = p["objective"]
     weighted = {"weightCol": weight} if weight else {}
-    if objective in ("regression", "regression_l1"):
-        early = {"validationIndicatorCol": validation, "validationTol": p.get("tolerance", 0.01)} if validation else {}
-        return GBTRegressor(
-            featuresCol=features, labelCol=label, predictionCol="yhat",
-            lossType="squared" if objective == "regression" else "absolute",
-            stepSize=p["learning_rate"], maxIter=p["max_iter"], maxDepth=p["max_depth"],
-            subsamplingRate=p.get("subsample", 0.8), featureSubsetStrategy=p.get("feature_subset", "all"),
-            minInstancesPerNode=p.get("min_rows", 5), maxBins=p.get("max_bins", 64), seed=p.get("seed", 42),
-            **early, **weighted,
-        )
     common = {"featuresCol": features, "labelCol": label, "predictionCol": "yhat", "regParam": p.get("l2", 0.1), **weighted}
     if objective == "least_squares":
         return LinearRegression(solver="normal", **{**common, "regParam": p.get("l2", 0.0)})
@@ -63,7 +61,7 @@ def make_estimator(params: Mapping, features: str, label: str, validation: str |
 
 
 class PanelRegressor:
-    """Key encoding, vector assembly, scaling where needed, and one MLlib model.
+    """Key encoding, filling, and one model: boosted trees, or a linear one over scaled vectors.
 
     A missing feature takes the mean of the training rows. Features that training
     rows lacked have a second column ``<feature>_missing`` of 0 and 1.
@@ -76,7 +74,7 @@ class PanelRegressor:
         self.encodings: dict[str, DataFrame] = {}
         self.fills: dict[str, float] = {}
         self.flagged: list[str] = []
-        self.model: Transformer | None = None
+        self.model: Transformer | Boosted | None = None
 
     @property
     def vector_names(self) -> list[str]:
@@ -85,7 +83,7 @@ class PanelRegressor:
 
     @property
     def is_tree(self) -> bool:
-        return self.params["objective"].startswith("regression")
+        return is_tree(self.params)
 
     @staticmethod
     def _known(c: str) -> Column:
@@ -99,9 +97,13 @@ class PanelRegressor:
         self.fills = {c: row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i, c in enumerate(self.inputs)}
         self.flagged = [c for i, c in enumerate(self.inputs) if row[f"g{i}"]]
 
+    def _values(self) -> dict[str, Column]:
+        """The vector's entries by name."""
+        filled = {c: F.coalesce(self._known(c), F.lit(self.fills[c])) for c in self.inputs}
+        return filled | {f"{c}_missing": self._known(c).isNull().cast("double") for c in self.flagged}
+
     def _vectors(self, df: DataFrame) -> DataFrame:
-        values = [F.coalesce(self._known(c), F.lit(self.fills[c])) for c in self.inputs]
-        values += [self._known(c).isNull().cast("double") for c in self.flagged]
+        values = self._values().values()
         names = [f"_x{i}" for i in range(len(values))]
         filled = df.withColumns(dict(zip(names, values, strict=True)))
         return VectorAssembler(inputCols=names, outputCol="_raw").transform(filled).drop(*names)
@@ -110,33 +112,63 @@ class PanelRegressor:
         wanted = {k: v for k, v in self.encodings.items() if k == "__global_mean__" or f"{k}_te" in self.inputs}
         return apply_target_encoding(df, wanted) if len(wanted) > 1 else df
 
+    @property
+    def encoded_keys(self) -> list[str]:
+        """Keys that enter as means of the label."""
+        return [k for k in self.builder.spec.key_cols if f"{k}_te" in self.inputs]
+
     def _learn_encodings(self, rows: DataFrame, label: str) -> None:
-        keys = [k for k in self.builder.spec.key_cols if f"{k}_te" in self.inputs]
+        keys = self.encoded_keys
         if not keys:
             return
         stored = {k: reliable_checkpoint(v) for k, v in fit_target_encoding(rows, keys, label).items()}
         self.encodings = {k: F.broadcast(v) if k in keys and v.count() <= BROADCAST_KEYS else v for k, v in stored.items()}
 
-    def prepare(self, train: DataFrame, label: str, valid: DataFrame | None = None, weight: str | None = None) -> DataFrame:
-        """``(_label, _raw, _valid, _weight)`` of rows with a label, after key means and fills are learned from ``train``."""
+    def labelled(self, train: DataFrame, label: str, valid: DataFrame | None = None) -> DataFrame:
+        """Encoded rows with a label and ``_valid``, after key means are learned from ``train``."""
         rows = train.filter(F.col(label).isNotNull())
         self._learn_encodings(rows, label)
         rows = rows.withColumn("_valid", F.lit(False))
         if valid is not None:
             rows = rows.unionByName(valid.filter(F.col(label).isNotNull()).withColumn("_valid", F.lit(True)))
-        encoded = self.encode(rows)
-        self._learn_fills(encoded.filter(~F.col("_valid")))
-        share = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
-        return self._vectors(encoded).select(F.col(label).cast("double").alias("_label"), "_raw", "_valid", share.alias("_weight"))
+        return self.encode(rows)
+
+    @staticmethod
+    def _share(weight: str | None) -> Column:
+        return F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
 
-    def learn(self, data: DataFrame, early: bool = False, weighted: bool = False) -> PanelRegressor:
-        """Fit on what :meth:`prepare` made, best persisted: a model passes over it several times."""
+    def prepare(self, encoded: DataFrame, label: str, weight: str | None = None) -> DataFrame:
+        """``(_label, _raw, _weight)`` of encoded rows, after fills are learned from them."""
+        self._learn_fills(encoded)
+        return self._vectors(encoded).select(F.col(label).cast("double").alias("_label"), "_raw", self._share(weight).alias("_weight"))
+
+    def learn(self, data: DataFrame, weighted: bool = False) -> PanelRegressor:
+        """Fit a linear model on what :meth:`prepare` made, best persisted: a model passes over it several times."""
         use = "_weight" if weighted else None
-        if self.is_tree:
-            self.model = PipelineModel([make_estimator(self.params, "_raw", "_label", "_valid" if early else None, use).fit(data)])
-        else:
-            scaler = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True).fit(data)
-            self.model = PipelineModel([scaler, make_estimator(self.params, "_std", "_label", weight=use).fit(scaler.transform(data))])
+        scaler = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True).fit(data)
+        self.model = PipelineModel([scaler, make_estimator(self.params, "_std", "_label", use).fit(scaler.transform(data))])
+        return self
+
+    def stored(self, encoded: DataFrame, label: str, part: Column, weight: str | None = None) -> Blocks:
+        """Blocks of encoded rows: features, ``_label``, ``_part`` and ``_weight``."""
+        spec = self.builder.spec
+        ids = [c for c in (*spec.key_cols, spec.date_col) if c in encoded.columns]
+        more = {"_label": F.col(label), "_part": part, "_weight": self._share(weight)}
+        return Blocks.of(encoded.withColumns(more), [*self.inputs, *more], ids)
+
+    def grow(self, store: Blocks, sets: Sequence[Mapping], part: str = "_part", early: bool = False, names: Sequence[str] = (), judge=None) -> list[PanelRegressor]:
+        """Trees of every parameter set on stored blocks; all grow in the same passes. ``names`` are the inputs' columns there."""
+        params = [{**DEFAULT_PARAMS, **p} for p in sets]
+        names = list(names or self.inputs)
+        models, bins = boost(store, names, [Job(p, "_label", part, names, early) for p in params], judge)
+        return [self.with_params(p).with_trees(m, bins, names) for p, m in zip(params, models, strict=True)]
+
+    def with_trees(self, model: Boosted, bins: Bins, names: Sequence[str]) -> PanelRegressor:
+        """Takes over trees that grew on columns ``names``."""
+        own = dict(zip(names, self.inputs, strict=True))
+        self.fills = {own[n]: float(m) for n, m in zip(bins.names, bins.means, strict=True) if n in own}
+        self.flagged = [own[n] for n in names if n in bins.flagged]
+        self.model = replace(model, columns=self.vector_names)
         return self
 
     def with_params(self, params: Mapping) -> PanelRegressor:
@@ -150,10 +182,18 @@ class PanelRegressor:
 
         ``weight`` names a column of row weights; a row without one has weight 1.
         """
-        early = valid is not None and self.is_tree
-        data = self.prepare(train, label, valid if early else None, weight).persist(StorageLevel.DISK_ONLY if self.is_tree else StorageLevel.MEMORY_AND_DISK)
+        if self.is_tree:
+            part = F.when(F.col("_valid"), VALID).otherwise(TRAIN)
+            store = self.stored(self.labelled(train, label, valid), label, part, weight)
+            try:
+                fitted = self.grow(store, [self.params], early=valid is not None)[0]
+            finally:
+                store.drop()
+            self.fills, self.flagged, self.model = fitted.fills, fitted.flagged, fitted.model
+            return self
+        data = self.prepare(self.labelled(train, label), label, weight).persist()
         try:
-            return self.learn(data, early, weight is not None)
+            return self.learn(data, weight is not None)
         finally:
             data.unpersist()
 
@@ -161,8 +201,12 @@ class PanelRegressor:
         """Adds ``yhat``."""
         if self.model is None:
             raise RuntimeError("fit the model first")
-        out = self.model.transform(self._vectors(df if encoded else self.encode(df)))
-        return out.drop("_raw", "_std")
+        rows = df if encoded else self.encode(df)
+        if isinstance(self.model, Boosted):
+            values, names = self._values(), {c: f"_x{i}" for i, c in enumerate(self.model.used)}
+            read = rows.withColumns({x: values[c] for c, x in names.items()}) if names else rows
+            return read.withColumn("yhat", self.model.expression(lambda c: F.col(names[c]))).drop(*names.values())
+        return self.model.transform(self._vectors(rows)).drop("_raw", "_std")
 
 
 class RecursiveForecaster:

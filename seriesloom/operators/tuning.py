@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import metrics as M
+from seriesloom.operators.blocks import Blocks
+from seriesloom.operators.boosting import HELD, TRAIN
 from seriesloom.operators.features import FeatureBuilder
-from seriesloom.operators.learners import PanelRegressor
+from seriesloom.operators.learners import DEFAULT_PARAMS, PanelRegressor, is_tree
 from seriesloom.operators.splits import Folds
 from seriesloom.operators.windows import best_so_far
 from seriesloom.session import dealt
@@ -55,18 +57,13 @@ def sample_space(spark: SparkSession, space: Mapping[str, Mapping], n_trials: in
     return spark.range(n_trials).withColumnRenamed("id", "trial").select("trial", *cols)
 
 
-def score_fold(
-    rows: DataFrame, builder: FeatureBuilder, folds: Folds, fold: int, sets: Sequence[Mapping], metric: Callable[[Column, Column], Column], parallelism: int = 1
+def _linear_scores(
+    rows: DataFrame, base: PanelRegressor, folds: Folds, fold: int, sets: Sequence[Mapping], metric: Callable[[Column, Column], Column], parallelism: int
 ) -> list[float | None]:
-    """Scores of the validation range for every parameter set, each fitted on the training range of the fold.
-
-    Vectors depend on the fold alone: they are made once and serve all sets. ``rows`` are best persisted.
-    """
-    y = builder.spec.target_col
-    train, valid = folds.pair(rows, builder.spec, fold)
-    base = PanelRegressor(builder)
-    data = base.prepare(train, y).persist()
-    held = base.encode(valid.filter(F.col(y).isNotNull())).persist()
+    """Scores of linear models, each fitted by MLlib on vectors that are made once for all sets."""
+    y = base.builder.spec.target_col
+    train, valid = (base.encode(part.filter(F.col(y).isNotNull())) for part in folds.pair(rows, base.builder.spec, fold))
+    data, held = base.prepare(train, y).persist(), valid.persist()
 
     def score(params: Mapping) -> float | None:
         model = base.with_params(params).learn(data)
@@ -80,22 +77,60 @@ def score_fold(
         held.unpersist()
 
 
+def _stored_folds(rows: DataFrame, bases: Mapping[int, PanelRegressor], folds: Folds) -> Blocks:
+    """Blocks of the features, and per fold of the key means that its training range gives and the part of a row in it."""
+    first = next(iter(bases.values()))
+    spec, keys = first.builder.spec, first.encoded_keys
+    d, out, names = F.col(spec.date_col), rows.withColumns({"_label": F.col(spec.target_col), "_weight": F.lit(1.0)}), []
+    for f in folds:
+        out = bases[f.fold].encode(out).withColumnsRenamed({f"{k}_te": f"{k}_te{f.fold}" for k in keys})
+        part = F.when(d.between(F.lit(f.train_start), F.lit(f.train_end)), TRAIN).when(d.between(F.lit(f.valid_start), F.lit(f.valid_end)), HELD)
+        out = out.withColumn(f"_part{f.fold}", part)
+        names += [*[f"{k}_te{f.fold}" for k in keys], f"_part{f.fold}"]
+    shared = [c for c in first.inputs if c not in {f"{k}_te" for k in keys}]
+    return Blocks.of(out.filter(F.col("_label").isNotNull()), [*shared, *names, "_label", "_weight"], [*spec.key_cols, spec.date_col])
+
+
 def search(df: DataFrame, builder: FeatureBuilder, folds: Folds, base_params: Mapping, trials: DataFrame, metric: Callable[[Column, Column], Column] = M.rmse, parallelism: int = 2) -> DataFrame:
     """Score every trial on every fold: ``trial, params.., fold, score, state``.
 
-    Features are computed once for all trials, vectors once for each fold. Each fit is a distributed job;
-    a few run side by side. The driver holds one number per trial and fold.
+    Features are computed and stored once for all folds and trials; key means, fills and cut points are those of a fold's
+    training range. All tree models of a fold grow in the same passes; linear ones are fitted a few side by side.
+    The driver holds one number per trial and fold.
     """
     names = [c for c in trials.columns if c != "trial"]
-    sets = [(r["trial"], {c: r[c] for c in names}) for r in trials.orderBy("trial").collect()]
-    rows = builder.transform(dealt(df, *builder.spec.key_cols)).persist()
-    done = []
-    try:
-        for f in folds:
-            scores = score_fold(rows, builder, folds, f.fold, [{**base_params, **params} for _, params in sets], metric, parallelism)
-            done += [(trial, f.fold, score, "COMPLETE" if score is not None else "FAIL") for (trial, _), score in zip(sets, scores, strict=True)]
-    finally:
-        rows.unpersist()
+    listed = trials.orderBy("trial").collect()
+    sets = [{**DEFAULT_PARAMS, **base_params, **{c: r[c] for c in names}} for r in listed]
+    trees, others = ([i for i, s in enumerate(sets) if is_tree(s) == wanted] for wanted in (True, False))
+    y = builder.spec.target_col
+    rows = builder.transform(dealt(df, *builder.spec.key_cols))
+    bases = {f.fold: PanelRegressor(builder) for f in folds}
+    for f, base in bases.items():
+        # Key means need the panel alone.
+        base._learn_encodings(folds.pair(df, builder.spec, f)[0].filter(F.col(y).isNotNull()), y)
+    scores: dict[tuple[int, int], float | None] = {}
+    if trees:
+        store = _stored_folds(rows, bases, folds)
+        try:
+            for f, base in bases.items():
+                columns = [f"{c}{f}" if c in {f"{k}_te" for k in base.encoded_keys} else c for c in base.inputs]
+
+                def judge(made: DataFrame, ids: list[int], f: int = f) -> None:
+                    row = made.agg(*[metric(F.col("_y"), F.col(f"_p{i}")) for i in ids]).first()
+                    scores.update({(trees[i], f): v for i, v in zip(ids, row, strict=True)})
+
+                base.grow(store, [sets[i] for i in trees], f"_part{f}", names=columns, judge=judge)
+        finally:
+            store.drop()
+    if others:
+        kept = rows.persist()
+        try:
+            for f, base in bases.items():
+                made = _linear_scores(kept, base, folds, f, [sets[i] for i in others], metric, parallelism)
+                scores |= {(i, f): v for i, v in zip(others, made, strict=True)}
+        finally:
+            kept.unpersist()
+    done = [(r["trial"], f, scores[i, f], "COMPLETE" if scores[i, f] is not None else "FAIL") for f in bases for i, r in enumerate(listed)]
     scored = df.sparkSession.createDataFrame(done, "trial bigint, fold int, score double, state string")
     return trials.join(scored, "trial")
 
