@@ -14,6 +14,7 @@ from seriesloom.operators.blocks import Blocks
 from seriesloom.operators.boosting import HELD, TRAIN
 from seriesloom.operators.features import FeatureBuilder
 from seriesloom.operators.learners import DEFAULT_PARAMS, PanelRegressor, is_tree
+from seriesloom.operators.reweighted import reweight
 from seriesloom.operators.splits import Folds
 from seriesloom.operators.windows import best_so_far
 from seriesloom.session import dealt
@@ -95,13 +96,16 @@ def search(df: DataFrame, builder: FeatureBuilder, folds: Folds, base_params: Ma
     """Score every trial on every fold: ``trial, params.., fold, score, state``.
 
     Features are computed and stored once for all folds and trials; key means, fills and cut points are those of a fold's
-    training range. All tree models of a fold grow in the same passes; linear ones are fitted a few side by side.
+    training range. Trees of a fold grow in the same passes, and so do its Tweedie and Poisson models; other linear models are
+    fitted a few side by side.
     The driver holds one number per trial and fold.
     """
     names = [c for c in trials.columns if c != "trial"]
     listed = trials.orderBy("trial").collect()
     sets = [{**DEFAULT_PARAMS, **base_params, **{c: r[c] for c in names}} for r in listed]
-    trees, others = ([i for i, s in enumerate(sets) if is_tree(s) == wanted] for wanted in (True, False))
+    trees = [i for i, s in enumerate(sets) if is_tree(s)]
+    rated = [i for i, s in enumerate(sets) if s["objective"] in ("tweedie", "poisson")]
+    others = [i for i in range(len(sets)) if i not in {*trees, *rated}]
     y = builder.spec.target_col
     rows = builder.transform(dealt(df, *builder.spec.key_cols))
     bases = {f.fold: PanelRegressor(builder) for f in folds}
@@ -109,17 +113,23 @@ def search(df: DataFrame, builder: FeatureBuilder, folds: Folds, base_params: Ma
         # Key means need the panel alone.
         base._learn_encodings(folds.pair(df, builder.spec, f)[0].filter(F.col(y).isNotNull()), y)
     scores: dict[tuple[int, int], float | None] = {}
-    if trees:
+    if trees or rated:
         store = _stored_folds(rows, bases, folds)
         try:
             for f, base in bases.items():
                 columns = [f"{c}{f}" if c in {f"{k}_te" for k in base.encoded_keys} else c for c in base.inputs]
 
-                def judge(made: DataFrame, ids: list[int], f: int = f) -> None:
-                    row = made.agg(*[metric(F.col("_y"), F.col(f"_p{i}")) for i in ids]).first()
-                    scores.update({(trees[i], f): v for i, v in zip(ids, row, strict=True)})
+                def judge(own: list[int], f: int = f) -> Callable[[DataFrame, list[int]], None]:
+                    def note(made: DataFrame, ids: list[int]) -> None:
+                        row = made.agg(*[metric(F.col("_y"), F.col(f"_p{i}")) for i in ids]).first()
+                        scores.update({(own[i], f): v for i, v in zip(ids, row, strict=True)})
 
-                base.grow(store, [sets[i] for i in trees], f"_part{f}", names=columns, judge=judge)
+                    return note
+
+                if trees:
+                    base.grow(store, [sets[i] for i in trees], f"_part{f}", names=columns, judge=judge(trees))
+                if rated:
+                    reweight(store, columns, [sets[i] for i in rated], "_label", f"_part{f}", judge(rated))
         finally:
             store.drop()
     if others:
