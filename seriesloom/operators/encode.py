@@ -6,13 +6,14 @@ left to the planner, which broadcasts only below its size threshold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.exact import running_total
 from seriesloom.operators.impute import join_on_keys
+from seriesloom.session import reliable_checkpoint
 from seriesloom.spec import PanelSpec
 
 
@@ -93,6 +94,22 @@ def fit_target_encoding(train: DataFrame, cols: Sequence[str], target: str, smoo
     return fits
 
 
+def fit_target_encodings(rows: DataFrame, col: str, targets: Mapping[str, Column], smoothing: float = 10.0) -> tuple[DataFrame, dict[str, float | None]]:
+    """Smoothed means of several targets per value of ``col`` in one aggregation, and their global means.
+
+    A target is null on the rows that it does not learn from. The table has a row per value and a column per target.
+    """
+    sums = [a for i, t in enumerate(targets.values()) for a in (F.sum(t).alias(f"_s{i}"), F.count(t).alias(f"_n{i}"))]
+    stats = reliable_checkpoint(rows.groupBy(col).agg(*sums))
+    row = stats.agg(*[(F.sum(f"_s{i}") / F.sum(f"_n{i}")).alias(f"g{i}") for i in range(len(targets))]).first()
+    priors = {name: row[f"g{i}"] for i, name in enumerate(targets)}
+    means = [
+        F.when(F.col(f"_n{i}") > 0, (F.col(f"_s{i}") + F.lit(priors[name]) * smoothing) / (F.col(f"_n{i}") + smoothing)).cast("double").alias(name)
+        for i, name in enumerate(targets)
+    ]
+    return stats.select(col, *means), priors
+
+
 def apply_target_encoding(df: DataFrame, fits: dict[str, DataFrame]) -> DataFrame:
     """Unseen values get the global mean."""
     df = df.join(F.broadcast(fits["__global_mean__"]))

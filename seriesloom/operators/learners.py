@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators.blocks import Blocks
 from seriesloom.operators.boosting import TRAIN, VALID, Bins, Boosted, Job, boost
-from seriesloom.operators.encode import apply_target_encoding, fit_target_encoding
+from seriesloom.operators.encode import apply_target_encoding, fit_target_encoding, fit_target_encodings
 from seriesloom.operators.features import FeatureBuilder, causal_features, next_step_features
 from seriesloom.operators.impute import join_on_keys
 from seriesloom.operators.recurrence import alpha_of_halflife, ewm_mean, ewm_name
@@ -197,6 +197,13 @@ class PanelRegressor:
         finally:
             data.unpersist()
 
+    def scored(self, names: Sequence[str]) -> Column:
+        """The prediction of trees from columns ``names``, which hold the inputs."""
+        own = dict(zip(self.inputs, names, strict=True))
+        filled = {c: F.coalesce(self._known(own[c]), F.lit(self.fills[c])) for c in self.inputs}
+        values = filled | {f"{c}_missing": self._known(own[c]).isNull().cast("double") for c in self.flagged}
+        return self.model.expression(lambda c: values[c])
+
     def predict(self, df: DataFrame, encoded: bool = False) -> DataFrame:
         """Adds ``yhat``."""
         if self.model is None:
@@ -209,6 +216,25 @@ class PanelRegressor:
         return self.model.transform(self._vectors(rows)).drop("_raw", "_std")
 
 
+def encode_together(rows: DataFrame, models: Mapping[int, PanelRegressor], targets: Mapping[int, Column]) -> tuple[DataFrame, dict[int, list[str]]]:
+    """Rows with the key means of every model, and the columns that hold the inputs of each.
+
+    A target is null on the rows that its model does not learn from. One aggregation and one join a key serve all models.
+    """
+    first = next(iter(models.values()))
+    names = {i: [f"{c}{i}" if c in {f"{k}_te" for k in m.encoded_keys} else c for c in m.inputs] for i, m in models.items()}
+    out = rows
+    for k in first.encoded_keys:
+        wide, priors = fit_target_encodings(rows, k, {f"{k}_te{i}": t for i, t in targets.items()})
+        if wide.count() <= BROADCAST_KEYS:
+            wide = F.broadcast(wide)
+        out = join_on_keys(out, wide, [k]).withColumns({c: F.coalesce(F.col(c), F.lit(g).cast("double")) for c, g in priors.items()})
+        for i, m in models.items():
+            prior = rows.sparkSession.range(1).select(F.lit(priors[f"{k}_te{i}"]).cast("double").alias("_g"))
+            m.encodings |= {"__global_mean__": prior, k: wide.select(k, F.col(f"{k}_te{i}").alias(f"{k}_te"))}
+    return out, names
+
+
 class RecursiveForecaster:
     """One one-step model, rolled forward over its own predictions.
 
@@ -303,7 +329,7 @@ class RecursiveForecaster:
 
 
 class DirectMultiHorizonForecaster:
-    """One model per step ahead, all fitted on one cached feature table."""
+    """One model per step ahead, all fitted on one stored feature table."""
 
     def __init__(self, builder: FeatureBuilder, horizons: Sequence[int], params: Mapping | None = None, parallelism: int = 2, features: Sequence[str] | None = None):
         self.builder, self.horizons, self.params, self.features = builder, list(horizons), dict(params or {}), features
@@ -322,14 +348,15 @@ class DirectMultiHorizonForecaster:
         rows = self.builder.transform(dealt(parts, *spec.key_cols)).withColumns({f"_y{h}": lead_target(spec, h) for h in self.horizons})
         # The part of the target date decides: training rows never aim into the validation part.
         rows = rows.withColumns({f"_p{h}": F.lead("_part", h).over(spec.in_order()) for h in self.horizons})
-        rows = rows.filter(F.col(spec.target_col).isNotNull()).persist()
+        rows = rows.filter(F.col(spec.target_col).isNotNull())
+        if is_tree({**DEFAULT_PARAMS, **self.params}):
+            return self._grow(rows, valid is not None)
+        rows = rows.persist()
         try:
             def one(h: int) -> PanelRegressor:
                 label = f"_y{h}"
-                cols = [*self._row_columns(), label]
-                tr = rows.filter((F.col("_part") == 0) & (F.col(f"_p{h}") == 0)).select(*cols)
-                va = rows.filter(F.col(f"_p{h}") == 1).select(*cols) if valid is not None else None
-                return PanelRegressor(self.builder, self.params, self._inputs()).fit(tr, label, va)
+                learns = rows.filter((F.col("_part") == 0) & (F.col(f"_p{h}") == 0)).select(*self._row_columns(), label)
+                return PanelRegressor(self.builder, self.params, self._inputs()).fit(learns, label)
 
             with ThreadPoolExecutor(self.parallelism) as pool:
                 self.models = dict(zip(self.horizons, pool.map(one, self.horizons), strict=True))
@@ -337,6 +364,24 @@ class DirectMultiHorizonForecaster:
             rows.unpersist()
         return self
 
+    def _grow(self, rows: DataFrame, early: bool) -> DirectMultiHorizonForecaster:
+        """Trees of all horizons in the same passes. Features are stored and cut into bins once."""
+        spec = self.builder.spec
+        models = {h: PanelRegressor(self.builder, self.params, self._inputs()) for h in self.horizons}
+        learns = {h: (F.col("_part") == 0) & (F.col(f"_p{h}") == 0) for h in self.horizons}
+        out, names = encode_together(rows, models, {h: F.when(learns[h], F.col(f"_y{h}")) for h in self.horizons})
+        part = {h: F.when(F.col(f"_y{h}").isNotNull(), F.when(learns[h], TRAIN).when(F.col(f"_p{h}") == 1, VALID)) for h in self.horizons}
+        out = out.withColumns({"_weight": F.lit(1.0), **{f"_part{h}": c for h, c in part.items()}})
+        columns = list(dict.fromkeys(c for own in names.values() for c in own))
+        store = Blocks.of(out, [*columns, "_weight", *[f"{c}{h}" for h in self.horizons for c in ("_y", "_part")]], [*spec.key_cols, spec.date_col])
+        jobs = [Job(m.params, f"_y{h}", f"_part{h}", names[h], early) for h, m in models.items()]
+        try:
+            made, bins = boost(store, columns, jobs)
+        finally:
+            store.drop()
+        self.models = {h: models[h].with_trees(m, bins, names[h]) for h, m in zip(self.horizons, made, strict=True)}
+        return self
+
     def _row_columns(self) -> list[str]:
         return [*self.builder.spec.key_cols, *[c for c in self._inputs() if not c.endswith("_te")]]
 
@@ -478,17 +523,37 @@ def cross_validated_predictions(
     spec = builder.spec
     fold = repeated_fold(identity, k, seed) if mode == "random" else time_fold(spec, *date_span(rows, spec), k)
     folded = rows.withColumn("_fold", fold.cast("int")).withColumn("_label", power_target(F.col(label), exponent))
-    kept = folded.persist()
-    try:
-        models = [PanelRegressor(builder, params, features).fit(kept.filter(F.col("_fold") != i), "_label", weight=weight) for i in range(k)]
-    finally:
-        kept.unpersist()
+    models = {i: PanelRegressor(builder, params, features) for i in range(k)}
+    kept, names = folded, {}
+    if models[0].is_tree:
+        # Key means of all folds are joined once, and so is the table of the predictions.
+        kept, names = encode_together(folded, models, {i: F.when(F.col("_fold") != i, F.col("_label")) for i in models})
+        learns = {f"_part{i}": F.when(F.col("_label").isNotNull() & (F.col("_fold") != i), TRAIN) for i in models}
+        columns = list(dict.fromkeys(c for own in names.values() for c in own))
+        rows = kept.withColumns({"_weight": PanelRegressor._share(weight), **learns})
+        ids = [c for c in (*spec.key_cols, spec.date_col) if c in rows.columns]
+        store = Blocks.of(rows, [*columns, "_label", "_weight", *learns], ids)
+        try:
+            models = {i: m.grow(store, [m.params], f"_part{i}", names=names[i])[0] for i, m in models.items()}
+        finally:
+            store.drop()
+    else:
+        kept = folded.persist()
+        try:
+            for i, m in models.items():
+                m.fit(kept.filter(F.col("_fold") != i), "_label", weight=weight)
+        finally:
+            kept.unpersist()
+    shown = [*identity, label, *([weight] if weight else [])]
     oof, tests = None, None
-    for i, model in enumerate(models):
-        part = model.predict(folded.filter(F.col("_fold") == i)).select(
-            *identity, F.col(label), *([weight] if weight else []), F.lit(i).alias("fold"), invert_power_target(F.col("yhat"), exponent).alias("yhat")
-        )
-        oof = part if oof is None else oof.unionByName(part)
+    if models[0].is_tree:
+        yhat = F.coalesce(*[F.when(F.col("_fold") == i, m.scored(names[i])) for i, m in models.items()])
+        made = kept.filter(F.col("_fold").isNotNull()).withColumn("yhat", invert_power_target(yhat, exponent))
+        oof = made.select(*shown, F.col("_fold").alias("fold"), "yhat")
+    for i, model in models.items():
+        if not model.is_tree:
+            part = model.predict(folded.filter(F.col("_fold") == i)).select(*shown, F.lit(i).alias("fold"), invert_power_target(F.col("yhat"), exponent).alias("yhat"))
+            oof = part if oof is None else oof.unionByName(part)
         if test is not None:
             t = model.predict(test).select(*identity, invert_power_target(F.col("yhat"), exponent).alias("yhat"))
             tests = t if tests is None else tests.unionByName(t)

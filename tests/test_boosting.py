@@ -85,3 +85,46 @@ def test_sets_of_a_fold_share_passes_and_features(spark, monkeypatch):
         model = learners.PanelRegressor(builder, params).fit(train, "y")
         alone = model.predict(valid).agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("yhat"), 2)))).first()[0]
         assert r.fold0 == pytest.approx(alone, abs=1e-9)
+
+
+def panel(spark):
+    return spark.range(1200).selectExpr("id % 4 AS k", "date_add(DATE'2020-01-06', CAST(id div 4 * 7 AS INT)) AS d", "CAST(id * id % 17 + id % 4 AS DOUBLE) AS y")
+
+
+def test_horizons_share_passes_and_features(spark, monkeypatch):
+    """Three horizons of two rounds: a pass per level and not per horizon; each model is the one fitted on its rows alone."""
+    passes, stores = [], []
+    add, of = boosting.sums, Blocks.of.__func__
+    monkeypatch.setattr(boosting, "sums", lambda *a: (passes.append(1), add(*a))[1])
+    monkeypatch.setattr(Blocks, "of", classmethod(lambda cls, *a: (stores.append(1), of(cls, *a))[1]))
+    rows = panel(spark)
+    builder = FeatureBuilder(P.WEEKLY, lags=(1, 2), rolling_windows=(), ewm_halflives=())
+    params = {**TREE, "max_iter": 2, "max_bins": 16}
+    direct = learners.DirectMultiHorizonForecaster(builder, (1, 2, 3), params).fit(rows)
+    assert len(passes) == 2 * 2 and len(stores) == 1
+    ahead = builder.transform(rows).withColumns({"_y2": F.lead("y", 2).over(P.WEEKLY.in_order())})
+    alone = learners.PanelRegressor(builder, params).fit(ahead, "_y2")
+    got = direct.models[2].predict(ahead).agg(F.avg("yhat"), F.stddev("yhat")).first()
+    # Cut points come from all training rows, also the last ones, whose label lies beyond the end.
+    want = alone.predict(ahead).agg(F.avg("yhat"), F.stddev("yhat")).first()
+    assert got[0] == pytest.approx(want[0], rel=0.01) and got[1] == pytest.approx(want[1], rel=0.1)
+    made = direct.predict(rows, "2030-01-01").collect()
+    assert sorted((r.k, r.horizon) for r in made) == [(k, h) for k in range(4) for h in (1, 2, 3)]
+
+
+def test_folds_share_stored_features(spark, monkeypatch):
+    """Features of three folds are stored once; the predictions are those of models fitted fold by fold."""
+    stores, of = [], Blocks.of.__func__
+    monkeypatch.setattr(Blocks, "of", classmethod(lambda cls, *a: (stores.append(1), of(cls, *a))[1]))
+    builder = FeatureBuilder(P.WEEKLY, lags=(1, 2), rolling_windows=(), ewm_halflives=())
+    params = {**TREE, "max_iter": 2, "max_bins": 16}
+    rows = builder.transform(panel(spark))
+    oof, _ = learners.cross_validated_predictions(rows, builder, "y", ["k", "d"], 3, params)
+    made = {(r.k, r.d): r for r in oof.collect()}
+    assert len(stores) == 1 and len(made) == 1200
+    fold = splits.time_fold(P.WEEKLY, *splits.date_span(rows, P.WEEKLY), 3)
+    folded = rows.withColumn("_fold", fold.cast("int")).withColumn("_label", F.sqrt("y"))
+    alone = learners.PanelRegressor(builder, params).fit(folded.filter("_fold <> 1"), "_label")
+    for r in alone.predict(folded.filter("_fold = 1")).collect():
+        own = made[r.k, r.d]
+        assert own.fold == 1 and own.yhat == pytest.approx(max(r.yhat, 0.0) ** 2, abs=1e-6)
