@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.impute import join_on_keys
-from seriesloom.operators.linear import at, diagonal, let, sweep_all
+from seriesloom.operators.linear import products_by_key, solved_by_key
 from seriesloom.spec import PanelSpec
 
 COMPONENTS = ("trend", "yearly", "weekly", "holidays", "regressors")
@@ -74,20 +74,9 @@ class AdditiveModel:
         """(keys, _beta): the coefficients of every key with enough known rows, in the order of ``_terms``."""
         terms = [x for part in self._terms().values() for x in part]
         used = rows.filter(F.col("y").isNotNull() & (F.col("_known") >= self.min_rows))
-        data = used.select(*self.spec.key_cols, *[x.alias(f"_x{i}") for i, x in enumerate([*terms, F.col("y")])])
-        p = len(terms)
-        upper = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i in range(p + 1) for j in range(i, p + 1)]
-        sums = data.groupBy(*self.spec.key_cols).agg(F.array(*upper).alias("_u"))
-        # Entry (i, j) of the whole matrix among the sums of the upper half; the ridge lies on the diagonal.
-        place = {(i, j): n for n, (i, j) in enumerate((i, j) for i in range(p + 1) for j in range(i, p + 1))}
-        index = F.array(*[F.lit(place[min(i, j), max(i, j)]) for i in range(p + 1) for j in range(p + 1)])
-        penalty = [1e-8 if i < 2 else self.ridge * 0.01 for i in range(p)]
-        ridge = F.array(*[F.lit(penalty[i] if i == j and i < p else 0.0) for i in range(p + 1) for j in range(p + 1)])
-        size = F.lit(p + 1)
-        matrix = let(F.col("_u"), lambda u: F.zip_with(F.transform(index, lambda n: F.get(u, n)), ridge, lambda a, b: a + b))
-        swept = let(matrix, lambda g: let(diagonal(g, size), lambda first: sweep_all(g, size, F.sequence(F.lit(0), F.lit(p - 1)), first)))
-        beta = let(swept, lambda g: F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: at(g, size, i, p)))
-        return sums.select(*self.spec.key_cols, beta.alias("_beta"))
+        products = products_by_key(used, self.spec.key_cols, [*terms, F.col("y")])
+        # The ridge lies on the diagonal.
+        return solved_by_key(products, self.spec.key_cols, [1e-8 if i < 2 else self.ridge * 0.01 for i in range(len(terms))])
 
     def coefficients(self, history: DataFrame) -> DataFrame:
         """``(keys, component, term, value)``: the fitted coefficients; keys with too few known rows have none."""

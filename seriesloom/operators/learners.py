@@ -322,7 +322,8 @@ class RecursiveForecaster:
             size = max(b.reach, b.rolling_min_lag)
             grown = grown.withColumns(updates).withColumn("_recent", F.slice("_recent", F.greatest(F.size("_recent") - size + 1, F.lit(1)), size))
             state = grown.select(*keep)
-            if self.checkpoint_every and step % self.checkpoint_every == 0 and step < horizon:
+            # Trees are long expressions: written out at every step, none of them is copied into those of the next.
+            if self.regressor.is_tree or (self.checkpoint_every and step % self.checkpoint_every == 0 and step < horizon):
                 state = reliable_checkpoint(state)
         out = state.select(*spec.key_cols, "_at", F.inline("_path"))
         return out.select(*spec.key_cols, freq.date(F.col("_at") + F.col("horizon")).alias(spec.date_col), "horizon", "yhat", *show)
